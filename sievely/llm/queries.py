@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, spotsigs, warc
+from . import bpe, chat, minhash, mixing, spotsigs, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _hex(turns).alias("turns_sha256"), F.length(said).cast("long").alias("loss_chars"), _hex(said).alias("loss_sha256"), "formatted_chars")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_and_decode(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -53,6 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_chat": op2_chat,
+    "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op10_mixing": op10_mixing,
@@ -61,6 +66,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CONTROL = r"\[INST\]|\[/INST\]|<s>|</s>|<<SYS>>|<</SYS>>|<<ROLE>>|<</ROLE>>|<</TURN>>"
 
 ORACLES: dict[str, str] = {
+    "op3_minhash": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), sets as (
+            select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+            from words
+        ), each as (select doc_id, unnest(s) as g from sets
+        ), shared as (
+            select a.doc_id as a, b.doc_id as b, count(*) as n from each a join each b on a.g = b.g and a.doc_id < b.doc_id group by all
+        ), links as (
+            select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+        ), sides as (select a, b from links union all select b, a from links
+        ), reach as (
+            select doc_id as origin, doc_id as node from documents union select reach.origin, sides.b from reach join sides on reach.node = sides.a
+        ), lowest as (select origin, min(node) as component_id from reach group by origin)
+        select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join lowest on origin = doc_id
+    """,
     "op2_chat": f"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
