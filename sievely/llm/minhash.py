@@ -10,7 +10,8 @@ other members is lost. Bands and rows are chosen so that a pair at the threshold
 probability under MISS.
 
 Cases: null and empty texts, and texts without words, have the empty set, size 0 and are linked with nothing;
-texts with fewer words than a shingle have one shingle, the whole sequence. Rows that repeat a doc_id are rows of
+texts with fewer words than a shingle have one shingle, the whole sequence. Rows with a null doc_id are linked
+with nothing. Rows that repeat a doc_id are rows of
 their own. Columns other than doc_id and text are not read by groups(); dedup() keeps all of them.
 """
 
@@ -176,7 +177,7 @@ def block_links(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> lis
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where 100 * intersection >= percent * union of their shingle sets."""
     sig = written(signatures(docs, words, percent), "minhash")
-    classes = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "minhash-classes")
     buckets = classes.where("size(bands) > 0").select("rep", "n", F.explode("bands").alias("bucket"))
     common = buckets.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
@@ -205,7 +206,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         first = components(links)
     labelled = classes.select("set_key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, spotsigs, warc
+from . import bpe, chat, minhash, mixing, spotsigs, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.groups(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
+    "op9_embeddings": op9_embeddings,
     "op10_mixing": op10_mixing,
 }
 
@@ -112,4 +117,18 @@ ORACLES: dict[str, str] = {
             case when keeper is not null and page_id is distinct from keeper then keeper end as refers_to
         from k
     """,
+    "op9_embeddings": """
+        with recursive v as (
+            select vec_id, cast(embedding as double[]) as e from embeddings
+        ), ok as (
+            select * from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links as (
+            select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95::double
+        ), reach as (
+            select vec_id as origin, vec_id as node from embeddings union select reach.origin, links.b from reach join links on reach.node = links.a
+        ), lowest as (select origin, min(node) as component_id from reach group by origin
+        ), counts as (select a, count(*) as n from links group by a)
+        select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+        from embeddings join lowest on origin = vec_id left join counts on a = vec_id
+    """,
 }
