@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, pii, spotsigs, toxicity, vectors, warc
+from . import bpe, chat, minhash, mixing, pii, spotsigs, suffix, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.summary(suffix.removed_spans(_table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
+    "op6_suffix": op6_suffix,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_embeddings": op9_embeddings,
