@@ -231,6 +231,9 @@ def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that a document with a smaller doc_id stands for; all columns, repeated rows once."""
-    kept = groups(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    kept = groups(docs, words, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_kept")
+    kept = written(kept, "minhash-kept")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
+    if kept.where("_n > 1").isEmpty():
+        return rows.drop("_n")
+    return rows.where("_n = 1").drop("_n").unionByName(rows.where("_n > 1").drop("_n").dropDuplicates(["doc_id", "text"]))
