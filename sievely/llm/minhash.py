@@ -33,7 +33,7 @@ from .components import components
 MOST_BINS = 200
 MISS = 1e-6
 #: Members of a block in the comparison of what stars leave open.
-BLOCK = 128
+BLOCK = 512
 
 
 def bands_and_rows(percent: int) -> tuple[int, int]:
@@ -213,12 +213,17 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components within buckets; members: bucket, m (members in it), rep, component.
 
-    A bucket of m members is m / BLOCK blocks, and each pair of blocks a group of its own.
+    The largest component of a bucket is joined already, so each pair to look at has a member outside of it (a guest).
+    All m members are dealt into blocks, guests into blocks of their own, and each block meets each block of guests.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.select("bucket", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component").join(sets, "rep")
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("o"))).alias("main"), F.max("size").alias("top"))
+    rows = members.join(main, "bucket").withColumn("homes", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("guests", F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int"))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("rep", "bucket"), F.col("homes").cast("long")).cast("int")).withColumn("guest", F.pmod(F.xxhash64("bucket", "rep"), F.col("guests").cast("long")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda j: F.struct(F.col("home").alias("i"), j.alias("j")))
+    visits = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: F.struct(i.alias("i"), F.col("guest").alias("j")))
+    both = F.when(F.col("component") == F.col("main"), pairs).otherwise(F.array_union(pairs, visits))
+    rows = rows.select("bucket", "rep", "component", F.explode(both).alias("k")).select("bucket", "k.i", "k.j", "rep", "component").join(sets, "rep")
 
     def compare(table: pa.Table) -> pa.Table:
         reps = table.column("rep").to_pylist()
