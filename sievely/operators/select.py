@@ -40,16 +40,17 @@ def merge_regions(blocks: DataFrame) -> DataFrame:
 
 def best_lines(lines: DataFrame, threshold: float) -> DataFrame:
     """One row per source line, its best, if that reaches the threshold; the filter comes first."""
-    best = lines.where(F.col("keep") >= GATE).groupBy(*KEY, "line").agg(F.max_by(F.struct("p", "text", "section"), "p").alias("b"))
-    return best.select(*KEY, "line", "b.p", "b.text", "b.section").where(F.col("p") >= threshold)
+    # A line's best reaches the threshold if any of its scores does: the cold ones need not be shuffled.
+    best = lines.where((F.col("keep") >= GATE) & (F.col("p") >= threshold)).groupBy(*KEY, "line").agg(F.max_by(F.struct("p", "text", "section"), "p").alias("b"))
+    return best.select(*KEY, "line", "b.p", "b.text", "b.section")
 
 
 def weak_regions(files: DataFrame, blocks: DataFrame, strong: DataFrame, lim: Limits) -> DataFrame:
     """Regions of relevant files with nothing at the threshold: of their two best blocks those that come near."""
     order = Window.partitionBy(*KEY).orderBy(F.desc("p"), "start")
     open_ = files.where(F.col("score") >= lim.file_threshold).select(*KEY).join(strong, KEY, "left_anti")
-    best = blocks.where(F.col("keep") >= GATE).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= WEAK_REGIONS).drop("_r")
-    return merge_regions(best.where(F.col("p") >= WEAK_RATIO * lim.threshold).join(open_, KEY, "left_semi"))
+    near = blocks.where((F.col("keep") >= GATE) & (F.col("p") >= WEAK_RATIO * lim.threshold)).join(open_, KEY, "left_semi")
+    return merge_regions(near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= WEAK_REGIONS).drop("_r"))
 
 
 @dataclass

@@ -154,7 +154,7 @@ def discover(spark: SparkSession, paths: list[str], options: Discover = Discover
             rows += [(p, os.path.relpath(p, raw).replace(os.sep, "/"), False) for p in found or _walk(raw, False, options.hidden)]
         else:
             raise FileNotFoundError(raw)
-    listed = [(k, display_path(p), p, os.path.realpath(p), inner, explicit, os.path.getsize(p)) for k, (p, inner, explicit) in enumerate(rows)]
+    listed = [(k, display_path(p), os.path.abspath(p), os.path.realpath(p), inner, explicit, os.path.getsize(p)) for k, (p, inner, explicit) in enumerate(rows)]
     df = spark.createDataFrame(listed, "ord long, path string, location string, canonical string, inner string, explicit boolean, length long")
     keep = wanted(F.col("inner"), F.col("length"), max_bytes=options.max_bytes, hidden=options.hidden)
     if options.globs:
