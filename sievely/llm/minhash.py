@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NOT_SPACE, Hasher, as_bytes, mix64, slices, small_batches, word_bounds, written
+from ._common import NOT_SPACE, Hasher, as_bytes, mix64, slices, small_batches, word_bounds, written, written_alone
 from .components import components
 
 #: Most bins of a signature, and the chance that a pair at the threshold is not found.
@@ -236,8 +236,10 @@ def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that a document with a smaller doc_id stands for; all columns, repeated rows once."""
-    kept = groups(docs, words, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_kept")
-    kept = written(kept, "minhash-kept")
+    def kept_ids() -> DataFrame:
+        return groups(docs, words, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_kept")
+
+    kept = written_alone(docs.sparkSession, kept_ids, "minhash-kept")
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
     if kept.where("_n > 1").isEmpty():
         return rows.drop("_n")

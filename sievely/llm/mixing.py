@@ -25,6 +25,7 @@ WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Documents in a block, on average.
 BLOCK_DOCS = 256
 SHARDS = 64
+_ROW = "_sievely_row"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -129,7 +130,8 @@ def draw(docs: DataFrame, **options) -> DataFrame:
     Keeps the columns of docs. Documents without words are drawn as often as their source is passed over.
     """
     names = docs.columns
-    held = docs.select("doc_id", "text", "source", F.struct(*names).alias("_row"))
-    mixed = mix(held, keep=("_row",), **options)
-    rows = mixed.select("_row", F.posexplode("shards").alias("_time", "_shard"))
-    return rows.select("_row.*", F.col("_shard").alias("shard"), F.xxhash64(F.lit(11), "_row.doc_id", "_time").alias("place"))
+    table = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "mix-rows")
+    mixed = mix(table.select("doc_id", "text", "source", _ROW), keep=(_ROW,), **options).select(_ROW, F.col("shards").alias("_shards"))
+    # Texts are shuffled once, here; all before this is done on sizes.
+    rows = table.join(mixed.where("size(_shards) > 0"), _ROW).select(*names, F.posexplode("_shards").alias("_time", "shard"))
+    return rows.select(*names, "shard", F.xxhash64(F.lit(11), "doc_id", "_time").alias("place"))
