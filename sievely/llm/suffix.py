@@ -146,26 +146,26 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_order(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes sorted by their first `depth` bytes at least (ties by place), and their ranks; text: ints, 0 and above."""
+    """The suffixes sorted by their first `depth` symbols at least, and their places; text: ints from 0 to 510."""
     n = len(text)
     padded = np.concatenate((text.astype(np.int64), np.full(8, -1))) + 1
     key = np.zeros(n, np.int64)
-    for k in range(6):  # six symbols of up to 10 bits
-        key = key << 10 | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    rank, width = np.empty(n, np.int64), 6
-    ordered = key[order]
-    rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
-    while width < depth and rank[order[-1]] < n - 1:
+    for k in range(7):  # seven symbols of 9 bits
+        key = key << 9 | padded[k : k + n]
+    rank, width = np.empty(n, np.int64), 7
+    while True:
+        order = np.argsort(key)
+        ordered = key[order]
+        rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
+        if width >= depth or rank[order[-1]] == n - 1:
+            break
         second = np.zeros(n, np.int64)
         second[:-width] = rank[width:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
         width *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    order = order.astype(np.int32) if n < 1 << 31 else order
+    place = np.empty_like(order)
+    place[order] = np.arange(n, dtype=order.dtype)
     return order, place
 
 
@@ -183,18 +183,19 @@ def long_runs(text: np.ndarray, separators: np.ndarray, length: int = LENGTH) ->
     small[0] = True
     small[1:] = (first[1:] != first[:-1]) | separators[order[1:]] | separators[order[:-1]]
     open_ = np.flatnonzero(~small)
+    low, high = tail[open_ - 1], tail[open_]
     for _ in range(1, length):
         if not len(open_):
             break
-        count = np.cumsum(small)
+        count = np.cumsum(small, dtype=np.int32 if n < 1 << 31 else np.int64)
         # A common prefix of this value + 1 or more needs one of this value or more all the way between the tails.
-        low, high = np.minimum(tail[open_ - 1], tail[open_]), np.maximum(tail[open_ - 1], tail[open_])
-        ends = count[high] > count[low]
+        ends = count[low] != count[high]
         if not ends.any():
             # No interval of this value: none of a larger value can start from it.
             break
         small[open_[ends]] = True
-        open_ = open_[~ends]
+        going = ~ends
+        open_, low, high = open_[going], low[going], high[going]
     shares = np.zeros(n, bool)
     shares[open_] = True
     return order, shares
