@@ -6,6 +6,7 @@ import argparse
 import json
 import re
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--backend", choices=["lexical", "http", "chat"], default="lexical")
     p.add_argument("--url")
     p.add_argument("--model", default="default")
+    p.add_argument("--triage", action="store_true", help="judge paths first, open the likely ones only")
+    p.add_argument("--triage-threshold", type=float, default=0.2)
+    p.add_argument("--max-files", type=int, default=1500)
+    p.add_argument("-j", "--jobs", type=int, default=32)
+    p.add_argument("--stats", action="store_true", help="files, requests, tokens, cost and seconds on stderr")
     p.add_argument("--rules")
     p.add_argument("--source", action="append", default=[])
     p.add_argument("--budget", type=int, default=256)
@@ -95,10 +101,20 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
     except FileNotFoundError as e:
         print(f"no such path: {e}", file=sys.stderr)
         return 2
+    began, n_files = time.time(), listed.count()
+    if not n_files:
+        print("no files to search", file=sys.stderr)
+        return 1
+    if a.triage or n_files > a.max_files:
+        make = _backend(a, [w for q in queries for w in words_of(q)])
+        listed = listed.join(fold.triage(listed.select("path", "ord"), questions.triage_scores(listed, make, queries), a.triage_threshold, a.max_files).select("path"), "path").persist()
+        print(f"path triage kept {listed.count()} of {n_files} files", file=sys.stderr)
     per_line = 0.0 if a.files else len(queries) + 0.12 * len(rules.terms())
     cfg = segment.Chunking(a.chunk_lines, a.chunk_tokens, questions_per_line=per_line)
     texts = files.read_files(listed)
     chunks = segment.chunk_files(texts, cfg)
+    if a.backend == "chat" and (finer := segment.spread(cfg, chunks.count(), a.jobs)):
+        chunks = segment.chunk_files(texts, finer)  # it answers one question after the other: fill its lanes
     if a.backend == "lexical":
         scored = scoring.score_chunks(chunks, scoring.Search([words_of(q) for q in queries], rules, {t: words_of(t) for t in rules.terms()})).persist()
         lines, blocks = scoring.line_hits(scored), scoring.block_hits(scored)
@@ -111,6 +127,11 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
                 return 2
         scored, lines, blocks = questions.score_answers(asked, len(queries), rules)
     folded = fold.fold_files(scored)
+    if a.stats:
+        u = fold.usage(scored).first()
+        gone = fold.filtered_out(lines, blocks, a.threshold).collect() if rules else []
+        left_out = f", the filter took {sum(r['regions'] for r in gone)} regions and {sum(r['lines'] for r in gone)} lines" if gone else ""
+        print(f"{n_files:,} files, {u['requests']:,} requests, {u['input_tokens']:,} tokens, ${u['cost']:.4f}, {time.time() - began:.1f} s{left_out}", file=sys.stderr)
     lim, shown = select.Limits(a.threshold, a.file_threshold, a.top, a.max_regions, a.max_lines), False
     if a.files:
         best = select.select_files(folded, a.file_threshold, a.top)

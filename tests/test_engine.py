@@ -201,6 +201,8 @@ def test_discover_and_cli(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["find needle", "a.py", "--no-heading"]) == 0
     assert capsys.readouterr().out == "a.py:1-3:0.90:a = 1\na.py:2:0.95:needle = 2\n"
     assert cli.main(["absent", "a.py"]) == 1
+    assert cli.main(["needle", "a.py", "keep.log", "--triage", "--stats", "-l"]) == 1  # no path holds the word
+    assert "triage kept 0 of 2" in capsys.readouterr().err
     assert cli.main(["x", "nowhere"]) == 2
 
 
