@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base entities (email, ip, card, phone) are found by patterns that read each text once: possessive runs and look-behind
-instead of backtracking, so long runs cost no more than short ones. They are the seeds. Tokens that hold a digit are
-instances; an instance's lexical patterns are its shape with the word before it, and with the word behind it. Patterns
-and instances form a graph that is scored in rounds: a pattern's confidence is the share of its instances (distinct
-strings) that are known, an instance's that of being right in at least one of its patterns; instances that pass become
-known for the next round. Unknown tokens in high-confidence patterns are added to the base spans.
+instead of backtracking, so long runs cost no more than short ones. They are the seeds. Further instances are runs of
+number tokens outside of base spans (every part of a run with 7 to 19 digits, so that a neighbouring number does not
+hide one), dotted quads, addresses in other spellings, and tokens that hold a digit. An instance's lexical patterns are
+the word before it and the word behind it, each with its exact shape and with a coarse class (number, dotted, mail).
+Patterns and instances form a graph that is scored in rounds: a pattern's confidence is the
+share of its instances (distinct strings; of the parts of a run only the longest counts) that are known, an instance's
+that of being right in at least one of its cues. Of instances that pass and overlap the most confident one stays, then
+the longest; tokens come last. Those become known for the next round, and are added to the base spans.
 
 Cases: null and empty texts have no spans; repeated rows are rows of their own; ties between kinds go to the kind that
 comes first in KINDS. An empty table gives no rows. find() reads doc_id and text; redact() keeps all columns.
@@ -13,14 +16,15 @@ comes first in KINDS. An empty table gives no rows. find() reads doc_id and text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds over the graph; least confidence of a pattern and of an instance; least known strings behind a pattern.
+#: Rounds over the graph; least confidence of a pattern and of an instance; least known strings behind a pattern; digits of a number.
 ROUNDS, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, SUPPORT = 2, 0.9, 0.95, 4
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 
 #: Stand-ins of one code point, of no class; the first takes the place of a dot that no domain can hold.
 _STOP, _OTHER = "\uE000", "\uE001"
@@ -32,6 +36,13 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9 -]+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _TOKEN = r"(?<!\S)[^\s0-9]{0,32}[0-9]\S{3,60}+(?!\S)"
+#: A number token, and a run of them: no part of a longer word; a failed start is not tried again within its token.
+_ATOM = r"(?<![\p{L}\p{N}_@])(?<![0-9][().\-/]{1,3})[+(]{0,2}+[0-9]++(?:[().\-/]{1,3}+[0-9]++)*+(?![\p{L}\p{N}_@])"
+_RUN = rf"{_ATOM}(?:[  ().\-]*+{_ATOM})*+"
+_MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++(?:@| ?[\[({<] ?(?i:at) ?[\])}>] ?)[\p{L}\p{N}._\-]++(?: ?[\[({<] ?(?i:dot) ?[\])}>] ?[\p{L}\p{N}._\-]++)*+"
+_QUAD = r"^[0-9]+(?:\.[0-9]+){3}$"
+#: In masked texts base spans are made of these, by kind.
+_MARKS = ""
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -78,25 +89,112 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _instances(text: Column, base: Column) -> Column:
-    """Tokens with a digit: start, end, left and right pattern, value, and the base kind that covers them."""
-    found = _matches(text, _TOKEN)
-    shape = lambda v: F.regexp_replace(F.regexp_replace(v, "[0-9]", "9"), "[A-Za-z]+", "a")
-    word = lambda s, pattern: F.lower(F.regexp_extract(s, pattern, 1))
+def _masked(text: Column, base: Column) -> Column:
+    """struct<text, first>: text with the marks of their kinds in place of base spans, as long; the spans that start in no earlier one."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    mark = lambda b: F.get(F.array(*(F.lit(m) for m in _MARKS)), b["kind"])
+
+    def step(acc: Column, b: Column) -> Column:
+        free = b["start"] >= acc["at"]
+        fresh = F.when(free, F.substring(text, acc["at"] + 1, b["start"] - acc["at"])).otherwise("")
+        out = F.concat(acc["out"], fresh, F.repeat(mark(b), F.greatest(F.lit(0), b["end"] - F.greatest(acc["at"], b["start"]))))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"), F.when(free, F.concat(acc["first"], F.array(b))).otherwise(acc["first"]).alias("first"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), none.alias("first"))
+    whole = F.aggregate(base, start, step, lambda acc: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))).alias("text"), acc["first"].alias("first")))
+    return F.when(F.size(base) > 0, whole).otherwise(F.struct(text.alias("text"), none.alias("first")))
+
+
+def _digits(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^0-9]", ""))
+
+
+def _parts(run: Column) -> Column:
+    """The parts of a run of number tokens with a fitting count of digits: start, end, and whether it begins (ends) the run and is the longest that does."""
+    atoms = _matches(run["value"], _ATOM)
+    pieces = F.zip_with(F.split(run["value"], _ATOM, -1), F.transform(atoms, lambda x: x["value"]), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit(""))))
+
+    def of(both: Column) -> Column:
+        atoms, pieces = both["atoms"], both["pieces"]
+
+        def behind(x: Column, i: Column) -> Column:
+            # Each token has a digit, so more than MOST_DIGITS of them never fit.
+            return F.transform(F.slice(atoms, i + 1, MOST_DIGITS), lambda y, j: F.struct(
+                x["start"].alias("a"), y["end"].alias("b"), F.concat(x["value"], F.array_join(F.slice(pieces, i + 2, j), "")).alias("value"),
+                (i == 0).alias("begins"), (i + j + 1 == F.size(atoms)).alias("ends")))
+
+        fits = lambda p: _digits(p["value"]).between(LEAST_DIGITS, MOST_DIGITS) | p["value"].rlike(_QUAD)
+        return F.flatten(F.transform(atoms, lambda x, i: F.filter(behind(x, i), fits)))
 
-    def one(x: Column) -> Column:
-        before = F.when(x["start"] > 0, F.substring(text, F.greatest(x["start"] - 31, F.lit(1)), F.least(x["start"], F.lit(32)))).otherwise("")
-        behind = F.substring(text, x["end"] + 1, F.lit(32))
-        kind = F.get(F.filter(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), F.lit(0))["kind"]
+    def marked(parts: Column) -> Column:
+        last = F.array_max(F.transform(F.filter(parts, lambda p: p["begins"]), lambda p: p["b"]))
+        first = F.array_min(F.transform(F.filter(parts, lambda p: p["ends"]), lambda p: p["a"]))
+        return F.transform(parts, lambda p: F.struct(
+            (run["start"] + p["a"]).alias("start"), (run["start"] + p["b"]).alias("end"), p["value"].alias("value"), p["begins"].alias("begins"), p["ends"].alias("ends"),
+            (p["begins"] & (p["b"] == last)).alias("left_counts"), (p["ends"] & (p["a"] == first)).alias("right_counts")))
+
+    return F.flatten(F.transform(F.array(F.struct(atoms.alias("atoms"), pieces.alias("pieces"))), lambda x: F.flatten(F.transform(F.array(of(x)), marked))))
+
+
+def _instances(text: Column, masked: Column, first: Column, base: Column) -> Column:
+    """Base spans, and what may be more: place, value, the text around it as it is and masked, the base kind that covers it, whether it is a base span or a mere token."""
+
+    def one(x: Column, kind: Column, seed: bool, token: bool, part: bool = False) -> Column:
+        start, end = x["start"], x["end"]
+        at = F.greatest(start - 39, F.lit(1))
+        before = lambda t: F.substring(t, at, start + 1 - at)
+        behind = lambda t: F.substring(t, end + 1, F.lit(40))
+        at_side = lambda side, c: F.when(x[side], c).otherwise("") if part else c
         return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
-            F.concat(F.lit("L|"), word(before, r"(\S{1,30})\s{1,8}$"), F.lit("|"), shape(x["value"])).alias("left"),
-            F.concat(F.lit("R|"), word(behind, r"^\s{1,8}(\S{1,30})"), F.lit("|"), shape(x["value"])).alias("right"),
-            kind.alias("kind"),
+            start.alias("start"), end.alias("end"), x["value"].alias("value"),
+            at_side("begins", before(text)).alias("before"), at_side("ends", behind(text)).alias("behind"),
+            at_side("begins", before(masked)).alias("m_before"), at_side("ends", behind(masked)).alias("m_behind"),
+            kind.alias("kind"), F.lit(seed).alias("seed"), F.lit(token).alias("token"),
+            *((x[n] if part else F.lit(True)).alias(n) for n in ("begins", "ends", "left_counts", "right_counts")),
         )
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string,kind:int>>")
-    return F.when(text.rlike("[0-9]"), F.transform(found, one)).otherwise(none)
+    def covers(x: Column) -> Column:
+        return F.get(F.filter(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), F.lit(0))["kind"]
+
+    no_kind = F.lit(None).cast("int")
+    valued = lambda b: F.struct(b["start"], b["end"], b["kind"], F.substring(text, b["start"] + 1, b["end"] - b["start"]).alias("value"))
+    seeds = F.transform(F.transform(first, valued), lambda b: one(b, b["kind"], True, False))
+    none = F.filter(seeds, lambda x: F.lit(False))
+    tokens = F.transform(_matches(text, _TOKEN), lambda x: one(x, covers(x), False, True))
+    parts = F.flatten(F.transform(_matches(masked, _RUN), _parts))
+    numbers = F.transform(parts, lambda p: one(p, no_kind, False, False, part=True))
+    mails = F.transform(_matches(masked, _MAIL), lambda x: one(x, no_kind, False, False))
+    return F.concat(
+        seeds, F.when(text.rlike("[0-9]"), tokens).otherwise(none),
+        F.when(masked.rlike(r"[0-9](?:[^0-9\p{L}\n]*+[0-9]){3}"), numbers).otherwise(none),
+        F.when(masked.rlike(r"@|[\[({<] ?(?i:at) ?[\])}>]"), mails).otherwise(none),
+    )
+
+
+def _edges(each: DataFrame) -> DataFrame:
+    """each with links: array<struct<cue, pattern, counts>>."""
+    word = lambda s, pattern: F.lower(F.regexp_extract(s, pattern, 1))
+    letter = rf"\p{{L}}\p{{N}}{_MARKS}"
+    cue = rf"[\p{{L}}\p{{N}}]{{1,30}}|[{_MARKS}]"
+    left = word("m_before", rf"((?:{cue}))[^{letter}]{{0,8}}$")
+    right = word("m_behind", rf"^[^{letter}]{{0,8}}({cue})")
+    each = each.withColumns({
+        "left": left, "right": right,
+        "raw_left": word("before", r"(\S{1,30})\s{1,8}$"), "raw_right": word("behind", r"^\s{1,8}(\S{1,30})"),
+        "shape": F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), "[A-Za-z]+", "a"),
+        "number": ~F.col("token") & F.coalesce(F.col("kind").isin(2, 3), F.col("value").rlike(r"^[0-9+]|^\([0-9+]") & ~F.col("value").rlike(r"[\p{L}@]") & _digits(F.col("value")).between(LEAST_DIGITS, MOST_DIGITS)),
+        "dotted": ~F.col("token") & F.coalesce(F.col("kind") == 1, F.col("value").rlike(_QUAD)),
+        "mail": ~F.col("token") & F.coalesce(F.col("kind") == 0, F.col("value").rlike(r"[\p{L}@]")),
+    })
+
+    def link(side: str, name: str, when: str) -> list[Column]:
+        c = F.concat(F.lit(f"{side}|"), F.col(name))
+        exact = F.struct(c.alias("cue"), F.concat(F.lit(f"{side}|"), F.col(f"raw_{name}"), F.lit("|"), F.col("shape")).alias("pattern"), F.col(f"{name}_counts").alias("counts"))
+        coarse = [F.when(F.col(when) & F.col(k) & (F.col(name) != ""), F.struct(c.alias("cue"), F.concat(F.lit(f"{side}:{k}|"), F.col(name)).alias("pattern"), F.col(f"{name}_counts").alias("counts"))) for k in ("number", "dotted", "mail")]
+        return [F.when(F.col(when), exact), *coarse]
+
+    links = F.array_compact(F.array(*link("L", "left", "begins"), *link("R", "right", "ends")))
+    return each.select("row", "start", "end", "value", "kind", "seed", "token", links.alias("links"))
 
 
 def _of_kind(found: Column, kind: int) -> Column:
@@ -114,31 +212,53 @@ def _read(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     found = base_spans(F.col("text"))
     all_ = F.array_sort(F.concat(*(_of_kind(c, k) for k, c in enumerate(found.values()))))
     rows = rows.withColumn("base", all_)
-    rows = rows.withColumn("instances", F.when(F.col("text").rlike("[0-9]"), _instances(F.col("text"), F.col("base"))))
+    rows = rows.withColumn("masked", _masked(F.col("text"), F.col("base")))
+    found = _instances(F.col("text"), F.col("masked.text"), F.col("masked.first"), F.col("base"))
+    rows = rows.withColumn("instances", F.when(F.col("text").rlike(r"[0-9@]|[\[({<] ?(?i:at) ?[\])}>]"), found))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     return written(rows.select("row", "doc_id", "base", "instances", *keep), "pii")
 
 
+def _apart(hits: DataFrame) -> DataFrame:
+    """Of hits (row, start, end, value, kind, token, doubt) those that stay where some overlap."""
+    order = Window.partitionBy("row").orderBy("start", "end")
+    fresh = F.coalesce(F.col("start") >= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    group = F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.struct("token", "doubt", (F.col("start") - F.col("end")).alias("shorter"), "start", "end", "kind", "value")
+    each = hits.withColumn("fresh", fresh).withColumn("group", group).groupBy("row", "group").agg(F.array_sort(F.collect_list(rank)).alias("x"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])), acc).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate("x", F.slice("x", 1, 0), step)
+    return each.select("row", F.explode(kept).alias("x")).select("row", "x.start", "x.end", "x.kind", "x.value")
+
+
 def discovered(read: DataFrame) -> DataFrame:
     """row, start, end, kind of the instances that patterns add."""
     each = read.where("size(instances) > 0").select("row", F.explode("instances").alias("x")).select("row", "x.*")
-    each = written(each, "pii-instances")
-    edges = each.select("value", "kind", F.explode(F.array("left", "right")).alias("pattern"))
-    edges = written(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "pii-graph")
-    known = edges.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind"))
-    patterns = None
+    each = written(_edges(each), "pii-instances")
+    edges = each.select("value", "kind", F.explode("links").alias("x")).select("value", "kind", "x.*")
+    edges = written(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.min("cue").alias("cue"), F.max("counts").alias("counts")), "pii-graph")
+    seeds = each.where("seed").groupBy("value").agg(F.min("kind").alias("kind"))
+    known = written(edges.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")), "pii-known")
     for k in range(ROUNDS):
-        known = written(known, "pii-known")
-        votes = edges.select("pattern", "value").join(known, "value", "left").groupBy("pattern").agg(
+        votes = edges.where("counts").select("pattern", "value").join(known, "value", "left").groupBy("pattern").agg(
             F.count("*").alias("n"), *(F.count_if(F.col("kind") == i).alias(f"k{i}") for i in range(len(KINDS))))
         most = F.greatest(*(f"k{i}" for i in range(len(KINDS))))
         which = F.coalesce(*(F.when(F.col(f"k{i}") == most, F.lit(i)) for i in range(len(KINDS))))
         patterns = written(votes.where(most >= SUPPORT).select("pattern", which.alias("says"), (most / F.col("n")).alias("confidence")).where(F.col("confidence") >= PATTERN_CONFIDENCE), "pii-patterns")
-        scored = edges.join(patterns, "pattern").groupBy("value", "says").agg(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))).alias("doubt"))
-        passed = scored.where(1 - F.exp("doubt") >= INSTANCE_CONFIDENCE).groupBy("value").agg(F.min("says").alias("kind"))
-        if k + 1 < ROUNDS:
-            known = known.unionByName(passed).groupBy("value").agg(F.min("kind").alias("kind"))
-    found = each.where("kind is null").select("row", "start", "end", "value").join(passed, "value")
+        cues = edges.join(patterns, "pattern").groupBy("value", "says", "cue").agg(F.max("confidence").alias("confidence"))
+        # Rounded, since sums in another order differ in their last digits.
+        scored = cues.groupBy("value", "says").agg(F.round(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))), 9).alias("doubt"))
+        passed = scored.where(1 - F.exp("doubt") >= INSTANCE_CONFIDENCE - 1e-9).select("value", F.col("says").alias("kind"), "doubt")
+        # A seed's own string is one wherever it stands.
+        sure = passed.unionByName(seeds.withColumn("doubt", F.lit(-1e9))).groupBy("value").agg(F.min(F.struct("doubt", "kind")).alias("x")).select("value", "x.*")
+        hits = each.where("kind is null").select("row", "start", "end", "value", "token").join(sure, "value")
+        found = written(_apart(hits), "pii-found")
+        fresh = found.select("value", "kind").join(known.select("value"), "value", "left_anti").groupBy("value").agg(F.min("kind").alias("kind"))
+        grown = written(known.unionByName(fresh), "pii-known")
+        known = grown
     return found.select("row", "start", "end", "kind")
 
 

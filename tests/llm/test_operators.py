@@ -348,6 +348,20 @@ def test_pii_bootstrap(spark):
     assert found[500] == "card:21:40" and found[501] == ""
 
 
+def test_pii_bootstrap_in_other_formats(spark):
+    """Phones without +, grouped otherwise, in front of an ip, and addresses in another spelling, by the words around them."""
+    seeds = [(k, f"please call +1 ({200 + k}) 555-{1000 + 37 * k} today or write to ann{k}@mail.example.org soon") for k in range(60)]
+    more = {
+        100: ("please call 303 555 7788 today", "phone:12:24"), 101: ("please call: (303) 5557-789, today", "phone:13:27"),
+        102: ("please call +1 (303) 555-7790 10.0.0.1 today", "phone:12:29,ip:30:38"), 103: ("write to bob [at] mail [dot] example.org soon", "email:9:40"),
+        104: ("the lot 303 555 7788 of 303 555 7791 is gone", "phone:8:20"), 105: ("x " * 50 + "please call 303.555.7792 today", "phone:112:124"),
+    }
+    texts = seeds + [(i, t) for i, (t, _) in more.items()]
+    found = {r["doc_id"]: r["s"] for r in pii.find(documents(spark, texts)).select("doc_id", pii.spans_text("spans").alias("s")).collect()}
+    assert {i: found[i] for i in more} == {i: s for i, (_, s) in more.items()}
+    assert all(found[i] == brute_pii(t) for i, t in seeds)
+
+
 # 9
 
 
