@@ -5,7 +5,7 @@ instead of backtracking, so long runs cost no more than short ones. They are the
 number tokens outside of base spans (every part of a run with 7 to 19 digits, so that a neighbouring number does not
 hide one), dotted quads, addresses in other spellings, and tokens that hold a digit. An instance's lexical patterns are
 the word before it and the word behind it, each with its exact shape and with a coarse class (number, dotted, mail).
-Patterns and instances form a graph that is scored in rounds: a pattern's confidence is the
+Patterns and instances form a graph that is scored in rounds until no instance is added: a pattern's confidence is the
 share of its instances (distinct strings; of the parts of a run only the longest counts) that are known, an instance's
 that of being right in at least one of its cues. Of instances that pass and overlap the most confident one stays, then
 the longest; tokens come last. Those become known for the next round, and are added to the base spans.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ._common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds over the graph; least confidence of a pattern and of an instance; least known strings behind a pattern; digits of a number.
-ROUNDS, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, SUPPORT = 2, 0.9, 0.95, 4
+#: Least confidence of a pattern and of an instance; least known strings behind a pattern; digits of a number.
+PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, SUPPORT = 0.9, 0.95, 4
 LEAST_DIGITS, MOST_DIGITS = 7, 19
 
 #: Stand-ins of one code point, of no class; the first takes the place of a dot that no domain can hold.
@@ -35,7 +35,7 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9 -]+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_TOKEN = r"(?<!\S)[^\s0-9]{0,32}[0-9]\S{3,60}+(?!\S)"
+_TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S{3,}+"
 #: A number token, and a run of them: no part of a longer word; a failed start is not tried again within its token.
 _ATOM = r"(?<![\p{L}\p{N}_@])(?<![0-9][().\-/]{1,3})[+(]{0,2}+[0-9]++(?:[().\-/]{1,3}+[0-9]++)*+(?![\p{L}\p{N}_@])"
 _RUN = rf"{_ATOM}(?:[  ().\-]*+{_ATOM})*+"
@@ -242,7 +242,7 @@ def discovered(read: DataFrame) -> DataFrame:
     edges = written(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.min("cue").alias("cue"), F.max("counts").alias("counts")), "pii-graph")
     seeds = each.where("seed").groupBy("value").agg(F.min("kind").alias("kind"))
     known = written(edges.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")), "pii-known")
-    for k in range(ROUNDS):
+    while True:
         votes = edges.where("counts").select("pattern", "value").join(known, "value", "left").groupBy("pattern").agg(
             F.count("*").alias("n"), *(F.count_if(F.col("kind") == i).alias(f"k{i}") for i in range(len(KINDS))))
         most = F.greatest(*(f"k{i}" for i in range(len(KINDS))))
@@ -258,8 +258,9 @@ def discovered(read: DataFrame) -> DataFrame:
         found = written(_apart(hits), "pii-found")
         fresh = found.select("value", "kind").join(known.select("value"), "value", "left_anti").groupBy("value").agg(F.min("kind").alias("kind"))
         grown = written(known.unionByName(fresh), "pii-known")
+        if grown.count() == known.count():
+            return found.select("row", "start", "end", "kind")
         known = grown
-    return found.select("row", "start", "end", "kind")
 
 
 def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

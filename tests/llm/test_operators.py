@@ -362,6 +362,18 @@ def test_pii_bootstrap_in_other_formats(spark):
     assert all(found[i] == brute_pii(t) for i, t in seeds)
 
 
+def test_pii_bootstrap_goes_on(spark):
+    """What a third round reaches, and a token of any length."""
+    texts = [f"aa +1 (200) 555-{1000 + k} aa" for k in range(729)]
+    for n, at, also, most in ((2020000000, "aa", "bb", 81), (3030000000, "bb", "cc", 9), (4040000000, "cc", "", 1)):
+        texts += [f"{cue} {n + k} {cue}" for k in range(most) for cue in (at, also) if cue]
+    cards = [f"pay x4111-1111-1111-{k:04d}x{'y' * 70} now" for k in range(400)]
+    known = [t for t in cards if brute_pii(t)]
+    texts += [*known[:30], next(t for t in cards if not brute_pii(t))]
+    found = {r["doc_id"]: r["s"] for r in pii.find(documents(spark, list(enumerate(texts)))).select("doc_id", pii.spans_text("spans").alias("s")).collect()}
+    assert found[len(texts) - 32] == "phone:3:13" and found[len(texts) - 1] == "card:4:95"
+
+
 # 9
 
 
