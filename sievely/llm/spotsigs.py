@@ -109,11 +109,6 @@ def jaccard(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, fl
     return np.where(union == 0, 1.0, np.where(alive, hit / np.maximum(union, 1), 0.0))
 
 
-def size_partition(size: int, threshold: float) -> int:
-    """Sets more than one partition apart cannot reach the threshold."""
-    return 0 if size <= 0 else 1 + int(math.log(size) / math.log(1 / threshold))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, n_spots of every whole text."""
 
