@@ -2,9 +2,10 @@
 
 A spot is an anchor (a common word of the languages below, or the start of the text) and the chain of the next
 CHAIN content words after it. A text's fingerprint is the set of its spots' hashes, written as sorted
-8-digit hex numbers. So that texts without such words are comparable too, in a run of over GAP content words
-without an anchor every word whose hash is a multiple of 4 is one; the rule looks at the run alone, so a shared
-passage gives shared spots. Words are runs of letters and digits (ASCII case is folded, every byte beyond ASCII
+8-digit hex numbers. So that all words count in texts with few such words too, the word with the least hash of each
+window of WINDOW content words without an anchor between them is one, and so is the content word with just CHAIN
+others behind it; the first rule looks at the window alone, so a shared passage gives shared spots. Every content
+word is in a spot. Words are runs of letters and digits (ASCII case is folded, every byte beyond ASCII
 counts as a letter).
 
 Fingerprints are compared by Jaccard likeness. near_pairs() joins only sets whose sizes are near enough to reach
@@ -36,7 +37,8 @@ der die das und ist ein eine von zu mit den dem im nicht sich auf als auch es an
 el los las una y con se su lo del al por para no como más o
 """.split()
 CHAIN = 3
-GAP = 8
+#: No more than CHAIN + 1, else words between spots are in none.
+WINDOW = 4
 
 
 def _anchor_hashes() -> np.ndarray:
@@ -45,11 +47,20 @@ def _anchor_hashes() -> np.ndarray:
     return np.sort(Hasher(data)(starts, ends))
 
 
-def _runs_without(anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """For each word, how many words its run of words without an anchor has."""
-    cut = anchor | np.concatenate(([True], row[1:] != row[:-1]))
-    run = np.cumsum(cut)
-    return np.bincount(run, ~anchor)[run]
+def _loose(word: np.ndarray, anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether a word stands in for an anchor: the least of a window without one, or the last with a full chain behind it."""
+    out = np.zeros(len(word), bool)
+    if len(word) >= WINDOW:
+        n = len(word) - WINDOW + 1
+        anchors = np.concatenate(([0], np.cumsum(anchor)))
+        at = np.flatnonzero((anchors[WINDOW:] == anchors[:n]) & (row[WINDOW - 1 :] == row[:n]))
+        out[at + np.lib.stride_tricks.sliding_window_view(word, WINDOW)[at].argmin(axis=1)] = True
+    content = np.flatnonzero(~anchor)
+    c_row = row[content]
+    last = np.flatnonzero(np.concatenate((c_row[1:] != c_row[:-1], [True]))) if len(content) else content
+    tail = last[last >= CHAIN] - CHAIN
+    out[content[tail[c_row[tail] == c_row[tail + CHAIN]]]] = True
+    return out
 
 
 def spots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +74,7 @@ def spots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     known = _anchor_hashes()
     at = np.searchsorted(known, word)
     anchor = known[np.minimum(at, len(known) - 1)] == word
-    loose = ~anchor & (_runs_without(anchor, row) > GAP) & ((word >> np.uint64(7)) % np.uint64(4) == 0)
+    loose = _loose(word, anchor, row)
     content = np.flatnonzero(~anchor)
     hashes, rows = [], []
     c_word, c_row = word[content], row[content]

@@ -69,6 +69,18 @@ def test_spotsigs(spark):
     assert alone["near_next"] == 1.0
 
 
+def test_every_content_word_is_in_a_spot():
+    rng = random.Random(21)
+    for n in range(1, 40):
+        for share in (0, 0.1, 0.5):
+            text = [rng.choice(["the", "and"]) if rng.random() < share else f"w{k}" for k in range(n)]
+            for k, w in enumerate(text):
+                if w[0] == "w":
+                    both, at = spotsigs.spots(pa.array([" ".join(text), " ".join([*text[:k], "other", *text[k + 1 :]])]))
+                    low = both & np.uint64(0xFFFFFFFF)
+                    assert set(low[: at[1]]) != set(low[at[1] :])
+
+
 def test_spotsigs_join_loses_no_pair(spark):
     rng = random.Random(3)
     base = [words(rng, 120) for _ in range(6)]
