@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_made: list[str] = []
+#: Paths of tables written on the way, for whoever asked for them to be deleted; each thread has its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,24 +44,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The written result of make(); the tables that were written on the way are deleted, since nothing reads them any more."""
-    before = len(_made)
-    out = written(make(), name)
-    for path in _made[before:-1]:
+    """The written result of make(); the tables that make() wrote are deleted, since nothing reads them any more."""
+    mine: list[str] = []
+    before = _made.set(mine)
+    try:
+        found = make()
+    finally:
+        _made.reset(before)
+    out = written(found, name)
+    for path in mine:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del _made[before:-1]
     return out
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front until no column is called so (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def repeats_ids(docs: DataFrame) -> bool:
+    """Whether two rows share a doc_id; rows without one do not count."""
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Arrow batches of whole texts, for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the memory of Arrow batches of whole texts. Plans are lazy, so the session keeps the setting; it is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -107,31 +132,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("power", ())) < n:
-        n = max(n, SLICE_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("power", _BASE), ("inverse", inverse)):
-            with np.errstate(over="ignore"):
-                factors = np.full(n, base, np.uint64)
-                factors[0] = 1
-                _tables[name] = np.multiply.accumulate(factors)
-    return _tables["power"], _tables["inverse"]
-
-
-def _values(fold: bool) -> np.ndarray:
-    """A random number for each byte value; with fold, A-Z have those of a-z."""
-    name = f"values{fold}"
-    if name not in _tables:
-        values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-        if fold:
-            values[65:91] = values[97:123]
-        _tables[name] = values
-    return _tables[name]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The bytes of a word of 64 bits that count if so many are left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,17 +157,29 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
 
 
 class Hasher:
-    """64-bit hashes of any spans of one byte array, from prefix sums."""
+    """64-bit hashes of any spans of one byte array; with fold, A-Z count as a-z.
+
+    Eight bytes at a time go through mix64, a bijection each time: spans of one length of up to eight bytes never collide,
+    and longer ones have no algebra that regular texts could run into.
+    """
 
     def __init__(self, data: np.ndarray, fold: bool = True):
-        power, self.inverse = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_values(fold)[data] * power[: len(data)], out=self.sums[1:])
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = _LOWER[data] if fold else data
+        self.eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        left = ends - starts
+        out = mix64(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        live, at = slice(None), starts
         with np.errstate(over="ignore"):
-            return mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+            while len(at):
+                block = self.eight[at].view("<u8")[:, 0] & _LEFT[np.minimum(left, 8)]
+                out[live] = mix64((out[live] ^ block) * np.uint64(0xD6E8FEB86659FD93))
+                more = left > 8
+                live = np.flatnonzero(more) if isinstance(live, slice) else live[more]
+                at, left = at[more] + 8, left[more] - 8
+        return out
 
 
 #: Bytes that part words in the contracts: space and \x09-\x0D.

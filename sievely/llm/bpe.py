@@ -1,17 +1,22 @@
 """Byte-level BPE by a tokenization automaton.
 
-compile_automaton() builds, merge by merge, the deterministic automaton that accepts exactly the token
-sequences that BPE yields. It starts as one state with an arc per byte. The gadget of a merge (u, v) -> w
-redirects every u-arc to a copy of its target that lacks the v-arc, and adds w-arcs that lead where v led.
-All arcs of one label lead to one state, so a state is named by the label that leads to it and the copies
-form chains of "without v since merge k" notes; whether a state has an arc is read off those notes and is
-kept in a transition table once it is known.
-
-A pre-split word is encoded by running over its bytes: each prefix has exactly one accepted path, whose last
-arc is found among the tokens that end there. Decoding emits the arcs' labels.
+compile_automaton() builds, merge by merge, the deterministic automaton that accepts exactly the token sequences that BPE
+yields, into integer arrays. It starts as one state with an arc per byte. The gadget of a merge (u, v) -> w makes one new
+state: the copy, without its v-arc, of the state that u-arcs lead to. It leads all u-arcs to the copy, and gives w-arcs,
+which lead where v led, to all states whose u-arc led to the original. So all arcs of one label lead to one state; a state
+is kept as the state that it copies and the arc that it lacks, and a made label as its merge. A state has a label's arc
+unless, at some moment of the construction, the two labels that then stood at the border were merged.
+
+A pre-split word is encoded by running over its bytes with two tables: one leads from a state of the labels' trie and
+a byte to the longest label that ends there (transitions and labels are compiled for all states and bytes), the other
+says whether the state behind a label has another label's arc (filled when first asked). Each prefix of a word has exactly one
+accepted path, so its last arc is the longest label that the path before it can go on with. That is linear in the bytes.
+Decoding emits the arcs' labels.
 
 Cases: null and empty texts give no tokens and decode to ''. The strings of special tokens inside texts are
-those tokens. Equal rows give equal rows; columns other than the id and the text are not read.
+those tokens. Equal rows give equal rows; columns other than the id and the text are not read. A vocabulary file that
+asks for anything else than this (a normalizer, another pre-tokenizer, byte fallback, dropout, tokens that take white
+space along, merges of labels not made yet) is refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KEPT_WORDS = 400_000
 #: Words longer than this (in bytes) are encoded anew each time, so that the kept words stay small.
 KEPT_LENGTH = 64
+#: Entries of the arc table; a full one is begun anew.
+KEPT_ARCS = 600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,94 +53,145 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """States and arcs by token id; `labels` are the arcs' byte strings."""
+    """The automaton of merges (u, v, w), by label number; `labels` are the arcs' byte strings."""
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
+        size = self.size = max(labels) + 1
         self.labels = labels
-        self.ids = {}
-        self.made = {}  # token -> (number of its merge, left part, right part)
-        for token, label in labels.items():
-            if len(label) == 1:
-                self.ids[label] = token
-        # without[u]: {v: k} - since merge k, the state behind u has no v-arc
-        self.without: dict[int, dict[int, int]] = {}
+        # States: 0 is the first one, k + 1 the copy that merge k makes.
+        self.copy_of = np.zeros(len(merges) + 1, np.int32)
+        self.lacks = np.full(len(merges) + 1, -1, np.int32)
+        self.leads_to = np.zeros(size, np.int32)
+        born, left, right = [-1] * size, [-1] * size, [-1] * size
+        usable = np.zeros(size, bool)
+        usable[[x for x, label in labels.items() if len(label) == 1]] = True
+        #: What a copy lacks, by the label whose arcs were led to it: (u, v) -> the merge.
+        self.border: dict[int, int] = {}
         for k, (u, v, w) in enumerate(merges):
-            self.without.setdefault(u, {})[v] = k
-            if w not in self.made:
-                self.made[w] = (k, u, v)
-                self.ids[labels[w]] = w
-        self.longest = max(map(len, self.ids), default=1)
-        self.table: dict[tuple[int, int], bool] = {}
-        self.spines: dict[int, list[tuple[int, int]]] = {}
-        self.ends_in: dict[bytes, tuple[int, ...]] = {}
-
-    def _notes(self, token: int) -> list[tuple[int, int]]:
-        """The chain of copies behind the token: (label u, merges before this number count)."""
-        out, limit = [], 1 << 60
+            if not (usable[u] and usable[v]) or usable[w]:
+                raise ValueError(f"merge {k} takes labels that are not made yet, or makes one again")
+            behind = self.leads_to[v]
+            self.copy_of[k + 1], self.lacks[k + 1] = self.leads_to[u], v
+            self.leads_to[u] = k + 1
+            self.leads_to[w], usable[w] = behind, True
+            born[w], left[w], right[w] = k, u, v
+            self.border[u * size + v] = k
+        self.born, self.left, self.right = born, left, right
+        self._compile({labels[int(x)]: int(x) for x in np.flatnonzero(usable)})
+        #: The transition table over labels, as far as it was asked for: (label behind, label) -> whether there is an arc.
+        self.arcs: dict[int, bool] = {}
+
+    def _compile(self, ids: dict[bytes, int]) -> None:
+        """Tables over the trie of the labels: goto[state, byte], the longest label that ends in a state, and a label's next shorter one."""
+        children: list[dict[int, int]] = [{}]
+        depth, own = [0], [-1]
+        for label, x in ids.items():
+            at = 0
+            for byte in label:
+                if (to := children[at].get(byte)) is None:
+                    to = children[at][byte] = len(children)
+                    children.append({})
+                    depth.append(depth[at] + 1)
+                    own.append(-1)
+                at = to
+            own[at] = x
+        goto = np.zeros((len(children), 256), np.int32)
+        back, longest = [0] * len(children), [-1] * len(children)
+        shorter = [-1] * self.size
+        for at in sorted(range(len(children)), key=depth.__getitem__):
+            longest[at] = own[at] if own[at] >= 0 else longest[back[at]]
+            if own[at] >= 0:
+                shorter[own[at]] = longest[back[at]]
+            if at:
+                goto[at] = goto[back[at]]
+            for byte, to in children[at].items():
+                back[to] = int(goto[at, byte])
+                goto[at, byte] = to
+        self.goto, self.longest, self.shorter = memoryview(goto.ravel()), longest, shorter
+        self.length = [len(self.labels.get(x, b"")) for x in range(self.size)]
+
+    def has_arc(self, before: int, label: int) -> bool:
+        """Whether the state behind the label `before` has an arc of the other label.
+
+        Goes back through the construction: the pair at the border is that of the latest moment, then whichever was made
+        later is replaced by the part of it that lies at the border. An arc is missing if such a pair was merged while it
+        stood there; of its own merge a label is taken once, the leftmost first.
+        """
+        u, x, until_u, until_x = before, label, len(self.lacks), len(self.lacks)
         while True:
-            out.append((token, limit))
-            if token not in self.made:
-                return out
-            k, _, right = self.made[token]
-            limit = min(limit, k)
-            token = right
-
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether the state behind `state` has a token-arc once all merges are in."""
-        key = (state, token)
-        known = self.table.get(key)
-        if known is None:
-            notes = self.spines.get(state)
-            if notes is None:
-                notes = self.spines[state] = self._notes(state)
-            known, limit, x = True, 1 << 60, token
-            while known:
-                for u, most in notes:
-                    k = self.without.get(u, {}).get(x)
-                    if k is not None and k <= limit and k < most:  # of its own merge, a label is taken once: leftmost first
-                        known = False
-                        break
-                if x not in self.made:
-                    break
-                k, left, _ = self.made[x]
-                limit, x = min(limit, k), left
-            if len(self.table) > 4_000_000:
-                self.table.clear()
-            self.table[key] = known
-        return known
+            k = self.border.get(u * self.size + x)
+            if k is not None and k < until_u and k <= until_x:
+                return False
+            if self.born[u] > self.born[x]:
+                until_u, u = self.born[u], self.right[u]
+            elif self.born[x] >= 0:
+                until_x, x = self.born[x], self.left[x]
+            else:
+                return True
 
     def encode(self, word: bytes) -> list[int]:
         """The arcs of the one accepted path over the word's bytes."""
-        n, ids, has_arc = len(word), self.ids, self.has_arc
-        last: list[int] = [-1] * (n + 1)
-        back: list[int] = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and (start == 0 or last[start] >= 0 and has_arc(last[start], token)):
-                    last[end], back[end] = token, start
+        goto, longest, shorter, length, arcs, size = self.goto, self.longest, self.shorter, self.length, self.arcs, self.size
+        last: list[int] = []
+        at = 0
+        for end, byte in enumerate(word):
+            at = goto[at << 8 | byte]
+            label = longest[at]
+            while (start := end - length[label]) >= 0:
+                key = last[start] * size + label
+                known = arcs.get(key)
+                if known is None:
+                    if len(arcs) >= KEPT_ARCS:
+                        arcs.clear()
+                    known = arcs[key] = self.has_arc(last[start], label)
+                if known:
                     break
-        out, end = [], n
-        while end:
+                label = shorter[label]
+            last.append(label)
+        out, end = [], len(word) - 1
+        while end >= 0:
             out.append(last[end])
-            end = back[end]
+            end -= length[last[end]]
         return out[::-1]
 
 
+def _refuse_others(spec: dict) -> None:
+    """ValueError for settings that would give other ids than this module's."""
+    model, pre, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["model"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * (spec.get("normalizer") is not None)
+    wrong += ["pre_tokenizer"] * (pre.get("type") != "ByteLevel" or bool(pre.get("add_prefix_space", True)) or not pre.get("use_regex", True))
+    wrong += ["decoder"] * (decoder.get("type") != "ByteLevel")
+    wrong += ["added_tokens"] * any(x.get(k) for x in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip"))
+    if wrong:
+        raise ValueError(f"the vocabulary file asks for what is not built here: {', '.join(wrong)}")
+
+
 def compile_automaton(path: str) -> tuple[Automaton, dict[str, int]]:
     """The automaton of a vocabulary file of the tokenizers library, and its special tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    _refuse_others(spec)
     letters, vocab = byte_letters(), spec["model"]["vocab"]
+    specials = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
     labels = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if all(c in letters for c in token)}
+    if missing := 256 - len({x for x in labels.values() if len(x) == 1}):
+        raise ValueError(f"the vocabulary lacks {missing} bytes")
     merges = []
     for merge in spec["model"]["merges"]:
         u, v = merge.split(" ") if isinstance(merge, str) else merge
         merges.append((vocab[u], vocab[v], vocab[u + v]))
-    specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     return Automaton(labels, merges), specials
 
 
+def _keep(kept: dict[str, bytes], word: str, ids: bytes, length: int) -> None:
+    if length <= KEPT_LENGTH:
+        if len(kept) >= KEPT_WORDS:
+            for old in list(kept)[: KEPT_WORDS // 2]:
+                del kept[old]
+        kept[word] = ids
+
+
 class Coder:
     """Encodes and decodes whole texts with one automaton; a worker keeps one for each vocabulary file."""
 
@@ -150,7 +208,9 @@ class Coder:
         for text, i in self.specials.items():
             by_id[i] = text.encode()
         self.by_id = by_id
+        #: Ids of words, and of a space with the run of other characters behind it.
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Coder:
@@ -158,23 +218,44 @@ class Coder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _new(self, word: str) -> bytes:
-        raw = word.encode()
-        packed = np.array(self.automaton.encode(raw), "<i4").tobytes()
-        if len(raw) <= KEPT_LENGTH:
-            if len(self.known) >= KEPT_WORDS:
-                for old in list(self.known)[: KEPT_WORDS // 2]:
-                    del self.known[old]
-            self.known[word] = packed
-        return packed
+    def _word(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            raw = word.encode()
+            found = np.array(self.automaton.encode(raw), "<i4").tobytes()
+            _keep(self.known, word, found, len(raw))
+        return found
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join([self._word(w) for w in self.words.findall(text)])
+
+    def _between_specials(self, text: str) -> list[bytes]:
+        """No word of the pre-split goes on over white space behind another character, so texts are cut there and runs are kept whole."""
+        runs, out, held = self.runs, [], []
+        for k, run in enumerate(text.split(" ")):
+            if k and not held and (found := runs.get(run)) is not None:
+                out.append(found)
+                continue
+            if not k and run:
+                held.append(run)
+            elif k:
+                held += (" ", run)
+            if not run or run[-1].isspace():
+                continue  # white space belongs to what follows
+            found = self._plain("".join(held))
+            if k and len(held) == 2 and len(run.split()) == 1:
+                _keep(runs, run, found, len(run))
+            out.append(found)
+            held = []
+        return [*out, self._plain("".join(held))]
 
     def encode(self, text: str) -> np.ndarray:
-        parts, known, new = [], self.known, self._new
+        parts = []
         for k, piece in enumerate(self.split.split(text) if self.split and any(s in text for s in self.specials) else [text]):
             if k % 2:
                 parts.append(np.int32(self.specials[piece]).astype("<i4").tobytes())
             else:
-                parts += [known.get(w) or new(w) for w in self.words.findall(piece)]
+                parts += self._between_specials(piece)
         return np.frombuffer(b"".join(parts), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:

@@ -9,10 +9,11 @@ products of incidence matrices, from which only the links that join components c
 other members is lost. Bands and rows are chosen so that a pair at the threshold shares no bucket with a
 probability under MISS.
 
-Cases: null and empty texts, and texts without words, have the empty set, size 0 and are linked with nothing;
-texts with fewer words than a shingle have one shingle, the whole sequence. Rows with a null doc_id are linked
-with nothing. Rows that repeat a doc_id are rows of
-their own. Columns other than doc_id and text are not read by groups(); dedup() keeps all of them.
+Cases: null and empty texts, and texts without words, have the empty set, size 0 and are linked with nothing; texts
+with fewer words than a shingle have one shingle, the whole sequence. Rows with a null doc_id are linked with nothing
+and stay. Rows that repeat a doc_id are documents of their own that share a name; each is linked by its own text. An
+empty table gives no rows. Columns other than doc_id and text are not read by groups(); dedup() keeps all of them. A
+set is held as the 64-bit hashes of its shingles, which have no structured collisions (Hasher).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NOT_SPACE, Hasher, as_bytes, mix64, slices, small_batches, word_bounds, written, written_alone
+from ._common import NOT_SPACE, Hasher, as_bytes, fresh, mix64, repeats_ids, slices, small_batches, word_bounds, written, written_alone
 from .components import components
 
 #: Most bins of a signature, and the chance that a pair at the threshold is not found.
@@ -55,26 +56,30 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     if not len(starts):
         return [np.zeros(0, np.uint64)] * n
     word = Hasher(data)(starts, ends)
-    with np.errstate(over="ignore"):
-        factors = [np.uint64(int(mix64(np.array([k + 1], np.uint64))[0]) | 1) for k in range(words)]
-        mixed = np.zeros(len(word), np.uint64)
-        for k, factor in enumerate(factors):
-            mixed[: len(word) - k] += word[k:] * factor
-        mixed = mix64(mixed)
-        out = []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a >= words:
-                out.append(np.unique(mixed[a : b - words + 1]))
-            elif b > a:
-                whole = np.uint64(b - a)
-                for k in range(a, b):
-                    whole = mix64(np.array([whole + word[k] * factors[k - a]], np.uint64))[0]
-                out.append(np.array([whole], np.uint64))
-            else:
-                out.append(np.zeros(0, np.uint64))
+    n_sets = max(0, len(word) - words + 1)
+    mixed = np.full(n_sets, words, np.uint64)
+    for k in range(words):
+        mixed = _chained(mixed, word[k : k + n_sets])
+    out = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a >= words:
+            out.append(np.unique(mixed[a : b - words + 1]))
+        elif b > a:
+            whole = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                whole = _chained(whole, word[k : k + 1])
+            out.append(whole)
+        else:
+            out.append(np.zeros(0, np.uint64))
     return out
 
 
+def _chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a sequence and one more word; for one sequence, different words never collide."""
+    with np.errstate(over="ignore"):
+        return mix64(before * np.uint64(0x9FB21C651E98DF25) + word)
+
+
 def _orders(bins: int) -> np.ndarray:
     """[bin, other]: at which place of the bin's own random order of bins the other comes."""
     return np.argsort(np.argsort(np.random.default_rng(20).random((bins, bins)), axis=1), axis=1)
@@ -174,18 +179,39 @@ def block_links(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> lis
     return out
 
 
+def _in_places(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written, with a number of its own for each row that has a doc_id, in the order of doc_id, text and all columns."""
+    order = F.to_json(F.struct(*docs.columns))
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text", order).withColumn(name, F.monotonically_increasing_id())
+    return written(rows.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.col(name))), "minhash-places")
+
+
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where 100 * intersection >= percent * union of their shingle sets."""
+    docs = docs.select("doc_id", "text")
+    if not repeats_ids(docs):
+        return _groups(docs, words, percent)
+    placed = _in_places(docs, "place")
+    found = _groups(placed.select(F.col("place").alias("doc_id"), "text"), words, percent).toDF("place", "n_shingles", "root", "kept")
+    names = placed.where("place is not null").select("place", "doc_id")
+    out = found.join(names, "place", "left").join(names.toDF("root", "component_id"), "root", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """groups() where no two rows share a doc_id."""
     sig = written(signatures(docs, words, percent), "minhash")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "minhash-classes")
     buckets = classes.where("size(bands) > 0").select("rep", "n", F.explode("bands").alias("bucket"))
-    common = buckets.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
+    # Aggregates by bucket are written before they are joined: the join then has a plain shuffle on both sides, and the
+    # engine cuts a hot bucket into several tasks; a small aggregate is broadcast by its size on disk.
+    common = written(buckets.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1"), "minhash-common")
     shared = written(buckets.join(common, "bucket"), "minhash-buckets")
     # The star's centre: the class that meets most others, since copies agree with their original more than with each other.
     popular = shared.groupBy("rep").agg(F.sum("in_bucket").alias("met"))
     ranked = shared.join(popular, "rep").select("bucket", "rep", "n", F.struct("met", (-F.col("rep")).alias("order")).alias("rank"))
-    centres = ranked.groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), "rank").alias("c"))
+    centres = written(ranked.groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), "rank").alias("c")), "minhash-centres")
     near = 100 * F.least(F.col("n"), F.col("c.n")) >= percent * F.greatest(F.col("n"), F.col("c.n"))
     edges = shared.join(centres, "bucket").where((F.col("rep") != F.col("c.rep")) & near).select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
     edges = written(edges, "minhash-edges")
@@ -217,7 +243,7 @@ def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     All m members are dealt into blocks, guests into blocks of their own, and each block meets each block of guests.
     """
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("o"))).alias("main"), F.max("size").alias("top"))
+    main = written(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("o"))).alias("main"), F.max("size").alias("top")), "minhash-main")
     rows = members.join(main, "bucket").withColumn("homes", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("guests", F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int"))
     rows = rows.withColumn("home", F.pmod(F.xxhash64("rep", "bucket"), F.col("homes").cast("long")).cast("int")).withColumn("guest", F.pmod(F.xxhash64("bucket", "rep"), F.col("guests").cast("long")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda j: F.struct(F.col("home").alias("i"), j.alias("j")))
@@ -235,12 +261,19 @@ def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that a document with a smaller doc_id stands for; all columns, repeated rows once."""
-    def kept_ids() -> DataFrame:
-        return groups(docs, words, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_kept")
-
-    kept = written_alone(docs.sparkSession, kept_ids, "minhash-kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    if kept.where("_n > 1").isEmpty():
-        return rows.drop("_n")
-    return rows.where("_n = 1").drop("_n").unionByName(rows.where("_n > 1").drop("_n").dropDuplicates(["doc_id", "text"]))
+    """The rows of docs that no row before them stands for: one of each group stays, with all its columns.
+
+    Rows come in the order of doc_id; where doc_ids repeat, of text and then of all columns, and a row that repeats
+    another's doc_id and text is a copy of it. Rows without a doc_id or without words are in no group and stay.
+    """
+    spark = docs.sparkSession
+    place, kept = fresh(docs.columns, "place", "kept_place")
+    if repeats_ids(docs):
+        docs = _in_places(docs, place)
+        named = docs.select(F.col(place).alias("doc_id"), "text")
+    else:
+        docs = docs.withColumn(place, F.col("doc_id"))
+        named = docs.select("doc_id", "text")
+    stays = written_alone(spark, lambda: _groups(named, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(kept)), "minhash-kept")
+    found = docs.join(stays, F.col(place) == F.col(kept), "left_semi")
+    return found.unionByName(docs.where(F.col(place).isNull())).drop(place)
