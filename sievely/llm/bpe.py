@@ -22,6 +22,7 @@ space along, merges of labels not made yet) is refused with a ValueError.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,21 +63,24 @@ class Automaton:
         self.copy_of = np.zeros(len(merges) + 1, np.int32)
         self.lacks = np.full(len(merges) + 1, -1, np.int32)
         self.leads_to = np.zeros(size, np.int32)
-        born, left, right = [-1] * size, [-1] * size, [-1] * size
-        usable = np.zeros(size, bool)
-        usable[[x for x, label in labels.items() if len(label) == 1]] = True
+        born, left, right = self.born, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
+        named = np.zeros(size, bool)
+        named[[x for x, label in labels.items() if len(label) == 1]] = True
+        usable = named.copy()
         #: What a copy lacks, by the label whose arcs were led to it: (u, v) -> the merge.
         self.border: dict[int, int] = {}
         for k, (u, v, w) in enumerate(merges):
-            if not (usable[u] and usable[v]) or usable[w]:
+            if not (named[u] and named[v]) or named[w]:
                 raise ValueError(f"merge {k} takes labels that are not made yet, or makes one again")
+            named[w] = True
+            if not (usable[u] and usable[v] and self.has_arc(u, v)):
+                continue  # no state has that path any more: the merge never happens
             behind = self.leads_to[v]
             self.copy_of[k + 1], self.lacks[k + 1] = self.leads_to[u], v
             self.leads_to[u] = k + 1
             self.leads_to[w], usable[w] = behind, True
             born[w], left[w], right[w] = k, u, v
             self.border[u * size + v] = k
-        self.born, self.left, self.right = born, left, right
         self._compile({labels[int(x)]: int(x) for x in np.flatnonzero(usable)})
         #: The transition table over labels, as far as it was asked for: (label behind, label) -> whether there is an arc.
         self.arcs: dict[int, bool] = {}
@@ -222,7 +226,7 @@ class Coder:
         found = self.known.get(word)
         if found is None:
             raw = word.encode()
-            found = np.array(self.automaton.encode(raw), "<i4").tobytes()
+            found = array("i", self.automaton.encode(raw)).tobytes()
             _keep(self.known, word, found, len(raw))
         return found
 
@@ -253,10 +257,10 @@ class Coder:
         parts = []
         for k, piece in enumerate(self.split.split(text) if self.split and any(s in text for s in self.specials) else [text]):
             if k % 2:
-                parts.append(np.int32(self.specials[piece]).astype("<i4").tobytes())
+                parts.append(array("i", [self.specials[piece]]).tobytes())
             else:
                 parts += self._between_specials(piece)
-        return np.frombuffer(b"".join(parts), "<i4")
+        return np.frombuffer(b"".join(parts), np.intc)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.by_id.__getitem__, ids.tolist())).decode("utf-8", "replace")

@@ -1,15 +1,20 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents of a source are dealt into blocks by a hash and the blocks are permuted by another. A source's target
-in words is met by whole passes over its blocks and, for the rest, the first blocks of the permutation; the block
-where the target falls is cut at the word. The block quotas of all sources are split among the output shards by
-a binary tree: each node draws, without replacement, how many of its blocks of each source go left (a multivariate
-hypergeometric draw with a seed of its own), so quotas stay exact. A shard takes its quota as the next disjoint
-run of the permutation and shuffles its documents locally.
-
-Cases: null text has size 0; null is a source of its own and comes last; equal rows are dealt separately; sources
-of size 0 have target 0. An empty table gives no rows. Per source the driver holds a few numbers, as many as the
-mix has weights. Columns other than doc_id, text and source are not read by mix(); draw() keeps all of them.
+Documents of a source are dealt into blocks by a hash and the blocks are permuted by another. A source's target in words
+is met by a quota of block draws: whole passes over the permutation and, for the rest, its first blocks; the block that
+is drawn last is cut at the word. The quotas of all sources are split among the output shards by a binary tree: each
+node draws, without replacement, how many of its blocks of each source go left (a multivariate hypergeometric draw with a
+seed of its own), so quotas stay exact. A shard's quota of a source is the next disjoint run of the permutation: the
+runs decide which blocks are drawn, by which shards, and so what is taken of a document. draw() gives each shard's
+documents to tasks of its own and shuffles them there.
+
+Blocks hold BLOCK_DOCS documents on average, more where the table would else have over MOST_BLOCKS blocks: that bounds the
+draws' numbers and the driver's share at any size. The permutation of a source is ranked in stretches of its hash, so no
+task holds all of its blocks. Per source, stretch and shard the driver holds a few numbers.
+
+Cases: null text has size 0; null is a source of its own and comes last; equal rows share a block, and of those where
+the cut falls any one is cut; sources of size 0 have target 0. An empty table gives no rows. Columns other than doc_id, text and
+source are not read by mix(); draw() keeps all of them.
 """
 
 from __future__ import annotations
@@ -18,14 +23,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import fresh, written
 
 #: The contract's weights by source in turn, the share of all words, the most repeats of a source.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-#: Documents in a block, on average.
-BLOCK_DOCS = 256
-SHARDS = 64
-_ROW = "_sievely_row"
+#: Documents in a block on average, at least; blocks of a mix, about; blocks that one task ranks; shards of a mix.
+BLOCK_DOCS, MOST_BLOCKS, STRETCH, SHARDS = 256, 1 << 24, 1 << 16, 64
+#: Words that a task shuffles, about; a shard with more is written by several tasks.
+TASK_WORDS = 8_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,8 +62,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             return
         mid, total = (lo + hi) // 2, int(counts.sum())
         left = total * (mid - lo) // (hi - lo)
-        rng = np.random.default_rng([seed, lo, hi])
-        taken = rng.multivariate_hypergeometric(counts, left, method="marginals") if total < 1_000_000_000 else counts * left // max(total, 1)
+        taken = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, left, method="marginals")
         halve(taken, lo, mid)
         halve(counts - taken, mid, hi)
 
@@ -66,72 +70,91 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _key(seed: int, *columns: Column | str) -> Column:
-    return F.xxhash64(F.lit(seed), *columns)
+def _number(*parts: Column | str | int) -> Column:
+    """A number of 60 bits from the parts, for SQL to repeat: the first 15 hex digits of the MD5 of the parts, joined by colons, without nulls."""
+    text = F.concat_ws(":", *(F.lit(str(p)) if isinstance(p, int) else F.col(p).cast("string") if isinstance(p, str) else p for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _with(df: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """df with the other columns of table; keys may be null."""
+    renamed = table.select(*(F.col(c).alias(f"t_{c}") for c in table.columns))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"t_{k}"))
+    return df.join(renamed, same).select(*df.columns, *(F.col(f"t_{c}").alias(c) for c in table.columns if c not in keys))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, shards: int = SHARDS, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, taken, shards (one for each time it is drawn); keep: columns to carry along."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _key(seed, "doc_id", F.length("text")).alias("dealt"), *keep), "mix-sizes")
+    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _number(seed, "doc_id").alias("dealt"), *keep), "mix-sizes")
     per = {r["source"]: (r["words"], r["docs"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()}
-    empty = "doc_id long, size long, source string, source_size long, target double, taken long, shards array<int>"
     if not per:
-        return spark.createDataFrame([], empty)
+        empty = spark.createDataFrame([], "doc_id long, size long, source string, source_size long, target double, taken long, shards array<int>")
+        return empty.select("*", *(F.lit(None).cast(sized.schema[k].dataType).alias(k) for k in keep))
     goal = targets({s: w for s, (w, _) in per.items()}, weights, share, cap)
+    in_block = max(BLOCK_DOCS, -(-sum(n for _, n in per.values()) // MOST_BLOCKS))
     plan = []
     for s, (words, n) in per.items():
         passes = min(cap, int(goal[s] // words)) if words else 0
         rest = min(int(goal[s] - passes * words + 0.5), words) if passes < cap else 0
-        plan.append((s, words, goal[s], passes, rest, max(1, -(-n // BLOCK_DOCS))))
-    schema = "source string, source_size long, target double, passes int, rest long, blocks int"
-    known = spark.createDataFrame(plan, schema)
-
-    def with_plan(df: DataFrame, table: DataFrame) -> DataFrame:
-        columns = [c for c in table.columns if c != "source"]
-        return df.join(table.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select(*df.columns, *columns)
-
-    dealt = with_plan(sized, known).withColumn("block", F.pmod("dealt", F.col("blocks").cast("long")).cast("int"))
-    by_block = dealt.groupBy("source", "block", "passes", "rest", "blocks").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy(_key(seed + 1, "source", "block"), "block")
-    upto = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    by_block = written(by_block.select("source", "block", "passes", "rest", "blocks", "words", (F.row_number().over(order) - 1).alias("rank"), F.coalesce(upto, F.lit(0)).alias("before")), "mix-blocks")
-    # Blocks of a source: all of them in each pass, and those before the point where the rest is used up.
-    counts = by_block.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.when(F.col("before") < F.col("rest"), 1).otherwise(0)).alias("more"), F.first("passes").alias("passes")).collect()
+        blocks = -(-n // in_block)
+        plan.append((s, words, goal[s], passes, rest, blocks, -(-blocks // STRETCH)))
+    known = spark.createDataFrame(plan, "source string, source_size long, target double, passes int, rest long, blocks long, stretches long")
+    dealt = _with(sized, known, "source").withColumn("block", F.pmod("dealt", "blocks"))
+    by_block = dealt.groupBy("source", "block", "passes", "rest", "stretches").agg(F.sum("size").alias("words")).withColumn("at", _number(seed + 1, "source", "block"))
+    by_block = written(by_block.withColumn("stretch", F.floor(F.col("at") / float(1 << 60) * F.col("stretches"))), "mix-blocks")
+    # Where each stretch of a permutation begins.
+    begins: dict[str | None, tuple[int, int]] = {}
+    stretches = []
+    found = by_block.groupBy("source", "stretch").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect()
+    for r in sorted(found, key=lambda r: (r["source"] is None, r["source"] or "", r["stretch"])):
+        rank, words = begins.get(r["source"], (0, 0))
+        stretches.append((r["source"], r["stretch"], rank, words))
+        begins[r["source"]] = (rank + r["n"], words + r["words"])
+    starts = spark.createDataFrame(stretches, "source string, stretch long, first_rank long, first_word long")
+    order = Window.partitionBy("source", "stretch").orderBy("at", "block")
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = _with(by_block, starts, "source", "stretch").withColumn("rank", F.col("first_rank") + F.row_number().over(order) - 1).withColumn("before", F.col("first_word") + before)
+    ranked = written(ranked.select("source", "block", "words", "rank", "before", "passes", "rest"), "mix-ranks")
+    counts = ranked.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("before") < F.col("rest")).alias("more"), F.first("passes").alias("passes")).collect()
     counts = sorted(counts, key=lambda r: (r["source"] is None, r["source"] or ""))
-    quotas = split_quotas(np.array([r["n"] * r["passes"] + r["more"] for r in counts]), shards, seed)
-    upper = np.cumsum(quotas, axis=0)
-    cuts = spark.createDataFrame([(r["source"], int(r["n"]), [int(x) for x in upper[:, k]]) for k, r in enumerate(counts)], "source string, n_blocks long, cuts array<long>")
-    placed = with_plan(by_block, cuts)
-    which = F.expr(f"transform(sequence(0, {cap - 1}), p -> cast(size(filter(cuts, c -> c <= rank + p * n_blocks)) as int))")
-    placed = placed.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "before", which.alias("which"))
-    joined = dealt.join(placed, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")), "left")
-    cut = (F.col("rest") > F.col("before")) & (F.col("rest") < F.col("before") + F.col("in_block"))
-    in_block = with_block = joined.select(*dealt.columns, "before", "which")
-    words = by_block.select(F.col("source").alias("w_source"), F.col("block").alias("w_block"), F.col("words").alias("in_block"))
-    with_block = in_block.join(words, F.col("source").eqNullSafe(F.col("w_source")) & (F.col("block") == F.col("w_block")), "left").drop("w_source", "w_block")
-    whole = F.when(F.col("rest") >= F.col("before") + F.col("in_block"), F.col("size")).otherwise(F.lit(0).cast("long"))
-    inside = Window.partitionBy("source", "block").orderBy(_key(seed + 2, "doc_id", "dealt"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("rest") - done, F.col("size"))).cast("long")
-    # Only the one block in which a source's rest ends needs an order; the others are taken or left whole.
-    extra = with_block.where(~cut).withColumn("extra", whole).unionByName(with_block.where(cut).withColumn("extra", part))
-    copies = F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)
-    return extra.select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-        F.slice("which", F.lit(1), copies).alias("shards"), *keep,
-    )
-
-
-def draw(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row for each time a document is drawn (one taken in part is given whole), with shard and its place in it.
-
-    Keeps the columns of docs. Documents without words are drawn as often as their source is passed over.
+    quota = {r["source"]: r["n"] * r["passes"] + r["more"] for r in counts}
+    ends = np.cumsum(split_quotas(np.array([quota[r["source"]] for r in counts]), shards, seed), axis=0)
+    runs = spark.createDataFrame([(r["source"], r["n"], quota[r["source"]], ends[:, k].tolist()) for k, r in enumerate(counts)], "source string, n_blocks long, quota long, ends array<long>")
+    # The draws of a block are those with its rank's number in each pass, as far as the quota goes; the run that holds the number is the shard's.
+    numbers = F.filter(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: F.col("rank") + k * F.col("n_blocks")), lambda x: x < F.col("quota"))
+    drawn_by = F.transform(numbers, lambda x: F.size(F.filter("ends", lambda e: e <= x)).cast("int"))
+    last = F.coalesce(F.array_max(numbers) == F.col("quota") - 1, F.lit(False)) & (F.col("rest") > F.col("before")) & (F.col("rest") < F.col("before") + F.col("words"))
+    placed = _with(ranked, runs, "source").select("source", "block", F.col("before").alias("words_before"), drawn_by.alias("drawn_by"), last.alias("cut"))
+    each = _with(dealt, placed, "source", "block")
+    # Of a block that is cut, the last draw goes as far as the rest does.
+    inside = Window.partitionBy("source", "block").orderBy(_number(seed + 2, "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("words_before") - F.coalesce(F.sum("size").over(inside), F.lit(0))
+    part = F.greatest(F.lit(0), F.least(left, F.col("size")))
+    cut = each.where("cut").withColumn("part", part).withColumn("shards", F.when(F.col("part") > 0, F.col("drawn_by")).otherwise(F.slice("drawn_by", F.lit(1), F.size("drawn_by") - 1)))
+    whole = each.where("not cut").withColumn("part", F.when(F.size("drawn_by") > 0, F.col("size")).otherwise(0)).withColumn("shards", F.col("drawn_by"))
+    drawn = whole.unionByName(cut).withColumn("taken", F.greatest(F.lit(0), F.size("drawn_by") - 1) * F.col("size") + F.col("part"))
+    return drawn.select("doc_id", "size", "source", "source_size", "target", F.col("taken").cast("long").alias("taken"), "shards", *keep)
+
+
+def draw(docs: DataFrame, shards: int = SHARDS, seed: int = 7, **options) -> DataFrame:
+    """The mix itself: a row for each time a document is drawn (one taken in part is given whole), shard by shard, shuffled within each.
+
+    Keeps the columns of docs, then shard and place, the number that orders a shard (with underscores before them where docs has such
+    columns). A shard is one run of tasks, of about TASK_WORDS words each. Documents without words are drawn as often as their block.
     """
     names = docs.columns
-    table = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "mix-rows")
-    mixed = mix(table.select("doc_id", "text", "source", _ROW), keep=(_ROW,), **options).select(_ROW, F.col("shards").alias("_shards"))
-    # Texts are shuffled once, here; all before this is done on sizes.
-    rows = table.join(mixed.where("size(_shards) > 0"), _ROW).select(*names, F.posexplode("_shards").alias("_time", "shard"))
-    return rows.select(*names, "shard", F.xxhash64(F.lit(11), "doc_id", "_time").alias("place"))
+    row, list_, time, shard, place = fresh(names, "row", "drawn_by", "time", "shard", "place")
+    table = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    mixed = mix(table.select("doc_id", "text", "source", row), shards=shards, seed=seed, keep=(row,), **options)
+    mixed = written(mixed.where(F.size("shards") > 0).select(row, F.col("shards").alias(list_), (F.size("shards") * F.col("size")).alias("words")), "mix-drawn")
+    words = mixed.agg(F.sum("words")).first()[0] or 0
+    tasks = max(1, -(-words // (shards * TASK_WORDS)))
+    # Texts are shuffled once to their rows, then to their shards; all before this is done on sizes.
+    rows = table.join(mixed.drop("words"), row).select(*names, row, F.posexplode(list_).alias(time, shard))
+    rows = rows.withColumn(place, F.xxhash64(F.lit(seed + 3), "doc_id", time))
+    task = F.col(shard) * tasks + F.pmod(F.xxhash64(F.lit(seed + 4), row, time), F.lit(tasks))
+    return rows.repartitionById(shards * tasks, task.cast("int")).sortWithinPartitions(place, row, time).select(*names, shard, place)

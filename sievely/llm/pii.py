@@ -10,6 +10,11 @@ share of its instances (distinct strings; of the parts of a run only the longest
 that of being right in at least one of its cues. Of instances that pass and overlap the most confident one stays, then
 the longest; tokens come last. Those become known for the next round, and are added to the base spans.
 
+What is an instance is a definition, not a budget: an identifier holds a digit, or stands as an address. A token counts from
+LEAST_TOKEN characters on, from its first digit; numbers have LEAST_DIGITS to MOST_DIGITS digits. A cue is the word next to
+an instance, at most GAP_CHARS separators away; of a word longer than CUE_CHARS the nearest CUE_CHARS characters are the cue.
+Lengths of tokens, runs and texts are not bounded.
+
 Cases: null and empty texts have no spans; repeated rows are rows of their own; ties between kinds go to the kind that
 comes first in KINDS. An empty table gives no rows. find() reads doc_id and text; redact() keeps all columns.
 """
@@ -19,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import fresh, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Least confidence of a pattern and of an instance; least known strings behind a pattern; digits of a number.
 PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, SUPPORT = 0.9, 0.95, 4
-LEAST_DIGITS, MOST_DIGITS = 7, 19
+LEAST_DIGITS, MOST_DIGITS, LEAST_TOKEN, CUE_CHARS, GAP_CHARS = 7, 19, 4, 30, 8
 
 #: Stand-ins of one code point, of no class; the first takes the place of a dot that no domain can hold.
 _STOP, _OTHER = "\uE000", "\uE001"
@@ -35,7 +40,7 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9 -]+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S{3,}+"
+_TOKEN = rf"(?<!\S)[^\s0-9]*+[0-9]\S{{{LEAST_TOKEN - 1},}}+"
 #: A number token, and a run of them: no part of a longer word; a failed start is not tried again within its token.
 _ATOM = r"(?<![\p{L}\p{N}_@])(?<![0-9][().\-/]{1,3})[+(]{0,2}+[0-9]++(?:[().\-/]{1,3}+[0-9]++)*+(?![\p{L}\p{N}_@])"
 _RUN = rf"{_ATOM}(?:[  ().\-]*+{_ATOM})*+"
@@ -141,9 +146,9 @@ def _instances(text: Column, masked: Column, first: Column, base: Column) -> Col
 
     def one(x: Column, kind: Column, seed: bool, token: bool, part: bool = False) -> Column:
         start, end = x["start"], x["end"]
-        at = F.greatest(start - 39, F.lit(1))
+        at = F.greatest(start - CUE_CHARS - GAP_CHARS, F.lit(1))
         before = lambda t: F.substring(t, at, start + 1 - at)
-        behind = lambda t: F.substring(t, end + 1, F.lit(40))
+        behind = lambda t: F.substring(t, end + 1, F.lit(CUE_CHARS + GAP_CHARS + 1))
         at_side = lambda side, c: F.when(x[side], c).otherwise("") if part else c
         return F.struct(
             start.alias("start"), end.alias("end"), x["value"].alias("value"),
@@ -175,12 +180,12 @@ def _edges(each: DataFrame) -> DataFrame:
     """each with links: array<struct<cue, pattern, counts>>."""
     word = lambda s, pattern: F.lower(F.regexp_extract(s, pattern, 1))
     letter = rf"\p{{L}}\p{{N}}{_MARKS}"
-    cue = rf"[\p{{L}}\p{{N}}]{{1,30}}|[{_MARKS}]"
-    left = word("m_before", rf"((?:{cue}))[^{letter}]{{0,8}}$")
-    right = word("m_behind", rf"^[^{letter}]{{0,8}}({cue})")
+    cue = rf"[\p{{L}}\p{{N}}]{{1,{CUE_CHARS}}}|[{_MARKS}]"
+    left = word("m_before", rf"((?:{cue}))[^{letter}]{{0,{GAP_CHARS}}}$")
+    right = word("m_behind", rf"^[^{letter}]{{0,{GAP_CHARS}}}({cue})")
     each = each.withColumns({
         "left": left, "right": right,
-        "raw_left": word("before", r"(\S{1,30})\s{1,8}$"), "raw_right": word("behind", r"^\s{1,8}(\S{1,30})"),
+        "raw_left": word("before", rf"(\S{{1,{CUE_CHARS}}})\s{{1,{GAP_CHARS}}}$"), "raw_right": word("behind", rf"^\s{{1,{GAP_CHARS}}}(\S{{1,{CUE_CHARS}}})"),
         "shape": F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), "[A-Za-z]+", "a"),
         "number": ~F.col("token") & F.coalesce(F.col("kind").isin(2, 3), F.col("value").rlike(r"^[0-9+]|^\([0-9+]") & ~F.col("value").rlike(r"[\p{L}@]") & _digits(F.col("value")).between(LEAST_DIGITS, MOST_DIGITS)),
         "dotted": ~F.col("token") & F.coalesce(F.col("kind") == 1, F.col("value").rlike(_QUAD)),
@@ -281,7 +286,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with [EMAIL], [IP], [CARD] or [PHONE] for each span (overlapping spans as one, by the first), n_chars renewed if there."""
     names = docs.columns
     held = docs.select("doc_id", "text", F.struct(*names).alias("_held"))
-    found = find(held, keep=("_held",)).select("_held.*", F.col("spans").alias("_spans"))
+    (spans,) = fresh(names, "spans")
+    found = find(held, keep=("_held",)).select("_held.*", F.col("spans").alias(spans))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("text").cast("string")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -290,8 +296,8 @@ def redact(docs: DataFrame) -> DataFrame:
         fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(marks, x["kind"]))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    new = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, new).otherwise(text))
+    new = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = found.withColumn("text", F.when(F.size(F.col(spans)) > 0, new).otherwise(text))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(F.col(spans)) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*names)

@@ -71,7 +71,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -150,4 +150,61 @@ ORACLES: dict[str, str] = {
         select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
         from embeddings join lowest on origin = vec_id left join counts on a = vec_id
     """,
+    "op6_suffix": """
+        with raw as (
+            select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n_bytes from documents
+        ), pieces as (
+            select doc_id, n_bytes, 2000 * p as base, substr(h, 4000 * p + 1, 4198) as piece from (select *, unnest(range((n_bytes - 100) // 2000 + 1)) as p from raw where n_bytes >= 100)
+        ), starts as (
+            select doc_id, base + j as i, md5(substr(piece, 2 * j + 1, 200)) as string from (select *, unnest(range(least(2000, n_bytes - 99 - base))) as j from pieces)
+        ), again as (
+            select doc_id, i from starts qualify row_number() over (partition by string order by doc_id, i) > 1
+        ), flagged as (
+            select *, case when i <= 100 + lag(i) over (partition by doc_id order by i) then 0 else 1 end as fresh from again
+        ), runs as (
+            select doc_id, min(i) as a, max(i) + 100 as b from (select *, sum(fresh) over (partition by doc_id order by i) as run from flagged) group by doc_id, run
+        ), gaps as (
+            select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as since from runs
+        ), cut as (
+            select raw.doc_id, any_value(n_bytes) as n_bytes, any_value(h) as h, coalesce(sum(b - a), 0) as n_removed, count(a) as n_spans,
+                string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' order by a) as kept, coalesce(max(b), 0) as rest
+            from raw left join gaps on gaps.doc_id = raw.doc_id group by raw.doc_id
+        )
+        select doc_id, cast(n_bytes as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, cast(n_spans as bigint) as n_spans,
+            sha256(unhex(coalesce(kept, '') || substr(h, 2 * rest + 1))) as kept_sha256
+        from cut
+    """,
+    "op10_mixing": r"""
+        with sized as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, ('0x' || substr(md5(concat_ws(':', '7', doc_id)), 1, 15))::bigint as dealt from documents
+        ), per as (
+            select *, [2, 3, 1][1 + row_number() over (order by source nulls last) % 3]::double as weight, sum(docs) over () as all_docs, 1.5 * sum(words) over () as goal
+            from (select source, sum(size)::bigint as words, count(*) as docs from sized group by source)
+        ), filled as (
+            select *, row_number() over o as k,
+                (goal - coalesce(sum(2 * words) over (o rows between unbounded preceding and 1 preceding), 0))::double / sum(weight) over (o rows between current row and unbounded following) as unit
+            from per window o as (order by words / weight, source nulls last)
+        ), first_open as (
+            select min(k) as k, min_by(unit, k) as unit from filled where unit * weight <= 2 * words
+        ), aimed as (
+            select f.source, words as source_size, case when f.k < o.k then 2.0::double * words else o.unit * weight end as target,
+                cast(ceil(docs / greatest(256, ceil(all_docs / 16777216.0))::double) as bigint) as blocks
+            from filled f, first_open o
+        ), plan as (
+            select *, case when passes < 2 then least(floor(target - passes * source_size + 0.5)::bigint, source_size) else 0 end as rest
+            from (select *, case when source_size > 0 then least(2, floor(target / source_size))::bigint else 0 end as passes from aimed)
+        ), dealt as (
+            select s.*, p.* exclude (source), s.dealt % p.blocks as block from sized s join plan p on s.source is not distinct from p.source
+        ), ordered as (
+            select source, block, words, rest, passes, coalesce(sum(words) over (partition by source order by spot, block rows between unbounded preceding and 1 preceding), 0) as before
+            from (select source, block, any_value(rest) as rest, any_value(passes) as passes, sum(size) as words, ('0x' || substr(md5(concat_ws(':', '8', source, block)), 1, 15))::bigint as spot from dealt group by source, block)
+        ), drawn as (
+            select d.doc_id, d.size, d.source_size, d.target, d.rest, o.before, d.passes + (o.before < d.rest)::int as draws, o.before < d.rest and d.rest < o.before + o.words as cut,
+                coalesce(sum(d.size) over (partition by d.source, d.block order by ('0x' || substr(md5(concat_ws(':', '9', d.doc_id)), 1, 15))::bigint, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as inside
+            from dealt d join ordered o on d.block = o.block and d.source is not distinct from o.source
+        )
+        select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target,
+            cast(case when draws = 0 then 0 else (draws - 1) * size + case when cut then greatest(0, least(rest - before - inside, size)) else size end end as bigint) as taken
+        from drawn
+    """,
 }

@@ -158,7 +158,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     is_top = F.col("doc_id").eqNullSafe(tops[F.col("bucket")]) if tops is not None else F.col("doc_id").isNull()
     copies = F.when(is_top, F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("s")), F.struct(to[F.col("bucket")].alias("b"), F.lit(True).alias("s")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("s"))))
     spread = rows.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", F.col("c.s").alias("sentinel"), F.col("c.b").alias("bucket"))
-    return spread.repartition(n, "bucket").sortWithinPartitions("bucket", "sentinel", F.col("doc_id").desc_nulls_last(), "text")
+    # Buckets are numbered, so each is a task of its own.
+    return spread.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "sentinel", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

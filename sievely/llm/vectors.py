@@ -10,7 +10,8 @@ decided on the vectors as they were given. Only counts and the links that join g
 
 Cases: vectors that are null or zero or hold null or non-finite components, or have a null id, are rows with no links; equal vectors are
 one class with a count, linked with one another; vectors of different lengths are never linked. Rows that repeat a
-vec_id are vectors of their own. An empty table gives no rows. Columns other than the two named are not read.
+vec_id are vectors of their own. An empty table gives no rows. Columns other than the two named are not read. There is one
+plan for each length that vectors have.
 """
 
 from __future__ import annotations
@@ -23,17 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, written
+from ._common import partitions, small_batches, written
 from .components import components
 
 #: Vectors of the sample that sets axes and tiles; they bound the tree, whatever the table's size.
 SAMPLE = 8192
-#: Vectors in a tile, as long as the sample can tell tiles apart, and in a block of a tile.
-TILE = 512
+#: Components of the vectors in a tile, as long as the sample can tell tiles apart; a block of a tile has up to twice as many. A visit
+#: to a tile carries a whole vector, so tiles are as large as a task can hold.
+TILE_COMPONENTS = 1 << 18
+#: Vectors on each side of one product matrix.
+SIDE = 1024
 #: Axes that are added between two tests of the bound.
 STEP = 16
 
 
+def tile_size(d: int) -> int:
+    return max(64, TILE_COMPONENTS // max(d, 1))
+
+
 class Tree:
     """Axes, and a k-d tree over rotated vectors; leaves are numbered from left to right."""
 
@@ -42,7 +50,7 @@ class Tree:
         _, axes = np.linalg.eigh(sample.T @ sample)
         self.axes = axes[:, ::-1].copy()
         points = sample @ self.axes
-        leaves = max(1, min(len(sample) // 4, n // TILE))
+        leaves = max(1, min(len(sample) // 4, n // tile_size(sample.shape[1])))
         self.nodes: list[tuple] = []  # (axis, cut, left, right) or (leaf,)
         self.n_leaves = 0
         self._grow(points, math.ceil(math.log2(leaves)) if leaves > 1 else 0)
@@ -84,8 +92,17 @@ class Tree:
                 stack.append((child, rows[keep], (inside & is_in)[keep], {a: g[keep] for a, g in new.items()}))
 
 
-def near(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, cosine) of rows of a and b that reach threshold - 1e-9, by growing prefixes of the axes."""
+def near(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, cosine) of rows of a and b that reach threshold - 1e-9, a product matrix of SIDE rows each at a time."""
+    for low in range(0, len(a), SIDE):
+        for left in range(0, len(b), SIDE):
+            i, j, found = _near(a[low : low + SIDE], b[left : left + SIDE], threshold)
+            if len(i):
+                yield i + low, j + left, found
+
+
+def _near(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """near(), by growing prefixes of the axes."""
     d = a.shape[1]
     step = min(STEP, d)
     product = a[:, :step] @ b[:, :step].T
@@ -111,24 +128,36 @@ def _valid(column: str) -> F.Column:
 
 def groups(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """id, n_links (vectors with cosine >= threshold), component_id (smallest id reachable), kept."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
-    rows = written(rows.withColumn("v", F.when(_valid("v") & F.col("id").isNotNull(), F.col("v"))).withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json("v"), 256))), "vectors")
+    rows = rows.withColumn("v", F.when(_valid("v") & F.col("id").isNotNull(), F.col("v")))
+    rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json("v"), 256)))
+    if rows.where("v is not null").groupBy("id").count().where("count > 1").isEmpty():
+        out = _groups(written(rows, "vectors"), threshold)
+    else:
+        # Numbers of their own for the rows, in the order of their ids.
+        placed = written(rows.orderBy("id", "key").withColumn("place", F.monotonically_increasing_id()), "vectors")
+        found = _groups(placed.select(F.col("place").alias("id"), "v", "key"), threshold).toDF("place", "n_links", "root")
+        names = placed.select("place", "id")
+        out = found.join(names, "place").join(names.toDF("root", "component_id"), "root").select("id", "n_links", "component_id")
+    return out.select(F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _groups(rows: DataFrame, threshold: float) -> DataFrame:
+    """id, n_links, component_id of rows (id, v, key) in which vectors have ids of their own."""
     classes = written(rows.where("v is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("d", F.size("v")), "vector-classes")
     links = None
     for found in classes.groupBy("d").agg(F.count("*").alias("n")).collect():
         part = _links(classes.where(F.col("d") == found["d"]).select("rep", "n", "v"), found["n"], threshold)
         links = part if links is None else links.unionByName(part)
     if links is None:
-        links = spark.createDataFrame([], "rep long, met long, root long")
+        links = rows.sparkSession.createDataFrame([], "rep long, met long, root long")
     links = written(links, "vector-links")
     joined = components(links.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     met = links.groupBy("rep").agg(F.sum("met").alias("met"))
     by_class = classes.select("key", "rep", "n").join(met, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("key", (F.col("n") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", "key").join(by_class, "key", "left")
-    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -159,10 +188,10 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
                     tiles[r].append(leaf)
             yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "n": batch.column("n"), "v": column, "home": home, "visits": pa.array(tiles, pa.list_(pa.int64()))})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    small_batches(spark)
     placed = written(classes.mapInArrow(place, "rep long, n long, v array<double>, home long, visits array<long>"), "vector-tiles")
     sizes = placed.groupBy("home").agg(F.count("*").alias("size"))
-    blocks = sizes.select(F.col("home").alias("tile"), F.ceil(F.col("size") / (2 * TILE)).cast("int").alias("blocks"))
+    blocks = written(sizes.select(F.col("home").alias("tile"), F.ceil(F.col("size") / (2 * tile_size(unit.shape[1]))).cast("int").alias("blocks")), "vector-blocks")
     own = placed.join(blocks.withColumnRenamed("tile", "home"), "home").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks").cast("long")).cast("int"))
     at_home = own.select(F.col("home").alias("tile"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("block"), "own", "rep", "n", "v")
     at_home = at_home.select("tile", "block", (F.col("own") != F.col("block")).alias("guest"), "rep", "n", "v")
@@ -199,6 +228,7 @@ class _Block:
     def __init__(self, axes: np.ndarray, threshold: float):
         self.axes, self.threshold = axes, threshold
         self.homes: list[tuple] = []
+        self.guests: list[tuple] = []
         self.home: tuple | None = None
         self.met: dict[int, int] = {}
         self.parent: dict[int, int] = {}
@@ -217,10 +247,13 @@ class _Block:
         return x
 
     def _take(self, a: tuple, b: tuple, same: bool) -> None:
-        i, j, cosine = near(a[3], b[3], self.threshold)
-        if same:
-            keep = i < j
-            i, j, cosine = i[keep], j[keep], cosine[keep]
+        for i, j, cosine in near(a[3], b[3], self.threshold):
+            if same:
+                keep = i < j
+                i, j, cosine = i[keep], j[keep], cosine[keep]
+            self._link(a, b, i, j, cosine)
+
+    def _link(self, a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> None:
         close = np.abs(cosine - self.threshold) <= 1e-9
         if close.any():
             x, y = a[2][i[close]], b[2][j[close]]
@@ -244,7 +277,14 @@ class _Block:
         if self.home is None:
             self._settle()
         if self.home:
-            self._take(self.home, self._read(part), False)
+            self.guests.append(self._read(part))
+            if sum(len(g[0]) for g in self.guests) >= SIDE:
+                self._receive()
+
+    def _receive(self) -> None:
+        if self.guests:
+            self._take(self.home, tuple(np.concatenate(x) for x in zip(*self.guests, strict=True)), False)
+            self.guests = []
 
     def _settle(self) -> None:
         self.home = tuple(np.concatenate(x) for x in zip(*self.homes, strict=True)) if self.homes else ()
@@ -254,6 +294,7 @@ class _Block:
     def done(self) -> Iterator[pa.RecordBatch]:
         if self.home is None:
             self._settle()
+        self._receive()
         ids = sorted(self.met)
         if ids:
             yield pa.RecordBatch.from_pydict({"rep": pa.array(ids, pa.int64()), "met": pa.array([self.met[x] for x in ids], pa.int64()), "root": pa.array([self._top(x) for x in ids], pa.int64())})

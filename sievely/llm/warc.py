@@ -8,7 +8,8 @@ records that start inside its range, wherever they end.
 
 Cases: a null html is an empty payload; a null url is left out; rows that repeat the largest page_id with the
 same payload are responses all; a null page_id counts as smaller than any and is read back as null; an empty
-table gives no records. Columns other than page_id, url and html are not read.
+table gives no records. Columns other than page_id, url and html are not read. A damaged archive is an error, never a
+result with records missing: behind each record there must be another one's start or the file's end.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, partitions, slices, small_batches
+from ._common import new_path, partitions, slices, small_batches, written
 
 #: Payloads under this size are stored each time.
 REVISIT_BYTES = 1000
@@ -68,7 +69,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
     keyed = rows.where(F.octet_length("html") >= revisit_bytes).select("page_id", "digest")
-    keepers = keyed.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join has a plain shuffle on both sides and the engine cuts a hot digest; a small table is broadcast by its size.
+    keepers = written(keyed.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1"), "warc-keepers")
     revisits = keyed.join(keepers, "digest").where("not page_id <=> keeper").groupBy("page_id", "digest").agg(F.max("keeper").alias("refers_to"))
     r = revisits.select(F.col("page_id").alias("r_page_id"), F.col("digest").alias("r_digest"), "refers_to")
     joined = rows.join(r, F.col("page_id").eqNullSafe(F.col("r_page_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "html", "refers_to")
@@ -108,30 +110,43 @@ def _starts_record(data: bytes, at: int) -> bool:
 
 
 def _records(fs: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[bytes]:
-    """The decoded members that start in [start, end)."""
-    own, at = end - start, 0
+    """The decoded members that start in [start, end). ValueError where a member is cut short, or something else than a member follows it."""
+    own, at, after = end - start, 0, start == 0
     with fs.open_input_file(path) as f:
         f.seek(start)
         data = f.read(own + len(_MAGIC) - 1)
-        while 0 <= (at := data.find(_MAGIC, at)) < own:
+        while True:
+            if not after:  # the range may begin inside a member of the range before
+                at = data.find(_MAGIC, at)
+                if not 0 <= at < own:
+                    return
             f.seek(start + len(data))
             while len(data) - at < 4096 and (got := f.read(1 << 16)):
                 data += got
             if not _starts_record(data, at):
+                if after and at < len(data):
+                    raise ValueError(f"{path}: no record at byte {start + at}, where one must begin")
+                if after:
+                    return
                 at += 1
                 continue
+            if at >= own:
+                return
             packer, out, fed = zlib.decompressobj(31), [], at
             try:
                 while not packer.eof:
                     piece = data[fed : fed + (1 << 16)] or f.read(1 << 16)
                     if not piece:
-                        raise zlib.error("the file ends inside a member")
+                        raise zlib.error("the file ends inside it")
                     out.append(packer.decompress(piece))
                     fed += len(piece)
-            except zlib.error:
-                at += 1
-                continue
-            at = fed - len(packer.unused_data)
+            except zlib.error as e:
+                raise ValueError(f"{path}: the record at byte {start + at} is damaged: {e}") from e
+            at, after = fed - len(packer.unused_data), True
+            if at > len(data):  # the end lies beyond what is held
+                f.seek(start + at)
+                data, start, own = f.read(4096), start + at, own - at
+                at = 0
             yield b"".join(out)
 
 

@@ -9,14 +9,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sievely.llm import bpe, chat, minhash, mixing, pii, spotsigs, suffix, toxicity, vectors, warc
+from sievely.llm._common import Hasher
 from sievely.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns of no concern, some with names that operators use inside.
-CLASH = "doc_id long, text string, lang string, source string, n_chars long, rep long, bucket int, size string, block string, row string, component string, spans string, anchor long, _row string"
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, rep long, bucket int, size string, block string, row string, component string, spans string, anchor long, _row string, _spans string, shard long, place string, _n long, _kept long, kept_place int, drawn_by int, time int, words int, taken int, _held string"
 
 
 def words(rng, n):
@@ -26,7 +28,7 @@ def words(rng, n):
 def documents(spark, texts, source=None, clash=False):
     rows = [(i, t, "en", source[k] if source else f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(texts)]
     if clash:
-        rows = [(*r, 1, 1, "x", "x", "x", "x", "x", 1, "x") for r in rows]
+        rows = [(*r, 1, 1, "x", "x", "x", "x", "x", 1, "x", "x", 1, "x", 1, 1, 1, 1, 1, 1, 1, "x") for r in rows]
     return spark.createDataFrame(rows, CLASH if clash else DOCS)
 
 
@@ -69,6 +71,41 @@ def test_spotsigs(spark):
     assert alone["near_next"] == 1.0
 
 
+def plain_spots(text):
+    """The spots of a text as tuples of words, by the rules of the operator's docstring alone."""
+    ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
+    if not ws:
+        return set()
+    common = set(spotsigs.ANCHORS)
+    content = [k for k, w in enumerate(ws) if w not in common]
+
+    def chain(k):
+        return tuple(ws[j] for j in content if j > k)[:3]
+
+    order = lambda w: int(Hasher(np.frombuffer(w.encode(), np.uint8))(np.array([0]), np.array([len(w.encode())]))[0])
+    places = {k for k, w in enumerate(ws) if w in common}
+    for k in range(len(ws) - 3):
+        if not any(w in common for w in ws[k : k + 4]):
+            places.add(min(range(k, k + 4), key=lambda j: (order(ws[j]), j)))
+    if len(content) > 3:
+        places.add(content[-4])
+    return {("start", chain(-1))} | {(ws[k], chain(k)) for k in places if len(chain(k)) == 3}
+
+
+def test_spotsigs_equal_plain_spots(spark):
+    rng = random.Random(31)
+    texts = [(k, " ".join(rng.choice(["the", "von", "LAS", "x1", "Beta", "été", "日本", "river", "stone", "light", "cloud,", "a-b"]) for _ in range(rng.choice([0, 1, 3, 4, 5, 9, 40])))) for k in range(60)]
+    rows = {r["doc_id"]: r for r in spotsigs.compare_with_edits(documents(spark, texts)).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, t in texts:
+        nxt = texts[k - 1][1]
+        half = len(t) // 2
+        mine = plain_spots(t)
+        assert abs(rows[k]["near_next"] - like(mine, plain_spots(nxt))) < 1e-12, (t, nxt)
+        assert abs(rows[k]["near_edited"] - like(mine, plain_spots(t[: len(t) - half] + nxt[:half]))) < 1e-12
+        assert len(rows[k]["fingerprint"]) == 8 * len(mine)
+
+
 def test_every_content_word_is_in_a_spot():
     rng = random.Random(21)
     for n in range(1, 40):
@@ -180,6 +217,43 @@ def test_minhash_blocks_and_dedup(spark, monkeypatch):
     assert minhash.groups(documents(spark, [])).count() == 0
 
 
+def test_minhash_tells_regular_words_apart(spark):
+    """Words of equal length whose letters follow the parity of a count of bits: polynomial hashes modulo 2^64 take them for one."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one.upper())]
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.groups(documents(spark, rows), 3, 85).collect()} == {(1, 1), (2, 2), (3, 1)}
+    assert {r["doc_id"]: r["near_next"] for r in spotsigs.compare_with_edits(documents(spark, rows)).collect()}[2] == 0.0
+
+
+def test_dedup_judges_rows(spark):
+    x, y = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(1, x), (9, y), (3, x), (3, y), (3, y), (None, x), (None, x), (4, ""), (4, ""), (5, None)]
+    kept = minhash.dedup(documents(spark, rows, clash=True), 3, 85)
+    assert kept.columns == documents(spark, rows, clash=True).columns
+    want = [(1, x), (3, y), (None, x), (None, x), (4, ""), (4, ""), (5, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+    plain = [(1, x), (3, x), (9, y), (None, x)]
+    kept = minhash.dedup(documents(spark, plain, clash=True), 3, 85)
+    assert kept.columns == documents(spark, rows, clash=True).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "9", "None"]
+    ids = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.groups(documents(spark, rows[:5]), 3, 85).collect()}
+    assert ids == {(1, 1, True), (9, 3, False), (3, 1, False), (3, 3, True)}
+
+
+def test_banding_finds_pairs_at_the_threshold():
+    """No pair at the threshold of 1,500 of each size is missed; MISS bounds the expected share by one in a million."""
+    rng = np.random.default_rng(23)
+    for percent in (80, 85):
+        bands, rows = minhash.bands_and_rows(percent)
+        orders = minhash._orders(bands * rows)
+        for union in (20, 100, 900):
+            shared = -(-percent * union // 100)
+            for _ in range(1500 if union < 900 else 300):
+                x = rng.integers(0, 2**63, size=union).astype(np.uint64) * np.uint64(2)
+                split = shared + (union - shared) // 2
+                a, b = (minhash.signature(np.sort(s), bands * rows, orders).reshape(bands, rows) for s in (x[:split], np.concatenate((x[:shared], x[split:]))))
+                assert (a == b).all(axis=1).any()
+
+
 def test_signature_estimates_likeness():
     rng = np.random.default_rng(7)
     orders = minhash._orders(180)
@@ -215,13 +289,69 @@ def test_bpe_equals_the_library(spark):
 def test_automaton_by_hand():
     labels = {0: b"a", 1: b"b", 2: b"aa", 3: b"ab", 4: b"aab"}
     a = bpe.Automaton(labels, [(0, 0, 2), (0, 1, 3), (2, 1, 4)])
+    # The copies that the gadgets made, and what each lacks; the arcs of a label that a merge took lead to its copy.
+    assert a.copy_of.tolist() == [0, 0, 1, 0] and a.lacks.tolist() == [-1, 0, 1, 1] and a.leads_to.tolist()[:3] == [2, 0, 3]
     assert a.encode(b"aab") == [4] and a.encode(b"aaa") == [2, 0] and a.encode(b"ab") == [3] and a.encode(b"aaab") == [2, 3]
     assert not a.has_arc(0, 0) and not a.has_arc(2, 1) and a.has_arc(1, 0)
 
 
+def test_small_automata_equal_plain_bpe():
+    rng = random.Random(33)
+    for _ in range(60):
+        labels, merges = {0: b"a", 1: b"b", 2: b"c"}, []
+        while len(merges) < 9:
+            u, v = rng.choice(list(labels)), rng.choice(list(labels))
+            if labels[u] + labels[v] not in labels.values():
+                labels[len(labels)] = labels[u] + labels[v]
+                merges.append((u, v, len(labels) - 1))
+        a = bpe.Automaton(labels, merges)
+        for _ in range(40):
+            word = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 14)))
+            parts = [b"abc".index(x) for x in word]
+            for u, v, w in merges:  # plain BPE: all pairs of a merge, from the left, merge after merge
+                k = 0
+                while k < len(parts) - 1:
+                    if parts[k : k + 2] == [u, v]:
+                        parts[k : k + 2] = [w]
+                    k += 1
+            assert a.encode(word) == parts
+            assert all(a.has_arc(x, y) for x, y in itertools.pairwise(parts))
+
+
+def test_bpe_refuses_other_files(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}, {"model": spec["model"] | {"ignore_merges": True}},
+                   {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.compile_automaton(str(tmp_path / "v.json"))
+    with pytest.raises(ValueError):
+        bpe.compile_automaton(public_tokenizers.path("word_bpe_49k.json"))
+
+
 # 5
 
 
+def test_warc_damage_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(k, "u", "".join(chr(97 + (k * j) % 25) for j in range(3000))) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    ((path, size),) = warc.write_archives(df, str(tmp_path / "w"))
+    local = path.removeprefix("file://")
+    with open(local, "rb") as f:
+        whole = f.read()
+    starts = [m.start() for m in re.finditer(re.escape(b"\x1f\x8b\x08"), whole)]
+    for damaged in (whole[:-9], whole[: starts[20]] + b"\0" * 9 + whole[starts[20] + 9 :], whole[: starts[5] + 90] + b"\xff" * 20 + whole[starts[5] + 110 :], b"x" + whole):
+        with open(local, "wb") as f:
+            f.write(damaged)
+        for split in (700, 10**7):
+            with pytest.raises(Exception, match="damaged|no record"):
+                warc.read_archives(spark, [(path, len(damaged))], split).count()
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(9)
     big = "".join(rng.choice("abcdef<>é") for _ in range(3000))
@@ -296,6 +426,16 @@ def test_interval_expansion_by_hand():
 # 7
 
 
+def test_toxicity_thresholds():
+    """A language's own threshold from LANGUAGE_FROM calibration rows of each label on; with fewer all languages' one."""
+    for n, own in ((toxicity.LANGUAGE_FROM, True), (toxicity.LANGUAGE_FROM - 1, False)):
+        texts = ["the and of bad" if k % 2 else "the and of good" for k in range(60)] + ["der die das schlimm" if k < n else "der die das fein" for k in range(2 * n)]
+        y = np.array([k % 2 for k in range(60)] + [int(k < n) for k in range(2 * n)])
+        words_ = toxicity.read_words(pa.array(texts))
+        model = toxicity.train(words_, y, np.zeros(len(y), bool))  # nothing is kept from training, so all rows set the thresholds
+        assert (model.shift[2] != model.shift[4]) == own and model.shift[1] == model.shift[4]
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     texts, labels = [], []
@@ -314,6 +454,10 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == 704 and got[900] == got[901] == got[902]
     kept = toxicity.accepted(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
+    assert toxicity.fit(docs, marks, train_rows=40, train_bytes=3000).bias != model.bias  # trained on fewer
+    assert set(toxicity.fit(docs, marks, train_bytes=10).weights) == {0.0}  # no whole text fits
+    twice = docs.unionByName(docs)
+    assert (toxicity.fit(twice, marks.unionByName(marks)).embedding == model.embedding).all() and toxicity.scores(twice, model).count() == 2 * len(got)
     none = toxicity.fit(docs, marks.limit(0))
     assert toxicity.scores(docs.limit(3), none).count() == 3 and toxicity.scores(docs.limit(0), none).count() == 0
     flags = {r["doc_id"]: r["h"] for r in docs.select("doc_id", toxicity.is_held_out().alias("h")).collect()}
@@ -374,6 +518,116 @@ def test_pii_bootstrap_in_other_formats(spark):
     assert all(found[i] == brute_pii(t) for i, t in seeds)
 
 
+def plain_discovery(texts):
+    """The spans of find(), by loops over the patterns' own definition of instances: (doc, kind, start, end)."""
+    import math
+
+    kinds, each, base_of = list(PLAIN), [], {}
+    digits = lambda v: len(re.sub("[^0-9]", "", v))
+    quad = re.compile(pii._QUAD)
+    for doc, text in texts:
+        text = text or ""
+        base = sorted((int(a), kinds.index(k), int(b)) for k, a, b in (x.split(":") for x in brute_pii(text).split(",") if x))
+        base_of[doc], masked, at, first = base, "", 0, []
+        for a, k, b in base:
+            if a >= at:
+                first.append((a, k, b))
+                masked += text[at:a]
+            masked += pii._MARKS[k] * max(0, b - max(at, a))
+            at = max(at, b)
+        masked += text[at:]
+        found = [(a, b, text[a:b], k, True, False, (1, 1, 1, 1)) for a, k, b in first]
+        found += [(m.start(), m.end(), m[0], next((k for a, k, b in base if a < m.end() and b > m.start()), None), False, True, (1, 1, 1, 1)) for m in regex.finditer(pii._TOKEN, text)]
+        for run in regex.finditer(pii._RUN, masked):
+            atoms = [(m.start(), m.end()) for m in regex.finditer(pii._ATOM, run[0])]
+            parts = [(a, b, i == 0, j == len(atoms) - 1) for i, (a, _) in enumerate(atoms) for j, (_, b) in enumerate(atoms) if j >= i and (7 <= digits(run[0][a:b]) <= 19 or quad.match(run[0][a:b]))]
+            far, near = max((b for _, b, x, _ in parts if x), default=None), min((a for a, _, _, x in parts if x), default=None)
+            found += [(run.start() + a, run.start() + b, run[0][a:b], None, False, False, (x, y, x and b == far, y and a == near)) for a, b, x, y in parts]
+        found += [(m.start(), m.end(), m[0], None, False, False, (1, 1, 1, 1)) for m in regex.finditer(pii._MAIL, masked)]
+        letter = rf"\p{{L}}\p{{N}}{pii._MARKS}"
+        for a, b, value, kind, seed, token, (begins, ends, left_counts, right_counts) in found:
+            shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", value))
+            number = not token and (kind in (2, 3) if kind is not None else bool(re.match(r"[0-9+]|\([0-9+]", value)) and not regex.search(r"[\p{L}@]", value) and 7 <= digits(value) <= 19)
+            dotted = not token and (kind == 1 if kind is not None else bool(quad.match(value)))
+            mail = not token and (kind == 0 if kind is not None else bool(regex.search(r"[\p{L}@]", value)))
+            links = []
+            for side, on, counts, near_, raw in (("L", begins, left_counts, regex.search(rf"([\p{{L}}\p{{N}}]{{1,30}}|[{pii._MARKS}])[^{letter}]{{0,8}}$", masked[max(0, a - 38) : a]), re.search(r"(\S{1,30})\s{1,8}$", text[max(0, a - 38) : a])),
+                                                 ("R", ends, right_counts, regex.search(rf"^[^{letter}]{{0,8}}([\p{{L}}\p{{N}}]{{1,30}}|[{pii._MARKS}])", masked[b : b + 39]), re.search(r"^\s{1,8}(\S{1,30})", text[b : b + 39]))):
+                if not on:
+                    continue
+                cue, word = (near_[1].lower() if near_ else ""), (raw[1].lower() if raw else "")
+                links.append((f"{side}|{cue}", f"{side}|{word}|{shape}", counts))
+                links += [(f"{side}|{cue}", f"{side}:{n}|{cue}", counts) for n, x in (("number", number), ("dotted", dotted), ("mail", mail)) if x and cue]
+            each.append((doc, a, b, value, kind, seed, token, links))
+    edges = {}
+    for _, _, _, value, kind, _, _, links in each:
+        for cue, pattern, counts in links:
+            old = edges.get((pattern, value), (None, cue, False))
+            edges[pattern, value] = (kind if old[0] is None else old[0] if kind is None else min(old[0], kind), min(old[1], cue), bool(old[2] or counts))
+    known, seeds = {}, {}
+    for (_, value), (kind, _, _) in edges.items():
+        if kind is not None:
+            known[value] = min(kind, known.get(value, 9))
+    for _, _, _, value, kind, seed, _, _ in each:
+        if seed:
+            seeds[value] = min(kind, seeds.get(value, 9))
+    while True:
+        votes = {}
+        for (pattern, value), (_, _, counts) in edges.items():
+            if counts:
+                votes.setdefault(pattern, []).append(known.get(value))
+        says = {}
+        for pattern, x in votes.items():
+            most = max(range(4), key=lambda k: (x.count(k), -k))
+            if x.count(most) >= 4 and x.count(most) / len(x) >= 0.9:
+                says[pattern] = (most, x.count(most) / len(x))
+        cues = {}
+        for (pattern, value), (_, cue, _) in edges.items():
+            if pattern in says:
+                kind, sure = says[pattern]
+                cues[value, kind, cue] = max(sure, cues.get((value, kind, cue), 0))
+        doubt = {}
+        for (value, kind, _), sure in cues.items():
+            doubt[value, kind] = doubt.get((value, kind), 0) + math.log(1 - min(sure, 0.999))
+        best = {v: (-1e9, k) for v, k in seeds.items()}
+        for (value, kind), d in doubt.items():
+            if 1 - math.exp(round(d, 9)) >= 0.95 - 1e-9:
+                best[value] = min(best.get(value, (9, 9)), (round(d, 9), kind))
+        hits = sorted((doc, token, best[value][0], a - b, a, b, best[value][1], value) for doc, a, b, value, kind, _, token, _ in each if kind is None and value in best)
+        out = []
+        for doc, _, _, _, a, b, kind, value in hits:
+            if not any(d == doc and x < b and y > a for d, _, x, y, _ in out):
+                out.append((doc, kind, a, b, value))
+        grown = known | {v: min(k for _, k, _, _, w in out if w == v) for *_, v in out if v not in known}
+        if grown == known:
+            return {doc: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(base_of[doc] + [(a, k, b) for d, k, a, b, _ in out if d == doc])) for doc, _ in texts}
+        known = grown
+
+
+def test_pii_equals_plain_discovery(spark):
+    rng = random.Random(35)
+    cues = ["call", "mail", "host", "pay", "from", "the", "of", "ref"]
+    texts = []
+    for k in range(260):
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            n = rng.randrange(10**6)
+            plain = [f"+1 (2{n % 90:02d}) 555-{n % 10000:04d}", f"ann{n}@x{n % 7}.example.org", f"10.{n % 256}.3.{n % 251}", f"no{n}", "word"]
+            other = [f"2{n % 90:02d} 555 {n % 10000:04d}", f"ann{n} [at] x.org", f"10.{300 + n % 600}.3.4", f"4111 1111 1111 {n % 10000:04d}", f"41111111111{n:06d} 77", f"+1 (2{n % 90:02d}) 555-{n % 10000:04d} 10.0.{n % 9}.1"]
+            said = rng.choice(plain if rng.random() < 0.95 else other)
+            hint = {"+": "call", "2": "call", "a": "mail", "1": "host", "4": "pay"}.get(said[0], "ref") if rng.random() < 0.98 else rng.choice(cues)
+            out.append(f"{hint}{rng.choice([' ', ': ', ', '])}{said}{rng.choice([' ', '. ', ' and '])}{rng.choice(cues)}")
+        texts.append((k, " ".join(out)))
+    long = "q" * 31
+    texts += [(300 + k, f"x{k % 2}{long} +1 (300) 555-{k:04d} x") for k in range(30)] + [(340, f"y{long} 300 555 9999 z"), (341, f"{'q' * 29} 300 555 9998 z"), (342, f"call{' ' * 8}303 555 0001"), (343, f"call{' ' * 9}303 555 0002"), (350, None), (351, "")]
+    want = plain_discovery(texts)
+    got = {r["doc_id"]: r["s"] for r in pii.find(documents(spark, texts, clash=True)).select("doc_id", pii.spans_text("spans").alias("s")).collect()}
+    assert got == want
+    assert sum(x.count(":") for x in want.values()) > sum(brute_pii(t).count(":") for _, t in texts) + 16
+    # Of a cue of over 30 characters the nearest 30 count; a word 9 separators away is none.
+    assert (want[340], want[341], bool(want[342]), want[343]) == ("phone:33:45", "", True, "")
+
+
 def test_pii_bootstrap_goes_on(spark):
     """What a third round reaches, and a token of any length."""
     texts = [f"aa +1 (200) 555-{1000 + k} aa" for k in range(729)]
@@ -408,8 +662,28 @@ def test_vectors(spark):
     assert vectors.groups(df.limit(0)).count() == 0
 
 
+def test_vectors_in_small_tiles(spark, monkeypatch):
+    """Many tiles and blocks, repeated vec_ids, and clashing columns."""
+    monkeypatch.setattr(vectors, "tile_size", lambda d: 8)
+    monkeypatch.setattr(vectors, "SIDE", 5)
+    rng = np.random.default_rng(17)
+    v = np.repeat(rng.standard_normal((9, 5)), 14, axis=0) + rng.standard_normal((126, 5)) * 0.25
+    rows = [(k, v[k].tolist(), "x", 1, "y") for k in range(126)] + [(5, v[80].tolist(), "x", 1, "y"), (5, v[5].tolist(), "x", 1, "y")]
+    got = sorted(map(tuple, vectors.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, home string, key int, v string")).collect()))
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    ids, comp = [r[0] for r in rows], [r[0] for r in rows]
+    for _ in range(200):
+        comp = [min([comp[a], *(comp[b] for b in np.flatnonzero(link[a]))]) for a in range(len(rows))]
+    # Rows of one vec_id are vectors of their own: links are counted by row; as ends of links they are one name.
+    assert [(i, n) for i, n, _, _ in got] == sorted((i, int(link[k].sum())) for k, i in enumerate(ids))
+    assert sorted((i, c) for i, _, c, _ in got) == sorted(zip(ids, comp, strict=True)) and all(k == (i == c) for i, _, c, k in got)
+
+
 def test_vector_tiles_cover(monkeypatch):
-    monkeypatch.setattr(vectors, "TILE", 8)
+    monkeypatch.setattr(vectors, "tile_size", lambda d: 8)
     rng = np.random.default_rng(15)
     v = rng.standard_normal((200, 6))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -449,10 +723,33 @@ def test_mixing(spark):
         taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
     assert all(abs(taken[s] - goal[s]) <= 1 for s in sizes)
     drawn = mixing.draw(df, shards=8)
-    assert drawn.columns == [*df.columns, "shard", "place"] and drawn.count() == sum(len(r["shards"]) for r in got)
+    assert drawn.columns == [*df.columns, "_shard", "_place"] and drawn.count() == sum(len(r["shards"]) for r in got)
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_mixing_draws(spark, monkeypatch):
+    """Runs are disjoint and whole: each block is drawn by as many shards as its documents say, shards come apart and shuffled; few blocks and short stretches change nothing."""
+    rng = random.Random(18)
+    texts = [(k, words(rng, 5 + rng.randrange(40))) for k in range(900)]
+    source = ["a" if k % 3 else "b" for k in range(900)]
+    df = documents(spark, texts, source)
+    plain = mixing.mix(df, shards=6).collect()
+    monkeypatch.setattr(mixing, "STRETCH", 1)
+    assert sorted(map(str, mixing.mix(df, shards=6).collect())) == sorted(map(str, plain))
+    monkeypatch.setattr(mixing, "TASK_WORDS", 1500)
+    rows = [(p, r["doc_id"], r["_shard"] if "_shard" in r else r["shard"], r["place"]) for p, r in mixing.draw(df, shards=6).rdd.mapPartitionsWithIndex(lambda k, x: ((k, r.asDict()) for r in x)).collect()]
+    assert len(rows) == sum(len(r["shards"]) for r in plain)
+    assert sorted((i, s) for _, i, s, _ in rows) == sorted((r["doc_id"], s) for r in plain for s in r["shards"])
+    by_task = {}
+    for p, _, s, place in rows:
+        by_task.setdefault(p, []).append((s, place))
+    assert all(len({s for s, _ in x}) == 1 and [y for _, y in x] == sorted(y for _, y in x) for x in by_task.values()) and len(by_task) > 6
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 2)
+    few = mixing.mix(df, shards=6).collect()
+    taken = lambda rows, s: sum(r["taken"] for r in rows if r["source"] == s)
+    assert all(taken(few, s) == taken(plain, s) for s in "ab") and all(r["taken"] <= 2 * r["size"] for r in few)
+
+
 def test_splitting_tree():
     quotas = np.array([100, 7, 0, 333])
     out = mixing.split_quotas(quotas, 13, 5)
