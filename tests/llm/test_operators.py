@@ -619,7 +619,7 @@ def test_pii_equals_plain_discovery(spark):
             out.append(f"{hint}{rng.choice([' ', ': ', ', '])}{said}{rng.choice([' ', '. ', ' and '])}{rng.choice(cues)}")
         texts.append((k, " ".join(out)))
     long = "q" * 31
-    texts += [(300 + k, f"x{k % 2}{long} +1 (300) 555-{k:04d} x") for k in range(30)] + [(340, f"y{long} 300 555 9999 z"), (341, f"{'q' * 29} 300 555 9998 z"), (342, f"call{' ' * 8}303 555 0001"), (343, f"call{' ' * 9}303 555 0002"), (350, None), (351, "")]
+    texts += [(300 + k, f"x{k % 2}{long} +1 (300) 555-{k:04d} x") for k in range(30)] + [(400 + k, f"dial +1 (400) 555-{k:04d}") for k in range(30)] + [(340, f"y{long} 300 555 9999 z"), (341, f"{'q' * 29} 300 555 9998 z"), (342, f"dial{' ' * 8}303 555 0001"), (343, f"dial{' ' * 9}303 555 0002"), (350, None), (351, "")]
     want = plain_discovery(texts)
     got = {r["doc_id"]: r["s"] for r in pii.find(documents(spark, texts, clash=True)).select("doc_id", pii.spans_text("spans").alias("s")).collect()}
     assert got == want
