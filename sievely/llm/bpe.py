@@ -35,9 +35,9 @@ from ._common import slices, small_batches
 
 #: The pre-split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose encoding a worker keeps; beyond it the oldest half goes.
-KEPT_WORDS = 400_000
-#: Words longer than this (in bytes) are encoded anew each time, so that the kept words stay small.
+#: Distinct runs and words whose encoding a worker keeps; beyond it the oldest quarter goes.
+KEPT_WORDS = 700_000
+#: Those longer than this are encoded anew each time, so that the kept words stay small.
 KEPT_LENGTH = 64
 #: Entries of the arc table; a full one is begun anew.
 KEPT_ARCS = 600_000
@@ -188,10 +188,10 @@ def compile_automaton(path: str) -> tuple[Automaton, dict[str, int]]:
     return Automaton(labels, merges), specials
 
 
-def _keep(kept: dict[str, bytes], word: str, ids: bytes, length: int) -> None:
-    if length <= KEPT_LENGTH:
+def _keep(kept: dict[str, bytes], word: str, ids: bytes) -> None:
+    if len(word) <= KEPT_LENGTH:
         if len(kept) >= KEPT_WORDS:
-            for old in list(kept)[: KEPT_WORDS // 2]:
+            for old in list(kept)[: KEPT_WORDS // 4]:
                 del kept[old]
         kept[word] = ids
 
@@ -212,7 +212,7 @@ class Coder:
         for text, i in self.specials.items():
             by_id[i] = text.encode()
         self.by_id = by_id
-        #: Ids of words, and of a space with the run of other characters behind it.
+        #: Ids of words that begin without a space, and of a space with the run of other characters behind it.
         self.known: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -223,16 +223,24 @@ class Coder:
         return cls._made[path]
 
     def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
+        kept, key = (self.runs, word[1:]) if word[0] == " " else (self.known, word)
+        found = kept.get(key)
         if found is None:
-            raw = word.encode()
-            found = array("i", self.automaton.encode(raw)).tobytes()
-            _keep(self.known, word, found, len(raw))
+            found = array("i", self.automaton.encode(word.encode())).tobytes()
+            _keep(kept, key, found)
         return found
 
     def _plain(self, text: str) -> bytes:
         return b"".join([self._word(w) for w in self.words.findall(text)])
 
+    def _run(self, run: str) -> bytes:
+        """The ids of a space and a run without white space, for which none are kept."""
+        if run.isalpha() and max(run) < "\u0250":
+            return self._word(" " + run)
+        found = self._plain(" " + run)
+        _keep(self.runs, run, found)
+        return found
+
     def _between_specials(self, text: str) -> list[bytes]:
         """No word of the pre-split goes on over white space behind another character, so texts are cut there and runs are kept whole."""
         runs, out, held = self.runs, [], []
@@ -246,10 +254,8 @@ class Coder:
                 held += (" ", run)
             if not run or run[-1].isspace():
                 continue  # white space belongs to what follows
-            found = self._plain("".join(held))
-            if k and len(held) == 2 and len(run.split()) == 1:
-                _keep(runs, run, found, len(run))
-            out.append(found)
+            bare = k and len(held) == 2 and len(run.split()) == 1
+            out.append(self._run(run) if bare else self._plain("".join(held)))
             held = []
         return [*out, self._plain("".join(held))]
 
