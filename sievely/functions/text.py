@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ OPENERS = "def class fn func function impl struct enum trait interface type modu
 
 #: \b is spelled out: engines differ on letters beyond ASCII.
 DEFINITION = rf"^\s*(?:(?:pub(?:\([a-z]+\))?|{'|'.join(MODIFIERS)})\s+)*(?:macro_rules!|(?:{'|'.join(OPENERS)})(?![0-9A-Za-z_]))"
-_definition = re.compile(DEFINITION)
+_definition = re.compile(DEFINITION, re.A)
 
 
 def lines_of(text: Column) -> Column:
@@ -104,26 +105,23 @@ def path_matches(path: Column, patterns: list[str]) -> Column:
     return hit
 
 
-def listing(lines: Column, first: Column, last: Column) -> Column:
-    """Numbered lines: right-aligned number, |, space, text."""
-    width = F.length(last.cast("string"))
-    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lpad((first + i).cast("string"), width, " "), F.lit("| "), x)), "\n")
+# Python twins, for code that has a whole file at hand.
 
+#: Characters of the Unicode property White_Space, as (?U)\s has them.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-# Python twins.
 
+def py_lines_of(text: str) -> list[str]:
+    parts = text.replace("\r\n", "\n").split("\n")
+    return parts if parts[-1] else parts[:-1]
 
-def py_lines(data: bytes) -> list[str] | None:
-    """Lines of a file's bytes; None if it is binary (NUL in the first 8,192 bytes)."""
-    if b"\0" in data[:8192]:
-        return None
-    text = data.decode("utf-8", "replace")
-    parts = re.split("\r?\n", text)
-    return parts[:-1] if parts[-1] == "" else parts
+
+def py_costs(lengths: np.ndarray, questions_per_line: float) -> np.ndarray:
+    return 6 + lengths // 3 + int(QUESTION_TOKENS * questions_per_line + 0.5)
 
 
 def py_clip(line: str) -> str:
-    line = line.rstrip()
+    line = line.rstrip(WHITE_SPACE)
     return line[:MAX_LINE_CHARS] + " ..." if len(line) > MAX_LINE_CHARS else line
 
 
@@ -132,7 +130,7 @@ def py_is_definition(line: str) -> bool:
 
 
 def py_indent(line: str) -> int:
-    return len(line) - len(line.lstrip())
+    return len(line) - len(line.lstrip(WHITE_SPACE))
 
 
 def py_glob(text: str, pattern: str) -> bool:

@@ -11,15 +11,20 @@ from .scoring import LEVELS
 KEY = ["query_idx", "path"]
 
 
-def fold_files(scored: DataFrame) -> DataFrame:
-    """query_idx, path, score (best section that passes the filter), confidence (its; ties: the last section), keep (mean)."""
+def measures() -> list[Column]:
+    """Of a file's scored chunks: score (best section that passes the filter), confidence (its; ties: the last section), keep (mean)."""
     passes = F.col("section_keep") >= GATE
     best = F.struct("score", "start")
-    return scored.groupBy(*KEY).agg(
+    return [
         F.coalesce(F.max(F.when(passes, F.col("score") / (LEVELS - 1))), F.lit(0.0)).alias("score"),
         F.coalesce(F.max_by(F.when(passes, F.col("confidence")), F.when(passes, best)), F.lit(0.0)).alias("confidence"),
         F.avg("section_keep").alias("keep"),
-    )
+    ]
+
+
+def fold_files(scored: DataFrame) -> DataFrame:
+    """query_idx, path, score, confidence, keep."""
+    return scored.groupBy(*KEY).agg(*measures())
 
 
 def rank_of(score: Column, evidence: Column) -> Column:
@@ -27,10 +32,10 @@ def rank_of(score: Column, evidence: Column) -> Column:
 
 
 def rank_files(files: DataFrame, lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """files with evidence (best line or block, 0 at least) and rank."""
+    """files with evidence (best line or block, 0 at least) and rank; best first, then by path."""
     found = lines.select(*KEY, "p").unionByName(blocks.select(*KEY, "p")).groupBy(*KEY).agg(F.max("p").alias("evidence"))
     out = files.join(found, KEY, "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0)))
-    return out.withColumn("rank", rank_of(F.col("score"), F.col("evidence")))
+    return out.withColumn("rank", rank_of(F.col("score"), F.col("evidence"))).orderBy("query_idx", F.desc("rank"), "path")
 
 
 def filtered_out(lines: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:

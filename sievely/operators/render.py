@@ -34,18 +34,14 @@ def round4(x: float) -> float:
 
 def collect(sel: Selection) -> dict[int, list[dict]]:
     """Per query the shown files in order, with their regions and lines."""
-    files = [r.asDict() | {"regions": [], "lines": []} for r in sel.files.orderBy("query_idx", "place").collect()]
-    by = {(f["query_idx"], f["path"]): f for f in files}
-    shown = sel.files.select("query_idx", "path")
-    for r in sel.regions.join(shown, ["query_idx", "path"]).orderBy("start").collect():
-        by[r["query_idx"], r["path"]]["regions"].append(r.asDict() | {"lines": []})
-    for r in sel.lines.join(shown, ["query_idx", "path"]).orderBy("line").collect():
-        f = by[r["query_idx"], r["path"]]
-        home = next((x["lines"] for x in f["regions"] if x["start"] == r["region"]), f["lines"])
-        home.append({"line": r["line"], "p": r["p"], "text": r["text"]})
     out: dict[int, list[dict]] = {}
-    for f in files:
-        out.setdefault(f["query_idx"], []).append(f)
+    for row in sel.shown.orderBy("query_idx", "place").collect():
+        f = row.asDict(recursive=True)
+        regions = sorted(({**r, "lines": []} for r in f["regions"]), key=lambda r: r["start"])
+        alone, home = [], {r["start"]: r["lines"] for r in regions}
+        for h in sorted(f["lines"], key=lambda h: h["line"]):
+            home.get(h["region"], alone).append({"line": h["line"], "p": h["p"], "text": h["text"]})
+        out.setdefault(f["query_idx"], []).append(f | {"regions": regions, "lines": alone})
     return out
 
 

@@ -64,14 +64,23 @@ def _any_in(numbers: str | Column, b: Column) -> Column:
     return F.exists(numbers, lambda n: (n >= b["start"]) & (n <= b["end"]))
 
 
+def line_array(least: float = 0.0) -> Column:
+    """Of a scored chunk: array<struct<line, p, text, section, keep>> of the lines worth a question with p >= least; a line inherits its block's keep."""
+    inside = lambda n: (n >= F.col("start")) & (n <= F.col("end"))
+    numbers = F.filter("hot", inside) if least > COLD_LINE else F.sequence("start", "end")
+    blocks = F.arrays_zip(F.col("blocks").alias("b"), F.col("block_keeps").alias("k"))
+
+    def of(n: Column) -> Column:
+        keep = F.get(F.filter(blocks, lambda z: (z["b"]["start"] <= n) & (n <= z["b"]["end"])), F.lit(0))["k"]
+        p = F.when(F.array_contains("hot", n), F.lit(HOT_LINE)).otherwise(F.lit(COLD_LINE))
+        return F.struct(n.cast("int").alias("line"), p.alias("p"), F.get("lines", n - F.col("ctx_start")).alias("text"), (F.col("score") / (LEVELS - 1)).alias("section"), F.coalesce(keep, F.col("section_keep")).alias("keep"))
+
+    return F.filter(F.transform(numbers, of), lambda z: tx.askable(z["text"]) & (z["p"] >= least))
+
+
 def line_hits(scored: DataFrame) -> DataFrame:
-    """query_idx, path, line, p, text, section, keep of every line worth a question; a line inherits its block's keep."""
-    rows = scored.select("query_idx", "path", "ctx_start", "start", "hot", "section_keep", "block_keeps", "blocks", (F.col("score") / (LEVELS - 1)).alias("section"), F.posexplode(F.slice("lines", F.col("start") - F.col("ctx_start") + 1, F.col("end") - F.col("start") + 1)).alias("at", "text"))
-    line = F.col("start") + F.col("at")
-    keeps = F.filter(F.arrays_zip(F.col("blocks").alias("b"), F.col("block_keeps").alias("k")), lambda z: (z["b"]["start"] <= line) & (line <= z["b"]["end"]))
-    keep = F.coalesce(F.get(keeps, F.lit(0))["k"], F.col("section_keep"))
-    p = F.when(F.array_contains("hot", line), F.lit(HOT_LINE)).otherwise(F.lit(COLD_LINE))
-    return rows.where(tx.askable(F.col("text"))).select("query_idx", "path", line.alias("line"), p.alias("p"), "text", "section", keep.alias("keep"))
+    """query_idx, path, line, p, text, section, keep of every line worth a question."""
+    return scored.select("query_idx", "path", F.explode(line_array()).alias("z")).select("query_idx", "path", "z.*")
 
 
 def block_label(lines: Column) -> Column:
@@ -95,17 +104,27 @@ def _trim(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def block_array(least: float = 0.0) -> Column:
+    """Of a scored chunk: array<struct<start, end, p, label, label_line, keep>> of the blocks with p >= least."""
+    blocks = F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("block_keeps").alias("k")), lambda z: F.struct(
+        z["b"]["start"].alias("start"), z["b"]["end"].alias("end"), F.when(_any_in("hot", z["b"]), F.lit(HOT_BLOCK)).otherwise(F.lit(COLD_BLOCK)).alias("p"), z["k"].alias("keep")))
+    before = F.col("ctx_start")
+    owned = lambda z: F.slice("lines", z["start"] - before + 1, z["end"] - z["start"] + 1)
+    named = F.transform(F.filter(blocks, lambda z: z["p"] >= least), lambda z: F.struct(z.alias("z"), owned(z).alias("own"), block_label(owned(z)).alias("raw")))
+
+    def of(x: Column) -> Column:
+        raw, start = x["raw"], x["z"]["start"]
+        owner = _trim(F.when((raw == "") | tx.is_definition(raw), F.lit(None)).otherwise(_owner(F.slice("lines", F.lit(1), start - before), raw)))
+        short = F.when(F.length(owner) > 60, F.concat(F.substring(owner, 1, 57), F.lit("..."))).otherwise(owner)
+        at = start + F.greatest(F.array_position(x["own"], raw).cast("int") - 1, F.lit(0))
+        return F.struct(x["z"]["start"].alias("start"), x["z"]["end"].alias("end"), x["z"]["p"].alias("p"), F.coalesce(F.concat(short, F.lit(" > "), _trim(raw)), _trim(raw)).alias("label"), at.cast("int").alias("label_line"), x["z"]["keep"].alias("keep"))
+
+    return F.transform(named, of)
+
+
 def block_hits(scored: DataFrame) -> DataFrame:
     """query_idx, path, start, end, p, label, label_line, keep of every block."""
-    rows = scored.select("query_idx", "path", "ctx_start", "hot", "lines", F.explode(F.arrays_zip(F.col("blocks").alias("b"), F.col("block_keeps").alias("k"))).alias("z"))
-    rows = rows.select("query_idx", "path", "ctx_start", "hot", "lines", "z.b.start", "z.b.end", F.col("z.k").alias("keep"))
-    rows = rows.withColumn("own", F.slice("lines", F.col("start") - F.col("ctx_start") + 1, F.col("end") - F.col("start") + 1)).withColumn("raw", block_label(F.col("own")))
-    at = F.col("start") + F.greatest(F.array_position("own", F.col("raw")).cast("int") - 1, F.lit(0))
-    owner = _trim(F.when((F.col("raw") == "") | tx.is_definition(F.col("raw")), F.lit(None)).otherwise(_owner(F.slice("lines", F.lit(1), F.col("start") - F.col("ctx_start")), F.col("raw"))))
-    short = F.when(F.length(owner) > 60, F.concat(F.substring(owner, 1, 57), F.lit("..."))).otherwise(owner)
-    label = F.when(owner.isNull(), _trim(F.col("raw"))).otherwise(F.concat(short, F.lit(" > "), _trim(F.col("raw"))))
-    p = F.when(_any_in("hot", F.struct("start", "end")), F.lit(HOT_BLOCK)).otherwise(F.lit(COLD_BLOCK))
-    return rows.select("query_idx", "path", "start", "end", p.alias("p"), label.alias("label"), at.cast("int").alias("label_line"), "keep")
+    return scored.select("query_idx", "path", F.explode(block_array()).alias("z")).select("query_idx", "path", "z.*")
 
 
 def question_counts(chunks: DataFrame, queries: int, terms: int, files_only: bool = False) -> DataFrame:

@@ -1,16 +1,25 @@
-"""Logical blocks of a file, and chunks of blocks under a line and a token budget. Narrow: a row per file in, arrays out."""
+"""Logical blocks of a file, and chunks of blocks under a line and a token budget. A row per file in, rows of chunks out, no shuffle.
+
+A file's lines are read once into arrays (indent, blank, definition, cost). Where a block ends is looked up in the window
+that a block can have at most; what fits a budget is looked up in sums. Only whole files are at hand, one after the other.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from ..functions import text as tx
 
 #: Lengths at which a paragraph, a member and anything may end a block.
 MIN_LEN, MEMBER_LEN, MAX_LEN, HARD_LEN, DEEP = 6, 12, 40, 50, 1_000_000
+#: Lines of what stands before it that the second half of a chunk carries.
+LEAD = 12
 
 
 @dataclass(frozen=True)
@@ -30,114 +39,166 @@ def spread(cfg: Chunking, chunks: int, jobs: int) -> Chunking | None:
     return replace(cfg, max_lines=max(1, -int(-cfg.max_lines * scale // 1)), max_tokens=max(1, -int(-cfg.max_tokens * scale // 1)))
 
 
-def with_lines(files: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
-    """files (path, text) with info array<struct<i, text, indent, blank, definition, cost>>: its clipped lines, i from 0."""
-    raw = files.withColumn("_lines", F.transform(tx.lines_of(F.col("text")), tx.clip))
-    info = F.transform("_lines", lambda x, i: F.struct(
-        i.alias("i"), x.alias("text"), tx.indent(x).alias("indent"), tx.blank(x).alias("blank"), tx.is_definition(x).alias("definition"),
-        tx.estimate_tokens(x, cfg.questions_per_line).alias("cost"),
-    ))
-    return raw.withColumn("info", info).drop("_lines")
-
-
-_SPANS = "array<struct<start:int,end:int>>"
-
-
-def blocks_of(info: Column) -> Column:
-    """array<struct<start, end>>, 1-based and inclusive: a fold over the lines, which carries the open block."""
-
-    def state(start, base, inner, last, after_blank, out) -> Column:
-        return F.struct(start.alias("start"), base.alias("base"), inner.alias("inner"), last.alias("last"), after_blank.alias("after_blank"), out.alias("out"))
-
-    none = state(F.lit(-1), F.lit(0), F.lit(DEEP), F.lit(-1), F.lit(False), F.array().cast(_SPANS))
-
-    def closed(acc: Column) -> Column:  # trailing blank lines do not belong to it
-        return F.concat(acc["out"], F.array(F.struct((acc["start"] + 1).alias("start"), (acc["last"] + 1).alias("end"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        ind, length = x["indent"], x["i"] - acc["start"]
-        member = F.least(acc["inner"], acc["base"] + 8)
-        new_top = ind < acc["base"]
-        new_definition = x["definition"] & (ind <= member) & ((ind <= acc["base"]) | (length >= MIN_LEN))
-        new_paragraph = (length >= MIN_LEN) & ((ind <= acc["base"]) | ((ind <= acc["inner"]) & (length >= MEMBER_LEN)) | (length >= MAX_LEN))
-        breaks = (acc["after_blank"] & (new_top | new_definition | new_paragraph)) | (length >= HARD_LEN)
-        inner = F.when(ind > acc["base"], F.least(acc["inner"], ind)).otherwise(acc["inner"])
-        return (
-            F.when(x["blank"], state(acc["start"], acc["base"], acc["inner"], acc["last"], F.lit(True), acc["out"]))
-            .when(acc["start"] < 0, state(x["i"], ind, F.lit(DEEP), x["i"], F.lit(False), acc["out"]))
-            .when(breaks, state(x["i"], ind, F.lit(DEEP), x["i"], F.lit(False), closed(acc)))
-            .otherwise(state(acc["start"], acc["base"], inner, x["i"], F.lit(False), acc["out"]))
-        )
-
-    return F.aggregate(info, none, step, lambda acc: F.when(acc["start"] >= 0, closed(acc)).otherwise(acc["out"]))
-
-
-def _pieces(info: Column, blocks: Column, cfg: Chunking) -> Column:
-    """Blocks, those over a budget cut; with what a piece costs."""
-    kind = "array<struct<start:int,end:int,cost:int>>"
-
-    def cut(block: Column) -> Column:
-        part = F.slice(info, block["start"], block["end"] - block["start"] + 1)
+class Page:
+    """The clipped lines of a text, and what blocks and chunks are made by; line numbers count from 1."""
+
+    def __init__(self, text: str | None):
+        self.lines = [tx.py_clip(x) for x in tx.py_lines_of(text or "")]
+        self.length = np.array([len(x) for x in self.lines], np.int64)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Places in `real`, the lines that are not blank, where blocks start."""
+        out, at = [], 0
+        while at < len(self.real):
+            out.append(at)
+            at = self._next(at)
+        return np.array(out, np.int64)
+
+    @cached_property
+    def real(self) -> np.ndarray:
+        return np.flatnonzero(self.length)
+
+    @cached_property
+    def _facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines that are not blank: indent, whether a definition, whether a blank line stands before."""
+        real = [self.lines[k] for k in self.real]
+        indent = np.array([tx.py_indent(x) for x in real], np.int64)
+        return indent, np.array([tx.py_is_definition(x) for x in real], bool), np.diff(self.real, prepend=-1) > 1
+
+    def _next(self, at: int) -> int:
+        """Where the block behind the one that starts at this place starts."""
+        indent, definition, after_blank = self._facts
+        end = int(np.searchsorted(self.real, self.real[at] + HARD_LEN))  # that line begins a new one whatever it is
+        window = slice(at + 1, min(end + 1, len(indent)))
+        ind, base, length = indent[window], indent[at], self.real[window] - self.real[at]
+        if not len(ind):
+            return len(indent)
+        # The least indent deeper than the block's own, of the lines before each.
+        inner = np.minimum.accumulate(np.concatenate(([DEEP], np.where(ind > base, ind, DEEP)[:-1])))
+        outer = ind <= base
+        opens = definition[window] & (ind <= np.minimum(inner, base + 8)) & (outer | (length >= MIN_LEN))
+        parts = (length >= MIN_LEN) & (outer | ((ind <= inner) & (length >= MEMBER_LEN)) | (length >= MAX_LEN))
+        breaks = (after_blank[window] & ((ind < base) | opens | parts)) | (length >= HARD_LEN)
+        return at + 1 + int(breaks.argmax()) if breaks.any() else len(indent)
+
+    @cached_property
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last lines; blank lines behind a block's last line belong to none."""
+        if not len(self.starts):
+            return self.starts, self.starts
+        return self.real[self.starts] + 1, self.real[np.append(self.starts[1:], len(self.real)) - 1] + 1
+
+    def chunks(self, cfg: Chunking) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """(start, end, blocks): blocks packed in order while both budgets hold; a block over a budget is cut first."""
+        most = max(1, cfg.max_lines)
+        spent = np.concatenate(([0], np.cumsum(tx.py_costs(self.length, cfg.questions_per_line))))
+        first, last = [], []
+        for a, b in zip(*(x.tolist() for x in self.blocks), strict=True):
+            while a <= b:
+                fits = int(np.searchsorted(spent, spent[a - 1] + cfg.max_tokens, side="right")) - 1
+                first.append(a)
+                last.append(max(a, min(b, a + most - 1, fits)))
+                a = last[-1] + 1
+        if not first:
+            return
+        starts, ends = np.array(first), np.array(last)
+        used = np.concatenate(([0], np.cumsum(spent[ends] - spent[starts - 1])))
+        at = 0
+        while at < len(starts):
+            by_lines = int(np.searchsorted(ends, starts[at] + most - 1, side="right"))
+            by_tokens = int(np.searchsorted(used, used[at] + cfg.max_tokens, side="right")) - 1
+            to = max(at + 1, min(by_lines, by_tokens))
+            yield first[at], last[to - 1], list(zip(first[at:to], last[at:to], strict=True))
+            at = to
+
+
+_BLOCKS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_CHUNK = {"path": pa.string(), "ctx_start": pa.int32(), "start": pa.int32(), "end": pa.int32(), "blocks": _BLOCKS, "lines": pa.list_(pa.string())}
+CHUNK = "path string, ctx_start int, start int, end int, blocks array<struct<start:int,end:int>>, lines array<string>"
+#: Characters of chunks in one batch of rows, about.
+_BATCH_CHARS = 4_000_000
+
+
+def _batches(rows: Iterator[tuple], types: dict[str, pa.DataType], size=lambda row: 1, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held, used = [], 0
+    for row in rows:
+        held.append(row)
+        used += size(row)
+        if used >= most:
+            yield _batch(held, types)
+            held, used = [], 0
+    if held:
+        yield _batch(held, types)
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
+
+
+def _pairs(blocks) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in blocks]
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Page]]:
+    for batch in batches:
+        path, text = batch.column("path"), batch.column("text")
+        for k in range(batch.num_rows):
+            yield path[k].as_py(), Page(text[k].as_py())
+
+
+def split_blocks(files: DataFrame) -> DataFrame:
+    """path, start, end of every block."""
 
-        def step(acc: Column, x: Column) -> Column:
-            n, one = x["i"] + 1, F.array(F.struct((x["i"] + 1).alias("start"), (x["i"] + 1).alias("end"), x["cost"].alias("cost")))
-            last = F.element_at(acc, -1)
-            full = (n - last["start"] >= max(1, cfg.max_lines)) | (last["cost"] + x["cost"] > cfg.max_tokens)
-            longer = F.array(F.struct(last["start"].alias("start"), n.alias("end"), (last["cost"] + x["cost"]).alias("cost")))
-            return F.when(F.size(acc) == 0, one).when(full, F.concat(acc, one)).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), longer))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((path, a, b) for path, page in _pages(batches) for a, b in zip(*(x.tolist() for x in page.blocks), strict=True))
+        yield from _batches(rows, {"path": pa.string(), "start": pa.int32(), "end": pa.int32()})
 
-        return F.aggregate(part, F.array().cast(kind), step)
+    return files.select("path", "text").mapInArrow(run, "path string, start int, end int")
 
-    return F.flatten(F.transform(blocks, cut))
 
+def chunk_files(files: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
+    """One row per chunk: path, ctx_start, start, end, blocks, lines (clipped, of ctx_start..end)."""
 
-def chunks_of(pieces: Column, cfg: Chunking) -> Column:
-    """array<struct<start, end, blocks>>: pieces packed in order while both budgets hold."""
-    kind = f"array<struct<start:int,end:int,blocks:{_SPANS}>>"
-    none = F.struct(F.array().cast(_SPANS).alias("open"), F.lit(0).alias("used"), F.array().cast(kind).alias("out"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, page in _pages(batches):
+            for start, end, blocks in page.chunks(cfg):
+                shown = max(start - cfg.context, 1)
+                yield path, shown, start, end, _pairs(blocks), page.lines[shown - 1 : end]
 
-    def closed(acc: Column) -> Column:
-        one = F.struct(F.element_at(acc["open"], 1)["start"].alias("start"), F.element_at(acc["open"], -1)["end"].alias("end"), acc["open"].alias("blocks"))
-        return F.concat(acc["out"], F.array(one))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(batches), _CHUNK, lambda row: 200 + 40 * len(row[5]), _BATCH_CHARS)
 
-    def step(acc: Column, x: Column) -> Column:
-        me = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))
-        over = (x["end"] - F.element_at(acc["open"], 1)["start"] + 1 > max(1, cfg.max_lines)) | (acc["used"] + x["cost"] > cfg.max_tokens)
-        flush = F.when(F.size(acc["open"]) > 0, over).otherwise(F.lit(False))
-        fresh = F.struct(me.alias("open"), x["cost"].alias("used"), F.when(flush, closed(acc)).otherwise(acc["out"]).alias("out"))
-        return F.when(flush | (F.size(acc["open"]) == 0), fresh).otherwise(F.struct(F.concat(acc["open"], me).alias("open"), (acc["used"] + x["cost"]).alias("used"), acc["out"].alias("out")))
+    return files.select("path", "text").mapInArrow(run, CHUNK)
 
-    return F.aggregate(pieces, none, step, lambda acc: F.when(F.size(acc["open"]) > 0, closed(acc)).otherwise(acc["out"]))
 
+def narrowed(chunk: dict, first: int, last: int, lead: int) -> dict:
+    """The chunk's lines first..last as a chunk of its own, with as many lines before them for context; blocks [(start, end)] are cut to them."""
+    held = chunk["lines"][first - lead - chunk["ctx_start"] :][: last - first + lead + 1]
+    inside = ((max(first, a), min(last, b)) for a, b in chunk["blocks"])
+    return chunk | {"ctx_start": first - lead, "start": first, "end": last, "lines": held, "blocks": [(a, b) for a, b in inside if a <= b]}
 
-def split_blocks(files: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
-    """path, start, end of every block."""
-    return with_lines(files, cfg).withColumn("blocks", blocks_of(F.col("info"))).select("path", F.explode("blocks").alias("b")).select("path", "b.start", "b.end")
 
+def halves(chunk: dict) -> list[dict]:
+    """A chunk of two lines or more in two, at the block start nearest the middle line, or there if it has one block only."""
+    whole = range(chunk["start"], chunk["end"] + 1)
+    if len(whole) < 2:
+        return []
+    middle = whole[len(whole) // 2]
+    cut = min((a for a, _ in chunk["blocks"][1:]), key=lambda a: (abs(a - middle), a), default=middle)
+    return [narrowed(chunk, whole[0], cut - 1, whole[0] - chunk["ctx_start"]), narrowed(chunk, cut, whole[-1], min(LEAD, cut - whole[0]))]
 
-def chunk_files(files: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
-    """One row per chunk: path, ctx_start, start, end, blocks, lines (clipped, of ctx_start..end)."""
-    df = with_lines(files, cfg).withColumn("blocks", blocks_of(F.col("info")))
-    df = df.withColumn("pieces", _pieces(F.col("info"), F.col("blocks"), cfg))
-    df = df.select("path", "info", F.explode(chunks_of(F.col("pieces"), cfg)).alias("c"))
-    df = df.select("path", F.greatest(F.col("c.start") - cfg.context, F.lit(1)).alias("ctx_start"), "c.start", "c.end", "c.blocks", "info")
-    return df.withColumn("lines", F.transform(F.slice("info", F.col("ctx_start"), F.col("end") - F.col("ctx_start") + 1), lambda x: x["text"])).drop("info")
 
+def halve(chunks: DataFrame) -> DataFrame:
+    """Both halves of every chunk of two lines or more, with `half` 0 or 1."""
 
-def split_point(start: Column, end: Column, blocks: Column) -> Column:
-    """The first line of the second half of a chunk that is too large: the block start nearest the middle, if it has blocks to part."""
-    middle = start + F.floor((end - start + 1) / 2).cast("int")
-    starts = F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), lambda b: F.struct(F.abs(b["start"] - middle).alias("away"), b["start"].alias("at")))
-    return F.when(F.size(blocks) > 1, F.array_min(starts)["at"]).otherwise(middle)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for k, part in enumerate(halves(row | {"blocks": [(b["start"], b["end"]) for b in row["blocks"]]})):
+                    yield (*(part[c] for c in ("path", "ctx_start", "start", "end")), _pairs(part["blocks"]), part["lines"], k)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(batches), _CHUNK | {"half": pa.int32()}, lambda row: 200 + 40 * len(row[5]), _BATCH_CHARS)
 
-def halve(chunks: DataFrame) -> DataFrame:
-    """Both halves of every chunk of two lines or more; the second carries up to 12 lines of context."""
-    whole = chunks.where(F.col("end") > F.col("start")).withColumn("mid", split_point(F.col("start"), F.col("end"), F.col("blocks")))
-    halves = F.array(
-        F.struct(F.lit(0).alias("half"), F.col("ctx_start").alias("c"), F.col("start").alias("s"), (F.col("mid") - 1).alias("e")),
-        F.struct(F.lit(1).alias("half"), F.greatest(F.col("start"), F.col("mid") - 12).alias("c"), F.col("mid").alias("s"), F.col("end").alias("e")),
-    )
-    out = whole.select("path", "blocks", "lines", F.col("ctx_start").alias("from"), F.explode(halves).alias("h"))
-    kept = F.transform(F.filter("blocks", lambda b: (b["start"] <= F.col("h.e")) & (b["end"] >= F.col("h.s"))), lambda b: F.struct(F.greatest(b["start"], F.col("h.s")).alias("start"), F.least(b["end"], F.col("h.e")).alias("end")))
-    return out.select("path", "h.half", F.col("h.c").alias("ctx_start"), F.col("h.s").alias("start"), F.col("h.e").alias("end"), kept.alias("blocks"), F.slice("lines", F.col("h.c") - F.col("from") + 1, F.col("h.e") - F.col("h.c") + 1).alias("lines"))
+    return chunks.select("path", "ctx_start", "start", "end", "blocks", "lines").mapInArrow(run, CHUNK + ", half int")

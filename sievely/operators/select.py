@@ -2,16 +2,20 @@
 
 A row is shown on its own probability; a line is shown once; a file is shown with a row at least; a relevant file in
 which nothing reached the threshold goes to the weak tier with its near misses; what the filter drops is gone first.
-All windows but the last are per file; the last, files per query, keeps `top` rows of each task before it shuffles.
+One grouping by file brings its hits together (only those at the threshold, and near misses); all rules of a file are
+decided there, in one pass. What is left is the best files per query: each task keeps `top` before they are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fold, scoring
 from .filters import GATE
 from .fold import KEY
 
@@ -38,56 +42,116 @@ def merge_regions(blocks: DataFrame) -> DataFrame:
     return merged.drop("_island")
 
 
-def best_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """One row per source line, its best, if that reaches the threshold; the filter comes first."""
-    # A line's best reaches the threshold if any of its scores does: the cold ones need not be shuffled.
-    best = lines.where((F.col("keep") >= GATE) & (F.col("p") >= threshold)).groupBy(*KEY, "line").agg(F.max_by(F.struct("p", "text", "section"), "p").alias("b"))
-    return best.select(*KEY, "line", "b.p", "b.text", "b.section")
-
-
-def weak_regions(files: DataFrame, blocks: DataFrame, strong: DataFrame, lim: Limits) -> DataFrame:
-    """Regions of relevant files with nothing at the threshold: of their two best blocks those that come near."""
-    order = Window.partitionBy(*KEY).orderBy(F.desc("p"), "start")
-    open_ = files.where(F.col("score") >= lim.file_threshold).select(*KEY).join(strong, KEY, "left_anti")
-    near = blocks.where((F.col("keep") >= GATE) & (F.col("p") >= WEAK_RATIO * lim.threshold)).join(open_, KEY, "left_semi")
-    return merge_regions(near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= WEAK_REGIONS).drop("_r"))
+def united(blocks: list[dict]) -> list[dict]:
+    """merge_regions() of one file's blocks."""
+    out: list[dict] = []
+    for b in sorted(blocks, key=lambda b: (b["start"], b["end"])):
+        if out and b["start"] <= out[-1]["end"] + 2:
+            out[-1] |= {"end": max(out[-1]["end"], b["end"]), "p": max(out[-1]["p"], b["p"])}
+        else:
+            out.append(dict(b))
+    return out
+
+
+def choose(score: float, hits: list[dict], blocks: list[dict], lim: Limits) -> dict | None:
+    """What a file shows of its lines and blocks that passed the filter; None if nothing."""
+    best: dict[int, dict] = {}
+    for h in hits:
+        if h["p"] >= lim.threshold and (h["line"] not in best or h["p"] > best[h["line"]]["p"]):
+            best[h["line"]] = h
+    regions = united([b for b in blocks if b["p"] >= lim.threshold])
+    weak = not regions and not best and score >= lim.file_threshold
+    if weak:
+        near = [b for b in blocks if b["p"] >= WEAK_RATIO * lim.threshold]
+        regions = united(sorted(near, key=lambda b: (-b["p"], b["start"]))[:WEAK_REGIONS])
+    if not regions and not best:
+        return None
+    regions.sort(key=lambda r: (-r["p"], r["start"]))
+    kept, dropped = regions[: lim.max_regions], regions[lim.max_regions :]
+    labels = {r["label_line"] for r in kept}
+    free = [h for n, h in best.items() if n not in labels and not any(r["start"] <= n <= r["end"] for r in dropped)]
+    free.sort(key=lambda h: (-h["p"], h["line"]))
+    shown = [h | {"region": next((r["start"] for r in kept if r["start"] <= h["line"] <= r["end"]), None)} for h in free[: lim.max_lines]]
+    return {
+        "relevance": max([score, *(r["p"] for r in kept), *(h["p"] for h in shown)]), "weak": weak and bool(regions), "more_regions": len(dropped),
+        "more_lines": max(0, len(free) - lim.max_lines), "regions": kept, "lines": shown,
+    }
+
+
+_REGION = "struct<start:int,end:int,p:double,label:string,label_line:int>"
+_LINE = "struct<line:int,p:double,text:string,section:double,region:int>"
+_VIEW = f"query_idx int, path string, score double, confidence double, relevance double, weak boolean, more_regions long, more_lines long, regions array<{_REGION}>, lines array<{_LINE}>"
+_REGIONS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64()), ("label", pa.string()), ("label_line", pa.int32())]))
+_LINES = pa.list_(pa.struct([("line", pa.int32()), ("p", pa.float64()), ("text", pa.string()), ("section", pa.float64()), ("region", pa.int32())]))
+_TYPES = {"query_idx": pa.int32(), "path": pa.string(), "score": pa.float64(), "confidence": pa.float64(), "relevance": pa.float64(), "weak": pa.bool_(), "more_regions": pa.int64(), "more_lines": pa.int64(), "regions": _REGIONS, "lines": _LINES}
 
 
 @dataclass
 class Selection:
-    regions: DataFrame  # kept ones: KEY, start, end, p, label, label_line
-    lines: DataFrame  # shown ones: KEY, line, p, text, section, region (start of the region that holds it, or null)
-    files: DataFrame  # KEY, score, confidence, relevance, weak, more_regions, more_lines, place
+    """views: every file with something to show, with its regions and lines; shown: the best of them per query, with their place."""
 
+    views: DataFrame
+    shown: DataFrame
 
-def select(files: DataFrame, lines: DataFrame, blocks: DataFrame, lim: Limits = Limits()) -> Selection:
-    hits = best_lines(lines, lim.threshold)
-    strong = merge_regions(blocks.where((F.col("keep") >= GATE) & (F.col("p") >= lim.threshold)))
-    has_any = strong.select(*KEY).unionByName(hits.select(*KEY)).distinct()
-    regions = strong.withColumn("weak", F.lit(False)).unionByName(weak_regions(files, blocks, has_any, lim).withColumn("weak", F.lit(True)))
-    regions = regions.withColumn("_r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("p"), "start")))
-    kept, dropped = regions.where(F.col("_r") <= lim.max_regions).drop("_r"), regions.where(F.col("_r") > lim.max_regions).drop("_r")
-    free = hits.join(kept.select(*KEY, F.col("label_line").alias("line")), [*KEY, "line"], "left_anti")
-    h, d = free.alias("h"), dropped.alias("d")
-    same = (F.col("h.query_idx") == F.col("d.query_idx")) & (F.col("h.path") == F.col("d.path"))
-    free = h.join(d, same & F.col("h.line").between(F.col("d.start"), F.col("d.end")), "left_anti")
-    ranked = free.withColumn("_r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("p"), "line")))
-    shown = ranked.where(F.col("_r") <= lim.max_lines).drop("_r")
-    s, k = shown.alias("s"), kept.select(F.col("query_idx").alias("q"), F.col("path").alias("f"), F.col("start").alias("region"), F.col("end").alias("to")).alias("k")
-    inside = (F.col("s.query_idx") == F.col("k.q")) & (F.col("s.path") == F.col("k.f")) & F.col("s.line").between(F.col("k.region"), F.col("k.to"))
-    shown = s.join(k, inside, "left").select("s.*", "region")
-    by_region = regions.groupBy(*KEY).agg(F.max(F.when(F.col("_r") <= lim.max_regions, F.col("p"))).alias("region_p"), F.greatest(F.count("*") - lim.max_regions, F.lit(0)).alias("more_regions"), F.max("weak").alias("weak"))
-    by_line = ranked.groupBy(*KEY).agg(F.max(F.when(F.col("_r") <= lim.max_lines, F.col("p"))).alias("line_p"), F.greatest(F.count("*") - lim.max_lines, F.lit(0)).alias("more_lines"))
-    # A file whose only hits lie on labels or in dropped regions still has its regions.
-    views = files.join(by_region.select(*KEY).unionByName(hits.select(*KEY)).distinct(), KEY, "left_semi").join(by_region, KEY, "left").join(by_line, KEY, "left")
-    relevance = F.greatest("score", F.coalesce("region_p", F.lit(0.0)), F.coalesce("line_p", F.lit(0.0)))
-    views = views.select(*KEY, "score", "confidence", relevance.alias("relevance"), F.coalesce("weak", F.lit(False)).alias("weak"), F.coalesce("more_regions", F.lit(0)).alias("more_regions"), F.coalesce("more_lines", F.lit(0)).alias("more_lines"))
+    @property
+    def files(self) -> DataFrame:
+        return self.shown.drop("regions", "lines")
+
+    @property
+    def regions(self) -> DataFrame:
+        """Kept regions of all views: KEY, start, end, p, label, label_line."""
+        return self.views.select(*KEY, F.explode("regions").alias("r")).select(*KEY, "r.*")
+
+    @property
+    def lines(self) -> DataFrame:
+        """Shown lines of all views: KEY, line, p, text, section, region (start of the region that holds it, or null)."""
+        return self.views.select(*KEY, F.explode("lines").alias("h")).select(*KEY, "h.*")
+
+
+def _views(rows: DataFrame, lim: Limits) -> DataFrame:
+    """rows: KEY, score, confidence, hits, blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                found = choose(row["score"], row["hits"] or [], row["blocks"] or [], lim)
+                if found:
+                    out.append(row | found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in _TYPES.items()], list(_TYPES))
+
+    some = rows.where((F.size(F.coalesce("hits", F.array())) > 0) | (F.size(F.coalesce("blocks", F.array())) > 0))
+    return some.select(F.col("query_idx").cast("int"), "path", "score", "confidence", "hits", "blocks").mapInArrow(run, _VIEW)
+
+
+def _best(views: DataFrame, lim: Limits) -> DataFrame:
     tier = views.withColumn("_r", F.row_number().over(Window.partitionBy("query_idx", "weak").orderBy(F.desc("relevance"), "path")))
-    tier = tier.where(F.col("_r") <= F.when(F.col("weak"), WEAK_FILES).otherwise(lim.top))
-    room = tier.groupBy("query_idx").agg((F.lit(lim.top) - F.count_if(~F.col("weak"))).alias("_room"))
-    tier = tier.join(room, "query_idx").where(~F.col("weak") | (F.col("_r") <= F.col("_room")))
-    place = F.row_number().over(Window.partitionBy("query_idx").orderBy("weak", F.desc("relevance"), "path"))
-    return Selection(kept.drop("weak"), shown, tier.withColumn("place", place).drop("_r", "_room"))
+    tier = tier.where(F.col("_r") <= max(lim.top, WEAK_FILES)).where(F.col("_r") <= F.when(F.col("weak"), WEAK_FILES).otherwise(lim.top))
+    # A handful of rows per query from here on.
+    per_query = Window.partitionBy("query_idx")
+    room = F.lit(lim.top) - F.count_if(~F.col("weak")).over(per_query)
+    tier = tier.withColumn("_room", room).where(~F.col("weak") | (F.col("_r") <= F.col("_room")))
+    return tier.withColumn("place", F.row_number().over(per_query.orderBy("weak", F.desc("relevance"), "path"))).drop("_r", "_room")
+
+
+def _selected(rows: DataFrame, lim: Limits) -> Selection:
+    views = _views(rows, lim)
+    return Selection(views, _best(views, lim))
+
+
+def select(files: DataFrame, lines: DataFrame, blocks: DataFrame, lim: Limits = Limits()) -> Selection:
+    """files (KEY, score, confidence), line and block hits as their operators give them."""
+    hits = lines.where((F.col("keep") >= GATE) & (F.col("p") >= lim.threshold)).groupBy(*KEY).agg(F.collect_list(F.struct("line", "p", "text", "section")).alias("hits"))
+    near = blocks.where((F.col("keep") >= GATE) & (F.col("p") >= WEAK_RATIO * lim.threshold)).groupBy(*KEY).agg(F.collect_list(F.struct("start", "end", "p", "label", "label_line")).alias("blocks"))
+    return _selected(files.join(hits, KEY, "left").join(near, KEY, "left"), lim)
+
+
+def select_scored(scored: DataFrame, lim: Limits = Limits()) -> Selection:
+    """select() of the lexical backend's scored chunks: files, lines and blocks by one grouping."""
+    passing = lambda hits: F.filter(hits, lambda z: z["keep"] >= GATE)
+    rows = scored.select(*KEY, "start", "score", "confidence", "section_keep", passing(scoring.line_array(lim.threshold)).alias("h"), passing(scoring.block_array(WEAK_RATIO * lim.threshold)).alias("b"))
+    gathered = lambda c: F.flatten(F.collect_list(F.when(F.size(c) > 0, F.col(c))))
+    return _selected(rows.groupBy(*KEY).agg(*fold.measures(), gathered("h").alias("hits"), gathered("b").alias("blocks")), lim)
 
 
 def select_files(files: DataFrame, file_threshold: float = 0.6, top: int = 15) -> DataFrame:
@@ -99,10 +163,11 @@ def select_files(files: DataFrame, file_threshold: float = 0.6, top: int = 15) -
 
 def rows_of(sel: Selection) -> DataFrame:
     """The rows of shown files in file order: kind region or line, start, end, p, text, nested, weak, place."""
-    f = sel.files.select(*KEY, "weak", "place")
-    regions = sel.regions.join(f, KEY).select(*KEY, "place", "weak", F.lit("region").alias("kind"), "start", "end", "p", F.col("label").alias("text"), F.lit(False).alias("nested"))
-    lines = sel.lines.join(f, KEY).select(*KEY, "place", "weak", F.lit("line").alias("kind"), F.col("line").alias("start"), F.col("line").alias("end"), "p", "text", F.col("region").isNotNull().alias("nested"))
-    return regions.unionByName(lines)
+    f = sel.shown.select(*KEY, "place", "weak", "regions", "lines")
+    head = [*KEY, "place", "weak"]
+    region = lambda r: F.struct(F.lit("region").alias("kind"), r["start"].alias("start"), r["end"].alias("end"), r["p"].alias("p"), r["label"].alias("text"), F.lit(False).alias("nested"))
+    line = lambda h: F.struct(F.lit("line").alias("kind"), h["line"].alias("start"), h["line"].alias("end"), h["p"].alias("p"), h["text"].alias("text"), h["region"].isNotNull().alias("nested"))
+    return f.select(*head, F.explode(F.concat(F.transform("regions", region), F.transform("lines", line))).alias("x")).select(*head, "x.*")
 
 
 def context_lines(hits: DataFrame, lines: DataFrame, around: int) -> DataFrame:

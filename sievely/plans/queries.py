@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,20 +31,8 @@ def _scored(spark: SparkSession, d: str, words=(WORD,), rules: bool = False) ->
     return scoring.score_chunks(segment.chunk_files(corpus.files(spark, d), segment.Chunking(questions_per_line=float(len(words)))), search)
 
 
-_held: list[DataFrame] = []
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df, kept until the next query asks for this: the corpus is segmented and scored once, whatever reads the scores."""
-    while _held:
-        _held.pop().unpersist()
-    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return df
-
-
 def _select(spark: SparkSession, d: str, words=(WORD,), lim: sel.Limits = sel.Limits()) -> sel.Selection:
-    s = _kept(_scored(spark, d, words))
-    return sel.select(fold.fold_files(s), scoring.line_hits(s), scoring.block_hits(s), lim)
+    return sel.select_scored(_scored(spark, d, words), lim)
 
 
 def lines_enumerate(spark, d):
