@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import re
 import sys
 import time
 
 from pyspark.sql import SparkSession
 
+from .functions import text as tx
 from .operators import filters, fold, questions, render, rulecheck, scoring, segment, select
 from .sources import backends, files
 
@@ -45,8 +47,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--chunk-lines", type=int, default=150)
     p.add_argument("--chunk-tokens", type=int, default=14_000)
     p.add_argument("--backend", choices=["lexical", "http", "chat"], default="lexical")
-    p.add_argument("--url")
-    p.add_argument("--model", default="default")
+    p.add_argument("--url", default=os.environ.get("DECISION_URL"))
+    p.add_argument("--model", default=os.environ.get("DECISION_MODEL", "default"))
+    p.add_argument("--color", choices=["auto", "always", "never"], default="auto")
     p.add_argument("--triage", action="store_true", help="judge paths first, open the likely ones only")
     p.add_argument("--triage-threshold", type=float, default=0.2)
     p.add_argument("--max-files", type=int, default=1500)
@@ -64,8 +67,8 @@ def _backend(a: argparse.Namespace, words: list[str], retries: int = 8):
         return lambda: backends.LexicalBackend(words)
     if not a.url:
         raise ValueError("--url is needed")
-    kind, url, model = {"http": backends.HttpBackend, "chat": backends.ChatBackend}[a.backend], a.url, a.model
-    return lambda: kind(url=url, model=model, retries=retries)
+    kind, url, model, jobs = {"http": backends.HttpBackend, "chat": backends.ChatBackend}[a.backend], a.url, a.model, a.jobs
+    return lambda: kind(url=url, model=model, retries=retries, jobs=jobs)
 
 
 def check_rules(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -79,10 +82,11 @@ def check_rules(spark: SparkSession, a: argparse.Namespace) -> int:
         print(plan.report("planned", [], 0))
         return 0
     words = [w for c in plan.criteria for w in words_of(c.text)]
-    found, done = plan.evaluate(_backend(a, words, 0)())
+    backend = _backend(a, words, 0)()
+    found, done = plan.evaluate(backend)
     status = plan.status(found, done)
-    print(plan.report(status, found, done))
-    return 2 if status == "incomplete" else int(status == "findings")
+    print(plan.report(status, found, done, backend))
+    return 2 if status == "incomplete" else 0  # findings are advice
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -111,7 +115,8 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
         print(f"path triage kept {listed.count()} of {n_files} files", file=sys.stderr)
     per_line = 0.0 if a.files else len(queries) + 0.12 * len(rules.terms())
     cfg = segment.Chunking(a.chunk_lines, a.chunk_tokens, questions_per_line=per_line)
-    texts = files.read_files(listed)
+    unreadable = spark.sparkContext.accumulator(0)
+    texts = files.read_files(listed, unreadable)
     chunks = segment.chunk_files(texts, cfg)
     if a.backend == "chat" and (finer := segment.spread(cfg, chunks.count(), a.jobs)):
         chunks = segment.chunk_files(texts, finer)  # it answers one question after the other: fill its lanes
@@ -128,10 +133,11 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
         scored, lines, blocks = questions.score_answers(asked, len(queries), rules)
     folded = fold.fold_files(scored)
     if a.stats:
-        u = fold.usage(scored).first()
+        u = (fold.usage(scored) if a.backend == "lexical" else fold.usage_of(asked)).first()
+        retries = f", {u['retries']:,} retries" if a.backend != "lexical" else ""
         gone = fold.filtered_out(lines, blocks, a.threshold).collect() if rules else []
         left_out = f", the filter took {sum(r['regions'] for r in gone)} regions and {sum(r['lines'] for r in gone)} lines" if gone else ""
-        print(f"{n_files:,} files, {u['requests']:,} requests, {u['input_tokens']:,} tokens, ${u['cost']:.4f}, {time.time() - began:.1f} s{left_out}", file=sys.stderr)
+        print(f"{n_files:,} files, {u['requests']:,} requests{retries}, {u['input_tokens']:,} tokens, ${u['cost']:.4f}, {time.time() - began:.1f} s{left_out}", file=sys.stderr)
     lim, shown = select.Limits(a.threshold, a.file_threshold, a.top, a.max_regions, a.max_lines), False
     if a.files:
         best = select.select_files(folded, a.file_threshold, a.top)
@@ -141,7 +147,13 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
             print((f"== {q}\n" if len(queries) > 1 and not a.json else "") + (text or ("(no matches)\n" if len(queries) > 1 and not a.json else "")) + ("\n" if len(queries) > 1 and not a.json else ""), end="")
         return int(not shown)
     by_query = render.collect(select.select(folded, lines, blocks, lim))
-    source = {r["path"]: r["text"].splitlines() for r in texts.collect()} if a.context else None
+    source = None
+    if a.context:  # of the files shown, which the limits bound
+        paths = sorted({f["path"] for found in by_query.values() for f in found})
+        source = {r["path"]: tx.py_lines_of(r["text"]) for r in texts.where(texts["path"].isin(paths)).collect()}
+    color = render.wants_color(a.color, dict(os.environ), sys.stdout.isatty())
+    if unreadable.value:
+        print("some files could not be read", file=sys.stderr)
     for i, q in enumerate(queries):
         found = by_query.get(i, [])
         shown = shown or any(not f["weak"] or not a.no_heading for f in found)
@@ -150,7 +162,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
         elif a.no_heading:
             print(render.flat(found), end="")
         else:
-            print((f"== {q}\n" if len(queries) > 1 else "") + (render.grouped(found, lim, a.context, source) or ("(no matches)\n\n" if len(queries) > 1 else "")), end="")
+            print((f"== {q}\n" if len(queries) > 1 else "") + (render.grouped(found, lim, a.context, source, color) or ("(no matches)\n\n" if len(queries) > 1 else "")), end="")
     return int(not shown)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,12 +22,25 @@ def precision_recall(found: DataFrame, truth: DataFrame, judged: DataFrame) -> D
 
 
 def match_findings(findings: DataFrame, labels: DataFrame) -> DataFrame:
-    """findings (case, criterion, start, end) with hit: whether it holds a label (case, criterion, line) that no earlier finding took."""
-    keyed = findings.withColumn("fid", F.struct("start", "end"))
-    inside = keyed.join(labels, ["case", "criterion"]).where(F.col("line").between(F.col("start"), F.col("end")))
-    first = inside.withColumn("_r", F.row_number().over(Window.partitionBy("case", "criterion", "line").orderBy("start", "end"))).where("_r = 1")
-    taken = first.select("case", "criterion", "fid").distinct().withColumn("hit", F.lit(True))
-    return keyed.join(taken, ["case", "criterion", "fid"], "left").select("case", "criterion", "start", "end", F.coalesce("hit", F.lit(False)).alias("hit"))
+    """findings (case, criterion, start, end, ord: their place in the report) with hit. labels: case, criterion, line, ord.
+
+    A finding stands for the first label of its case and criterion whose line it holds; of the findings that stand for one
+    label the first is a hit.
+    """
+    told = labels.select("case", "criterion", "line", F.col("ord").alias("label"))
+    held = findings.join(told, ["case", "criterion"]).where(F.col("line").between(F.col("start"), F.col("end"))).groupBy("case", "ord").agg(F.min("label").alias("label"))
+    hits = held.groupBy("case", "label").agg(F.min("ord").alias("ord")).select("case", "ord", F.lit(True).alias("hit"))
+    return findings.join(hits, ["case", "ord"], "left").select("case", "criterion", "start", "end", "ord", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def finding_measures(findings: DataFrame, labels: DataFrame, cases: DataFrame) -> DataFrame:
+    """tp, fp, fn, incomplete, cases, precision, recall, valid over the complete ones of cases (case, status); any incomplete one makes the run invalid."""
+    complete = cases.where(F.col("status").isin("findings", "no_findings")).select("case")
+    n = match_findings(findings.join(complete, "case"), labels.join(complete, "case")).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
+    n = n.join(labels.join(complete, "case").agg(F.count("*").alias("n"))).join(cases.agg(F.count_if(~F.col("status").isin("findings", "no_findings")).alias("incomplete"), F.count("*").alias("cases")))
+    share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(a) + F.col(b)), 6)
+    n = n.withColumn("fn", F.col("n") - F.col("tp"))
+    return n.select("tp", "fp", "fn", "incomplete", "cases", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"), (F.col("incomplete") == 0).alias("valid"))
 
 
 def known_answers(shown: DataFrame, truth: DataFrame) -> DataFrame:

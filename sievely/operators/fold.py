@@ -59,3 +59,10 @@ def usage(scored: DataFrame, price: float = 0.042) -> DataFrame:
     requests = scored.where("query_idx = 0").agg(F.count("*").alias("requests"))
     tokens = (F.col("requests") * INPUT_TOKENS).alias("input_tokens"), (F.col("requests") * OUTPUT_TOKENS).alias("output_tokens")
     return requests.select("requests", *tokens, (F.col("requests") * INPUT_TOKENS * price / 1e6).alias("cost"))
+
+
+def usage_of(answers: DataFrame, price: float = 0.042) -> DataFrame:
+    """Of answer rows: requests, retries and tokens as the service reported them, cost by price, reported_cost (null if never reported), tier (one, or mixed)."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requests", "retries", "input_tokens", "output_tokens")]
+    tier = F.when(F.count_distinct("tier") > 1, F.lit("mixed")).otherwise(F.max("tier"))
+    return answers.agg(*sums, F.sum("reported_cost").alias("reported_cost"), tier.alias("tier")).withColumn("cost", F.col("input_tokens") * price / 1e6)

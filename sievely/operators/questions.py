@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.backends import DecisionBackend, DecisionError
+from ..sources.backends import DecisionBackend, DecisionError, Usage
 from . import segment
 from .filters import Rules
 
@@ -70,7 +71,7 @@ def ask_chunk(backend: DecisionBackend, chunk: dict, ask: Callable[[dict], tuple
         return [x for p in parts for x in ask_chunk(backend, p, ask)]
 
 
-ANSWERS = "path string, ctx_start int, start int, end int, blocks array<struct<start:int,end:int>>, lines array<string>, answers map<string,double>, confidences map<string,double>, error_kind string, error string"
+ANSWERS = "path string, ctx_start int, start int, end int, blocks array<struct<start:int,end:int>>, lines array<string>, answers map<string,double>, confidences map<string,double>, error_kind string, error string, requests long, retries long, input_tokens long, output_tokens long, reported_cost double, tier string"
 
 
 def ask_backend(chunks: DataFrame, make: Callable[[], DecisionBackend], queries: list[str], files_only: bool = False, broad: bool = False, rules: Rules | None = None) -> DataFrame:
@@ -81,26 +82,40 @@ def ask_backend(chunks: DataFrame, make: Callable[[], DecisionBackend], queries:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make()
-        for batch in batches:
+
+        def ask(row: dict) -> list[tuple]:
+            chunk = row | {"blocks": [(b["start"], b["end"]) for b in row["blocks"]], "lines": list(row["lines"])}
+            try:
+                parts = ask_chunk(backend, chunk, lambda c: build_request(queries, c, files_only, broad, rules))
+            except DecisionError as e:
+                if e.kind == "auth":
+                    raise
+                return [(*_plain(chunk), {}, {}, e.kind, e.message)]
             out = []
-            for row in batch.to_dict("records"):
-                chunk = row | {"blocks": [(b["start"], b["end"]) for b in row["blocks"]], "lines": list(row["lines"])}
-                try:
-                    parts = ask_chunk(backend, chunk, lambda c: build_request(queries, c, files_only, broad, rules))
-                except DecisionError as e:
-                    if e.kind == "auth":
-                        raise
-                    out.append((*_plain(chunk), {}, {}, e.kind, e.message))
-                    continue
-                for c, got in parts:
-                    values = {k: float(v.get("noul", v.get("score", 0.0)) or 0.0) for k, v in got.items()}
-                    sure = {k: float(v["confidence"]) for k, v in got.items() if "confidence" in v}
-                    out.append((*_plain(c), values, sure, None, None))
-            yield pd.DataFrame(out, columns=["path", "ctx_start", "start", "end", "blocks", "lines", "answers", "confidences", "error_kind", "error"])
+            for c, got in parts:
+                values = {k: float(v.get("noul", v.get("score", 0.0)) or 0.0) for k, v in got.items()}
+                sure = {k: float(v["confidence"]) for k, v in got.items() if "confidence" in v}
+                out.append((*_plain(c), values, sure, None, None))
+            return out
+
+        with ThreadPoolExecutor(max(1, getattr(backend, "jobs", 1))) as lanes:
+            for batch in batches:
+                before = _spent(backend)
+                out = [row for rows in lanes.map(ask, batch.to_dict("records")) for row in rows]
+                # What a batch took stands in its first row.
+                after = _spent(backend)
+                cost = None if after[4] is None else after[4] - (before[4] or 0.0)
+                rest = [(*(b - a for a, b in zip(before[:4], after[:4], strict=True)), cost, after[5])] + [(0, 0, 0, 0, None, None)] * (len(out) - 1)
+                yield pd.DataFrame([(*x, *y) for x, y in zip(out, rest, strict=True)], columns=[c.split()[0] for c in ANSWERS.replace("struct<start:int,end:int>", "x").replace("string,double", "x").split(", ")])
 
     return chunks.select("path", "ctx_start", "start", "end", "blocks", "lines").mapInPandas(run, ANSWERS)
 
 
+def _spent(backend: DecisionBackend) -> tuple:
+    u = getattr(backend, "usage", None) or Usage()
+    return u.requests, u.retries, u.input_tokens, u.output_tokens, u.reported_cost, "mixed" if len(u.tiers) > 1 else next(iter(u.tiers), None)
+
+
 def _plain(c: dict) -> tuple:
     return c["path"], c["ctx_start"], c["start"], c["end"], [{"start": a, "end": b} for a, b in c["blocks"]], c["lines"]
 

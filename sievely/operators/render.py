@@ -10,6 +10,20 @@ from pyspark.sql import DataFrame
 from .select import WEAK_RATIO, Limits, Selection
 
 
+def wants_color(flag: str, env: dict[str, str], tty: bool) -> bool:
+    """always and never as said; else NO_COLOR and a dumb terminal forbid, FORCE_COLOR and CLICOLOR_FORCE ask, CLICOLOR=0 forbids, and a terminal has it."""
+    if flag != "auto":
+        return flag == "always"
+    if env.get("NO_COLOR") or env.get("TERM") == "dumb":
+        return False
+    forced = any(env.get(k, "0") not in ("", "0") for k in ("FORCE_COLOR", "CLICOLOR_FORCE"))
+    return forced or (tty and env.get("CLICOLOR") != "0")
+
+
+def _painted(text: str, code: str, color: bool) -> str:
+    return f"\x1b[{code}m{text}\x1b[0m" if color else text
+
+
 def _width(c: str) -> int:
     return 0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1
 
@@ -78,25 +92,25 @@ def files_lines(query: str, files: DataFrame, as_json: bool) -> str:
     return "".join(f"{r['score']:.2f}  {r['path']}\n" for r in rows)
 
 
-def grouped(files: list[dict], lim: Limits = Limits(), context: int = 0, source: dict[str, list[str]] | None = None) -> str:
-    """Headers with rows below them; source: the lines of files, for context."""
+def grouped(files: list[dict], lim: Limits = Limits(), context: int = 0, source: dict[str, list[str]] | None = None, color: bool = False) -> str:
+    """Headers with rows below them; source: the lines of shown files, for context."""
     out, announced = [], False
     for f in files:
         if f["weak"] and not announced:
             announced = True
             out.append(f"-- weaker: these files look related overall, but nothing in them reached {lim.threshold:.2f}; near misses (>= {WEAK_RATIO * lim.threshold:.2f}) shown\n")
-        out.append(f"{f['path']}  relevance={f['relevance']:.2f}")
+        out.append(f"{_painted(f['path'], '1;35', color)}  relevance={f['relevance']:.2f}")
         lines, printed = (source or {}).get(f["path"], []), set()
         for r in _rows(f):
             hits = {h["line"]: h for h in (r["lines"] if "start" in r else [r])}
             if "start" in r:
                 where = f"{r['start']}-{r['end']}"
-                out.append(f"{where:>11}  {r['p']:.2f}  {cut(r['label'], 110)}")
+                out.append(f"{_painted(f'{where:>11}', '32', color)}  {r['p']:.2f}  {cut(r['label'], 110)}")
                 printed.add(r["label_line"])
             for n in sorted({k for h in hits for k in range(max(1, h - context), h + context + 1)} - printed):
                 printed.add(n)
                 if n in hits:
-                    out.append(f"{n:>11}  {hits[n]['p']:.2f}  {cut(hits[n]['text'], 200)}")
+                    out.append(f"{_painted(f'{n:>11}', '32', color)}  {hits[n]['p']:.2f}  {cut(hits[n]['text'], 200)}")
                 elif n <= len(lines) and lines[n - 1].strip():
                     out.append(f"{n:>11}        {cut(lines[n - 1].rstrip(), 200)}")
         more = [f"{n} more {what}{'s' * (n != 1)} (raise {flag})" for n, what, flag in ((f["more_regions"], "region", "--max-regions"), (f["more_lines"], "line", "-m")) if n]

@@ -43,7 +43,8 @@ class Page:
     """The clipped lines of a text, and what blocks and chunks are made by; line numbers count from 1."""
 
     def __init__(self, text: str | None):
-        self.lines = [tx.py_clip(x) for x in tx.py_lines_of(text or "")]
+        self.original = tx.py_lines_of(text or "")
+        self.lines = [tx.py_clip(x) for x in self.original]
         self.length = np.array([len(x) for x in self.lines], np.int64)
 
     @cached_property
@@ -157,17 +158,17 @@ def split_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, "path string, start int, end int")
 
 
-def chunk_files(files: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
-    """One row per chunk: path, ctx_start, start, end, blocks, lines (clipped, of ctx_start..end)."""
+def chunk_files(files: DataFrame, cfg: Chunking = Chunking(), original: bool = False) -> DataFrame:
+    """One row per chunk: path, ctx_start, start, end, blocks, lines (of ctx_start..end; clipped, or as they are)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for path, page in _pages(batches):
             for start, end, blocks in page.chunks(cfg):
                 shown = max(start - cfg.context, 1)
-                yield path, shown, start, end, _pairs(blocks), page.lines[shown - 1 : end]
+                yield path, shown, start, end, _pairs(blocks), (page.original if original else page.lines)[shown - 1 : end]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(rows(batches), _CHUNK, lambda row: 200 + 40 * len(row[5]), _BATCH_CHARS)
+        yield from _batches(rows(batches), _CHUNK, lambda row: 200 + sum(map(len, row[5])), _BATCH_CHARS)
 
     return files.select("path", "text").mapInArrow(run, CHUNK)
 

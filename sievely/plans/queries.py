@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import evaluate, fold, rulecheck, scoring, segment
+from ..operators import evaluate, fold, render, rulecheck, scoring, segment
 from ..operators import filters as fl
 from ..operators import select as sel
 from ..sources import files as src
@@ -177,15 +177,17 @@ def context_lines(spark, d):
     return sel.context_lines(hits, lines, 2).select("path", "line", "text")
 
 
+def _rendered(spark, text: str, name: str) -> DataFrame:
+    """The lines of what is printed, which the display limits bound."""
+    return spark.createDataFrame([(line,) for line in text.split("\n")[:-1]], f"{name} string")
+
+
 def flat_rows(spark, d):
-    rows = sel.rows_of(_select(spark, d)).where(~F.col("weak"))
-    where = F.when(F.col("kind") == "region", F.concat_ws("-", "start", "end")).otherwise(F.col("start").cast("string"))
-    return rows.select(F.concat_ws(":", "path", where, F.round("p", 4).cast("string"), "text").alias("row"))
+    return _rendered(spark, render.flat(render.collect(_select(spark, d)).get(0, [])), "row")
 
 
 def json_rows(spark, d):
-    f = _select(spark, d).files
-    return f.select(F.to_json(F.struct(F.lit(WORD).alias("query"), "path", F.round("relevance", 4).alias("relevance"), F.round("confidence", 4).alias("confidence"))).alias("json"))
+    return _rendered(spark, render.json_lines(WORD, render.collect(_select(spark, d)).get(0, [])), "json")
 
 
 def usage_cost(spark, d):
@@ -199,8 +201,25 @@ def answer_decode(spark, d):
 
 
 def rule_checks(spark, d):
-    chunks = segment.chunk_files(corpus.files(spark, d), segment.Chunking(max_lines=100, context=24))
-    return rulecheck.check(chunks, [("A", WORD), ("B", "License")])
+    return rulecheck.check(corpus.files(spark, d), [("A", WORD), ("B", "License")])
+
+
+def _findings(spark, d):
+    """Made of the tables: findings, labels and cases, one case in nine incomplete."""
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    found = docs.selectExpr("doc_id % 50 as case", "case when n_chars % 3 = 0 then 'A' else 'B' end as criterion", "doc_id % 40 as start", "doc_id % 40 + n_chars % 15 as end", "doc_id as ord")
+    told = labels.selectExpr("doc_id % 50 as case", "case when quality = 1 then 'A' else 'B' end as criterion", "doc_id * 7 % 50 as line", "doc_id as ord")
+    cases = spark.range(50).selectExpr("id as case", "case when id % 9 = 8 then 'incomplete' else 'findings' end as status")
+    return found, told, cases
+
+
+def match_findings(spark, d):
+    found, told, _ = _findings(spark, d)
+    return evaluate.match_findings(found, told)
+
+
+def finding_measures(spark, d):
+    return evaluate.finding_measures(*_findings(spark, d))
 
 
 def eval_precision_recall(spark, d):
@@ -214,7 +233,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     lines_enumerate, clip_lines, askable_lines, token_estimate, definitions, indent_depth, glob_include, glob_exclude, scan_skip_rules, dedupe_content,
     split_blocks, pack_chunks, split_oversize, line_scores, block_scores, block_labels, question_counts, triage_paths, filter_gate, filter_removed,
     file_fold, rank_files, merge_regions, top_regions, top_lines, weak_tier, suppress_lines, select_views, files_only, multi_query, context_lines,
-    flat_rows, json_rows, usage_cost, answer_decode, rule_checks, eval_precision_recall,
+    flat_rows, json_rows, usage_cost, answer_decode, rule_checks, match_findings, finding_measures, eval_precision_recall,
 )}
 
 _DIRS = "'" + "','".join(src.SKIP_DIRS) + "'"
@@ -267,14 +286,22 @@ ORACLES: dict[str, str] = {
     "multi_query": f"with recursive {sql.selected(WORDS, per_line=2.0)} select cast(query_idx as int) as query_idx, path, score, confidence, relevance, weak, more_regions, more_lines, place from final",
     "context_lines": f"""with recursive {sql.scored([WORD])}, h as (select path, line from line_hits where p >= 0.5)
         select distinct l.path, l.n as line, l.text from lines l join h on h.path = l.path and l.n between h.line - 2 and h.line + 2 where not l.blank and not exists (select 1 from h x where x.path = l.path and x.line = l.n)""",
-    "flat_rows": f"""with recursive {sql.selected([WORD])} select k.path || ':' || k."start" || '-' || k."end" || ':' || round(k.p, 4) || ':' || k.label as row from kept k join final f on f.path = k.path where not f.weak
-        union all select s.path || ':' || s.line || ':' || round(s.p, 4) || ':' || s.text from shown s join final f on f.path = s.path where not f.weak""",
-    "json_rows": f"with recursive {sql.selected([WORD])} select cast(to_json({{'query': '{WORD}', 'path': path, 'relevance': round(relevance, 4), 'confidence': round(confidence, 4)}}) as varchar) as json from final",
+    "flat_rows": f"""with recursive {sql.selected([WORD])} select k.path || ':' || k."start" || '-' || k."end" || ':' || printf('%.2f', k.p) || ':' || k.label as row from kept k join final f on f.path = k.path where not f.weak
+        union all select s.path || ':' || s.line || ':' || printf('%.2f', s.p) || ':' || s.text from shown s join final f on f.path = s.path where not f.weak""",
+    "json_rows": f"""with recursive {sql.selected([WORD])}, said as (select path, region, line, {{'line': line, 'p': round(p, 4), 'text': text}} as j from shown),
+        in_region as (select k.path, k."start", {{'start': k."start", 'end': k."end", 'p': round(any_value(k.p), 4), 'label': any_value(k.label), 'label_line': any_value(k.label_line), 'lines': coalesce(list(s.j order by s.line) filter (s.j is not null), [])}} as j
+            from kept k left join said s on s.path = k.path and s.region = k."start" group by k.path, k."start", k."end")
+        select cast(to_json({{'query': '{WORD}', 'path': path, 'relevance': round(relevance, 4), 'section_relevance': round(score, 4), 'confidence': round(confidence, 4), 'match': case when weak then 'weak' else 'strong' end,
+            'regions': coalesce((select list(r.j order by r."start") from in_region r where r.path = f.path), []), 'lines': coalesce((select list(s.j order by s.line) from said s where s.path = f.path and s.region is null), []),
+            'more_regions': more_regions, 'more_lines': more_lines}}) as varchar) as json from final f""",
     "usage_cost": f"with recursive {sql.chunks()} select count(*) as requests, count(*) * 100 as input_tokens, count(*) * 10 as output_tokens, round(count(*) * 100 * 0.042::double / 1e6::double, 9) as cost from chunks",
     "answer_decode": """with a as (select doc_id, list_transform([3, 5, 7, 11], lambda k: cast((doc_id * k + k) % 101 as double)) as p from documents)
         select doc_id, case when list_sum(p) > 0 then round((p[2] + 2 * p[3] + 3 * p[4]) / list_sum(p), 6) end as score, abs(list_sum(p) - 100) <= 2.5 as well_formed from a""",
     "rule_checks": f"""with recursive {sql.blocks()}, c(criterion, word) as (values ('A', '{WORD}'), ('B', 'License'))
-        select criterion, path, "start", "end", 0.9::double as score from blocks b cross join c where exists (select 1 from lines l where l.path = b.path and l.n between b."start" and b."end" and contains(l.text, c.word))""",
+        select criterion, path, "start", "end", 0.9::double as score from blocks b cross join c where exists (select 1 from lines l where l.path = b.path and l.n between b."start" and b."end" and contains(l.raw, c.word))""",
+    "match_findings": f"with {sql.FINDINGS} select \"case\", criterion, \"start\", \"end\", ord, hit from hits",
+    "finding_measures": f"""with {sql.FINDINGS}, n as (select count(*) filter (hit) as tp, count(*) filter (not hit) as fp from hits where "case" % 9 <> 8), m as (select count(*) as labels from told where "case" % 9 <> 8)
+        select tp, fp, labels - tp as fn, 5::bigint as incomplete, 50::bigint as cases, case when tp + fp > 0 then round(tp / (tp + fp)::double, 6) end as "precision", case when labels > 0 then round(tp / labels::double, 6) end as recall, false as valid from n, m""",
     "eval_precision_recall": f"""with f as (select doc_id from documents semi join labels using (doc_id) where contains(text, '{WORD}') or contains(text, 'moron')), t as (select doc_id from labels where toxic = 1),
         n as (select (select count(*) from f semi join t using (doc_id)) as tp, (select count(*) from f anti join t using (doc_id)) as fp, (select count(*) from t anti join f using (doc_id)) as fn)
         select tp, fp, fn, case when tp + fp > 0 then round(tp / (tp + fp)::double, 6) end as "precision", case when tp + fn > 0 then round(tp / (tp + fn)::double, 6) end as recall from n""",

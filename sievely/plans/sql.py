@@ -7,6 +7,13 @@ from .corpus import CODE_LIKE, PATH
 DEF = r"^\s*(?:(?:pub(?:\([a-z]+\))?|export|default|public|private|protected|internal|static|final|abstract|async|unsafe|extern|inline|virtual|override|const)\s+)*(?:macro_rules!|(?:def|class|fn|func|function|impl|struct|enum|trait|interface|type|module|mod|namespace|object|record|sub|proc|procedure|package)(?:$|[^0-9A-Za-z_]))"
 
 
+FINDINGS = """
+        found as (select doc_id % 50 as "case", case when n_chars % 3 = 0 then 'A' else 'B' end as criterion, doc_id % 40 as "start", doc_id % 40 + n_chars % 15 as "end", doc_id as ord from documents),
+        told as (select doc_id % 50 as "case", case when quality = 1 then 'A' else 'B' end as criterion, doc_id * 7 % 50 as line, doc_id as ord from labels),
+        first_label as (select f.*, (select min(t.ord) from told t where t."case" = f."case" and t.criterion = f.criterion and t.line between f."start" and f."end") as label from found f),
+        hits as (select *, label is not null and row_number() over (partition by "case", label order by ord) = 1 as hit from first_label)"""
+
+
 def lines(code_like: bool = True, per_line: float = 1.0) -> str:
     return rf"""
         files as (select {PATH} as path, {CODE_LIKE if code_like else 'text'} as text from documents),

@@ -102,6 +102,8 @@ def _walk(root: str, honour: bool, hidden: bool) -> list[str]:
             top = os.path.dirname(top)
             above.append(top)
         if os.path.isdir(os.path.join(top, ".git")):
+            config = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+            chain += _ignore_files(top, [os.path.join(config, "git", "ignore"), os.path.join(top, ".git", "info", "exclude")])
             for folder in reversed(above):
                 chain += _ignores(folder)
     out: list[str] = []
@@ -125,9 +127,13 @@ def _walk(root: str, honour: bool, hidden: bool) -> list[str]:
 
 
 def _ignores(folder: str) -> list[Ignore]:
+    return _ignore_files(folder, [os.path.join(folder, name) for name in (".gitignore", ".ignore")])
+
+
+def _ignore_files(folder: str, paths: list[str]) -> list[Ignore]:
+    """Patterns of those files that are there, for paths below folder; later ones win."""
     found = []
-    for name in (".gitignore", ".ignore"):
-        path = os.path.join(folder, name)
+    for path in paths:
         if os.path.isfile(path):
             with open(path, encoding="utf-8", errors="replace") as f:
                 found.append(Ignore(folder, f.read()))
@@ -166,8 +172,11 @@ def discover(spark: SparkSession, paths: list[str], options: Discover = Discover
     return first.select("f.*")
 
 
-def read_files(listed: DataFrame) -> DataFrame:
-    """path, text of listed files that are text (no NUL in the first 8,192 bytes), decoded with replacement."""
+def read_files(listed: DataFrame, unreadable=None) -> DataFrame:
+    """path, text of listed files that are text (no NUL in the first 8,192 bytes), decoded with replacement.
+
+    unreadable: an accumulator that counts files that could not be read; without one they are an error.
+    """
 
     def run(batches):
         import pandas as pd
@@ -179,6 +188,9 @@ def read_files(listed: DataFrame) -> DataFrame:
                     with open(location, "rb") as f:
                         data = f.read()
                 except OSError:
+                    if unreadable is None:
+                        raise
+                    unreadable.add(1)
                     continue
                 if b"\0" not in data[:8192]:
                     out.append((path, data.decode("utf-8", "replace")))

@@ -67,19 +67,37 @@ def test_chunks_cover_and_bound(spark):
             assert c["lines"] == [tx.py_clip(x) for x in lines[c["ctx_start"] - 1 : c["end"]]]
 
 
-def test_halves_agree(spark):
-    text = "".join(f"def f{k}():\n" + "    a\n" * 9 + "\n" for k in range(9))
-    chunks = segment.chunk_files(spark.createDataFrame([("f", text)], "path string, text string"))
-    sql = [(r["start"], r["end"], r["ctx_start"], len(r["lines"])) for r in segment.halve(chunks).orderBy("start").collect()]
-    c = chunks.first()
-    py = questions.halves(c.asDict() | {"blocks": [(b["start"], b["end"]) for b in c["blocks"]]})
-    assert sql == [(p["start"], p["end"], p["ctx_start"], len(p["lines"])) for p in py]
+def test_halves(spark):
+    chunk = {"path": "f", "ctx_start": 15, "start": 20, "end": 59, "blocks": [(20, 33), (34, 47), (49, 59)], "lines": [f"l{n}" for n in range(15, 60)]}
+    one, two = segment.halves(chunk)
+    assert (one["ctx_start"], one["start"], one["end"], one["blocks"]) == (15, 20, 33, [(20, 33)]) and one["lines"] == [f"l{n}" for n in range(15, 34)]
+    assert (two["ctx_start"], two["start"], two["end"], two["blocks"]) == (22, 34, 59, [(34, 47), (49, 59)]) and two["lines"] == [f"l{n}" for n in range(22, 60)]
+    one, two = segment.halves(chunk | {"blocks": [(20, 59)]})  # within a block: at the middle line
+    assert (one["blocks"], two["blocks"], two["start"]) == ([(20, 39)], [(40, 59)], 40)
+    assert segment.halves(chunk | {"start": 59, "blocks": [(59, 59)]}) == []
+    df = spark.createDataFrame([(chunk["path"], 15, 20, 59, chunk["blocks"], chunk["lines"])], segment.CHUNK)
+    assert [(r["half"], r["start"], r["end"], len(r["lines"])) for r in segment.halve(df).orderBy("half").collect()] == [(0, 20, 33, 19), (1, 34, 59, 38)]
+
+
+def test_oversize_blocks_are_cut(spark):
+    """A block over the line budget, and lines over the token budget each."""
+    df = spark.createDataFrame([("a", "".join(f"x{k}\n" for k in range(45))), ("b", "z" * 290 + "\n" + "y\n" * 3)], "path string, text string")
+    got = {p: sorted((r["start"], r["end"]) for r in segment.chunk_files(df, segment.Chunking(max_lines=20, max_tokens=n, context=0)).collect() if r["path"] == p) for p, n in (("a", 10**6), ("b", 100))}
+    assert got == {"a": [(1, 20), (21, 40), (41, 45)], "b": [(1, 1), (2, 3), (4, 4)]}
+
+
+def test_white_space_of_unicode(spark):
+    """Python's and the engine's line functions agree on white space beyond ASCII, and on what is none."""
+    rows = ["\u2003x\u2003", "\x1cx\x1c", "\xa0", "\x85 y", "\u200bz\u200b", "\x1c", "x\u3000"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", tx.clip(F.col("t")), tx.indent(F.col("t")), tx.blank(F.col("t"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [(tx.py_clip(t), tx.py_indent(t), not t.strip(tx.WHITE_SPACE)) for t in rows]
 
 
 PHRASES = [
-    ("Source code files only. No documentation", [["Source code files"]], ["documentation"]), ("no tests, docs or examples", [], ["tests", "docs", "examples"]),
-    ("async code", [["async code"]], []), ("python or rust", [["python", "rust"]], []), ("only python but not tests", [["python"]], ["tests"]),
-    ("exclude the vendor code; include docs", [["docs"]], ["vendor code"]), ("Don't show any tests", [], ["tests"]), ("no tests, docs only", [], ["tests", "docs"]), (". ; ,", [], []),
+    ("Just the parsers. Omit generated code", [["parsers"]], ["generated code"]), ("without logs, caches nor locks", [], ["logs", "caches", "locks"]),
+    ("network layer", [["network layer"]], []), ("java & kotlin", [["java", "kotlin"]], []), ("keep only go but never mocks", [["go"]], ["mocks"]),
+    ("skip the build scripts; include readmes", [["readmes"]], ["build scripts"]), ("do not return any tables", [], ["tables"]), ("hide mocks, sources only", [], ["mocks", "sources"]), ("hide mocks, sources only, logs", [["sources", "logs"]], ["mocks"]),
+    ("minus fonts, include icons, images", [["icons", "images"]], ["fonts"]), ("no , fonts", [], ["fonts"]), ("ignore fonts\nfonts only", [["fonts"]], ["fonts"]), ("; . ,,", [], []),
 ]
 
 
@@ -113,27 +131,45 @@ def selected(spark, cases, lim=select.Limits()):
 
 
 def test_selection_cases(spark):
-    one, merged, weak, hidden, alone, label, twice = selected(spark, [
-        ([(10, 30, 0.96), (40, 60, 0.1)], [(12, 0.93), (13, 0.2), (50, 0.1)], 0.9), ([(255, 268, 0.76), (270, 276, 0.66), (278, 284, 0.68), (300, 310, 0.9)], [], 0.99),
-        ([(87, 121, 0.43), (1, 20, 0.30), (130, 150, 0.05)], [], 0.78), ([(1, 40, 0.1)], [], 0.95), ([(1, 20, 0.19), (22, 40, 0.1)], [(5, 0.8)], 0.3),
-        ([(101, 119, 0.98)], [(101, 0.88), (103, 0.90)], 0.9), ([], [(7, 0.6), (7, 0.9)], 0.9),
+    held, joined, apart, quiet, cold, lone, label, again, passed = selected(spark, [
+        ([(4, 9, 0.8)], [(6, 0.7), (12, 0.55)], 0.7),  # a line in a region, one outside
+        ([(1, 6, 0.6), (8, 12, 0.9)], [], 0.7),  # one line between: one region
+        ([(1, 6, 0.6), (9, 12, 0.9)], [], 0.7),  # two lines between: two
+        ([(3, 8, 0.36), (10, 14, 0.41), (20, 25, 0.38)], [], 0.61),  # near misses: the two best
+        ([(3, 8, 0.34)], [(4, 0.49)], 0.99),  # nothing comes near
+        ([(3, 8, 0.45)], [(30, 0.52)], 0.1),  # a line alone; its file need not be relevant
+        ([(5, 9, 0.9)], [(5, 0.99), (7, 0.5)], 0.2),  # the label's line is not said twice
+        ([], [(2, 0.51), (2, 0.77), (2, 0.6)], 0.2),  # a line's best
+        ([(3, 8, 0.45)], [], 0.59),  # near, but the file is not relevant
     ])
-    assert [(r["start"], r["end"], [h["line"] for h in r["lines"]]) for r in one["regions"]] == [(10, 30, [12])]
-    assert [(r["start"], r["end"], r["p"]) for r in merged["regions"]] == [(255, 284, 0.76), (300, 310, 0.9)]
-    assert weak["weak"] and [r["start"] for r in weak["regions"]] == [87]
-    assert hidden is None
-    assert not alone["regions"] and [h["line"] for h in alone["lines"]] == [5] and alone["relevance"] == 0.8
-    assert [h["line"] for h in label["regions"][0]["lines"]] == [103] and label["more_lines"] == 0
-    assert [(h["line"], h["p"]) for h in twice["lines"]] == [(7, 0.9)]
+    spans = lambda f: [(r["start"], r["end"], r["p"]) for r in f["regions"]]
+    assert spans(held) == [(4, 9, 0.8)] and [h["line"] for h in held["regions"][0]["lines"]] == [6] and [h["line"] for h in held["lines"]] == [12] and held["relevance"] == 0.8
+    assert spans(joined) == [(1, 12, 0.9)] and joined["regions"][0]["label"] == "l1" and spans(apart) == [(1, 6, 0.6), (9, 12, 0.9)]
+    assert quiet["weak"] and spans(quiet) == [(10, 14, 0.41), (20, 25, 0.38)] and cold is None and passed is None
+    assert not lone["regions"] and not lone["weak"] and [h["line"] for h in lone["lines"]] == [30] and lone["relevance"] == 0.52
+    assert [h["line"] for h in label["regions"][0]["lines"]] == [7] and label["relevance"] == 0.9
+    assert [(h["line"], h["p"]) for h in again["lines"]] == [(2, 0.77)]
 
 
 def test_selection_caps(spark):
-    caps = selected(spark, [([(10 * k, 10 * k + 5, 0.5 + k / 100) for k in range(1, 9)], [], 0.9)], select.Limits(max_regions=3))[0]
-    assert [r["start"] for r in caps["regions"]] == [60, 70, 80] and caps["more_regions"] == 5
+    many = ([(20 * k, 20 * k + 3, 0.9 - k / 50) for k in range(1, 6)], [(20 * k + 2, 0.6 + k / 100) for k in range(1, 6)] + [(500 + k, 0.5 + k / 10) for k in range(3)], 0.3)
+    (f,) = selected(spark, [many], select.Limits(max_regions=2, max_lines=3))
+    # Lines of dropped regions go with them; of the five that are left the best three stay.
+    assert [r["start"] for r in f["regions"]] == [20, 40] and f["more_regions"] == 3 and f["more_lines"] == 2
+    assert sorted([h["line"] for h in f["lines"]] + [h["line"] for r in f["regions"] for h in r["lines"]]) == [22, 42, 502]
+
+
+def test_selection_tiers(spark):
+    """The best files first, the weak ones behind them, as far as there is room."""
+    cases = [([(1, 5, 0.5 + k / 100)], [], 0.5) for k in range(4)] + [([(1, 5, 0.4)], [], 0.7 + k / 100) for k in range(8)]
+    for top, strong, weak in ((3, [3, 2, 1], []), (6, [3, 2, 1, 0], [11, 10]), (20, [3, 2, 1, 0], [11, 10, 9, 8, 7])):
+        files_ = [f for f in selected(spark, cases, select.Limits(top=top)) if f]
+        order = [int(f["path"][1:]) for f in sorted(files_, key=lambda f: f["place"])]
+        assert order == strong + weak
 
 
 def test_rank(spark):
-    df = spark.createDataFrame([(1.0, 0.0, 1.0), (0.8, 0.4, 0.9), (0.5, 0.5, 0.625)], "s double, e double, want double")
+    df = spark.createDataFrame([(0.6, 0.2, 0.65), (0.2, 0.6, 0.65), (0.0, 0.3, 0.3)], "s double, e double, want double")
     assert all(abs(r[0] - r[1]) < 1e-12 for r in df.select(fold.rank_of(F.col("s"), F.col("e")), "want").collect())
 
 
@@ -204,6 +240,11 @@ def test_discover_and_cli(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["needle", "a.py", "keep.log", "--triage", "--stats", "-l"]) == 1  # no path holds the word
     assert "triage kept 0 of 2" in capsys.readouterr().err
     assert cli.main(["x", "nowhere"]) == 2
+    (tmp_path / "cr.py").write_text("top\nneedle\x0c\n\n\x1czz\n")
+    assert cli.main(["needle", "cr.py", "-C", "2"]) == 0 and "          4        \x1czz\n" in capsys.readouterr().out
+    (tmp_path / ".git" / "info").mkdir(parents=True)
+    (tmp_path / ".git" / "info" / "exclude").write_text("a.py\n")
+    assert shown() == ["bin.txt", "cr.py", "keep.log"]
 
 
 def test_rules(spark, tmp_path):
@@ -218,7 +259,43 @@ def test_rules(spark, tmp_path):
     assert plan.decisions == 1 and [g["kind"] for g in plan.gaps] == ["source_unavailable"]
     found, done = plan.evaluate(backends.LexicalBackend(["needle"]))
     assert (done, [(f["criterion"], f["start"], f["end"]) for f in found], plan.status(found, done)) == (1, [("A", 1, 3)], "incomplete")
-    assert json.loads(plan.report("incomplete", found, done))["coverage"]["planned"] == 1
+    said = json.loads(plan.report("incomplete", found, done, backends.LexicalBackend([])))
+    assert said["coverage"]["planned"] == 1 and said["backend"] == "LexicalBackend" and said["usage"]["requests"] == 0
+
+
+def test_rules_budgets(spark, tmp_path, monkeypatch):
+    """A chunk that does not fit is left out whole, and a smaller one behind it may still fit; requests are bounded in number and size."""
+    text = "".join(f"def f{k}():\n" + "    a\n" * 9 + "\n" for k in range(30)) + "\n" * 3 + "def tail():\n    b\n"
+    (tmp_path / "s.py").write_text(text)
+    source = [str(tmp_path / "s.py")]
+    whole = rulecheck.prepare(spark, "- [A] x\n- [B] y", source, 1000)
+    sizes = [len(r.checks) for r in whole.requests]
+    assert whole.decisions == sum(sizes) == 62 and not whole.gaps
+    few = rulecheck.prepare(spark, "- [A] x\n- [B] y", source, sizes[0] + sizes[-1])
+    assert [(r.start, r.end) for r in few.requests] == [(whole.requests[k].start, whole.requests[k].end) for k in (0, -1)] and len(few.gaps) == len(sizes) - 2
+    monkeypatch.setattr(rulecheck, "MAX_REQUESTS", 1)
+    assert len(rulecheck.prepare(spark, "- [A] x", source, 1000).requests) == 1
+    monkeypatch.setattr(rulecheck, "MAX_REQUEST_BYTES", 100)
+    assert {g["reason"] for g in rulecheck.prepare(spark, "- [A] x", source, 1000).gaps} == {"the request would be too large; nothing was cut"}
+    assert cli.main(["--rules", str(tmp_path / "r.md")]) == 2
+
+
+def test_rules_read_original_lines(spark):
+    files_ = spark.createDataFrame([("a", "x" * 320 + " needle\n")], "path string, text string")
+    assert rulecheck.check(files_, [("A", "needle")]).count() == 1
+
+
+def test_findings_are_no_failure(spark, tmp_path, capsys):
+    (tmp_path / "r.md").write_text("- [A] needle\n")
+    (tmp_path / "s.py").write_text(GOLDEN)
+    assert cli.main(["--rules", str(tmp_path / "r.md"), "--source", str(tmp_path / "s.py")]) == 0
+    assert json.loads(capsys.readouterr().out)["status"] == "findings"
+
+
+def test_color_policy():
+    want = lambda flag="auto", tty=True, **env: render.wants_color(flag, env, tty)
+    assert want() and not want(tty=False) and want("always", False, NO_COLOR="1") and not want("never")
+    assert not want(NO_COLOR="1") and not want(TERM="dumb", FORCE_COLOR="1") and want(tty=False, CLICOLOR_FORCE="1") and not want(CLICOLOR="0")
 
 
 def test_http_backend_retries_and_kinds():
@@ -239,18 +316,61 @@ def test_http_backend_retries_and_kinds():
 
 def test_limiter():
     now = [0.0]
-    lim = backends.Limiter(8.0, clock=lambda: now[0], sleep=lambda s: None)
-    lim.done(True)
+    lim = backends.Limiter(6.0, clock=lambda: now[0], sleep=lambda s: None)
     lim.done(True)
-    assert lim.limit == 4.0
+    lim.done(True)  # the same episode
+    assert lim.limit == 3.0
     lim.done(False)
-    assert lim.limit == 4.25
-    for k in range(9):
+    assert abs(lim.limit - (3 + 1 / 3)) < 1e-12
+    for _ in range(9):
         now[0] += 10
         lim.done(True)
     assert lim.limit == 1.0
 
 
+def test_limiter_admits_as_many_as_it_says():
+    import threading
+    import time
+
+    lim, seen, most, lock = backends.Limiter(3.0), [0], [0], threading.Lock()
+
+    def work():
+        lim.start()
+        with lock:
+            seen[0] += 1
+            most[0] = max(most[0], seen[0])
+        time.sleep(0.02)
+        with lock:
+            seen[0] -= 1
+        lim.done(False)
+
+    threads = [threading.Thread(target=work) for _ in range(12)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert most[0] == 3 and lim.running == 0
+
+
+def test_usage_comes_from_the_replies(spark):
+    reply = {"answers": {}, "usage": {"input_tokens": 11, "output_tokens": 2, "cost": 0.25}, "service_tier": "flex"}
+
+    def make():
+        def post(url, body, headers):
+            asked = json.loads(body)["questions"]
+            answers = {k: {"type": q["type"], "score": 1.0, "confidence": 0.5} if q["type"] == "score" else {"type": "noul", "noul": 0.7} for k, q in asked.items()}
+            return 200, {}, json.dumps(reply | {"answers": answers}).encode()
+
+        return backends.HttpBackend("http://localhost:1", post=post)
+
+    chunks = segment.chunk_files(spark.createDataFrame([(f"f{k}", "x\n") for k in range(7)], "path string, text string"))
+    asked = questions.ask_backend(chunks, make, ["q"])
+    u = fold.usage_of(asked).first()
+    assert (u["requests"], u["retries"], u["input_tokens"], u["output_tokens"], u["tier"]) == (7, 0, 77, 14, "flex") and abs(u["reported_cost"] - 1.75) < 1e-9
+    none = fold.usage_of(questions.ask_backend(chunks, lambda: backends.LexicalBackend(["x"]), ["q"])).first()
+    assert none["reported_cost"] is None and none["tier"] is None and none["input_tokens"] == 700
+
+
 def test_terse_answers():
     asked = {"a": {"type": "noul"}, "b": {"type": "score", "criteria": ["x", "y", "z", "w"]}}
     got = backends.decode_terse(asked, {"0": 40, "1": {"confidence": 90, "probabilities": [0, 0, 50, 50]}})
@@ -278,11 +398,14 @@ def test_chat_backend_adapts():
 
 
 def test_measures(spark):
-    f = spark.createDataFrame([("c", "A", 1, 5), ("c", "A", 3, 9), ("c", "A", 20, 30), ("c", "B", 1, 5)], "case string, criterion string, start int, end int")
-    labels = spark.createDataFrame([("c", "A", 4)], "case string, criterion string, line int")
-    assert sum(r["hit"] for r in evaluate.match_findings(f, labels).collect()) == 1
+    """A finding stands for its first label only, a label counts once, and equal findings are two."""
+    f = spark.createDataFrame([("p", "X", 1, 10, 0), ("p", "X", 5, 10, 1), ("p", "X", 5, 10, 2), ("p", "Y", 1, 10, 3), ("q", "X", 1, 2, 0)], "case string, criterion string, start int, end int, ord int")
+    labels = spark.createDataFrame([("p", "X", 2, 0), ("p", "X", 7, 1), ("p", "Y", 30, 2), ("q", "X", 9, 0)], "case string, criterion string, line int, ord int")
+    assert [r["hit"] for r in evaluate.match_findings(f, labels).orderBy("case", "ord").collect()] == [True, True, False, False, False]
+    cases = spark.createDataFrame([("p", "findings"), ("q", "incomplete"), ("r", "no_findings")], "case string, status string")
+    assert tuple(evaluate.finding_measures(f, labels, cases).first()) == (2, 2, 1, 1, 3, 0.5, 0.666667, False)
     items = lambda *x: spark.createDataFrame([(i,) for i in x], "item int")
-    assert tuple(evaluate.precision_recall(items(1, 2, 3, 4), items(1), items(1, 2, 3, 4)).first()) == (1, 3, 0, 0.25, 1.0)
+    assert tuple(evaluate.precision_recall(items(1, 2, 5), items(2, 3), items(1, 2, 3, 4)).first()) == (1, 1, 1, 0.5, 0.5)
     none = spark.createDataFrame([], "item int")
     assert evaluate.precision_recall(none, none, items(1)).first()["precision"] is None
 
