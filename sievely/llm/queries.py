@@ -188,7 +188,7 @@ ORACLES: dict[str, str] = {
             select min(k) as k, min_by(unit, k) as unit from filled where unit * weight <= 2 * words
         ), aimed as (
             select f.source, words as source_size, case when f.k < o.k then 2.0::double * words else o.unit * weight end as target,
-                cast(ceil(docs / greatest(256, ceil(all_docs / 16777216.0))::double) as bigint) as blocks
+                cast(ceil(docs / greatest(256, ceil(all_docs / 65536.0))::double) as bigint) as blocks
             from filled f, first_open o
         ), plan as (
             select *, case when passes < 2 then least(floor(target - passes * source_size + 0.5)::bigint, source_size) else 0 end as rest
