@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch; texts may be long, so far fewer than Spark's own 10,000.
 BATCH_ROWS = 512
-#: Bytes of text that one pass of array code works on; a longer text is a pass of its own.
-SLICE_BYTES = 2_000_000
+#: Bytes of text that one pass of array code works on; a longer text is a pass of its own. Array code takes some fifty
+#: bytes for each, in every Python worker of an executor.
+SLICE_BYTES = 600_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -36,11 +36,11 @@ from ._common import slices, small_batches
 #: The pre-split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct runs and words whose encoding a worker keeps; beyond it the oldest quarter goes.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 250_000
 #: Those longer than this are encoded anew each time, so that the kept words stay small.
 KEPT_LENGTH = 64
 #: Entries of the arc table; a full one is begun anew.
-KEPT_ARCS = 600_000
+KEPT_ARCS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,7 +99,8 @@ class Automaton:
                     own.append(-1)
                 at = to
             own[at] = x
-        goto = np.zeros((len(children), 256), np.int32)
+        # The largest table; a worker holds it for good.
+        goto = np.zeros((len(children), 256), np.uint16 if len(children) <= 1 << 16 else np.int32)
         back, longest = [0] * len(children), [-1] * len(children)
         shorter = [-1] * self.size
         for at in sorted(range(len(children)), key=depth.__getitem__):

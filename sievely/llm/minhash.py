@@ -253,7 +253,9 @@ def _compare_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
     def compare(table: pa.Table) -> pa.Table:
         reps = table.column("rep").to_pylist()
-        arrays = [np.asarray(x, np.int64) for x in table.column("shingles").to_pylist()]
+        lists = table.column("shingles").combine_chunks()
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        arrays = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         found = block_links(arrays, np.asarray(table.column("component")), percent)
         return pa.table({"a": pa.array([reps[x] for x, _ in found], pa.int64()), "b": pa.array([reps[y] for _, y in found], pa.int64())})
 
