@@ -5,7 +5,7 @@ anchor), so equal strings have equal anchors at the same place. An anchor with t
 segment; segments whose anchor occurs once cannot hold a repeated string and go no further. Equal segments are
 one from the start (within a task before the shuffle, across tasks behind it), the earliest stands for them.
 
-The segments that share an anchor are joined into one text. Its suffixes are sorted by doubling, and its
+The segments that share an anchor are joined into one text. Its suffixes are sorted by ranks of ever longer prefixes, and its
 Burrows-Wheeler transform is extended backwards: a suffix x + w starts where the C array and the rank of x put w's, so
 two neighbours with the same first byte have a common prefix one longer than the smallest between their tails. Prefix
 lengths are thus derived breadth-first by increasing value, each position once, and the expansion stops at LENGTH: the
@@ -31,8 +31,9 @@ from ._common import Hasher, as_bytes, mix64, partitions, slices, small_batches,
 
 LENGTH, GRAM = 100, 32
 _PIECE = 1 << 20
-#: Anchors that a task combines at a time, and bytes of segments that are sorted at a time.
-COMBINE, SORT_BYTES = 1_000_000, 2_000_000
+#: Anchors that a task combines at a time, and bytes of segments that are sorted at a time: so few that the arrays stay in a
+#: core's cache (an anchor's segments are never parted).
+COMBINE, SORT_BYTES = 1_000_000, 250_000
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -157,12 +158,17 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
         order = np.argsort(key)
         ordered = key[order]
         rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
-        if width >= depth or rank[order[-1]] == n - 1:
+        distinct = int(rank[order[-1]]) + 2  # with 0 for what lies behind the end
+        if width >= depth or distinct > n:
             break
-        second = np.zeros(n, np.int64)
-        second[:-width] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        width *= 2
+        # As many ranks, each of the next `width` symbols, as a key holds: two at least.
+        parts = max(2, next(m for m in range(2, 64) if distinct ** (m + 1) >= 1 << 63))
+        key = rank + 1
+        for k in range(1, parts):
+            key *= distinct
+            if k * width < n:
+                key[: n - k * width] += rank[k * width :] + 1
+        width *= parts
     order = order.astype(np.int32) if n < 1 << 31 else order
     place = np.empty_like(order)
     place[order] = np.arange(n, dtype=order.dtype)
