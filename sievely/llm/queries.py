@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, pii, spotsigs, suffix, toxicity, vectors, warc
+from . import ann, bpe, chat, fim, minhash, mixing, pii, repair, spotsigs, suffix, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.transform(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _hex("output").alias("output_sha256"), _hex("restored").alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_chat": op2_chat,
@@ -85,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_embeddings": op9_embeddings,
     "op10_mixing": op10_mixing,
+    "op11_repair": op11_repair,
+    "op12_neighbours": op12_neighbours,
+    "op13_fim": op13_fim,
 }
 
 _CONTROL = r"\[INST\]|\[/INST\]|<s>|</s>|<<SYS>>|<</SYS>>|<<ROLE>>|<</ROLE>>|<</TURN>>"
@@ -207,4 +223,72 @@ ORACLES: dict[str, str] = {
             cast(case when draws = 0 then 0 else (draws - 1) * size + case when cut then greatest(0, least(rest - before - inside, size)) else size end end as bigint) as taken
         from drawn
     """,
+    "op11_repair": r"""
+        with recursive crc as (
+            select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+        ), dealt as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda z: ord(z)::bigint)),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as draw
+            from conversations, crc
+        ), damaged as (
+            select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+                case when draw = 1 then '' when draw = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when draw = 3 then 2 else 1 end)) as copy
+            from dealt where draw <> 0
+        ), placed as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from damaged
+        ), told as (
+            select *, substr(role, 1, 1) as r, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b'
+                when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+                when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '' end as fault
+            from placed
+        ), counted as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+                count(*) filter (fault = 't') as truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+            from (select *, lag(r) over (partition by conv_id order by i) || r as pair from told) group by conv_id
+        ), step(a, letter, b) as (
+            values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+        ), filling(a, b, added) as (
+            select a, a, []::varchar[] from (select unnest(range(4))::int as a)
+            union all select f.a, s.b, list_append(f.added, case s.letter when 'u' then 'user:' else 'assistant:' end) from filling f join step s on f.b = s.a and s.letter <> 's' where len(f.added) < 2
+        ), edits as (
+            select conv_id, i, 3 as cost, 'D' as letter, a, a as b, []::varchar[] as said from told, (select unnest(range(4))::int as a)
+            union all select conv_id, i, (fault = 't')::int, 'K', a, b, [role || ':' || text] from told join step on r = letter where fault in ('', 't')
+            union all select conv_id, i, 2 + (fault = 't')::int, 'R', a, b, [case letter when 'u' then 'user' else 'assistant' end || ':' || text] from told, step where letter <> 's' and fault in ('', 't')
+        ), moves as (
+            select e.conv_id, e.i, f.a, e.b, 2 * len(f.added) + e.cost as cost, repeat('I', len(f.added)) || e.letter as audit, list_concat(f.added, e.said) as said from edits e join filling f on f.b = e.a
+        ), least as (
+            select conv_id, i, a, b, min(cost) as cost, arg_min(audit, (cost, audit)) as audit, arg_min(said, (cost, audit)) as said from moves group by conv_id, i, a, b
+        ), walk as (
+            select conv_id, 0::bigint as i, 0 as state, 0::bigint as cost, '' as audit, []::varchar[] as said from counted
+            union all
+            select conv_id, any_value(i), b, min(cost), arg_min(audit, (cost, audit)), arg_min(said, (cost, audit))
+            from (select w.conv_id, m.i, m.b, w.cost + m.cost as cost, w.audit || m.audit as audit, list_concat(w.said, m.said) as said from walk w join least m on m.conv_id is not distinct from w.conv_id and m.i = w.i + 1 and m.a = w.state)
+            group by conv_id, b
+        ), ended as (
+            select w.conv_id, min(w.cost + 2 * len(f.added)) as cost, arg_min(w.audit || repeat('I', len(f.added)), (w.cost + 2 * len(f.added), w.audit || repeat('I', len(f.added)))) as audit,
+                arg_min(list_concat(w.said, f.added), (w.cost + 2 * len(f.added), w.audit || repeat('I', len(f.added)))) as said
+            from walk w join counted c on c.conv_id is not distinct from w.conv_id and c.n = w.i join filling f on f.a = w.state and f.b in (0, 3) group by w.conv_id
+        )
+        select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated,
+            cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(cost, 0) as bigint) as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(said, chr(10)), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) o left join counted c on c.conv_id is not distinct from o.conv_id left join ended e on e.conv_id is not distinct from o.conv_id
+    """,
+    "op13_fim": r"""
+        with drawn as (
+            select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents
+        ), cut as (
+            select *, len(u) as n, list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::bigint) as d from drawn
+        ), formed as (
+            select *, least(d[1] % (n + 1), d[2] % (n + 1)) as a, greatest(d[1] % (n + 1), d[2] % (n + 1)) as b,
+                case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or d[3] % 100 >= 50 then 'plain' when d[4] % 100 < 80 then 'spm' else 'psm' end as form
+            from cut
+        ), parts as (
+            select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix from formed
+        )
+        select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+            sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+            sha256(text) as restored_sha256
+        from parts
+    """,
 }
