@@ -11,7 +11,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .functions import text as tx
+from .functions.lines import lines_of
 from .operators import filters, fold, questions, render, rulecheck, scoring, segment, select
 from .sources import backends, files
 
@@ -150,7 +150,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
     source = None
     if a.context:  # of the files shown, which the limits bound
         paths = sorted({f["path"] for found in by_query.values() for f in found})
-        source = {r["path"]: tx.py_lines_of(r["text"]) for r in texts.where(texts["path"].isin(paths)).collect()}
+        source = {r["path"]: lines_of(r["text"]) for r in texts.where(texts["path"].isin(paths)).collect()}
     color = render.wants_color(a.color, dict(os.environ), sys.stdout.isatty())
     if unreadable.value:
         print("some files could not be read", file=sys.stderr)

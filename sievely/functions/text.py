@@ -1,10 +1,9 @@
-"""Text functions as Columns, and the Python twins that driver-side code and backends use."""
+"""Text functions as Columns; what is asked of whole files, line by line, is in lines.py."""
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,28 +12,11 @@ QUESTION_TOKENS = 30.0
 
 #: Words that may stand before a definition, and words that open one.
 MODIFIERS = "export default public private protected internal static final abstract async unsafe extern inline virtual override const".split()
+MACRO = "macro_rules!"
 OPENERS = "def class fn func function impl struct enum trait interface type module mod namespace object record sub proc procedure package".split()
 
 #: \b is spelled out: engines differ on letters beyond ASCII.
-DEFINITION = rf"^\s*(?:(?:pub(?:\([a-z]+\))?|{'|'.join(MODIFIERS)})\s+)*(?:macro_rules!|(?:{'|'.join(OPENERS)})(?![0-9A-Za-z_]))"
-_definition = re.compile(DEFINITION, re.A)
-
-
-def lines_of(text: Column) -> Column:
-    """The lines: ends at \\n or \\r\\n, no empty line behind the last end; null and '' have none."""
-    parts = F.split(text, "\r?\n", -1)
-    whole = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return whole
-
-
-def clip(line: Column) -> Column:
-    """Without white space at its end, and with ' ...' in place of what follows 300 characters."""
-    cut = F.regexp_replace(line, r"(?U)\s+$", "")
-    return F.when(F.length(cut) > MAX_LINE_CHARS, F.concat(F.substring(cut, 1, MAX_LINE_CHARS), F.lit(" ..."))).otherwise(cut)
-
-
-def estimate_tokens(line: Column, questions_per_line: float) -> Column:
-    return (F.lit(6) + F.floor(F.length(line) / 3) + F.lit(int(QUESTION_TOKENS * questions_per_line + 0.5))).cast("int")
+DEFINITION = rf"^\s*(?:(?:pub(?:\([a-z]+\))?|{'|'.join(MODIFIERS)})\s+)*(?:{MACRO}|(?:{'|'.join(OPENERS)})(?![0-9A-Za-z_]))"
 
 
 def is_definition(line: Column) -> Column:
@@ -105,33 +87,10 @@ def path_matches(path: Column, patterns: list[str]) -> Column:
     return hit
 
 
-# Python twins, for code that has a whole file at hand.
-
 #: Characters of the Unicode property White_Space, as (?U)\s has them.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def py_lines_of(text: str) -> list[str]:
-    parts = text.replace("\r\n", "\n").split("\n")
-    return parts if parts[-1] else parts[:-1]
-
-
-def py_costs(lengths: np.ndarray, questions_per_line: float) -> np.ndarray:
-    return 6 + lengths // 3 + int(QUESTION_TOKENS * questions_per_line + 0.5)
-
-
-def py_clip(line: str) -> str:
-    line = line.rstrip(WHITE_SPACE)
-    return line[:MAX_LINE_CHARS] + " ..." if len(line) > MAX_LINE_CHARS else line
-
-
-def py_is_definition(line: str) -> bool:
-    return bool(_definition.match(line))
-
-
-def py_indent(line: str) -> int:
-    return len(line) - len(line.lstrip(WHITE_SPACE))
-
-
 def py_glob(text: str, pattern: str) -> bool:
+    """path_matches() of one pattern against a whole name, for the lister."""
     return bool(re.match(glob_regex(pattern).replace(r"\x{0}-\x{10FFFF}", "\\x00-\U0010ffff").replace("$", r"\Z") if "$" not in pattern else glob_regex(pattern)[:-1] + r"\Z", text))

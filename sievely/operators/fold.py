@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import GATE
-from .scoring import LEVELS
+from .scoring import LEVELS, block_array, line_array
 
 KEY = ["query_idx", "path"]
 
@@ -31,10 +31,11 @@ def rank_of(score: Column, evidence: Column) -> Column:
     return F.greatest(score, evidence) + 0.25 * F.least(score, evidence)
 
 
-def rank_files(files: DataFrame, lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """files with evidence (best line or block, 0 at least) and rank; best first, then by path."""
-    found = lines.select(*KEY, "p").unionByName(blocks.select(*KEY, "p")).groupBy(*KEY).agg(F.max("p").alias("evidence"))
-    out = files.join(found, KEY, "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0)))
+def rank_files(scored: DataFrame) -> DataFrame:
+    """query_idx, path, score, confidence, keep, evidence (best line or block, 0 at least), rank of scored chunks by one grouping; best first, then by path."""
+    best = lambda hits: F.array_max(F.transform(hits, lambda z: z["p"]))
+    rows = scored.withColumn("evidence", F.greatest(best(line_array()), best(block_array())))
+    out = rows.groupBy(*KEY).agg(*measures(), F.coalesce(F.max("evidence"), F.lit(0.0)).alias("evidence"))
     return out.withColumn("rank", rank_of(F.col("score"), F.col("evidence"))).orderBy("query_idx", F.desc("rank"), "path")
 
 

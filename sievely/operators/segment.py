@@ -1,20 +1,21 @@
-"""Logical blocks of a file, and chunks of blocks under a line and a token budget. A row per file in, rows of chunks out, no shuffle.
+"""Logical blocks of a file, and chunks of blocks under a line and a token budget. Rows of files in, rows of chunks out, no shuffle.
 
-A file's lines are read once into arrays (indent, blank, definition, cost). Where a block ends is looked up in the window
-that a block can have at most; what fits a budget is looked up in sums. Only whole files are at hand, one after the other.
+A pass works on the line index of many files at once. Where the block that would start at a line ends is found for all
+lines together, a step of one line at a time; which of them do start is found by following those ends from the first
+lines of all files, in doubling strides. What fits a budget is looked up in sums. No line is a Python object.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions.lines import Lines, passes
 
 #: Lengths at which a paragraph, a member and anything may end a block.
 MIN_LEN, MEMBER_LEN, MAX_LEN, HARD_LEN, DEEP = 6, 12, 40, 50, 1_000_000
@@ -39,167 +40,166 @@ def spread(cfg: Chunking, chunks: int, jobs: int) -> Chunking | None:
     return replace(cfg, max_lines=max(1, -int(-cfg.max_lines * scale // 1)), max_tokens=max(1, -int(-cfg.max_tokens * scale // 1)))
 
 
-class Page:
-    """The clipped lines of a text, and what blocks and chunks are made by; line numbers count from 1."""
-
-    def __init__(self, text: str | None):
-        self.original = tx.py_lines_of(text or "")
-        self.lines = [tx.py_clip(x) for x in self.original]
-        self.length = np.array([len(x) for x in self.lines], np.int64)
-
-    @cached_property
-    def starts(self) -> np.ndarray:
-        """Places in `real`, the lines that are not blank, where blocks start."""
-        out, at = [], 0
-        while at < len(self.real):
-            out.append(at)
-            at = self._next(at)
-        return np.array(out, np.int64)
-
-    @cached_property
-    def real(self) -> np.ndarray:
-        return np.flatnonzero(self.length)
-
-    @cached_property
-    def _facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the lines that are not blank: indent, whether a definition, whether a blank line stands before."""
-        real = [self.lines[k] for k in self.real]
-        indent = np.array([tx.py_indent(x) for x in real], np.int64)
-        return indent, np.array([tx.py_is_definition(x) for x in real], bool), np.diff(self.real, prepend=-1) > 1
-
-    def _next(self, at: int) -> int:
-        """Where the block behind the one that starts at this place starts."""
-        indent, definition, after_blank = self._facts
-        end = int(np.searchsorted(self.real, self.real[at] + HARD_LEN))  # that line begins a new one whatever it is
-        window = slice(at + 1, min(end + 1, len(indent)))
-        ind, base, length = indent[window], indent[at], self.real[window] - self.real[at]
-        if not len(ind):
-            return len(indent)
-        # The least indent deeper than the block's own, of the lines before each.
-        inner = np.minimum.accumulate(np.concatenate(([DEEP], np.where(ind > base, ind, DEEP)[:-1])))
-        outer = ind <= base
-        opens = definition[window] & (ind <= np.minimum(inner, base + 8)) & (outer | (length >= MIN_LEN))
-        parts = (length >= MIN_LEN) & (outer | ((ind <= inner) & (length >= MEMBER_LEN)) | (length >= MAX_LEN))
-        breaks = (after_blank[window] & ((ind < base) | opens | parts)) | (length >= HARD_LEN)
-        return at + 1 + int(breaks.argmax()) if breaks.any() else len(indent)
-
-    @cached_property
-    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last lines; blank lines behind a block's last line belong to none."""
-        if not len(self.starts):
-            return self.starts, self.starts
-        return self.real[self.starts] + 1, self.real[np.append(self.starts[1:], len(self.real)) - 1] + 1
-
-    def chunks(self, cfg: Chunking) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """(start, end, blocks): blocks packed in order while both budgets hold; a block over a budget is cut first."""
-        most = max(1, cfg.max_lines)
-        spent = np.concatenate(([0], np.cumsum(tx.py_costs(self.length, cfg.questions_per_line))))
-        first, last = [], []
-        for a, b in zip(*(x.tolist() for x in self.blocks), strict=True):
-            while a <= b:
-                fits = int(np.searchsorted(spent, spent[a - 1] + cfg.max_tokens, side="right")) - 1
-                first.append(a)
-                last.append(max(a, min(b, a + most - 1, fits)))
-                a = last[-1] + 1
-        if not first:
-            return
-        starts, ends = np.array(first), np.array(last)
-        used = np.concatenate(([0], np.cumsum(spent[ends] - spent[starts - 1])))
-        at = 0
-        while at < len(starts):
-            by_lines = int(np.searchsorted(ends, starts[at] + most - 1, side="right"))
-            by_tokens = int(np.searchsorted(used, used[at] + cfg.max_tokens, side="right")) - 1
-            to = max(at + 1, min(by_lines, by_tokens))
-            yield first[at], last[to - 1], list(zip(first[at:to], last[at:to], strict=True))
-            at = to
-
-
-_BLOCKS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_CHUNK = {"path": pa.string(), "ctx_start": pa.int32(), "start": pa.int32(), "end": pa.int32(), "blocks": _BLOCKS, "lines": pa.list_(pa.string())}
-CHUNK = "path string, ctx_start int, start int, end int, blocks array<struct<start:int,end:int>>, lines array<string>"
-#: Characters of chunks in one batch of rows, about.
-_BATCH_CHARS = 4_000_000
-
-
-def _batches(rows: Iterator[tuple], types: dict[str, pa.DataType], size=lambda row: 1, most: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held, used = [], 0
-    for row in rows:
-        held.append(row)
-        used += size(row)
-        if used >= most:
-            yield _batch(held, types)
-            held, used = [], 0
-    if held:
-        yield _batch(held, types)
-
-
-def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
-
-
-def _pairs(blocks) -> list[dict]:
-    return [{"start": a, "end": b} for a, b in blocks]
-
-
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Page]]:
-    for batch in batches:
-        path, text = batch.column("path"), batch.column("text")
-        for k in range(batch.num_rows):
-            yield path[k].as_py(), Page(text[k].as_py())
+def _follow(after: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """All places met from the roots when each place leads to after[place], which is further on; len(after) is the end."""
+    met = np.zeros(len(after) + 1, bool)
+    met[roots] = True
+    jump, known = np.append(after, len(after)), -1
+    while known < (known := np.count_nonzero(met)):
+        met[jump[np.flatnonzero(met)]] = True
+        met[-1] = True
+        jump = jump[jump]
+    return np.flatnonzero(met[:-1])
+
+
+def _roots(row: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal values."""
+    return np.flatnonzero(np.diff(row, prepend=-1))
+
+
+def _behind(row: np.ndarray) -> np.ndarray:
+    """For each place the first one behind its run of equal values."""
+    return np.searchsorted(row, row, side="right")
+
+
+def blocks_of(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last line (of all lines) of each block; blank lines behind a block's last line belong to none."""
+    real = np.flatnonzero(~lines.blank)
+    if not len(real):
+        return real, real
+    indent, definition, row = lines.indent[real], lines.definition[real], lines.row[real]
+    after_blank, behind = np.diff(real, prepend=-2) > 1, _behind(row)
+    after = behind.copy()
+    # Of the lines seen behind each, the least indent deeper than its own.
+    live, inner, step = np.arange(len(real)), np.full(len(real), DEEP), 1
+    while len(live):
+        here = live + step
+        inside = here < behind[live]
+        live, here, inner = live[inside], here[inside], inner[inside]
+        deep, base, length = indent[here], indent[live], real[here] - real[live]
+        outer = deep <= base
+        opens = definition[here] & (deep <= np.minimum(inner, base + 8)) & (outer | (length >= MIN_LEN))
+        parts = (length >= MIN_LEN) & (outer | ((deep <= inner) & (length >= MEMBER_LEN)) | (length >= MAX_LEN))
+        ends = (after_blank[here] & ((deep < base) | opens | parts)) | (length >= HARD_LEN)
+        after[live[ends]] = here[ends]
+        inner = np.where(outer, inner, np.minimum(inner, deep))[~ends]
+        live, step = live[~ends], step + 1
+    starts = _follow(after, _roots(row))
+    return real[starts], real[np.append(starts[1:], len(real)) - 1]
+
+
+def chunks_of(lines: Lines, cfg: Chunking) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last lines of the pieces of blocks, and the first piece of each chunk: pieces packed in order while both budgets hold; a block over a budget is cut first."""
+    most = max(1, cfg.max_lines)
+    spent = np.concatenate(([0], np.cumsum(lines.costs(cfg.questions_per_line))))
+    at, stop = blocks_of(lines)
+    first, last = [at[:0]], [at[:0]]
+    while len(at):
+        fits = np.searchsorted(spent, spent[at] + cfg.max_tokens, side="right") - 2
+        end = np.maximum(at, np.minimum(stop, np.minimum(at + most - 1, fits)))
+        first.append(at)
+        last.append(end)
+        at, stop = end[end < stop] + 1, stop[end < stop]
+    starts, ends = np.sort(np.concatenate(first)), np.sort(np.concatenate(last))
+    if not len(starts):
+        return starts, ends, starts
+    used, row = np.concatenate(([0], np.cumsum(spent[ends + 1] - spent[starts]))), lines.row[starts]
+    by_lines = np.searchsorted(ends, starts + most - 1, side="right")
+    by_tokens = np.searchsorted(used, used[:-1] + cfg.max_tokens, side="right") - 1
+    after = np.minimum(_behind(row), np.maximum(np.arange(len(starts)) + 1, np.minimum(by_lines, by_tokens)))
+    return starts, ends, _follow(after, _roots(row))
+
+
+BLOCK_LIST = "array<struct<start:int,end:int>>"
+CHUNK = f"path string, ctx_start int, start int, end int, blocks {BLOCK_LIST}, lines array<string>"
+
+
+def _int(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(_int(np.concatenate(([0], np.cumsum(sizes)))), values)
+
+
+def _over(files: DataFrame, make: Callable[[pa.Array, Lines], pa.RecordBatch], schema: str) -> DataFrame:
+    """make(paths, lines) of all passes over files."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passes(batches):
+            yield make(batch.column("path"), Lines(batch.column("text")))
 
-def split_blocks(files: DataFrame) -> DataFrame:
-    """path, start, end of every block."""
+    return files.select("path", "text").mapInArrow(run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((path, a, b) for path, page in _pages(batches) for a, b in zip(*(x.tolist() for x in page.blocks), strict=True))
-        yield from _batches(rows, {"path": pa.string(), "start": pa.int32(), "end": pa.int32()})
 
-    return files.select("path", "text").mapInArrow(run, "path string, start int, end int")
+def line_table(files: DataFrame) -> DataFrame:
+    """path, line, raw, text (clipped), blank, indent, definition of every line."""
 
+    def make(paths: pa.Array, lines: Lines) -> pa.RecordBatch:
+        found = {"path": paths.take(pa.array(lines.row)), "line": _int(lines.number), "raw": lines.raw, "text": lines.clipped, "blank": pa.array(lines.blank), "indent": _int(lines.indent), "definition": pa.array(lines.definition)}
+        return pa.RecordBatch.from_pydict(found)
 
-def chunk_files(files: DataFrame, cfg: Chunking = Chunking(), original: bool = False) -> DataFrame:
-    """One row per chunk: path, ctx_start, start, end, blocks, lines (of ctx_start..end; clipped, or as they are)."""
+    return _over(files, make, "path string, line int, raw string, text string, blank boolean, indent int, definition boolean")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for path, page in _pages(batches):
-            for start, end, blocks in page.chunks(cfg):
-                shown = max(start - cfg.context, 1)
-                yield path, shown, start, end, _pairs(blocks), (page.original if original else page.lines)[shown - 1 : end]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(rows(batches), _CHUNK, lambda row: 200 + sum(map(len, row[5])), _BATCH_CHARS)
+def token_costs(files: DataFrame, questions_per_line: float) -> DataFrame:
+    """path, line, tokens: what each line adds to a request."""
+
+    def make(paths: pa.Array, lines: Lines) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": paths.take(pa.array(lines.row)), "line": _int(lines.number), "tokens": _int(lines.costs(questions_per_line))})
 
-    return files.select("path", "text").mapInArrow(run, CHUNK)
+    return _over(files, make, "path string, line int, tokens int")
 
 
-def narrowed(chunk: dict, first: int, last: int, lead: int) -> dict:
-    """The chunk's lines first..last as a chunk of its own, with as many lines before them for context; blocks [(start, end)] are cut to them."""
-    held = chunk["lines"][first - lead - chunk["ctx_start"] :][: last - first + lead + 1]
-    inside = ((max(first, a), min(last, b)) for a, b in chunk["blocks"])
-    return chunk | {"ctx_start": first - lead, "start": first, "end": last, "lines": held, "blocks": [(a, b) for a, b in inside if a <= b]}
+def split_blocks(files: DataFrame) -> DataFrame:
+    """path, start, end of every block."""
 
+    def make(paths: pa.Array, lines: Lines) -> pa.RecordBatch:
+        first, last = blocks_of(lines)
+        return pa.RecordBatch.from_pydict({"path": paths.take(pa.array(lines.row[first])), "start": _int(lines.number[first]), "end": _int(lines.number[last])})
 
-def halves(chunk: dict) -> list[dict]:
-    """A chunk of two lines or more in two, at the block start nearest the middle line, or there if it has one block only."""
-    whole = range(chunk["start"], chunk["end"] + 1)
-    if len(whole) < 2:
-        return []
-    middle = whole[len(whole) // 2]
-    cut = min((a for a, _ in chunk["blocks"][1:]), key=lambda a: (abs(a - middle), a), default=middle)
-    return [narrowed(chunk, whole[0], cut - 1, whole[0] - chunk["ctx_start"]), narrowed(chunk, cut, whole[-1], min(LEAD, cut - whole[0]))]
+    return _over(files, make, "path string, start int, end int")
 
 
-def halve(chunks: DataFrame) -> DataFrame:
-    """Both halves of every chunk of two lines or more, with `half` 0 or 1."""
+def chunk_files(files: DataFrame, cfg: Chunking = Chunking(), original: bool = False) -> DataFrame:
+    """One row per chunk: path, ctx_start, start, end, blocks, lines (of ctx_start..end; clipped, or as they are)."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for k, part in enumerate(halves(row | {"blocks": [(b["start"], b["end"]) for b in row["blocks"]]})):
-                    yield (*(part[c] for c in ("path", "ctx_start", "start", "end")), _pairs(part["blocks"]), part["lines"], k)
+    def make(paths: pa.Array, lines: Lines) -> pa.RecordBatch:
+        starts, ends, heads = chunks_of(lines, cfg)
+        tails = np.append(heads[1:], len(starts))
+        first, last = starts[heads], ends[tails - 1]
+        row = lines.row[first]
+        shown = np.maximum(first - cfg.context, lines.first_line[row])
+        size = last - shown + 1
+        held = np.repeat(shown - np.cumsum(size) + size, size) + np.arange(size.sum())
+        blocks = pa.StructArray.from_arrays([_int(lines.number[starts]), _int(lines.number[ends])], ["start", "end"])
+        return pa.RecordBatch.from_pydict({
+            "path": paths.take(pa.array(row)), "ctx_start": _int(lines.number[shown]), "start": _int(lines.number[first]), "end": _int(lines.number[last]),
+            "blocks": _lists(tails - heads, blocks), "lines": _lists(size, (lines.raw if original else lines.clipped).take(pa.array(held))),
+        })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(rows(batches), _CHUNK | {"half": pa.int32()}, lambda row: 200 + 40 * len(row[5]), _BATCH_CHARS)
+    return _over(files, make, CHUNK)
 
-    return chunks.select("path", "ctx_start", "start", "end", "blocks", "lines").mapInArrow(run, CHUNK + ", half int")
+
+def halve(chunks: DataFrame) -> DataFrame:
+    """Both halves of every chunk of two lines or more, with `half` 0 or 1; other columns stay.
+
+    The cut is the block start nearest the middle line, or that line if there is one block only. The first half keeps the
+    chunk's context, the second has up to LEAD lines before it; blocks are cut to their half.
+    """
+    start, end, shown = F.col("start"), F.col("end"), F.col("ctx_start")
+    middle = start + F.floor((end - start + 1) / 2).cast("int")
+    inner = F.transform(F.filter("blocks", lambda b, k: k > 0), lambda b: F.struct(F.abs(b["start"] - middle), b["start"].alias("start")))
+    cut = F.coalesce(F.array_min(inner)["start"], middle)
+
+    def half(k: int, first: Column, last: Column, context: Column) -> Column:
+        held = F.slice("lines", context - shown + 1, last - context + 1)
+        mine = F.filter("blocks", lambda b: (b["start"] <= last) & (b["end"] >= first))
+        mine = F.transform(mine, lambda b: F.struct(F.greatest(b["start"], first).alias("start"), F.least(b["end"], last).alias("end")))
+        return F.struct(F.lit(k).alias("half"), context.alias("ctx_start"), first.alias("start"), last.alias("end"), mine.alias("blocks"), held.alias("lines"))
+
+    own = ["ctx_start", "start", "end", "blocks", "lines"]
+    cuts = chunks.where(end > start).withColumn("cut", cut)
+    at = F.col("cut")
+    both = F.array(half(0, start, at - 1, shown), half(1, at, end, F.greatest(start, at - LEAD)))
+    return cuts.select(*(c for c in chunks.columns if c not in own), F.explode(both).alias("h")).select(*(c for c in chunks.columns if c not in own), "h.*")

@@ -22,8 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _lines(spark: SparkSession, d: str, code_like: bool = True) -> DataFrame:
-    rows = corpus.files(spark, d, code_like).select("path", F.posexplode(tx.lines_of(F.col("text"))).alias("at", "raw"))
-    return rows.select("path", (F.col("at") + 1).alias("line"), "raw", tx.clip(F.col("raw")).alias("text"))
+    return segment.line_table(corpus.files(spark, d, code_like))
 
 
 def _scored(spark: SparkSession, d: str, words=(WORD,), rules: bool = False) -> DataFrame:
@@ -48,15 +47,15 @@ def askable_lines(spark, d):
 
 
 def token_estimate(spark, d):
-    return _lines(spark, d, False).groupBy("path").agg(F.sum(tx.estimate_tokens(F.col("text"), 1.0)).alias("tokens"))
+    return segment.token_costs(corpus.files(spark, d, False), 1.0).groupBy("path").agg(F.sum("tokens").alias("tokens"))
 
 
 def definitions(spark, d):
-    return _lines(spark, d).where(tx.is_definition(F.col("text"))).select("path", "line", "text")
+    return _lines(spark, d).where("definition").select("path", "line", "text")
 
 
 def indent_depth(spark, d):
-    return _lines(spark, d).where(~tx.blank(F.col("text"))).groupBy("path").agg(F.sum(tx.indent(F.col("text"))).alias("indents"), F.count("*").alias("n"))
+    return _lines(spark, d).where("not blank").groupBy("path").agg(F.sum("indent").alias("indents"), F.count("*").alias("n"))
 
 
 def _urls(spark, d):
@@ -133,8 +132,7 @@ def file_fold(spark, d):
 
 
 def rank_files(spark, d):
-    s = _scored(spark, d)
-    return fold.rank_files(fold.fold_files(s), scoring.line_hits(s), scoring.block_hits(s)).select("path", "score", "evidence", F.round("rank", 6).alias("rank"))
+    return fold.rank_files(_scored(spark, d)).select("path", "score", "evidence", F.round("rank", 6).alias("rank"))
 
 
 def merge_regions(spark, d):
@@ -172,9 +170,7 @@ def multi_query(spark, d):
 
 
 def context_lines(spark, d):
-    lines = _lines(spark, d).select("path", "line", "text")
-    hits = scoring.line_hits(_scored(spark, d)).where("p >= 0.5")
-    return sel.context_lines(hits, lines, 2).select("path", "line", "text")
+    return sel.context_lines(_scored(spark, d), 2).select("path", "line", "text")
 
 
 def _rendered(spark, text: str, name: str) -> DataFrame:

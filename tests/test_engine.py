@@ -2,33 +2,118 @@
 
 import json
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sievely import cli
+from sievely.functions import lines
 from sievely.functions import text as tx
 from sievely.operators import evaluate, filters, fold, questions, render, rulecheck, scoring, segment, select
 from sievely.sources import backends, files
 from sievely.streaming import search as streaming
 
 
-def blocks(spark, lines):
-    rows = segment.split_blocks(spark.createDataFrame([("f", "\n".join(lines) + "\n")], "path string, text string")).orderBy("start").collect()
+def blocks(spark, said):
+    rows = segment.split_blocks(spark.createDataFrame([("f", "\n".join(said) + "\n")], "path string, text string")).orderBy("start").collect()
     return [(r["start"], r["end"]) for r in rows]
 
 
-def test_lines(spark):
-    rows = [("a\nb\n", ["a", "b"]), ("a\r\nb", ["a", "b"]), ("", []), (None, []), ("\n", [""]), ("a\rb\n\n", ["a\rb", ""])]
-    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", tx.lines_of(F.col("t")).alias("l")).orderBy("i").collect()
-    assert [r["l"] for r in got] == [want for _, want in rows]
-
-
-def test_clip_indent_definition(spark):
-    rows = [("  x  ", "  x", 2, False), ("y" * 301, "y" * 300 + " ...", 0, False), ("\tpub(crate) async fn go() {", "\tpub(crate) async fn go() {", 1, True), ("default_value", "default_value", 0, False), ("defé", "defé", 0, True), ("def_x", "def_x", 0, False)]
-    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string")
-    got = df.select(tx.clip(F.col("t")), tx.indent(F.col("t")), tx.is_definition(F.col("t"))).collect()
-    assert [tuple(r) for r in got] == [r[1:] for r in rows]
+#: Pieces of lines: white space of all kinds, characters that only look like it, words of definitions, long runs.
+PIECES = ["", " ", "  ", "\t", "\u2003", "\x1c", "\xa0", "\x85", "\u200b", "\u3000", "é", "日本", "x", "def ", "def", "pub(crate) ", "pub (", "pub", "async fn go", "macro_rules!", "macro_rules", "modx", "mod é", "static class", "const", "\x0c", "\x0b", "y" * 299, "z" * 301, " " * 310, "\r", "export default function"]
+
+
+def plain_lines(text):
+    parts = text.replace("\r\n", "\n").split("\n")
+    return parts if parts[-1] else parts[:-1]
+
+
+def plain_line(raw):
+    """text, blank, indent, definition by the rules for one line."""
+    text = raw.rstrip(tx.WHITE_SPACE)
+    text = text[:300] + " ..." if len(text) > 300 else text
+    return text, not text, len(text) - len(text.lstrip(tx.WHITE_SPACE)), bool(re.match(tx.DEFINITION, text, re.A))
+
+
+def test_line_index(spark):
+    rng = random.Random(8)
+    texts = ["a\nb\n", "a\r\nb", "", None, "\n", "a\rb\n\n", "\r\n", "x\r", " " * 300 + "y", "\n\nq", "last", "\nfirst"]
+    texts += ["".join(rng.choice(PIECES) + rng.choice(["", "", "\n", "\r\n"]) for _ in range(rng.randrange(30))) for _ in range(150)]
+    got = lines.Lines(pa.array(texts, pa.string()))
+    want = [(k, n, raw, *plain_line(raw)) for k, t in enumerate(texts) for n, raw in enumerate(plain_lines(t or ""), 1)]
+    columns = (got.row, got.number, got.raw, got.clipped, got.blank, got.indent, got.definition)
+    assert list(zip(*(c.tolist() if hasattr(c, "tolist") else c.to_pylist() for c in columns), strict=True)) == want
+    assert got.length.tolist() == [len(w[3]) for w in want] and got.costs(1.0).tolist() == [6 + len(w[3]) // 3 + 30 for w in want]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    table = segment.line_table(df).collect()
+    assert sorted((int(r["path"]), r["line"], r["raw"], r["text"], r["blank"], r["indent"], r["definition"]) for r in table) == want
+    assert lines.lines_of("a\r\nb") == ["a", "b"] and len(lines.Lines(pa.array([], pa.string()))) == 0
+
+
+def test_passes_bound_their_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x" * 900_000, None, "y" * 900_000, "z" * 5_000_000, "", "w"])})
+    assert [b.num_rows for b in lines.passes(iter([batch]))] == [3, 1, 2]
+
+
+def plain_blocks(told):
+    """Blocks by a loop over lines; told: (text, blank, indent, definition)."""
+    out, start, last, base, inner = [], None, None, 0, 10**6
+    for n, (_, blank, indent, definition) in enumerate(told, 1):
+        if blank:
+            continue
+        if start is not None:
+            size, apart = n - start, n - last > 1
+            member = indent <= min(inner, base + 8) and definition and (indent <= base or size >= 6)
+            long = size >= 6 and (indent <= base or (indent <= inner and size >= 12) or size >= 40)
+            if size >= 50 or (apart and (indent < base or member or long)):
+                out.append((start, last))
+                start = None
+            elif indent > base:
+                inner = min(inner, indent)
+        if start is None:
+            start, base, inner = n, indent, 10**6
+        last = n
+    return out + [(start, last)] if start is not None else out
+
+
+def plain_chunks(told, found, most, tokens):
+    """(start, end, pieces) by a loop over blocks."""
+    cost = [6 + len(t) // 3 + 30 for t, *_ in told]
+    pieces = []
+    for a, b in found:
+        while a <= b:
+            z = a
+            while z < b and z - a + 1 < most and sum(cost[a - 1 : z + 1]) <= tokens:
+                z += 1
+            pieces.append((a, z))
+            a = z + 1
+    out = []
+    for a, b in pieces:
+        if out and b - out[-1][0][0] + 1 <= most and sum(sum(cost[x - 1 : y]) for x, y in [*out[-1], (a, b)]) <= tokens:
+            out[-1].append((a, b))
+        else:
+            out.append([(a, b)])
+    return [(c[0][0], c[-1][1], c) for c in out]
+
+
+def test_blocks_and_chunks_by_plain_loops():
+    rng = random.Random(12)
+    for _ in range(40):
+        texts = ["\n".join(rng.choice(["", "", "  ", "    ", "        "]) + rng.choice(["x", "", "", "def f():", "class A", "y = 1", "z " * 40]) for _ in range(rng.randrange(260))) for _ in range(3)]
+        index = lines.Lines(pa.array(texts))
+        first, last = segment.blocks_of(index)
+        most, tokens = rng.choice([(150, 14_000), (40, 900), (7, 120), (1, 1)])
+        starts, ends, heads = segment.chunks_of(index, segment.Chunking(most, tokens))
+        for k, text in enumerate(texts):
+            told = [plain_line(x) for x in plain_lines(text)]
+            mine = index.row[first] == k
+            found = list(zip(index.number[first[mine]].tolist(), index.number[last[mine]].tolist(), strict=True))
+            assert found == plain_blocks(told)
+            spans = [(a, b) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(starts)], strict=True) if index.row[starts[a]] == k]
+            got = [(int(index.number[starts[a]]), int(index.number[ends[b - 1]]), [(int(index.number[x]), int(index.number[y])) for x, y in zip(starts[a:b], ends[a:b], strict=True)]) for a, b in spans]
+            assert got == plain_chunks(told, found, most, tokens)
 
 
 GLOBS = [("src/a.py", "*.py", True), ("src/a.py", "src/?.py", True), ("a.py", "[!b].py", True), ("b.py", "[!b].py", False), ("a[.py", "a[.py", True), ("a]", "[]]x", False), ("x/y/z.c", "x*z.c", True), ("A.py", "a.py", False), ("a.py", "[a-c].py", True), ("a\nb", "a?b", True)]
@@ -57,26 +142,26 @@ def test_chunks_cover_and_bound(spark):
     cfg = segment.Chunking(max_lines=40, max_tokens=900)
     got = segment.chunk_files(spark.createDataFrame(rows, "path string, text string"), cfg).collect()
     for path, text in rows:
-        lines = text.split("\n")[:-1]
+        said = text.split("\n")[:-1]
         mine = sorted((c for c in got if c["path"] == path), key=lambda c: c["start"])
         inside = [n for c in mine for b in c["blocks"] for n in range(b["start"], b["end"] + 1)]
         assert len(inside) == len(set(inside))
-        assert {n for n, x in enumerate(lines, 1) if x.strip()} <= set(inside)
+        assert {n for n, x in enumerate(said, 1) if x.strip()} <= set(inside)
         for c in mine:
             assert c["end"] - c["start"] < 40
-            assert c["lines"] == [tx.py_clip(x) for x in lines[c["ctx_start"] - 1 : c["end"]]]
+            assert c["lines"] == [plain_line(x)[0] for x in said[c["ctx_start"] - 1 : c["end"]]]
 
 
 def test_halves(spark):
-    chunk = {"path": "f", "ctx_start": 15, "start": 20, "end": 59, "blocks": [(20, 33), (34, 47), (49, 59)], "lines": [f"l{n}" for n in range(15, 60)]}
-    one, two = segment.halves(chunk)
-    assert (one["ctx_start"], one["start"], one["end"], one["blocks"]) == (15, 20, 33, [(20, 33)]) and one["lines"] == [f"l{n}" for n in range(15, 34)]
-    assert (two["ctx_start"], two["start"], two["end"], two["blocks"]) == (22, 34, 59, [(34, 47), (49, 59)]) and two["lines"] == [f"l{n}" for n in range(22, 60)]
-    one, two = segment.halves(chunk | {"blocks": [(20, 59)]})  # within a block: at the middle line
-    assert (one["blocks"], two["blocks"], two["start"]) == ([(20, 39)], [(40, 59)], 40)
-    assert segment.halves(chunk | {"start": 59, "blocks": [(59, 59)]}) == []
-    df = spark.createDataFrame([(chunk["path"], 15, 20, 59, chunk["blocks"], chunk["lines"])], segment.CHUNK)
-    assert [(r["half"], r["start"], r["end"], len(r["lines"])) for r in segment.halve(df).orderBy("half").collect()] == [(0, 20, 33, 19), (1, 34, 59, 38)]
+    def halves(start, spans):
+        df = spark.createDataFrame([("f", 15, start, 59, spans, [f"l{n}" for n in range(15, 60)], 7)], segment.CHUNK + ", other int")
+        return [(r["ctx_start"], r["start"], r["end"], [tuple(b) for b in r["blocks"]], r["lines"], r["other"]) for r in segment.halve(df).orderBy("half").collect()]
+
+    said = lambda a, b: [f"l{n}" for n in range(a, b + 1)]
+    assert halves(20, [(20, 33), (34, 47), (49, 59)]) == [(15, 20, 33, [(20, 33)], said(15, 33), 7), (22, 34, 59, [(34, 47), (49, 59)], said(22, 59), 7)]
+    one, two = halves(20, [(20, 59)])  # within a block: at the middle line
+    assert (one[3], two[3], two[1]) == ([(20, 39)], [(40, 59)], 40)
+    assert halves(59, [(59, 59)]) == []
 
 
 def test_oversize_blocks_are_cut(spark):
@@ -87,10 +172,11 @@ def test_oversize_blocks_are_cut(spark):
 
 
 def test_white_space_of_unicode(spark):
-    """Python's and the engine's line functions agree on white space beyond ASCII, and on what is none."""
+    """Columns agree with the line index on white space beyond ASCII, and on what is none."""
     rows = ["\u2003x\u2003", "\x1cx\x1c", "\xa0", "\x85 y", "\u200bz\u200b", "\x1c", "x\u3000"]
-    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", tx.clip(F.col("t")), tx.indent(F.col("t")), tx.blank(F.col("t"))).orderBy("i").collect()
-    assert [tuple(r)[1:] for r in got] == [(tx.py_clip(t), tx.py_indent(t), not t.strip(tx.WHITE_SPACE)) for t in rows]
+    got = spark.createDataFrame([(i, plain_line(t)[0]) for i, t in enumerate(rows)], "i int, t string").select("i", tx.indent(F.col("t")), tx.blank(F.col("t")), tx.is_definition(F.col("t"))).orderBy("i").collect()
+    index = lines.Lines(pa.array([t + "\n" for t in rows]))
+    assert [tuple(r)[1:] for r in got] == list(zip(index.indent.tolist(), index.blank.tolist(), index.definition.tolist(), strict=True))
 
 
 PHRASES = [
@@ -181,11 +267,11 @@ def golden(spark, backend):
     chunks = segment.chunk_files(files_)
     if backend:
         asked = questions.ask_backend(chunks, lambda: backends.LexicalBackend(["needle"], 3), ["find needle"])
-        scored, lines, hits = questions.score_answers(asked, 1)
+        scored, found, hits = questions.score_answers(asked, 1)
     else:
         scored = scoring.score_chunks(chunks, scoring.Search([["needle"]]))
-        lines, hits = scoring.line_hits(scored), scoring.block_hits(scored)
-    return fold.fold_files(scored), select.select(fold.fold_files(scored), lines, hits)
+        found, hits = scoring.line_hits(scored), scoring.block_hits(scored)
+    return fold.fold_files(scored), select.select(fold.fold_files(scored), found, hits)
 
 
 def test_golden_file(spark):
@@ -203,10 +289,10 @@ def test_backend_path_equals_columns_and_splits(spark):
     chunks = segment.chunk_files(spark.createDataFrame([("t.py", text)], "path string, text string"))
     asked = questions.ask_backend(chunks, lambda: backends.LexicalBackend(["needle"], 20), ["q"])
     assert asked.count() > 1
-    _, lines, hits = questions.score_answers(asked, 1)
+    _, found, hits = questions.score_answers(asked, 1)
     native = scoring.score_chunks(chunks, scoring.Search([["needle"]]))
     key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
-    assert key(lines, "line", "p") == key(scoring.line_hits(native), "line", "p")
+    assert key(found, "line", "p") == key(scoring.line_hits(native), "line", "p")
     assert key(hits, "start", "end", "p") == key(scoring.block_hits(native), "start", "end", "p")
 
 
