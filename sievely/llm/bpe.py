@@ -1,16 +1,18 @@
 """Byte-level BPE by a tokenization automaton.
 
 compile_automaton() builds, merge by merge, the deterministic automaton that accepts exactly the token sequences that BPE
-yields, into integer arrays. It starts as one state with an arc per byte. The gadget of a merge (u, v) -> w makes one new
-state: the copy, without its v-arc, of the state that u-arcs lead to. It leads all u-arcs to the copy, and gives w-arcs,
-which lead where v led, to all states whose u-arc led to the original. So all arcs of one label lead to one state; a state
-is kept as the state that it copies and the arc that it lacks, and a made label as its merge. A state has a label's arc
-unless, at some moment of the construction, the two labels that then stood at the border were merged.
-
-A pre-split word is encoded by running over its bytes with two tables: one leads from a state of the labels' trie and
-a byte to the longest label that ends there (transitions and labels are compiled for all states and bytes), the other
-says whether the state behind a label has another label's arc (filled when first asked). Each prefix of a word has exactly one
-accepted path, so its last arc is the longest label that the path before it can go on with. That is linear in the bytes.
+yields. It starts as one state with an arc per byte. The gadget of a merge (u, v) -> w makes one new state: the copy,
+without its v-arc, of the state that u-arcs lead to. It leads all u-arcs to the copy, and gives w-arcs, which lead where v
+led, to all states that have a u-arc. So all arcs of one label lead to one state, and a state that lacks v lacks all labels
+made from then on whose leftmost parts go back to v. Labels are numbered along the tree of leftmost parts, latest children
+first; there these are one interval. A state is compiled to the sorted intervals of the numbers that it has no arc of:
+`state` (of a label), `first`, `low` and `high` are the whole transition table, some hundred thousand numbers in place of
+states times labels.
+
+A pre-split word is encoded by table-driven transitions: one table leads from a state of the labels' trie and a byte to
+the longest label that ends there; the state behind the label before it tells by its intervals whether it has that arc, and
+if not, the next shorter label is tried. Each prefix of a word has exactly one accepted path, so its last arc is the
+longest label that the path before it can go on with. That is linear in the bytes.
 Decoding emits the arcs' labels.
 
 Cases: null and empty texts give no tokens and decode to ''. The strings of special tokens inside texts are
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +42,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KEPT_WORDS = 250_000
 #: Those longer than this are encoded anew each time, so that the kept words stay small.
 KEPT_LENGTH = 64
-#: Entries of the arc table; a full one is begun anew.
-KEPT_ARCS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,31 +60,64 @@ class Automaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         size = self.size = max(labels) + 1
         self.labels = labels
-        # States: 0 is the first one, k + 1 the copy that merge k makes.
-        self.copy_of = np.zeros(len(merges) + 1, np.int32)
-        self.lacks = np.full(len(merges) + 1, -1, np.int32)
-        self.leads_to = np.zeros(size, np.int32)
-        born, left, right = self.born, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
-        named = np.zeros(size, bool)
-        named[[x for x, label in labels.items() if len(label) == 1]] = True
-        usable = named.copy()
-        #: What a copy lacks, by the label whose arcs were led to it: (u, v) -> the merge.
-        self.border: dict[int, int] = {}
+        roots = [x for x, label in labels.items() if len(label) == 1]
+        self._number(roots, merges)
+        # The intervals that the state of a label lacks; labels whose arcs lead to one state share the lists.
+        start: tuple[list[int], list[int]] = ([], [])
+        led: list[tuple[list[int], list[int]] | None] = [None] * size
+        for x in roots:
+            led[x] = start
+        youngest = [-1] * size  # the child by leftmost parts that was made last
+        for u, v, w in merges:
+            if led[u] is not None and led[v] is not None and not self._within(led[u], self.place[v]):
+                low, high = led[u]
+                # What has v as leftmost part and is made from now on is numbered before its youngest child so far.
+                a, b = self.place[v], self.place[youngest[v]] if youngest[v] >= 0 else self.place[v] + self.below[v]
+                i, j = bisect_left(low, a), bisect_left(low, b)
+                copy = low[:i] + [a] + low[j:], high[:i] + [b] + high[j:]
+                led[w] = led[v]
+                led[u] = copy
+            youngest[u] = w  # a merge whose path no state has any more never happens; its label stays without a state
+        del self.below
+        self._states(led)
+        self._compile({labels[x]: x for x in range(size) if led[x] is not None})
+
+    def _number(self, roots: list[int], merges: list[tuple[int, int, int]]) -> None:
+        """place: numbers along the tree of leftmost parts, a label before its children and the latest child first; below: how many are in its subtree."""
+        named = set(roots)
         for k, (u, v, w) in enumerate(merges):
-            if not (named[u] and named[v]) or named[w]:
+            if not (u in named and v in named) or w in named:
                 raise ValueError(f"merge {k} takes labels that are not made yet, or makes one again")
-            named[w] = True
-            if not (usable[u] and usable[v] and self.has_arc(u, v)):
-                continue  # no state has that path any more: the merge never happens
-            behind = self.leads_to[v]
-            self.copy_of[k + 1], self.lacks[k + 1] = self.leads_to[u], v
-            self.leads_to[u] = k + 1
-            self.leads_to[w], usable[w] = behind, True
-            born[w], left[w], right[w] = k, u, v
-            self.border[u * size + v] = k
-        self._compile({labels[int(x)]: int(x) for x in np.flatnonzero(usable)})
-        #: The transition table over labels, as far as it was asked for: (label behind, label) -> whether there is an arc.
-        self.arcs: dict[int, bool] = {}
+            named.add(w)
+        self.place, self.below = [0] * self.size, [1] * self.size
+        for u, _, w in reversed(merges):
+            self.below[u] += self.below[w]
+        free, at = {}, 0
+        for x in roots:
+            self.place[x], at = at, at + self.below[x]
+        # A label's parent is made before it, and its younger siblings before it are counted from the end of the parent's numbers.
+        for u, _, w in merges:
+            end = free.get(u, self.place[u] + self.below[u])
+            self.place[w] = free[u] = end - self.below[w]
+
+    @staticmethod
+    def _within(lacks: tuple[list[int], list[int]], place: int) -> bool:
+        i = bisect_right(lacks[0], place) - 1
+        return i >= 0 and place < lacks[1][i]
+
+    def _states(self, led: list[tuple[list[int], list[int]] | None]) -> None:
+        """state[label] and its intervals low[k]..high[k], k from first[state] to first[state + 1]."""
+        numbers: dict[int, int] = {}
+        self.state, self.first, self.low, self.high = array("i", [-1]) * self.size, array("i", [0]), array("i"), array("i")
+        for x, lacks in enumerate(led):
+            if lacks is None:
+                continue
+            if id(lacks) not in numbers:
+                numbers[id(lacks)] = len(numbers)
+                self.low.extend(lacks[0])
+                self.high.extend(lacks[1])
+                self.first.append(len(self.low))
+            self.state[x] = numbers[id(lacks)]
 
     def _compile(self, ids: dict[bytes, int]) -> None:
         """Tables over the trie of the labels: goto[state, byte], the longest label that ends in a state, and a label's next shorter one."""
@@ -116,40 +150,24 @@ class Automaton:
         self.length = [len(self.labels.get(x, b"")) for x in range(self.size)]
 
     def has_arc(self, before: int, label: int) -> bool:
-        """Whether the state behind the label `before` has an arc of the other label.
-
-        Goes back through the construction: the pair at the border is that of the latest moment, then whichever was made
-        later is replaced by the part of it that lies at the border. An arc is missing if such a pair was merged while it
-        stood there; of its own merge a label is taken once, the leftmost first.
-        """
-        u, x, until_u, until_x = before, label, len(self.lacks), len(self.lacks)
-        while True:
-            k = self.border.get(u * self.size + x)
-            if k is not None and k < until_u and k <= until_x:
-                return False
-            if self.born[u] > self.born[x]:
-                until_u, u = self.born[u], self.right[u]
-            elif self.born[x] >= 0:
-                until_x, x = self.born[x], self.left[x]
-            else:
-                return True
+        """Whether the state behind the label `before` has an arc of the other label."""
+        state, place = self.state[before], self.place[label]
+        i = bisect_right(self.low, place, self.first[state], self.first[state + 1]) - 1
+        return i < self.first[state] or place >= self.high[i]
 
     def encode(self, word: bytes) -> list[int]:
         """The arcs of the one accepted path over the word's bytes."""
-        goto, longest, shorter, length, arcs, size = self.goto, self.longest, self.shorter, self.length, self.arcs, self.size
+        goto, longest, shorter, length = self.goto, self.longest, self.shorter, self.length
+        state, place, first, low, high = self.state, self.place, self.first, self.low, self.high
         last: list[int] = []
         at = 0
         for end, byte in enumerate(word):
             at = goto[at << 8 | byte]
             label = longest[at]
             while (start := end - length[label]) >= 0:
-                key = last[start] * size + label
-                known = arcs.get(key)
-                if known is None:
-                    if len(arcs) >= KEPT_ARCS:
-                        arcs.clear()
-                    known = arcs[key] = self.has_arc(last[start], label)
-                if known:
+                s, number = state[last[start]], place[label]
+                i = bisect_right(low, number, first[s], first[s + 1]) - 1
+                if i < first[s] or number >= high[i]:
                     break
                 label = shorter[label]
             last.append(label)

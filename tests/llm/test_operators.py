@@ -289,8 +289,9 @@ def test_bpe_equals_the_library(spark):
 def test_automaton_by_hand():
     labels = {0: b"a", 1: b"b", 2: b"aa", 3: b"ab", 4: b"aab"}
     a = bpe.Automaton(labels, [(0, 0, 2), (0, 1, 3), (2, 1, 4)])
-    # The copies that the gadgets made, and what each lacks; the arcs of a label that a merge took lead to its copy.
-    assert a.copy_of.tolist() == [0, 0, 1, 0] and a.lacks.tolist() == [-1, 0, 1, 1] and a.leads_to.tolist()[:3] == [2, 0, 3]
+    # Numbers along leftmost parts, latest first: a, ab, aa, aab, b. Behind a, all that begins with a is lacking, and b; behind aa only b.
+    assert a.place == [0, 4, 2, 1, 3] and a.state.tolist() == [0, 1, 2, 1, 1]
+    assert a.first.tolist() == [0, 2, 2, 3] and a.low.tolist() == [0, 4, 4] and a.high.tolist() == [4, 5, 5]
     assert a.encode(b"aab") == [4] and a.encode(b"aaa") == [2, 0] and a.encode(b"ab") == [3] and a.encode(b"aaab") == [2, 3]
     assert not a.has_arc(0, 0) and not a.has_arc(2, 1) and a.has_arc(1, 0)
 
@@ -334,6 +335,25 @@ def test_bpe_refuses_other_files(tmp_path):
         bpe.compile_automaton(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def test_bpe_is_encoded_by_the_compiled_states():
+    """The encoder reads the intervals of the gadgets and nothing else: without them, or with the states mixed up, ids are other ones."""
+    import public_tokenizers
+
+    rng = random.Random(31)
+    alphabet = [rng.choice("abcdeilnorst ") for _ in range(4000)]
+    word = "".join(alphabet).encode()
+    a, _ = bpe.compile_automaton(public_tokenizers.path("byte_bpe_50k.json"))
+    right = a.encode(word)
+    assert b"".join(a.labels[x] for x in right) == word and all(a.has_arc(x, y) for x, y in itertools.pairwise(right))
+    assert len(a.first) - 1 < 20_000 and len(a.low) < 400_000  # states and numbers of the whole table
+    high, state = a.high, a.state
+    a.high = high[:0] + type(high)("i", bytes(4 * len(high)))  # nothing is lacked: the longest label always goes
+    greedy = a.encode(word)
+    a.high, a.state = high, type(state)("i", [max(x, 0) for x in reversed(state)])
+    mixed = a.encode(word)
+    assert greedy != right and mixed != right
+
+
 # 5
 
 
