@@ -10,10 +10,11 @@ share of its instances (distinct strings; of the parts of a run only the longest
 that of being right in at least one of its cues. Of instances that pass and overlap the most confident one stays, then
 the longest; tokens come last. Those become known for the next round, and are added to the base spans.
 
-What is an instance is a definition, not a budget: an identifier holds a digit, or stands as an address. A token counts from
-LEAST_TOKEN characters on, from its first digit; numbers have LEAST_DIGITS to MOST_DIGITS digits. A cue is the word next to
-an instance, at most GAP_CHARS separators away; of a word longer than CUE_CHARS the nearest CUE_CHARS characters are the cue.
-Lengths of tokens, runs and texts are not bounded.
+What is an instance is a definition, not a budget: an identifier holds a digit, or stands as an address. Its lengths are
+parameters (Bounds): a token counts from least_token characters on, from its first digit; numbers have least_digits to
+most_digits digits. A cue is the word next to an instance, at most gap_chars separators away; of a word longer than cue_chars
+the nearest cue_chars characters are the cue. Lengths of tokens, runs and texts are not bounded: places in a text are summed
+in blocks, and what stands around a place is cut from pieces of the text, so that work grows little faster than the text.
 
 Cases: null and empty texts have no spans; repeated rows are rows of their own; ties between kinds go to the kind that
 comes first in KINDS. An empty table gives no rows. find() reads doc_id and text; redact() keeps all columns.
@@ -21,15 +22,37 @@ comes first in KINDS. An empty table gives no rows. find() reads doc_id and text
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fresh, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Least confidence of a pattern and of an instance; least known strings behind a pattern; digits of a number.
+#: Least confidence of a pattern and of an instance; least known strings behind a pattern.
 PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, SUPPORT = 0.9, 0.95, 4
-LEAST_DIGITS, MOST_DIGITS, LEAST_TOKEN, CUE_CHARS, GAP_CHARS = 7, 19, 4, 30, 8
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What is an instance and what is a cue."""
+
+    least_digits: int = 7
+    most_digits: int = 19
+    least_token: int = 4
+    cue_chars: int = 30
+    gap_chars: int = 8
+
+    @property
+    def around(self) -> int:
+        """Characters beside an instance that a cue can reach."""
+        return self.cue_chars + self.gap_chars + 1
+
+
+#: Elements that are summed at a time, and characters of a piece of text.
+_STRIDE, _PIECE = 256, 1024
 
 #: Stand-ins of one code point, of no class; the first takes the place of a dot that no domain can hold.
 _STOP, _OTHER = "\uE000", "\uE001"
@@ -40,7 +63,6 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9 -]+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_TOKEN = rf"(?<!\S)[^\s0-9]*+[0-9]\S{{{LEAST_TOKEN - 1},}}+"
 #: A number token, and a run of them: no part of a longer word; a failed start is not tried again within its token.
 _ATOM = r"(?<![\p{L}\p{N}_@])(?<![0-9][().\-/]{1,3})[+(]{0,2}+[0-9]++(?:[().\-/]{1,3}+[0-9]++)*+(?![\p{L}\p{N}_@])"
 _RUN = rf"{_ATOM}(?:[  ().\-]*+{_ATOM})*+"
@@ -50,17 +72,57 @@ _QUAD = r"^[0-9]+(?:\.[0-9]+){3}$"
 _MARKS = ""
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> in code points: what stands between matches gives their places."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+def token_pattern(bounds: Bounds) -> str:
+    return rf"(?<!\S)[^\s0-9]*+[0-9]\S{{{bounds.least_token - 1},}}+"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, advance: Callable, combine: Callable, emit: Callable, kind: str) -> Column:
+    """emit(what advance() made of all items before it, item) of each item, from 0 on: array<kind>.
+
+    In blocks, each from where the blocks before it end: an array that grows by one element at a time is copied each time.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def whole(x: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(x) / _STRIDE).cast("int"), F.lit(1))
+        return _let(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(x, i * _STRIDE + 1, _STRIDE)), of_blocks)
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), advance))
+        begins = F.aggregate(totals, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), of_block))
+
+    def of_block(block: Column, begin: Column) -> Column:
+        step = lambda acc, x: F.struct(advance(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out"))
+        return F.aggregate(block, F.struct(begin.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    def step(acc: Column, x: Column) -> Column:  # the last gap has no value
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["value"])
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value")))).alias("out")))
+    return _let(items, whole)
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of _PIECE characters: a place far behind is reached without counting from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text's characters start to end, counted from 0."""
+    first = F.floor(start / _PIECE).cast("int")
+    held = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / _PIECE).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(held, start - first * _PIECE + 1, end - start)).otherwise("")
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> in code points: what stands between matches gives their places."""
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # The last gap has no value behind it.
+    pairs = F.transform(F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda x: x["value"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["value"]).alias("n"), x["value"].alias("value")))
+    place = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["value"].alias("value"))
+    return _scan(pairs, lambda at, x: at + x["gap"] + x["n"], lambda a, b: a + b, place, "struct<start:int,end:int,value:string>")
 
 
 def luhn(digits: Column) -> Column:
@@ -94,100 +156,108 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _masked(text: Column, base: Column) -> Column:
-    """struct<text, first>: text with the marks of their kinds in place of base spans, as long; the spans that start in no earlier one."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    mark = lambda b: F.get(F.array(*(F.lit(m) for m in _MARKS)), b["kind"])
+def _in_order(spans: Column) -> Column:
+    """Spans by start, with `before`: where those before them end at most."""
+    seen = lambda at, b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), at.alias("before"))
+    return _scan(spans, lambda at, b: F.greatest(at, b["end"]), F.greatest, seen, "struct<start:int,kind:int,end:int,before:int>")
+
 
-    def step(acc: Column, b: Column) -> Column:
-        free = b["start"] >= acc["at"]
-        fresh = F.when(free, F.substring(text, acc["at"] + 1, b["start"] - acc["at"])).otherwise("")
-        out = F.concat(acc["out"], fresh, F.repeat(mark(b), F.greatest(F.lit(0), b["end"] - F.greatest(acc["at"], b["start"]))))
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"), F.when(free, F.concat(acc["first"], F.array(b))).otherwise(acc["first"]).alias("first"))
+def _replaced(text: Column, pieces: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """text with by(span) in place of each span; spans: those of _in_order()."""
+    parts = lambda x: F.transform(x, lambda b: F.concat(_cut(pieces, b["before"], F.greatest(b["start"], b["before"])), by(b)))
+    last = lambda x: F.array_max(F.transform(x, lambda b: b["end"]))
+    return _let(spans, lambda x: F.concat(F.array_join(parts(x), ""), _let(last(x), lambda at: _cut(pieces, at, F.greatest(at, F.length(text))))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), none.alias("first"))
-    whole = F.aggregate(base, start, step, lambda acc: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))).alias("text"), acc["first"].alias("first")))
-    return F.when(F.size(base) > 0, whole).otherwise(F.struct(text.alias("text"), none.alias("first")))
+
+def _masked(text: Column, pieces: Column, base: Column) -> Column:
+    """struct<text, first>: text with the marks of their kinds in place of base spans, as long; the spans that start in no earlier one."""
+    mark = lambda b: F.get(F.array(*(F.lit(m) for m in _MARKS)), b["kind"])
+    marks = lambda b: F.repeat(mark(b), F.greatest(F.lit(0), b["end"] - F.greatest(b["before"], b["start"])))
+    first = lambda x: F.transform(F.filter(x, lambda b: b["start"] >= b["before"]), lambda b: F.struct(b["start"], b["kind"], b["end"]))
+    whole = _let(_in_order(base), lambda x: F.struct(_replaced(text, pieces, x, marks).alias("text"), first(x).alias("first")))
+    return F.when(F.size(base) > 0, whole).otherwise(F.struct(text.alias("text"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("first")))
 
 
 def _digits(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^0-9]", ""))
 
 
-def _parts(run: Column) -> Column:
+def _parts(run: Column, bounds: Bounds) -> Column:
     """The parts of a run of number tokens with a fitting count of digits: start, end, and whether it begins (ends) the run and is the longest that does."""
-    atoms = _matches(run["value"], _ATOM)
-    pieces = F.zip_with(F.split(run["value"], _ATOM, -1), F.transform(atoms, lambda x: x["value"]), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit(""))))
+    pieces = lambda atoms: F.zip_with(F.split(run["value"], _ATOM, -1), F.transform(atoms, lambda x: x["value"]), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit(""))))
 
     def of(both: Column) -> Column:
         atoms, pieces = both["atoms"], both["pieces"]
 
         def behind(x: Column, i: Column) -> Column:
-            # Each token has a digit, so more than MOST_DIGITS of them never fit.
-            return F.transform(F.slice(atoms, i + 1, MOST_DIGITS), lambda y, j: F.struct(
+            # Each token has a digit, so more than most_digits of them never fit.
+            return F.transform(F.slice(atoms, i + 1, bounds.most_digits), lambda y, j: F.struct(
                 x["start"].alias("a"), y["end"].alias("b"), F.concat(x["value"], F.array_join(F.slice(pieces, i + 2, j), "")).alias("value"),
                 (i == 0).alias("begins"), (i + j + 1 == F.size(atoms)).alias("ends")))
 
-        fits = lambda p: _digits(p["value"]).between(LEAST_DIGITS, MOST_DIGITS) | p["value"].rlike(_QUAD)
+        fits = lambda p: _digits(p["value"]).between(bounds.least_digits, bounds.most_digits) | p["value"].rlike(_QUAD)
         return F.flatten(F.transform(atoms, lambda x, i: F.filter(behind(x, i), fits)))
 
     def marked(parts: Column) -> Column:
         last = F.array_max(F.transform(F.filter(parts, lambda p: p["begins"]), lambda p: p["b"]))
         first = F.array_min(F.transform(F.filter(parts, lambda p: p["ends"]), lambda p: p["a"]))
-        return F.transform(parts, lambda p: F.struct(
+        return _let(F.struct(last.alias("last"), first.alias("first")), lambda edge: F.transform(parts, lambda p: F.struct(
             (run["start"] + p["a"]).alias("start"), (run["start"] + p["b"]).alias("end"), p["value"].alias("value"), p["begins"].alias("begins"), p["ends"].alias("ends"),
-            (p["begins"] & (p["b"] == last)).alias("left_counts"), (p["ends"] & (p["a"] == first)).alias("right_counts")))
+            (p["begins"] & (p["b"] == edge["last"])).alias("left_counts"), (p["ends"] & (p["a"] == edge["first"])).alias("right_counts"))))
 
-    return F.flatten(F.transform(F.array(F.struct(atoms.alias("atoms"), pieces.alias("pieces"))), lambda x: F.flatten(F.transform(F.array(of(x)), marked))))
+    both = _let(_matches(run["value"], _ATOM), lambda atoms: F.struct(atoms.alias("atoms"), pieces(atoms).alias("pieces")))
+    return _let(both, lambda x: _let(of(x), marked))
 
 
-def _instances(text: Column, masked: Column, first: Column, base: Column) -> Column:
+def _instances(text: Column, pieces: Column, masked: Column, m_pieces: Column, first: Column, bounds: Bounds) -> Column:
     """Base spans, and what may be more: place, value, the text around it as it is and masked, the base kind that covers it, whether it is a base span or a mere token."""
 
     def one(x: Column, kind: Column, seed: bool, token: bool, part: bool = False) -> Column:
         start, end = x["start"], x["end"]
-        at = F.greatest(start - CUE_CHARS - GAP_CHARS, F.lit(1))
-        before = lambda t: F.substring(t, at, start + 1 - at)
-        behind = lambda t: F.substring(t, end + 1, F.lit(CUE_CHARS + GAP_CHARS + 1))
+        before = lambda t: _cut(t, F.greatest(start - bounds.around, F.lit(0)), start)
+        behind = lambda t: _cut(t, end, end + bounds.around)
         at_side = lambda side, c: F.when(x[side], c).otherwise("") if part else c
         return F.struct(
             start.alias("start"), end.alias("end"), x["value"].alias("value"),
-            at_side("begins", before(text)).alias("before"), at_side("ends", behind(text)).alias("behind"),
-            at_side("begins", before(masked)).alias("m_before"), at_side("ends", behind(masked)).alias("m_behind"),
+            at_side("begins", before(pieces)).alias("before"), at_side("ends", behind(pieces)).alias("behind"),
+            at_side("begins", before(m_pieces)).alias("m_before"), at_side("ends", behind(m_pieces)).alias("m_behind"),
             kind.alias("kind"), F.lit(seed).alias("seed"), F.lit(token).alias("token"),
             *((x[n] if part else F.lit(True)).alias(n) for n in ("begins", "ends", "left_counts", "right_counts")),
         )
 
     def covers(x: Column) -> Column:
-        return F.get(F.filter(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), F.lit(0))["kind"]
+        """The kind of the first base span that overlaps x: that of the first mark in its place, since earlier spans mark first."""
+        mark = F.regexp_extract(_cut(m_pieces, x["start"], x["end"]), f"[{_MARKS}]", 0)
+        return F.when(mark != "", F.instr(F.lit(_MARKS), mark) - 1)
 
     no_kind = F.lit(None).cast("int")
-    valued = lambda b: F.struct(b["start"], b["end"], b["kind"], F.substring(text, b["start"] + 1, b["end"] - b["start"]).alias("value"))
+    valued = lambda b: F.struct(b["start"], b["end"], b["kind"], _cut(pieces, b["start"], b["end"]).alias("value"))
     seeds = F.transform(F.transform(first, valued), lambda b: one(b, b["kind"], True, False))
     none = F.filter(seeds, lambda x: F.lit(False))
-    tokens = F.transform(_matches(text, _TOKEN), lambda x: one(x, covers(x), False, True))
-    parts = F.flatten(F.transform(_matches(masked, _RUN), _parts))
+    tokens = F.transform(_matches(text, token_pattern(bounds)), lambda x: one(x, covers(x), False, True))
+    parts = F.flatten(F.transform(_matches(masked, _RUN), lambda x: _parts(x, bounds)))
     numbers = F.transform(parts, lambda p: one(p, no_kind, False, False, part=True))
     mails = F.transform(_matches(masked, _MAIL), lambda x: one(x, no_kind, False, False))
+    fewest = min(bounds.least_digits, 4) - 1  # a dotted quad has four digits
     return F.concat(
         seeds, F.when(text.rlike("[0-9]"), tokens).otherwise(none),
-        F.when(masked.rlike(r"[0-9](?:[^0-9\p{L}\n]*+[0-9]){3}"), numbers).otherwise(none),
+        F.when(masked.rlike(rf"[0-9](?:[^0-9\p{{L}}\n]*+[0-9]){{{fewest}}}"), numbers).otherwise(none),
         F.when(masked.rlike(r"@|[\[({<] ?(?i:at) ?[\])}>]"), mails).otherwise(none),
     )
 
 
-def _edges(each: DataFrame) -> DataFrame:
+def _edges(each: DataFrame, bounds: Bounds) -> DataFrame:
     """each with links: array<struct<cue, pattern, counts>>."""
     word = lambda s, pattern: F.lower(F.regexp_extract(s, pattern, 1))
     letter = rf"\p{{L}}\p{{N}}{_MARKS}"
-    cue = rf"[\p{{L}}\p{{N}}]{{1,{CUE_CHARS}}}|[{_MARKS}]"
-    left = word("m_before", rf"((?:{cue}))[^{letter}]{{0,{GAP_CHARS}}}$")
-    right = word("m_behind", rf"^[^{letter}]{{0,{GAP_CHARS}}}({cue})")
+    cue = rf"[\p{{L}}\p{{N}}]{{1,{bounds.cue_chars}}}|[{_MARKS}]"
+    left = word("m_before", rf"((?:{cue}))[^{letter}]{{0,{bounds.gap_chars}}}$")
+    right = word("m_behind", rf"^[^{letter}]{{0,{bounds.gap_chars}}}({cue})")
     each = each.withColumns({
         "left": left, "right": right,
-        "raw_left": word("before", rf"(\S{{1,{CUE_CHARS}}})\s{{1,{GAP_CHARS}}}$"), "raw_right": word("behind", rf"^\s{{1,{GAP_CHARS}}}(\S{{1,{CUE_CHARS}}})"),
+        "raw_left": word("before", rf"(\S{{1,{bounds.cue_chars}}})\s{{1,{bounds.gap_chars}}}$"), "raw_right": word("behind", rf"^\s{{1,{bounds.gap_chars}}}(\S{{1,{bounds.cue_chars}}})"),
         "shape": F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), "[A-Za-z]+", "a"),
-        "number": ~F.col("token") & F.coalesce(F.col("kind").isin(2, 3), F.col("value").rlike(r"^[0-9+]|^\([0-9+]") & ~F.col("value").rlike(r"[\p{L}@]") & _digits(F.col("value")).between(LEAST_DIGITS, MOST_DIGITS)),
+        "number": ~F.col("token") & F.coalesce(F.col("kind").isin(2, 3), F.col("value").rlike(r"^[0-9+]|^\([0-9+]") & ~F.col("value").rlike(r"[\p{L}@]") & _digits(F.col("value")).between(bounds.least_digits, bounds.most_digits)),
         "dotted": ~F.col("token") & F.coalesce(F.col("kind") == 1, F.col("value").rlike(_QUAD)),
         "mail": ~F.col("token") & F.coalesce(F.col("kind") == 0, F.col("value").rlike(r"[\p{L}@]")),
     })
@@ -210,16 +280,19 @@ def count_of(spans: Column | str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
-def _read(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def _read(docs: DataFrame, keep: tuple[str, ...] = (), bounds: Bounds = Bounds()) -> DataFrame:
     """row, doc_id, base array<struct<start, end, kind>> by start and kind, and the text's instances; written once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), *keep)
     found = base_spans(F.col("text"))
     all_ = F.array_sort(F.concat(*(_of_kind(c, k) for k, c in enumerate(found.values()))))
     rows = rows.withColumn("base", all_)
-    rows = rows.withColumn("masked", _masked(F.col("text"), F.col("base")))
-    found = _instances(F.col("text"), F.col("masked.text"), F.col("masked.first"), F.col("base"))
-    rows = rows.withColumn("instances", F.when(F.col("text").rlike(r"[0-9@]|[\[({<] ?(?i:at) ?[\])}>]"), found))
+    some = F.col("text").rlike(r"[0-9@]|[\[({<] ?(?i:at) ?[\])}>]")
+    rows = rows.withColumn("pieces", F.when(some, _pieces(F.col("text"))))
+    rows = rows.withColumn("masked", _masked(F.col("text"), F.col("pieces"), F.col("base")))
+    rows = rows.withColumn("m_pieces", F.when(some, _pieces(F.col("masked.text"))))
+    found = _instances(F.col("text"), F.col("pieces"), F.col("masked.text"), F.col("m_pieces"), F.col("masked.first"), bounds)
+    rows = rows.withColumn("instances", F.when(F.col("pieces").isNotNull(), found))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     return written(rows.select("row", "doc_id", "base", "instances", *keep), "pii")
 
@@ -239,10 +312,10 @@ def _apart(hits: DataFrame) -> DataFrame:
     return each.select("row", F.explode(kept).alias("x")).select("row", "x.start", "x.end", "x.kind", "x.value")
 
 
-def discovered(read: DataFrame) -> DataFrame:
+def discovered(read: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """row, start, end, kind of the instances that patterns add."""
     each = read.where("size(instances) > 0").select("row", F.explode("instances").alias("x")).select("row", "x.*")
-    each = written(_edges(each), "pii-instances")
+    each = written(_edges(each, bounds), "pii-instances")
     edges = each.select("value", "kind", F.explode("links").alias("x")).select("value", "kind", "x.*")
     edges = written(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.min("cue").alias("cue"), F.max("counts").alias("counts")), "pii-graph")
     seeds = each.where("seed").groupBy("value").agg(F.min("kind").alias("kind"))
@@ -268,10 +341,10 @@ def discovered(read: DataFrame) -> DataFrame:
         known = grown
 
 
-def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, keep: tuple[str, ...] = (), bounds: Bounds = Bounds()) -> DataFrame:
     """doc_id, base and spans: array<struct<start, kind, end>> by start, kind (an index of KINDS), end; spans holds the base too."""
-    read = _read(docs, keep)
-    more = discovered(read).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    read = _read(docs, keep, bounds)
+    more = discovered(read, bounds).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     out = read.join(more, "row", "left")
     added = F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return out.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"), *keep)
@@ -290,13 +363,10 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find(held, keep=("_held",)).select("_held.*", F.col("spans").alias(spans))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("text").cast("string")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(marks, x["kind"]))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # Spans that overlap count as one, by the first.
+    (pieces,) = fresh(found.columns, "pieces")
+    found = found.withColumn(pieces, F.when(F.size(F.col(spans)) > 0, _pieces(text)))
+    new = _replaced(text, F.col(pieces), _in_order(F.col(spans)), lambda b: F.when(b["start"] >= b["before"], F.get(marks, b["kind"])).otherwise(""))
     out = found.withColumn("text", F.when(F.size(F.col(spans)) > 0, new).otherwise(text))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.size(F.col(spans)) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -515,6 +515,39 @@ def test_pii_base_and_redaction(spark):
     assert pii.find(documents(spark, [])).count() == 0 and pii.redact(documents(spark, [])).count() == 0
 
 
+def test_pii_strides_change_nothing(spark, monkeypatch):
+    """Places are summed and texts are cut in strides; short ones give what long ones give, which other tests hold against plain loops."""
+    rng = random.Random(14)
+    bits = ["call ", "b.", "@", "1", "22 ", ".", " ", "+", "é", "😀 ", "x@y.co ", "4111 1111 1111 1111", "127.0.0.1", "\n", "+1 (555) 010-9999 ", "bob [at] mail [dot] org", "555 1234 567 "]
+    texts = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for k in range(60)] + [(70, None), (71, "")]
+    df = documents(spark, texts)
+
+    def read():
+        rows = pii._read(df).select("doc_id", "base", "instances").collect()
+        return {r["doc_id"]: (r["base"], sorted(map(str, r["instances"] or []))) for r in rows}, {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+
+    whole = read()
+    monkeypatch.setattr(pii, "_STRIDE", 3)
+    monkeypatch.setattr(pii, "_PIECE", 7)
+    assert read() == whole
+
+
+def test_pii_bounds(spark):
+    """Each bound on both sides."""
+    texts = ["lot 12345 and 1234567 or 12345678901234567890 of ab1 abc1 a1bcd"]
+
+    def values(**bounds):
+        (row,) = pii._read(documents(spark, list(enumerate(texts))), bounds=pii.Bounds(**bounds)).select("instances").collect()
+        return {x["value"] for x in row["instances"] if not x["token"]}, {x["value"] for x in row["instances"] if x["token"]}, {x["value"]: (x["before"], x["behind"]) for x in row["instances"] if not x["token"]}
+
+    numbers, tokens, _ = values()
+    assert numbers == {"1234567"} and tokens == {"12345", "1234567", "12345678901234567890", "a1bcd"}
+    assert values(least_digits=5)[0] == {"12345", "1234567"} and values(least_digits=8)[0] == set()
+    assert values(most_digits=20)[0] == {"1234567", "12345678901234567890"} and values(most_digits=6)[0] == set()
+    assert values(least_token=1)[1] == tokens | {"ab1", "abc1"} and values(least_token=5)[1] == tokens - {"a1bcd"}
+    assert values(cue_chars=2, gap_chars=1)[2]["1234567"] == ("and ", " or ")
+
+
 def test_pii_bootstrap(spark):
     good = [(k, f"please pay with card 4111-1111-1111-11{k:02d} now") for k in range(100)]
     known = [i for i, t in good if brute_pii(t)]
@@ -557,7 +590,7 @@ def plain_discovery(texts):
             at = max(at, b)
         masked += text[at:]
         found = [(a, b, text[a:b], k, True, False, (1, 1, 1, 1)) for a, k, b in first]
-        found += [(m.start(), m.end(), m[0], next((k for a, k, b in base if a < m.end() and b > m.start()), None), False, True, (1, 1, 1, 1)) for m in regex.finditer(pii._TOKEN, text)]
+        found += [(m.start(), m.end(), m[0], next((k for a, k, b in base if a < m.end() and b > m.start()), None), False, True, (1, 1, 1, 1)) for m in regex.finditer(pii.token_pattern(pii.Bounds()), text)]
         for run in regex.finditer(pii._RUN, masked):
             atoms = [(m.start(), m.end()) for m in regex.finditer(pii._ATOM, run[0])]
             parts = [(a, b, i == 0, j == len(atoms) - 1) for i, (a, _) in enumerate(atoms) for j, (_, b) in enumerate(atoms) if j >= i and (7 <= digits(run[0][a:b]) <= 19 or quad.match(run[0][a:b]))]
