@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from .functions.lines import lines_of
 from .operators import filters, fold, questions, render, rulecheck, scoring, segment, select
 from .sources import backends, files
+from .sources.ledger import Ledger
 
 _COMMON = {"find", "where", "what", "which", "does", "that", "this", "with", "from", "have", "into", "when", "code", "the", "and", "for", "are", "how", "who"}
 
@@ -54,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--triage-threshold", type=float, default=0.2)
     p.add_argument("--max-files", type=int, default=1500)
     p.add_argument("-j", "--jobs", type=int, default=32)
+    p.add_argument("--ledger", help="a folder of answers that are not asked for again; without it they are kept for this run")
     p.add_argument("--stats", action="store_true", help="files, requests, tokens, cost and seconds on stderr")
     p.add_argument("--rules")
     p.add_argument("--source", action="append", default=[])
@@ -82,10 +84,9 @@ def check_rules(spark: SparkSession, a: argparse.Namespace) -> int:
         print(plan.report("planned", [], 0))
         return 0
     words = [w for c in plan.criteria for w in words_of(c.text)]
-    backend = _backend(a, words, 0)()
-    found, done = plan.evaluate(backend)
+    found, done, usage = plan.evaluate(spark, _backend(a, words, rulecheck.ATTEMPTS - 1))
     status = plan.status(found, done)
-    print(plan.report(status, found, done, backend))
+    print(plan.report(status, found, done, usage, a.backend, a.model if a.backend != "lexical" else None))
     return 2 if status == "incomplete" else 0  # findings are advice
 
 
@@ -106,12 +107,14 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
         print(f"no such path: {e}", file=sys.stderr)
         return 2
     began, n_files = time.time(), listed.count()
+    answers, model = Ledger(spark, a.ledger), json.dumps([a.backend, a.url, a.model])
     if not n_files:
         print("no files to search", file=sys.stderr)
         return 1
     if a.triage or n_files > a.max_files:
         make = _backend(a, [w for q in queries for w in words_of(q)])
-        listed = listed.join(fold.triage(listed.select("path", "ord"), questions.triage_scores(listed, make, queries), a.triage_threshold, a.max_files).select("path"), "path").persist()
+        scores = questions.triage_scores(listed, make, queries, answers, a.jobs, model)
+        listed = listed.join(fold.triage(listed.select("path", "ord"), scores, a.triage_threshold, a.max_files).select("path"), "path")
         print(f"path triage kept {listed.count()} of {n_files} files", file=sys.stderr)
     per_line = 0.0 if a.files else len(queries) + 0.12 * len(rules.terms())
     cfg = segment.Chunking(a.chunk_lines, a.chunk_tokens, questions_per_line=per_line)
@@ -124,13 +127,14 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
         scored = scoring.score_chunks(chunks, scoring.Search([words_of(q) for q in queries], rules, {t: words_of(t) for t in rules.terms()})).persist()
         lines, blocks = scoring.line_hits(scored), scoring.block_hits(scored)
     else:
-        asked = questions.ask_backend(chunks, _backend(a, []), queries, a.files, a.broad, rules or None).persist()
+        asking = questions.Asking(queries, rules.terms(), a.files, a.broad)
+        asked = questions.ask_chunks(chunks, _backend(a, []), asking, answers, a.jobs, model)
         failed = asked.where("error_kind is not null")
         if n := failed.count():
             print(f"{n} request(s) failed; the first: {failed.first()['error']}", file=sys.stderr)
             if n == asked.count():
                 return 2
-        scored, lines, blocks = questions.score_answers(asked, len(queries), rules)
+        scored, lines, blocks = questions.score_answers(asked, asking, rules)
     folded = fold.fold_files(scored)
     if a.stats:
         u = (fold.usage(scored) if a.backend == "lexical" else fold.usage_of(asked)).first()

@@ -1,16 +1,28 @@
-"""Requests for a decision backend, and asking it: chunks in, answer rows out, oversize chunks halved inside the task."""
+"""Questions as typed rows, asking them, and reading the answers as typed rows.
+
+A question is (kind, i, a, b): which kind, about which query, filter term, path or criterion, and from which line to which.
+A chunk's questions are an array of these, made by Column expressions; ids and wording exist on the wire only. Answers come
+back in the same types, so what was asked and what was answered are compared and looked up by columns. Every request has a
+key, the hash of all that goes into it; the ledger asks for each key once. A chunk that is too large for a service is halved
+and its halves are asked, round by round.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..sources.backends import DecisionBackend, DecisionError, Usage
-from . import segment
+from ..sources.ledger import Ledger
+from . import scoring, segment
 from .filters import Rules
 
 #: The wording is behaviour.
@@ -22,143 +34,236 @@ LEVELS = [
 ]
 TASK = "code search: find where a codebase answers a natural-language query"
 TRIAGE_TASK = "decide which files are worth opening for a code search"
-FILE_CATEGORY = "Does this file fall under the category: {term}?"
-BLOCK_CATEGORY = "Do lines {a}-{b} fall under the category: {term}?"
-SECTION = "How relevant is this section of {path} to the query: {query}"
-BLOCK = "Do lines {a}-{b} contain the code that {which} is looking for?"
-LINE = "Does line {n} of the code directly answer {which}?"
-BROAD_LINE = "Is line {n} of the code relevant to {which}?"
-PATH = "Judging by its path, could the file paths.p{i} ({path}) plausibly contain code relevant to the query?"
+BROAD_LINE = "Is line {a} of the code relevant to {which}?"
+#: For each kind of question its id and its wording.
+KINDS = {
+    "category": ("F{i}.S", "Does this file fall under the category: {term}?"),
+    "category_block": ("F{i}.B{a}-{b}", "Do lines {a}-{b} fall under the category: {term}?"),
+    "section": ("q{i}.rel", "How relevant is this section of {path} to the query: {query}"),
+    "block": ("q{i}.B{a}-{b}", "Do lines {a}-{b} contain the code that {which} is looking for?"),
+    "line": ("q{i}.L{a}", "Does line {a} of the code directly answer {which}?"),
+    "path": ("p{i}", "Judging by its path, could the file paths.p{i} ({path}) plausibly contain code relevant to the query?"),
+    "rule": ("r{i}.B{a}-{b}", "Do lines {a}-{b} concretely violate this requirement: {rule}?"),
+}
+#: Paths that one triage request asks about.
 BATCH = 250
 
+QUESTION = "struct<kind:string,i:int,a:int,b:int>"
+ANSWER = "struct<kind:string,i:int,a:int,b:int,p:double,confidence:double>"
 
-def build_request(queries: list[str], chunk: dict, files_only: bool = False, broad: bool = False, rules: Rules | None = None) -> tuple[dict, dict]:
-    """State and questions of one chunk (path, ctx_start, start, end, blocks [(a, b)], lines): sections, blocks and lines per query, categories once."""
-    width, first = len(str(chunk["end"])), chunk["ctx_start"]
-    asked = {"query": queries[0]} if len(queries) == 1 else {"queries": {f"q{i}": q for i, q in enumerate(queries)}}
-    code = "\n".join(f"{first + k:>{width}}| {line}" for k, line in enumerate(chunk["lines"]))
-    state = {"task": TASK, **asked, "file": chunk["path"], "shown_lines": f"{first}-{chunk['end']}", "code": code}
-    questions: dict[str, dict] = {}
-
-    def yes_no(qid: str, text: str) -> None:
-        questions[qid] = {"type": "noul", "instructions": text}
-
-    for t, term in enumerate(rules.terms() if rules else []):
-        yes_no(f"F{t}.S", FILE_CATEGORY.format(term=term))
-        for a, b in [] if files_only else chunk["blocks"]:
-            yes_no(f"F{t}.B{a}-{b}", BLOCK_CATEGORY.format(a=a, b=b, term=term))
-    for i, q in enumerate(queries):
-        which = "the query" if len(queries) == 1 else f"query q{i} ({q})"
-        questions[f"q{i}.rel"] = {"type": "score", "instructions": SECTION.format(path=chunk["path"], query=q), "criteria": LEVELS}
-        if files_only:
-            continue
-        for a, b in chunk["blocks"]:
-            yes_no(f"q{i}.B{a}-{b}", BLOCK.format(a=a, b=b, which=which))
-        for n in range(chunk["start"], chunk["end"] + 1):
-            line = chunk["lines"][n - first]
-            if any(c.isascii() and c.isalnum() for c in line):
-                yes_no(f"q{i}.L{n}", (BROAD_LINE if broad else LINE).format(n=n, which=which))
-    return state, questions
-
-
-def ask_chunk(backend: DecisionBackend, chunk: dict, ask: Callable[[dict], tuple[dict, dict]]) -> list[tuple[dict, dict]]:
-    try:
-        return [(chunk, backend.ask(*ask(chunk)))]
-    except DecisionError as e:
-        parts = segment.halves(chunk) if e.kind == "token_limit" else []
-        if not parts:
-            raise
-        return [x for p in parts for x in ask_chunk(backend, p, ask)]
-
-
-ANSWERS = "path string, ctx_start int, start int, end int, blocks array<struct<start:int,end:int>>, lines array<string>, answers map<string,double>, confidences map<string,double>, error_kind string, error string, requests long, retries long, input_tokens long, output_tokens long, reported_cost double, tier string"
-
-
-def ask_backend(chunks: DataFrame, make: Callable[[], DecisionBackend], queries: list[str], files_only: bool = False, broad: bool = False, rules: Rules | None = None) -> DataFrame:
-    """A row per chunk asked (oversize ones as their halves) with its answers; failures are rows with an error, an auth error ends the job.
-
-    Write the result before using it twice: a task that runs again asks again.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = make()
+@dataclass(frozen=True)
+class Asking:
+    """What is asked about every chunk."""
 
-        def ask(row: dict) -> list[tuple]:
-            chunk = row | {"blocks": [(b["start"], b["end"]) for b in row["blocks"]], "lines": list(row["lines"])}
-            try:
-                parts = ask_chunk(backend, chunk, lambda c: build_request(queries, c, files_only, broad, rules))
-            except DecisionError as e:
-                if e.kind == "auth":
-                    raise
-                return [(*_plain(chunk), {}, {}, e.kind, e.message)]
-            out = []
-            for c, got in parts:
-                values = {k: float(v.get("noul", v.get("score", 0.0)) or 0.0) for k, v in got.items()}
-                sure = {k: float(v["confidence"]) for k, v in got.items() if "confidence" in v}
-                out.append((*_plain(c), values, sure, None, None))
-            return out
-
-        with ThreadPoolExecutor(max(1, getattr(backend, "jobs", 1))) as lanes:
-            for batch in batches:
-                before = _spent(backend)
-                out = [row for rows in lanes.map(ask, batch.to_dict("records")) for row in rows]
-                # What a batch took stands in its first row.
-                after = _spent(backend)
-                cost = None if after[4] is None else after[4] - (before[4] or 0.0)
-                rest = [(*(b - a for a, b in zip(before[:4], after[:4], strict=True)), cost, after[5])] + [(0, 0, 0, 0, None, None)] * (len(out) - 1)
-                yield pd.DataFrame([(*x, *y) for x, y in zip(out, rest, strict=True)], columns=[c.split()[0] for c in ANSWERS.replace("struct<start:int,end:int>", "x").replace("string,double", "x").split(", ")])
+    queries: list[str]
+    terms: list[str] = field(default_factory=list)
+    files_only: bool = False
+    broad: bool = False
 
-    return chunks.select("path", "ctx_start", "start", "end", "blocks", "lines").mapInPandas(run, ANSWERS)
+    def which(self, i: int) -> str:
+        return "the query" if len(self.queries) == 1 else f"query q{i} ({self.queries[i]})"
 
 
-def _spent(backend: DecisionBackend) -> tuple:
-    u = getattr(backend, "usage", None) or Usage()
-    return u.requests, u.retries, u.input_tokens, u.output_tokens, u.reported_cost, "mixed" if len(u.tiers) > 1 else next(iter(u.tiers), None)
+def about(kind: str, i: Column | int, a: Column | None = None, b: Column | None = None) -> Column:
+    """A typed question."""
+    values = (F.lit(kind), i if isinstance(i, Column) else F.lit(i), F.lit(None) if a is None else a, F.lit(None) if b is None else b)
+    return F.struct(*values).cast(QUESTION)
+
+
+def _each(n: int, of: Callable[[Column], Column]) -> Column:
+    """of(0), .., of(n - 1) one after the other."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of)) if n else F.array().cast(f"array<{QUESTION}>")
+
+
+def chunk_questions(asking: Asking) -> Column:
+    """A chunk's questions in the order in which they are asked: categories once, then for each query the section, its blocks and the lines that have something to ask about."""
+    none = F.array().cast(f"array<{QUESTION}>")
+
+    def blocks(kind: str, i: Column) -> Column:
+        return none if asking.files_only else F.transform("blocks", lambda x: about(kind, i, x["start"], x["end"]))
+
+    numbers = F.filter(F.sequence("start", "end"), lambda n: tx.askable(F.get("lines", n - F.col("ctx_start"))))
+    lines = lambda i: none if asking.files_only else F.transform(numbers, lambda n: about("line", i, n, n))
+    categories = _each(len(asking.terms), lambda t: F.concat(F.array(about("category", t)), blocks("category_block", t)))
+    return F.concat(categories, _each(len(asking.queries), lambda i: F.concat(F.array(about("section", i)), blocks("block", i), lines(i))))
+
+
+def question_counts(chunks: DataFrame, asking: Asking) -> DataFrame:
+    """path, start, end and how many section, block, line and filter questions the chunk's request has."""
+    n = lambda *kinds: F.size(F.filter("asked", lambda x: x["kind"].isin(*kinds)))
+    counted = {"n_section": n("section"), "n_block": n("block"), "n_line": n("line"), "n_filter": n("category", "category_block")}
+    return chunks.withColumn("asked", chunk_questions(asking)).select("path", "start", "end", *(c.alias(k) for k, c in counted.items()))
+
 
+def wire(question: dict, names: dict[str, str]) -> tuple[str, dict]:
+    """The id and the body of a typed question; names: what its wording mentions."""
+    name, wording = KINDS[question["kind"]]
+    body = {"type": "noul", "instructions": names.get(question["kind"], wording).format(**question, **names)}
+    if question["kind"] == "section":
+        body = {"type": "score", "instructions": body["instructions"], "criteria": LEVELS}
+    return name.format(**question), body
 
-def _plain(c: dict) -> tuple:
-    return c["path"], c["ctx_start"], c["start"], c["end"], [{"start": a, "end": b} for a, b in c["blocks"]], c["lines"]
 
+def chunk_request(chunk: dict, asking: Asking) -> tuple[dict, dict[str, dict]]:
+    """State and questions of a chunk (path, ctx_start, start, end, lines, asked) as a service takes them."""
+    width = len(str(chunk["end"]))
+    code = "\n".join(f"{n:>{width}}| {line}" for n, line in enumerate(chunk["lines"], chunk["ctx_start"]))
+    queries = {f"q{i}": q for i, q in enumerate(asking.queries)}
+    state = {"task": TASK} | ({"query": asking.queries[0]} if len(queries) == 1 else {"queries": queries})
+    state |= {"file": chunk["path"], "shown_lines": f"{chunk['ctx_start']}-{chunk['end']}", "code": code}
 
-def score_answers(answers: DataFrame, n_queries: int, rules: Rules | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scored sections, line hits, block hits) of answer rows, in the shapes that fold and select take."""
-    from . import scoring
+    def names(q: dict) -> dict[str, str]:
+        if q["kind"].startswith("category"):
+            return {"term": asking.terms[q["i"]]}
+        own = {"path": chunk["path"], "query": asking.queries[q["i"]], "which": asking.which(q["i"])}
+        return own | ({"line": BROAD_LINE} if asking.broad else {})
 
-    rules = rules or Rules()
-    terms = rules.terms()
-    df = answers.where("error_kind is null")
-    at = lambda key: F.try_element_at("answers", key)
-    section = {t: F.coalesce(at(F.lit(f"F{k}.S")), F.lit(0.5)) for k, t in enumerate(terms)}
+    return state, dict(wire(q, names(q)) for q in chunk["asked"])
 
-    def of_block(b) -> dict:
-        return {t: F.greatest(section[t], F.coalesce(at(F.concat(F.lit(f"F{k}.B"), b["start"].cast("string"), F.lit("-"), b["end"].cast("string"))), F.lit(0.0))) for k, t in enumerate(terms)}
 
-    df = df.withColumn("section_keep", rules.passes_column(section)).withColumn("block_keeps", F.transform("blocks", lambda b: rules.passes_column(of_block(b))))
-    df = df.withColumn("query_idx", F.explode(F.array(*map(F.lit, range(n_queries))))).withColumn("q", F.concat(F.lit("q"), F.col("query_idx").cast("string")))
-    rel = F.concat("q", F.lit(".rel"))
-    df = df.withColumn("score", F.coalesce(at(rel), F.lit(0.0))).withColumn("confidence", F.coalesce(F.try_element_at("confidences", rel), F.lit(0.0))).withColumn("hot", F.array().cast("array<int>"))
-    keyed = df.withColumn("lines_p", F.col("answers"))
-    lines = scoring.line_hits(df).drop("p")
-    by_line = keyed.select("query_idx", "path", "q", F.explode("lines_p").alias("id", "p")).where(F.col("id").startswith(F.concat("q", F.lit(".L"))))
-    by_line = by_line.select("query_idx", "path", F.substring_index("id", ".L", -1).cast("int").alias("line"), "p")
-    blocks = scoring.block_hits(df).drop("p")
-    by_block = keyed.select("query_idx", "path", "q", F.explode("lines_p").alias("id", "p")).where(F.col("id").startswith(F.concat("q", F.lit(".B"))))
-    span = F.split(F.substring_index("id", ".B", -1), "-")
-    by_block = by_block.select("query_idx", "path", span[0].cast("int").alias("start"), span[1].cast("int").alias("end"), "p")
-    return df, lines.join(by_line, ["query_idx", "path", "line"]), blocks.join(by_block, ["query_idx", "path", "start", "end"])
+def chunk_requests(chunks: DataFrame, asking: Asking, model: str = "") -> DataFrame:
+    """chunks with `asked` and `request`, the key of all that is sent."""
+    rows = chunks.withColumn("asked", chunk_questions(asking))
+    said = json.dumps([model, TASK, LEVELS, KINDS, BROAD_LINE, asking.queries, asking.terms, asking.files_only, asking.broad])
+    return rows.withColumn("request", F.sha2(F.concat(F.lit(said), F.to_json(F.struct("path", "ctx_start", "start", "end", "lines", "asked"))), 256))
 
 
-def triage_scores(paths: DataFrame, make: Callable[[], DecisionBackend], queries: list[str]) -> DataFrame:
-    """path, p: which paths are worth opening, asked in batches; a path without an answer has 1."""
+#: A row of the ledger: what a request was answered, or why not, and what it took.
+ANSWERS = f"request string, answers array<{ANSWER}>, extra int, error_kind string, error string, requests long, retries long, input_tokens long, output_tokens long, reported_cost double, tier string"
+_ANSWER_TYPE = pa.struct([("kind", pa.string()), ("i", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("p", pa.float64()), ("confidence", pa.float64())])
+_TYPES = {
+    "request": pa.string(), "answers": pa.list_(_ANSWER_TYPE), "extra": pa.int32(), "error_kind": pa.string(), "error": pa.string(), "requests": pa.int64(), "retries": pa.int64(),
+    "input_tokens": pa.int64(), "output_tokens": pa.int64(), "reported_cost": pa.float64(), "tier": pa.string(),
+}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _spent(backend: DecisionBackend) -> tuple:
+    u = getattr(backend, "usage", None) or Usage()
+    return u.requests, u.retries, u.input_tokens, u.output_tokens, u.reported_cost, "mixed" if len(u.tiers) > 1 else next(iter(u.tiers), None)
+
+
+def _typed(asked: list[dict], questions: dict[str, dict], got: dict[str, dict]) -> tuple[list[dict], int]:
+    """Answers of questions in the order in which they were asked (p is null if it is no number), and how many were given beyond them."""
+    number = lambda x: float(x) if isinstance(x, int | float) and not isinstance(x, bool) else None
+    out = []
+    for q, name in zip(asked, questions, strict=True):
+        if name in got:
+            said = got[name] if isinstance(got[name], dict) else {}
+            out.append(q | {"p": number(said.get("score" if q["kind"] == "section" else "noul")), "confidence": number(said.get("confidence"))})
+    return out, len(set(got) - set(questions))
+
+
+def ask(requests: DataFrame, make: Callable[[], DecisionBackend], as_sent: Callable[[dict], tuple[dict, dict]], jobs: int = 32, lenient: bool = False) -> DataFrame:
+    """ANSWERS of requests (request, asked, and what as_sent() reads). Errors are rows, but for auth errors, which end the job, unless `lenient`.
+
+    At most `jobs` requests run at a time in the whole cluster: there are no more tasks than lanes, and the lanes are divided
+    among them. Within a task the service's own limiter may admit fewer.
+    """
+    lanes = max(1, min(jobs, requests.sparkSession.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = jobs // lanes + (TaskContext.get().partitionId() < jobs % lanes)
         backend = make()
-        for batch in batches:
-            for k in range(0, len(batch), BATCH):
-                part = list(batch["path"][k : k + BATCH])
-                state = {"task": TRIAGE_TASK, "query": " | ".join(queries), "paths": {f"p{i}": p for i, p in enumerate(part)}}
-                asked = {f"p{i}": {"type": "noul", "instructions": PATH.format(i=i, path=p)} for i, p in enumerate(part)}
-                got = backend.ask(state, asked)
-                yield pd.DataFrame({"path": part, "p": [float(got.get(f"p{i}", {}).get("noul", 1.0)) for i in range(len(part))]})
-
-    return paths.select("path").mapInPandas(run, "path string, p double")
+        if hasattr(backend, "jobs"):
+            backend.jobs = max(1, share)
+
+        def one(row: dict) -> tuple:
+            try:
+                state, questions = as_sent(row)
+                answers, extra = _typed(row["asked"], questions, backend.ask(state, questions))
+                return row["request"], answers, extra, None, None
+            except DecisionError as e:
+                if e.kind == "auth" and not lenient:
+                    raise
+                return row["request"], [], 0, e.kind, e.message
+            except Exception as e:
+                if not lenient:
+                    raise
+                return row["request"], [], 0, "api", repr(e)
+
+        with ThreadPoolExecutor(max(1, share)) as pool:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                before = _spent(backend)
+                out = list(pool.map(one, batch.to_pylist()))
+                after = _spent(backend)
+                # What a batch took stands in its first row.
+                cost = None if after[4] is None else after[4] - (before[4] or 0.0)
+                took = [(*(b - a for a, b in zip(before[:4], after[:4], strict=True)), cost, after[5])] + [(0, 0, 0, 0, None, None)] * (len(out) - 1)
+                rows = zip(*((*x, *y) for x, y in zip(out, took, strict=True)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _TYPES.values(), strict=True)], list(_TYPES))
+
+    return requests.repartition(lanes).mapInArrow(run, ANSWERS)
+
+
+def ask_chunks(chunks: DataFrame, make: Callable[[], DecisionBackend], asking: Asking, ledger: Ledger, jobs: int = 32, model: str = "") -> DataFrame:
+    """A row per chunk asked (oversize ones as their halves) with its answers, as the ledger has them; failures are rows with an error."""
+    columns, parts, pending = chunks.columns, [], chunks
+    while True:
+        answered = ledger.answered(chunk_requests(pending, asking, model), lambda new: ask(new, make, lambda row: chunk_request(row, asking), jobs))
+        too_large = (F.col("error_kind") == "token_limit") & (F.col("end") > F.col("start"))
+        parts.append(answered.where(~F.coalesce(too_large, F.lit(False))))
+        pending = answered.where(too_large).select(*columns)
+        if pending.isEmpty():
+            break
+        # Halves of chunks that the ledger knows to be too large: a chunk of n lines is done after log2(n) rounds.
+        pending = segment.halve(pending).select(*columns)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _said(kind: str, i: Column, a: Column | None = None, b: Column | None = None) -> Column:
+    """The answer to a question in the row's answers, or null."""
+    same = lambda x: (x["kind"] == kind) & (x["i"] == i) & (F.lit(True) if a is None else (x["a"] == a) & (x["b"] == b))
+    return F.get(F.filter("answers", same), F.lit(0))
+
+
+def score_answers(answered: DataFrame, asking: Asking, rules: Rules | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored sections, line hits, block hits) of answered chunks, in the shapes that fold and select take; all of it from the row that holds the answers."""
+    rules, terms = rules or Rules(), list(enumerate(asking.terms))
+    section = {t: F.coalesce(_said("category", F.lit(k))["p"], F.lit(0.5)) for k, t in terms}
+    of_block = lambda x: {t: F.greatest(section[t], F.coalesce(_said("category_block", F.lit(k), x["start"], x["end"])["p"], F.lit(0.0))) for k, t in terms}
+    df = answered.where("error_kind is null").withColumn("section_keep", rules.passes_column(section))
+    df = df.withColumn("block_keeps", F.transform("blocks", lambda x: rules.passes_column(of_block(x))))
+    df = df.withColumn("query_idx", F.explode(F.sequence(F.lit(0), F.lit(len(asking.queries) - 1))))
+    mine = lambda kind: F.filter("answers", lambda x: (x["kind"] == kind) & (x["i"] == F.col("query_idx")))
+    relevance = _said("section", F.col("query_idx"))
+    df = df.withColumns({"score": F.coalesce(relevance["p"], F.lit(0.0)), "confidence": F.coalesce(relevance["confidence"], F.lit(0.0))})
+    lines = F.transform(mine("line"), lambda x: scoring.line_struct(x["a"], F.coalesce(x["p"], F.lit(0.0))))
+    told = lambda z: _said("block", F.col("query_idx"), z["b"]["start"], z["b"]["end"])
+    given = F.filter(F.transform(scoring.kept_blocks(), lambda z: F.struct(z["b"]["start"].alias("start"), z["b"]["end"].alias("end"), told(z).alias("said"), z["k"].alias("keep"))), lambda z: z["said"].isNotNull())
+    blocks = scoring.block_structs(F.transform(given, lambda z: F.struct(z["start"], z["end"], F.coalesce(z["said"]["p"], F.lit(0.0)).alias("p"), z["keep"])))
+    hits = lambda z: df.select("query_idx", "path", F.explode(z).alias("z")).select("query_idx", "path", "z.*")
+    return df, hits(lines), hits(blocks)
+
+
+def compare_answers(asked: DataFrame, answered: DataFrame) -> DataFrame:
+    """request, kind, i, a, b, state of questions without an answer (missing) and answers without a question (extra); both sides: request, kind, i, a, b."""
+    key = ["request", "kind", "i", "a", "b"]
+    both = asked.select(*key).distinct().withColumn("q", F.lit(True)).unionByName(answered.select(*key).distinct().withColumn("q", F.lit(False)))
+    # Ends may be null (sections), so the sides are compared by one grouping, which takes nulls as equal, as a full outer join would not.
+    found = both.groupBy(*key).agg(F.bool_or("q").alias("asked"), F.bool_or(~F.col("q")).alias("given")).where("not (asked and given)")
+    return found.select(*key, F.when(F.col("asked"), F.lit("missing")).otherwise(F.lit("extra")).alias("state"))
+
+
+def triage_scores(paths: DataFrame, make: Callable[[], DecisionBackend], queries: list[str], ledger: Ledger, jobs: int = 32, model: str = "") -> DataFrame:
+    """path, p: which paths (path, ord) are worth opening, asked in batches; a path without an answer has 1, a failed request is an error."""
+    task = {"task": TRIAGE_TASK, "query": " | ".join(queries)}
+    batches = paths.groupBy(F.floor(F.col("ord") / BATCH).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("held"))
+    rows = batches.select(F.transform("held", lambda x: x["path"]).alias("paths"), F.transform("held", lambda x, k: about("path", k)).alias("asked"))
+    requests = rows.withColumn("request", F.sha2(F.concat(F.lit(json.dumps([model, task, KINDS["path"]])), F.to_json(F.struct("paths"))), 256))
+
+    def as_sent(row: dict) -> tuple[dict, dict]:
+        state = task | {"paths": {f"p{k}": p for k, p in enumerate(row["paths"])}}
+        return state, dict(wire(q, {"path": row["paths"][q["i"]]}) for q in row["asked"])
+
+    answered = ledger.answered(requests, lambda new: ask(new, make, as_sent, jobs))
+    failed = answered.where("error_kind is not null").select("error").first()
+    if failed:
+        raise DecisionError("api", failed["error"])
+    p = F.coalesce(_said("path", F.col("k"))["p"], F.lit(1.0))
+    return answered.select("answers", F.posexplode("paths").alias("k", "path")).select("path", p.alias("p")).groupBy("path").agg(F.max("p").alias("p"))

@@ -64,18 +64,23 @@ def _any_in(numbers: str | Column, b: Column) -> Column:
     return F.exists(numbers, lambda n: (n >= b["start"]) & (n <= b["end"]))
 
 
+def kept_blocks() -> Column:
+    """A chunk's blocks with their keep: array<struct<b, k>>."""
+    return F.arrays_zip(F.col("blocks").alias("b"), F.col("block_keeps").alias("k"))
+
+
+def line_struct(n: Column, p: Column) -> Column:
+    """struct<line, p, text, section, keep> of a line of a scored chunk; it inherits the keep of its block, else of the section."""
+    keep = F.get(F.filter(kept_blocks(), lambda z: (z["b"]["start"] <= n) & (n <= z["b"]["end"])), F.lit(0))["k"]
+    return F.struct(n.cast("int").alias("line"), p.alias("p"), F.get("lines", n - F.col("ctx_start")).alias("text"), (F.col("score") / (LEVELS - 1)).alias("section"), F.coalesce(keep, F.col("section_keep")).alias("keep"))
+
+
 def line_array(least: float = 0.0) -> Column:
-    """Of a scored chunk: array<struct<line, p, text, section, keep>> of the lines worth a question with p >= least; a line inherits its block's keep."""
+    """Of a scored chunk: line_struct() of the lines worth a question with p >= least."""
     inside = lambda n: (n >= F.col("start")) & (n <= F.col("end"))
     numbers = F.filter("hot", inside) if least > COLD_LINE else F.sequence("start", "end")
-    blocks = F.arrays_zip(F.col("blocks").alias("b"), F.col("block_keeps").alias("k"))
-
-    def of(n: Column) -> Column:
-        keep = F.get(F.filter(blocks, lambda z: (z["b"]["start"] <= n) & (n <= z["b"]["end"])), F.lit(0))["k"]
-        p = F.when(F.array_contains("hot", n), F.lit(HOT_LINE)).otherwise(F.lit(COLD_LINE))
-        return F.struct(n.cast("int").alias("line"), p.alias("p"), F.get("lines", n - F.col("ctx_start")).alias("text"), (F.col("score") / (LEVELS - 1)).alias("section"), F.coalesce(keep, F.col("section_keep")).alias("keep"))
-
-    return F.filter(F.transform(numbers, of), lambda z: tx.askable(z["text"]) & (z["p"] >= least))
+    p = lambda n: F.when(F.array_contains("hot", n), F.lit(HOT_LINE)).otherwise(F.lit(COLD_LINE))
+    return F.filter(F.transform(numbers, lambda n: line_struct(n, p(n))), lambda z: tx.askable(z["text"]) & (z["p"] >= least))
 
 
 def line_hits(scored: DataFrame) -> DataFrame:
@@ -105,12 +110,17 @@ def _trim(x: Column) -> Column:
 
 
 def block_array(least: float = 0.0) -> Column:
-    """Of a scored chunk: array<struct<start, end, p, label, label_line, keep>> of the blocks with p >= least."""
-    blocks = F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("block_keeps").alias("k")), lambda z: F.struct(
-        z["b"]["start"].alias("start"), z["b"]["end"].alias("end"), F.when(_any_in("hot", z["b"]), F.lit(HOT_BLOCK)).otherwise(F.lit(COLD_BLOCK)).alias("p"), z["k"].alias("keep")))
+    """Of a scored chunk: block_structs() of the blocks with p >= least."""
+    p = lambda z: F.when(_any_in("hot", z["b"]), F.lit(HOT_BLOCK)).otherwise(F.lit(COLD_BLOCK))
+    blocks = F.transform(kept_blocks(), lambda z: F.struct(z["b"]["start"].alias("start"), z["b"]["end"].alias("end"), p(z).alias("p"), z["k"].alias("keep")))
+    return block_structs(F.filter(blocks, lambda z: z["p"] >= least))
+
+
+def block_structs(blocks: Column) -> Column:
+    """array<struct<start, end, p, label, label_line, keep>> of blocks (start, end, p, keep) of a chunk."""
     before = F.col("ctx_start")
     owned = lambda z: F.slice("lines", z["start"] - before + 1, z["end"] - z["start"] + 1)
-    named = F.transform(F.filter(blocks, lambda z: z["p"] >= least), lambda z: F.struct(z.alias("z"), owned(z).alias("own"), block_label(owned(z)).alias("raw")))
+    named = F.transform(blocks, lambda z: F.struct(z.alias("z"), owned(z).alias("own"), block_label(owned(z)).alias("raw")))
 
     def of(x: Column) -> Column:
         raw, start = x["raw"], x["z"]["start"]
@@ -125,13 +135,3 @@ def block_array(least: float = 0.0) -> Column:
 def block_hits(scored: DataFrame) -> DataFrame:
     """query_idx, path, start, end, p, label, label_line, keep of every block."""
     return scored.select("query_idx", "path", F.explode(block_array()).alias("z")).select("query_idx", "path", "z.*")
-
-
-def question_counts(chunks: DataFrame, queries: int, terms: int, files_only: bool = False) -> DataFrame:
-    """path, start, end and how many section, block, line and filter questions the chunk's request has."""
-    lines = F.slice("lines", F.col("start") - F.col("ctx_start") + 1, F.col("end") - F.col("start") + 1)
-    blocks = F.lit(0) if files_only else F.size("blocks")
-    asked = F.lit(0) if files_only else F.size(F.filter(lines, tx.askable))
-    return chunks.select(
-        "path", "start", "end", F.lit(queries).alias("n_section"), (blocks * queries).alias("n_block"), (asked * queries).alias("n_line"), (terms * (1 + blocks)).alias("n_filter"),
-    )

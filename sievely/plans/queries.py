@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import evaluate, fold, render, rulecheck, scoring, segment
+from ..operators import evaluate, fold, questions, render, rulecheck, scoring, segment
 from ..operators import filters as fl
 from ..operators import select as sel
 from ..sources import files as src
@@ -108,7 +108,7 @@ def block_labels(spark, d):
 
 def question_counts(spark, d):
     chunks = segment.chunk_files(corpus.files(spark, d), segment.Chunking(questions_per_line=2.24))
-    return scoring.question_counts(chunks, 2, 2)
+    return questions.question_counts(chunks, questions.Asking(["one", "two"], ["a", "b"]))
 
 
 def triage_paths(spark, d):

@@ -1,8 +1,11 @@
 """The search engine on small inputs: hand-worked cases, invariants, and the golden three-line file."""
 
+import http.server
 import json
 import random
 import re
+import threading
+import time
 
 import pyarrow as pa
 import pytest
@@ -12,7 +15,7 @@ from sievely import cli
 from sievely.functions import lines
 from sievely.functions import text as tx
 from sievely.operators import evaluate, filters, fold, questions, render, rulecheck, scoring, segment, select
-from sievely.sources import backends, files
+from sievely.sources import backends, files, ledger
 from sievely.streaming import search as streaming
 
 
@@ -266,8 +269,9 @@ def golden(spark, backend):
     files_ = spark.createDataFrame([("t.py", GOLDEN)], "path string, text string")
     chunks = segment.chunk_files(files_)
     if backend:
-        asked = questions.ask_backend(chunks, lambda: backends.LexicalBackend(["needle"], 3), ["find needle"])
-        scored, found, hits = questions.score_answers(asked, 1)
+        asking = questions.Asking(["find needle"])
+        asked = questions.ask_chunks(chunks, lambda: backends.LexicalBackend(["needle"], 3), asking, ledger.Ledger(spark))
+        scored, found, hits = questions.score_answers(asked, asking)
     else:
         scored = scoring.score_chunks(chunks, scoring.Search([["needle"]]))
         found, hits = scoring.line_hits(scored), scoring.block_hits(scored)
@@ -284,30 +288,128 @@ def test_golden_file(spark):
     assert render.files_lines("find needle", select.select_files(folded), True) == '{"query":"find needle","path":"t.py","relevance":1.0,"confidence":0.9}\n'
 
 
+def test_golden_file_by_a_backend(spark):
+    """The chunk is halved until its questions fit; the file's answers are folded again, and the block is cut where the chunk was."""
+    folded, sel = golden(spark, True)
+    shown = render.collect(sel)[0]
+    assert [(f["score"], f["confidence"]) for f in folded.collect()] == [(1.0, 0.9)] and [(x["start"], x["end"], x["label"]) for f in shown for x in f["regions"]] == [(2, 2, "needle = 2")]
+
+
 def test_backend_path_equals_columns_and_splits(spark):
     text = "".join(f"def f{k}():\n" + ("    needle\n" if k == 4 else "    x = 1\n") + "    y = 2\n\n" for k in range(12))
-    chunks = segment.chunk_files(spark.createDataFrame([("t.py", text)], "path string, text string"))
-    asked = questions.ask_backend(chunks, lambda: backends.LexicalBackend(["needle"], 20), ["q"])
+    chunks, asking = segment.chunk_files(spark.createDataFrame([("t.py", text)], "path string, text string")), questions.Asking(["q"])
+    asked = questions.ask_chunks(chunks, lambda: backends.LexicalBackend(["needle"], 20), asking, ledger.Ledger(spark))
     assert asked.count() > 1
-    _, found, hits = questions.score_answers(asked, 1)
+    _, found, hits = questions.score_answers(asked, asking)
     native = scoring.score_chunks(chunks, scoring.Search([["needle"]]))
     key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
     assert key(found, "line", "p") == key(scoring.line_hits(native), "line", "p")
     assert key(hits, "start", "end", "p") == key(scoring.block_hits(native), "start", "end", "p")
 
 
+def test_filter_answers_by_a_backend(spark):
+    """Sections and blocks under filter terms: a block passes by its own answer or by its section's."""
+    chunks = segment.chunk_files(spark.createDataFrame([("t.py", "def a():\n    good\n\ndef b():\n    x\n")], "path string, text string"))
+    rules, asking = filters.parse("only good"), questions.Asking(["q", "r"], ["good"])
+    answered = questions.chunk_requests(chunks, asking).select("*", F.expr("transform(asked, x -> struct(x.kind, x.i, x.a, x.b, case when x.kind = 'category' then 0.1D when x.kind = 'category_block' then if(x.a = 1, 0.9D, 0.2D) else 0.7D end as p, 0.5D as confidence))").alias("answers"), F.lit(None).cast("string").alias("error_kind"))
+    scored, found, hits = questions.score_answers(answered, asking, rules)
+    assert sorted((x["query_idx"], x["start"], x["keep"]) for x in hits.collect()) == [(q, a, k) for q in (0, 1) for a, k in ((1, 0.9), (4, 0.2))]
+    assert {(x["line"], x["keep"]) for x in found.collect()} == {(1, 0.9), (2, 0.9), (4, 0.2), (5, 0.2)} and {x["section_keep"] for x in scored.collect()} == {0.1}
+
+
 def test_unsplittable_chunk_is_an_error_row(spark):
     chunks = segment.chunk_files(spark.createDataFrame([("t", "x\n")], "path string, text string"))
-    row = questions.ask_backend(chunks, lambda: backends.LexicalBackend(["x"], 0), ["q"]).first()
+    row = questions.ask_chunks(chunks, lambda: backends.LexicalBackend(["x"], 0), questions.Asking(["q"]), ledger.Ledger(spark)).first()
     assert row["error_kind"] == "token_limit"
 
 
-def test_request_shape():
-    chunk = {"path": "a.py", "ctx_start": 1, "start": 1, "end": 2, "blocks": [(1, 2)], "lines": ["def a():", "}"]}
-    state, asked = questions.build_request(["one", "two"], chunk, rules=filters.parse("no tests"))
+def test_request_shape(spark):
+    asking = questions.Asking(["one", "two"], ["tests"])
+    row = spark.createDataFrame([("a.py", 1, 1, 2, [(1, 2)], ["def a():", "}"])], segment.CHUNK).withColumn("asked", questions.chunk_questions(asking)).first().asDict(recursive=True)
+    state, asked = questions.chunk_request(row, asking)
     assert list(state) == ["task", "queries", "file", "shown_lines", "code"] and state["code"] == "1| def a():\n2| }"
     assert list(asked) == ["F0.S", "F0.B1-2", "q0.rel", "q0.B1-2", "q0.L1", "q1.rel", "q1.B1-2", "q1.L1"]
-    assert asked["q0.L1"]["instructions"] == "Does line 1 of the code directly answer query q0 (one)?"
+    assert asked["q0.L1"]["instructions"] == "Does line 1 of the code directly answer query q0 (one)?" and asked["F0.S"]["instructions"].endswith("category: tests?")
+    assert asked["q1.rel"] == {"type": "score", "instructions": "How relevant is this section of a.py to the query: two", "criteria": questions.LEVELS}
+    one = [q for q in row["asked"] if q["kind"] in ("section", "line") and q["i"] == 0]
+    broad = questions.chunk_request(row | {"asked": one}, questions.Asking(["one"], broad=True))
+    assert broad[1]["q0.L1"]["instructions"] == "Is line 1 of the code relevant to the query?" and broad[0]["query"] == "one"
+    few = spark.createDataFrame([("a.py", 1, 1, 2, [(1, 2)], ["x", "y"])], segment.CHUNK).select(questions.chunk_questions(questions.Asking(["one"], ["t"], files_only=True)).alias("x")).first()["x"]
+    assert [(q["kind"], q["i"], q["a"]) for q in few] == [("category", 0, None), ("section", 0, None)]
+
+
+class Service(http.server.BaseHTTPRequestHandler):
+    """Answers every question, counts requests, and how many are there at a time."""
+
+    lock, seen, running, most, wait, broken = threading.Lock(), [], 0, 0, 0.0, set()
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        with Service.lock:
+            Service.seen.append(body["state"].get("file"))
+            Service.running += 1
+            Service.most = max(Service.most, Service.running)
+        time.sleep(Service.wait)
+        answers = {k: {"type": "score", "score": 3.0, "confidence": 0.5} if q["type"] == "score" else {"type": "noul", "noul": 0.7} for k, q in body["questions"].items()}
+        with Service.lock:
+            Service.running -= 1
+        self.send_response(422 if body["state"].get("file") in Service.broken else 200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"answers": answers}).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def service():
+    Service.seen, Service.running, Service.most, Service.wait, Service.broken = [], 0, 0, 0.0, set()
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_nothing_is_asked_twice(spark, service, tmp_path):
+    make, asking = lambda: backends.HttpBackend(service), questions.Asking(["q"])
+    chunks = lambda n: segment.chunk_files(spark.createDataFrame([(f"f{k}", f"x{k}\n") for k in range(n)], "path string, text string"))
+    book = ledger.Ledger(spark, str(tmp_path / "answers"))
+    Service.broken = {"f3"}
+    asked = questions.ask_chunks(chunks(5), make, asking, book).persist()
+    assert asked.count() == 5 and [x["path"] for x in asked.where("error_kind is not null").collect()] == ["f3"] and len(Service.seen) == 5
+    asked.unpersist(True)  # as if its blocks were lost
+    assert asked.count() == 5 and questions.score_answers(asked, asking)[1].count() == 4 and len(Service.seen) == 5
+    Service.broken = set()
+    again = questions.ask_chunks(chunks(7), make, asking, ledger.Ledger(spark, book.path))
+    assert again.where("error_kind is null").count() == 7
+    assert sorted(Service.seen[5:]) == ["f3", "f5", "f6"]  # the failure of before and what is new
+    questions.ask_chunks(chunks(7), make, questions.Asking(["other"]), book)
+    assert len(Service.seen) == 15  # another question is another request
+
+
+@pytest.mark.parametrize("jobs", [1, 3])
+def test_jobs_bound_the_requests_of_all_tasks(spark, service, jobs):
+    Service.wait = 0.15
+    chunks = segment.chunk_files(spark.createDataFrame([(f"f{k}", f"x{k}\n") for k in range(12)], "path string, text string").repartition(6))
+    answered = questions.ask_chunks(chunks, lambda: backends.HttpBackend(service, jobs=99), questions.Asking(["q"]), ledger.Ledger(spark), jobs)
+    assert answered.count() == 12 and len(Service.seen) == 12 and Service.most == jobs
+
+
+def test_triage_asks_in_batches(spark, service, monkeypatch):
+    monkeypatch.setattr(questions, "BATCH", 4)
+    paths = spark.createDataFrame([(f"p{k}", k) for k in range(10)], "path string, ord long")
+    got = questions.triage_scores(paths, lambda: backends.HttpBackend(service), ["q"], ledger.Ledger(spark), 2)
+    assert {x["path"]: x["p"] for x in got.collect()} == {f"p{k}": 0.7 for k in range(10)} and len(Service.seen) == 3
+    words = questions.triage_scores(paths, lambda: backends.LexicalBackend(["p3"]), ["r"], ledger.Ledger(spark))
+    assert {x["path"] for x in words.where("p > 0.5").collect()} == {"p3"}
+
+
+def test_answers_are_held_against_questions(spark):
+    schema = "request string, kind string, i int, a int, b int"
+    asked = spark.createDataFrame([("x", "section", 0, None, None), ("x", "block", 0, 1, 2), ("y", "line", 1, 3, 3), ("y", "line", 1, 3, 3)], schema)
+    given = spark.createDataFrame([("x", "section", 0, None, None), ("y", "line", 1, 4, 4), ("z", "section", 0, None, None)], schema)
+    found = {(x["request"], x["kind"], x["a"]): x["state"] for x in questions.compare_answers(asked, given).collect()}
+    assert found == {("x", "block", 1): "missing", ("y", "line", 3): "missing", ("y", "line", 4): "extra", ("z", "section", None): "extra"}
 
 
 def test_discover_and_cli(spark, tmp_path, monkeypatch, capsys):
@@ -343,10 +445,36 @@ def test_rules(spark, tmp_path):
     binary.write_bytes(b"\0")
     plan = rulecheck.prepare(spark, "- [A] no needle here", [str(source), str(binary)], 8)
     assert plan.decisions == 1 and [g["kind"] for g in plan.gaps] == ["source_unavailable"]
-    found, done = plan.evaluate(backends.LexicalBackend(["needle"]))
+    found, done, usage = plan.evaluate(spark, lambda: backends.LexicalBackend(["needle"]))
     assert (done, [(f["criterion"], f["start"], f["end"]) for f in found], plan.status(found, done)) == (1, [("A", 1, 3)], "incomplete")
-    said = json.loads(plan.report("incomplete", found, done, backends.LexicalBackend([])))
-    assert said["coverage"]["planned"] == 1 and said["backend"] == "LexicalBackend" and said["usage"]["requests"] == 0
+    said = json.loads(plan.report("incomplete", found, done, usage, "lexical"))
+    assert said["coverage"]["planned"] == 1 and said["backend"] == "lexical" and said["usage"]["requests"] == 1 and said["limits"]["attempts_per_request"] == 1
+    assert said["findings"][0]["reason"] == "probability 0.90 that the lines break the requirement: no needle here" and said["findings"][0]["evidence"] == GOLDEN.rstrip("\n")
+
+
+def test_wrong_answers_are_gaps(spark, tmp_path):
+    paths = []
+    for name in ("boom", "more", "less", "wide", "text", "nan", "good"):
+        (tmp_path / name).write_text(f"{name}\n")
+        paths.append(str(tmp_path / name))
+    plan = rulecheck.prepare(spark, "- [A] x\n- [B] y", paths, 100)
+
+    def make():
+        class Wrong:
+            """Answers that are not what was asked for, by the chunk's line."""
+
+            def ask(self, state, asked):
+                line = state["code"].split("| ", 1)[1].strip()
+                good = {k: {"type": "noul", "noul": {"wide": 1.5, "text": "x", "nan": float("nan")}.get(line, 0.9)} for k in asked}
+                if line == "boom":
+                    raise OSError("no service")
+                return good | {"r9.B1-1": {"noul": 0.9}} if line == "more" else dict(list(good.items())[line == "less" :])
+
+        return Wrong()
+
+    found, done, _ = plan.evaluate(spark, make)
+    assert [g["path"] for g in plan.gaps] == paths[:-1] and {g["kind"] for g in plan.gaps} == {"failed"}
+    assert (done, [(f["path"], f["criterion"]) for f in found]) == (2, [(paths[-1], "A"), (paths[-1], "B")]) and plan.status(found, done) == "incomplete"
 
 
 def test_rules_budgets(spark, tmp_path, monkeypatch):
@@ -415,9 +543,6 @@ def test_limiter():
 
 
 def test_limiter_admits_as_many_as_it_says():
-    import threading
-    import time
-
     lim, seen, most, lock = backends.Limiter(3.0), [0], [0], threading.Lock()
 
     def work():
@@ -450,10 +575,10 @@ def test_usage_comes_from_the_replies(spark):
         return backends.HttpBackend("http://localhost:1", post=post)
 
     chunks = segment.chunk_files(spark.createDataFrame([(f"f{k}", "x\n") for k in range(7)], "path string, text string"))
-    asked = questions.ask_backend(chunks, make, ["q"])
-    u = fold.usage_of(asked).first()
+    asking = questions.Asking(["q"])
+    u = fold.usage_of(questions.ask_chunks(chunks, make, asking, ledger.Ledger(spark))).first()
     assert (u["requests"], u["retries"], u["input_tokens"], u["output_tokens"], u["tier"]) == (7, 0, 77, 14, "flex") and abs(u["reported_cost"] - 1.75) < 1e-9
-    none = fold.usage_of(questions.ask_backend(chunks, lambda: backends.LexicalBackend(["x"]), ["q"])).first()
+    none = fold.usage_of(questions.ask_chunks(chunks, lambda: backends.LexicalBackend(["x"]), asking, ledger.Ledger(spark))).first()
     assert none["reported_cost"] is None and none["tier"] is None and none["input_tokens"] == 700
 
 
