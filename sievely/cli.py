@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from .functions.lines import lines_of
 from .operators import filters, fold, questions, render, rulecheck, scoring, segment, select
 from .sources import backends, files
+from .sources.credentials import Chain
 from .sources.ledger import Ledger
 
 _COMMON = {"find", "where", "what", "which", "does", "that", "this", "with", "from", "have", "into", "when", "code", "the", "and", "for", "are", "how", "who"}
@@ -50,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--backend", choices=["lexical", "http", "chat"], default="lexical")
     p.add_argument("--url", default=os.environ.get("DECISION_URL"))
     p.add_argument("--model", default=os.environ.get("DECISION_MODEL", "default"))
+    p.add_argument("--key-from", action="append", default=[], metavar="KIND:WHAT", help="where the key is, in order: env:NAME, toml:PATH#key, json:PATH#key, command:PROGRAM")
+    p.add_argument("--reroute", action="append", nargs=3, default=[], metavar=("HOST", "MODEL_PREFIX", "URL"), help="models of a host that are asked at another address, as typed questions")
     p.add_argument("--color", choices=["auto", "always", "never"], default="auto")
     p.add_argument("--triage", action="store_true", help="judge paths first, open the likely ones only")
     p.add_argument("--triage-threshold", type=float, default=0.2)
@@ -69,8 +72,10 @@ def _backend(a: argparse.Namespace, words: list[str], retries: int = 8):
         return lambda: backends.LexicalBackend(words)
     if not a.url:
         raise ValueError("--url is needed")
-    kind, url, model, jobs = {"http": backends.HttpBackend, "chat": backends.ChatBackend}[a.backend], a.url, a.model, a.jobs
-    return lambda: kind(url=url, model=model, retries=retries, jobs=jobs)
+    url, model, key, reroutes = a.url, a.model, Chain.of(*a.key_from), [backends.Reroute(*x) for x in a.reroute]
+    if a.backend == "http":
+        return lambda: backends.HttpBackend(url, model, key, retries)
+    return lambda: backends.service(url, model, reroutes, key=key, retries=retries)
 
 
 def check_rules(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -172,5 +177,6 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    a.key_from = a.key_from or ["env:DECISION_API_KEY"]
     spark = SparkSession.builder.appName("sievely").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     return check_rules(spark, a) if a.rules else search(spark, a)

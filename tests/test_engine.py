@@ -15,7 +15,7 @@ from sievely import cli
 from sievely.functions import lines
 from sievely.functions import text as tx
 from sievely.operators import evaluate, filters, fold, questions, render, rulecheck, scoring, segment, select
-from sievely.sources import backends, files, ledger
+from sievely.sources import backends, credentials, files, ledger
 from sievely.streaming import search as streaming
 
 
@@ -594,18 +594,95 @@ def test_terse_answers():
     assert backends.reply_object('<think>{"answers": {"0": 1}}</think> so {"x": 1} {"answers": {"0": 2}} .') == {"answers": {"0": 2}}
 
 
-def test_chat_backend_adapts():
-    sent = []
+def played(transcript, **options):
+    """A text backend in front of a transcript [(status, reply)], and what was sent to it: (route, schema, temperature)."""
+    sent, backend = [], None
 
     def post(url, body, headers):
-        sent.append(json.loads(body))
-        if "response_format" in sent[-1]:
-            return 400, {}, b"response_format is not supported"
-        text = "no" if len(sent) == 2 else '{"answers": {"0": 30}}'
-        return 200, {}, json.dumps({"choices": [{"message": {"content": text}}]}).encode()
-
-    got = backends.ChatBackend("https://h", post=post, sleep=lambda s: None).ask({}, {"a": {"type": "noul"}})
-    assert got["a"]["noul"] == 0.3 and [s.get("temperature") for s in sent] == [0.0, 0.0, 0.7]
+        body = json.loads(body)
+        sent.append((url.rsplit("/v1", 1)[1], "text" in body or "response_format" in body, body.get("temperature")))
+        status, reply = transcript.pop(0)
+        return status, {"retry-after": "400"} if status == 503 else {}, (reply if isinstance(reply, bytes) else json.dumps(reply).encode())
+
+    backends.ChatBackend._known.clear()
+    backend = backends.ChatBackend(options.pop("url", "https://h/v1"), post=post, sleep=options.pop("sleep", lambda s: None), **options)
+    return backend, sent
+
+
+def chat_reply(text, **more):
+    return {"choices": [{"message": {"content": text}, **more}]}
+
+
+def responses_reply(text, **more):
+    return {"status": "completed", "output": [{"type": "reasoning", "content": []}, {"type": "message", "content": [{"type": "output_text", "text": text}]}], **more}
+
+
+ASKED = {"a": {"type": "noul"}}
+SAID = '{"answers": {"0": 30}}'
+
+
+def test_routes_step_down_once_each():
+    b, sent = played([(404, b"no such route"), (400, {"error": {"message": "response_format is not supported"}}), (400, b"unsupported value: temperature"), (200, chat_reply(SAID)), (200, chat_reply(SAID))])
+    assert b.ask({}, ASKED)["a"]["noul"] == 0.3
+    assert sent == [("/responses", True, 0.0), ("/chat/completions", True, 0.0), ("/chat/completions", False, 0.0), ("/chat/completions", False, None)]
+    other = backends.ChatBackend("https://h/v1", post=b.post)  # what was learnt holds for the service, not for the object
+    assert other.ask({}, ASKED)["a"]["noul"] == 0.3 and sent[4] == ("/chat/completions", False, None) and b.usage.requests == 4 and b.usage.retries == 3
+    b, sent = played([(404, b"no model")], url="https://h/v1/chat/completions")
+    with pytest.raises(backends.DecisionError):
+        b.ask({}, ASKED)  # a full address has no other route
+    assert sent == [("/chat/completions", True, 0.0)]
+    b, sent = played([(400, b"json_schema: no"), (400, b"json_schema: still no")])
+    with pytest.raises(backends.DecisionError):
+        b.ask({}, ASKED)
+    assert len(sent) == 2
+
+
+def test_replies_of_both_routes():
+    b, sent = played([(200, responses_reply("hm")), (200, responses_reply(SAID, usage={"input_tokens": 5, "output_tokens": 2}))])
+    assert b.ask({}, ASKED)["a"]["noul"] == 0.3 and [t for _, _, t in sent] == [0.0, 0.7] and b.usage.input_tokens == 5
+    b, sent = played([(200, responses_reply("hm"))] * 3)
+    with pytest.raises(backends.DecisionError, match="3 replies"):
+        b.ask({}, ASKED)
+    chat = "https://h/v1/chat/completions"
+    for url, reply, kind in (
+        (chat, chat_reply("", finish_reason="length"), "token_limit"), (chat, chat_reply("", finish_reason="content_filter"), "api"), (chat, {"choices": [{"message": {"refusal": "no"}}]}, "api"),
+        ("https://h/v1", {"status": "incomplete", "incomplete_details": {"reason": "max_output_tokens"}}, "token_limit"), ("https://h/v1", {"status": "queued"}, "api"),
+        ("https://h/v1", {"output": [{"type": "message", "content": [{"type": "refusal", "refusal": "no"}]}]}, "api"), ("https://h/v1", {"error": {"code": 401, "message": "who"}}, "auth"),
+        ("https://h/v1", {"error": {"message": "maximum context is 8", "code": 400}}, "token_limit"),
+    ):
+        with pytest.raises(backends.DecisionError) as e:
+            played([(200, reply)], url=url)[0].ask({}, ASKED)
+        assert e.value.kind == kind, reply
+    waits = []
+    b, sent = played([(503, b"later"), (200, responses_reply(SAID))], sleep=waits.append)
+    assert b.ask({}, ASKED)["a"]["noul"] == 0.3 and waits == [60.0]  # a service may ask for a minute at most
+    b, sent = played([(429, b"insufficient_quota")])
+    with pytest.raises(backends.DecisionError):
+        b.ask({}, ASKED)
+    assert len(sent) == 1 and b.ask({}, {}) == {}
+
+
+def test_reroutes_and_plain_services():
+    table = [backends.Reroute("hub.example.org", "judge/", "https://hub.example.org/typed")]
+    assert type(backends.service("https://hub.example.org/v1", "judge/one", table)) is backends.HttpBackend
+    assert backends.service("https://HUB.example.org/v1", "judge/one", table).url == "https://hub.example.org/typed"
+    assert type(backends.service("https://hub.example.org/v1", "other", table)) is backends.ChatBackend and type(backends.service("https://x.org", "judge/one", table)) is backends.ChatBackend
+
+
+def test_credentials(tmp_path, monkeypatch):
+    (tmp_path / "k.toml").write_text('[a]\nkey = " one "\n')
+    (tmp_path / "k.json").write_text('{"a": {"b": "two"}, "n": 3}')
+    toml, doc = f"toml:{tmp_path}/k.toml", f"json:{tmp_path}/k.json"
+    of = lambda *p: credentials.Chain.of(*p).resolve()
+    assert of("env:NOT_THERE", f"{toml}#a.key") == "one" and of(f"{toml}#a.none", f"{doc}#a.b") == "two" and of(f"{doc}#n") is None
+    assert of(f"json:{tmp_path}/none#a", "command:no-such-program", "command:echo three") == "three" and of("command:false") is None
+    monkeypatch.setenv("MY_KEY", "four")
+    assert of("env:MY_KEY", "command:echo three") == "four" and "four" not in repr(credentials.Chain.of("env:MY_KEY"))
+    with pytest.raises(ValueError):
+        credentials.Chain.of("vault:x")
+    seen = []
+    backends.HttpBackend("https://h", key=credentials.Chain.of("env:MY_KEY"), post=lambda u, b, h: seen.append(h) or (200, {}, b'{"answers": {}}')).ask({}, {})
+    assert seen == [{"Authorization": "Bearer four"}]
 
 
 def test_measures(spark):
