@@ -11,7 +11,9 @@ from ..functions import text as tx
 from ..operators import evaluate, fold, questions, render, rulecheck, scoring, segment
 from ..operators import filters as fl
 from ..operators import select as sel
+from ..sources import backends
 from ..sources import files as src
+from ..sources.ledger import Ledger
 from . import corpus, sql
 
 WORD, WORDS = "worthless", ["worthless", "License"]
@@ -225,11 +227,53 @@ def eval_precision_recall(spark, d):
     return evaluate.precision_recall(found, labels.where("toxic = 1").select(F.col("doc_id").alias("item")), labels.select(F.col("doc_id").alias("item")))
 
 
+def _cases(spark, d):
+    """Known answers made of documents: those with one of WORDS, and one or two ranges of lines in each."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.array_compact(F.array(*(F.when(F.contains("text", F.lit(w)), F.lit(i)) for i, w in enumerate(WORDS))))).alias("query_idx"))
+    lows = F.expr("filter(array(doc_id % 20 + 1, case when doc_id % 3 = 0 then doc_id % 20 + 70 end), x -> x is not null)")
+    cases = docs.select((F.col("doc_id") * 2 + F.col("query_idx")).alias("case"), "query_idx", F.expr("if(doc_id % 2 = 0, 'pin', 'broad')").alias("kind"), F.expr("concat('/doc_', doc_id, '.txt')").alias("suffix"), F.explode(lows).alias("lo"))
+    return cases.withColumn("hi", F.col("lo") + 6)
+
+
+def known_answers(spark, d):
+    return evaluate.known_answers(_select(spark, d, WORDS).shown, _cases(spark, d))
+
+
+def known_answer_tally(spark, d):
+    return evaluate.tally(known_answers(spark, d))
+
+
+def display_audits(spark, d):
+    return evaluate.audits(_select(spark, d, ("the", "worthless"), sel.Limits(top=40, max_regions=2)).shown)
+
+
+def _asked(spark, d):
+    """A row per question about each chunk; a chunk is told by its path and first line."""
+    asking = questions.Asking([WORD])
+    rows = segment.chunk_files(corpus.files(spark, d)).select(F.concat_ws(":", "path", "start").alias("request"), F.explode(questions.chunk_questions(asking)).alias("q"))
+    return rows.select("request", "q.*")
+
+
+def answer_sets(spark, d):
+    """Questions held against a table of stored answers in which some lines are lacking and some blocks end elsewhere."""
+    asked = _asked(spark, d)
+    stored = asked.where("not (kind = 'line' and a % 7 = 3)").withColumn("b", F.expr("if(kind = 'block' and a % 5 = 0, b + 1, b)"))
+    return questions.compare_answers(asked, stored)
+
+
+def asked_line_scores(spark, d):
+    """Lines as the lexical backend answers typed questions, through the ledger; chunks with more than 90 questions are halved."""
+    chunks, asking = segment.chunk_files(corpus.files(spark, d)), questions.Asking([WORD])
+    answered = questions.ask_chunks(chunks, lambda: backends.LexicalBackend([WORD], 90), asking, Ledger(spark))
+    return questions.score_answers(answered, asking)[1].select("path", "line", "p")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     lines_enumerate, clip_lines, askable_lines, token_estimate, definitions, indent_depth, glob_include, glob_exclude, scan_skip_rules, dedupe_content,
     split_blocks, pack_chunks, split_oversize, line_scores, block_scores, block_labels, question_counts, triage_paths, filter_gate, filter_removed,
     file_fold, rank_files, merge_regions, top_regions, top_lines, weak_tier, suppress_lines, select_views, files_only, multi_query, context_lines,
     flat_rows, json_rows, usage_cost, answer_decode, rule_checks, match_findings, finding_measures, eval_precision_recall,
+    known_answers, known_answer_tally, display_audits, answer_sets, asked_line_scores,
 )}
 
 _DIRS = "'" + "','".join(src.SKIP_DIRS) + "'"
@@ -301,4 +345,22 @@ ORACLES: dict[str, str] = {
     "eval_precision_recall": f"""with f as (select doc_id from documents semi join labels using (doc_id) where contains(text, '{WORD}') or contains(text, 'moron')), t as (select doc_id from labels where toxic = 1),
         n as (select (select count(*) from f semi join t using (doc_id)) as tp, (select count(*) from f anti join t using (doc_id)) as fp, (select count(*) from t anti join f using (doc_id)) as fn)
         select tp, fp, fn, case when tp + fp > 0 then round(tp / (tp + fp)::double, 6) end as "precision", case when tp + fn > 0 then round(tp / (tp + fn)::double, 6) end as recall from n""",
+    "known_answers": f"with recursive {sql.selected(WORDS, per_line=2.0)}, {sql.KNOWN.format(*WORDS)} select \"case\", query_idx, kind, place, region, line from known",
+    "known_answer_tally": f"""with recursive {sql.selected(WORDS, per_line=2.0)}, {sql.KNOWN.format(*WORDS)}
+        select count(*) as cases, count(*) filter (place = 1) as first_file, count(*) filter (region >= 0.5) as region, count(*) filter (kind = 'pin') as pins, count(*) filter (kind = 'pin' and line >= 0.5) as line from known""",
+    "display_audits": f"""with recursive {sql.selected(['the', 'worthless'], top=40, max_regions=2, per_line=2.0)}, printed as (
+            select k.query_idx, k.path, 'region' as what, null as n, k.p from kept k union all select query_idx, path, 'label', label_line, p from kept union all select query_idx, path, 'line', line, p from shown
+        ), per_file as (
+            select f.query_idx, f.path, f.weak, count(*) filter (what = 'region' and not f.weak) as regions, count(*) filter (what = 'line' and not f.weak) as lines,
+                count(*) filter ((what = 'region' and p < case when f.weak then 0.35 else 0.5 end) or (what = 'line' and p < 0.5)) as below_bar, count(n) - count(distinct n) as twice
+            from final f join printed x on x.query_idx = f.query_idx and x.path = f.path group by all
+        )
+        select query_idx, count(*) filter (not weak) as strong, count(*) filter (weak) as weak, cast(sum(regions) as bigint) as regions, cast(sum(lines) as bigint) as lines, cast(sum(below_bar) as bigint) as below_bar, cast(sum(twice) as bigint) as twice from per_file group by query_idx""",
+    "answer_sets": f"""with recursive {sql.chunks()}, asked as (
+            select path || ':' || "start" as request, 'section' as kind, 0 as i, null::int as a, null::int as b from chunks
+            union all select c.path || ':' || c."start", 'block', 0, x."start"::int, x."end"::int from chunks c join in_chunk x on x.path = c.path and x.chunk = c.chunk
+            union all select c.path || ':' || c."start", 'line', 0, l.n, l.n from chunks c join lines l on l.path = c.path and l.n between c."start" and c."end" and regexp_matches(l.text, '[A-Za-z0-9]')
+        ), stored as (select request, kind, i, a, case when kind = 'block' and a % 5 = 0 then b + 1 else b end as b from asked where not (kind = 'line' and a % 7 = 3))
+        (select *, 'missing' as state from asked except select *, 'missing' from stored) union all (select *, 'extra' from stored except select *, 'extra' from asked)""",
+    "asked_line_scores": f"with recursive {sql.scored([WORD])} select path, line, p from line_hits",
 }

@@ -14,6 +14,24 @@ FINDINGS = """
         hits as (select *, label is not null and row_number() over (partition by "case", label order by ord) = 1 as hit from first_label)"""
 
 
+#: Behind selected(): known cases, one of two words each, and what is shown of them.
+KNOWN = """
+        cases as (
+            select doc_id * 2 + query_idx as "case", query_idx, case when doc_id % 2 = 0 then 'pin' else 'broad' end as kind, '/doc_' || doc_id || '.txt' as suffix, unnest(case when doc_id % 3 = 0 then [doc_id % 20 + 1, doc_id % 20 + 70] else [doc_id % 20 + 1] end) as lo
+            from (select doc_id, 0 as query_idx from documents where contains(text, '{0}') union all select doc_id, 1 from documents where contains(text, '{1}'))
+        ),
+        met as (
+            select c."case", max(k.p) as region, null::double as line from cases c join final f on f.query_idx = c.query_idx and not f.weak and suffix(f.path, c.suffix) join kept k on k.query_idx = f.query_idx and k.path = f.path and k."start" <= c.lo + 6 and k."end" >= c.lo group by 1
+            union all
+            select c."case", null, max(x.p) from cases c join final f on f.query_idx = c.query_idx and not f.weak and suffix(f.path, c.suffix)
+                join (select query_idx, path, line, p from shown union all select query_idx, path, label_line, p from kept) x on x.query_idx = f.query_idx and x.path = f.path and x.line between c.lo and c.lo + 6 group by 1
+        ),
+        known as (
+            select c."case", c.query_idx, c.kind, coalesce(min(f.place), 0) as place, coalesce((select max(region) from met m where m."case" = c."case"), 0.0::double) as region, coalesce((select max(line) from met m where m."case" = c."case"), 0.0::double) as line
+            from (select distinct "case", query_idx, kind, suffix from cases) c left join final f on f.query_idx = c.query_idx and suffix(f.path, c.suffix) group by all
+        )"""
+
+
 def lines(code_like: bool = True, per_line: float = 1.0) -> str:
     return rf"""
         files as (select {PATH} as path, {CODE_LIKE if code_like else 'text'} as text from documents),

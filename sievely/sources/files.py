@@ -5,12 +5,18 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .ledger import shared_dir
 
 #: Directories, names and endings that are not searched.
 SKIP_DIRS = [".git", ".hg", ".svn", "node_modules", ".venv", "venv", "__pycache__", "dist", "build", "target", ".next", ".nuxt", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", "vendor", ".idea", ".vscode", "coverage", ".terraform"]
@@ -93,83 +99,144 @@ class Discover:
     no_ignore: bool = False
 
 
-def _walk(root: str, honour: bool, hidden: bool) -> list[str]:
-    """Files below root by name; ignore files of root's parents, up to the repository's top, count too."""
-    chain: list[Ignore] = []
-    if honour:
-        top, above = os.path.abspath(root), []
-        while not os.path.isdir(os.path.join(top, ".git")) and os.path.dirname(top) != top:
-            top = os.path.dirname(top)
-            above.append(top)
-        if os.path.isdir(os.path.join(top, ".git")):
-            config = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
-            chain += _ignore_files(top, [os.path.join(config, "git", "ignore"), os.path.join(top, ".git", "info", "exclude")])
-            for folder in reversed(above):
-                chain += _ignores(folder)
-    out: list[str] = []
-
-    def visit(folder: str, chain: list[Ignore]) -> None:
+#: Names that a task lists below a directory before it hands the directories that are left on to the next round.
+WALK_ENTRIES = 20_000
+_CHAIN = "array<struct<folder:string,text:string>>"
+_ENTRY = f"kind string, root int, path string, chain {_CHAIN}, length long, canonical string"
+_ENTRY_TYPES = {
+    "kind": pa.string(), "root": pa.int32(), "path": pa.string(), "chain": pa.list_(pa.struct([("folder", pa.string()), ("text", pa.string())])), "length": pa.int64(), "canonical": pa.string(),
+}
+
+
+def _ignores(folder: str, paths: list[str] | None = None) -> list[dict]:
+    """The ignore files that are there, as data, for paths below folder; later ones win."""
+    found = []
+    for path in paths or [os.path.join(folder, name) for name in (".gitignore", ".ignore")]:
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                found.append({"folder": folder, "text": f.read()})
+    return found
+
+
+def _above(root: str) -> list[dict]:
+    """What ignore files of root's parents say, up to the repository's top, and of the user and the repository as a whole."""
+    top, parents = os.path.abspath(root), []
+    while not os.path.isdir(os.path.join(top, ".git")):
+        if os.path.dirname(top) == top:
+            return []
+        top = os.path.dirname(top)
+        parents.append(top)
+    config = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    whole = _ignores(top, [os.path.join(config, "git", "ignore"), os.path.join(top, ".git", "info", "exclude")])
+    return whole + [x for folder in reversed(parents) for x in _ignores(folder)]
+
+
+@lru_cache(maxsize=4096)
+def _parsed(folder: str, text: str) -> Ignore:
+    return Ignore(folder, text)
+
+
+def _listed(row: dict, honour: bool, hidden: bool, most: int) -> Iterator[tuple]:
+    """Files below a directory, and the directories that are left when `most` names have been seen; symbolic links are followed to files only."""
+    left, seen = [(row["path"], row["chain"])], 0
+    while left:
+        folder, chain = left.pop()
+        if seen >= most:
+            yield "dir", row["root"], folder, chain, None, None
+            continue
         chain = chain + _ignores(folder) if honour else chain
-        for name in sorted(os.listdir(folder)):
+        rules = [_parsed(x["folder"], x["text"]) for x in reversed(chain)]
+        names = os.listdir(folder)
+        seen += len(names)
+        for name in names:
             path = os.path.join(folder, name)
             is_dir = os.path.isdir(path) and not os.path.islink(path)
-            verdict = next((v for i in reversed(chain) if (v := i.says(path, is_dir)) is not None), False)
-            if verdict or (not hidden and name.startswith(".")):
+            if (not hidden and name.startswith(".")) or (is_dir and name in SKIP_DIRS):
+                continue
+            if next((v for x in rules if (v := x.says(path, is_dir)) is not None), False):
                 continue
             if is_dir:
-                if name not in SKIP_DIRS:
-                    visit(path, chain)
+                left.append((path, chain))
             elif os.path.isfile(path):
-                out.append(path)
+                yield "file", row["root"], path, None, os.path.getsize(path), os.path.realpath(path)
 
-    visit(root, chain)
-    return out
 
+def _walked(roots: DataFrame, honour: bool, hidden: bool, most: int) -> DataFrame:
+    """Files below roots (root, path, chain), listed in rounds: what a round leaves is dealt among all tasks of the next, with the ignore files that hold there."""
+    spark = roots.sparkSession
+    folder, rounds = f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}", 0
 
-def _ignores(folder: str) -> list[Ignore]:
-    return _ignore_files(folder, [os.path.join(folder, name) for name in (".gitignore", ".ignore")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (entry for row in batch.to_pylist() for entry in _listed(row, honour, hidden, most))
+            while part := list(islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _ENTRY_TYPES.values(), strict=True)], list(_ENTRY_TYPES))
 
+    frontier = roots
+    while True:
+        frontier.select("root", "path", "chain").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, _ENTRY).write.parquet(f"{folder}/round={rounds}")
+        frontier = spark.read.schema(_ENTRY).parquet(f"{folder}/round={rounds}").where("kind = 'dir'")
+        rounds += 1
+        if frontier.isEmpty():
+            return spark.read.schema(_ENTRY).parquet(*(f"{folder}/round={k}" for k in range(rounds))).where("kind = 'file'")
 
-def _ignore_files(folder: str, paths: list[str]) -> list[Ignore]:
-    """Patterns of those files that are there, for paths below folder; later ones win."""
-    found = []
-    for path in paths:
-        if os.path.isfile(path):
-            with open(path, encoding="utf-8", errors="replace") as f:
-                found.append(Ignore(folder, f.read()))
-    return found
 
+def _shown(cwd: str):
+    """How a path is shown: relative to the working folder when inside it, else as it was spelled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            whole = [os.path.normpath(os.path.join(cwd, p)) for p in paths]
+            near = [os.path.relpath(p, cwd) for p in whole]
+            shown = [(p if x.startswith("..") or x == "." else x).replace(os.sep, "/") for p, x in zip(paths, near, strict=True)]
+            held = batch.set_column(batch.schema.get_field_index("path"), "path", pa.array(shown, pa.string()))
+            yield held.append_column("location", pa.array(whole, pa.string()))
 
-def display_path(path: str) -> str:
-    """Relative to the working folder when inside it, else as it was spelled."""
-    relative = os.path.relpath(os.path.normpath(os.path.abspath(path)), os.getcwd())
-    return (path if relative.startswith("..") or relative == "." else relative).replace(os.sep, "/")
+    return run
 
 
-def discover(spark: SparkSession, paths: list[str], options: Discover = Discover()) -> DataFrame:
-    """files: ord, path (as shown), location, length - of local paths, each file once. FileNotFoundError for a path that is not there.
+def discover(spark: SparkSession, paths: list[str], options: Discover = Discover(), most: int = WALK_ENTRIES) -> DataFrame:
+    """files: ord, path (as shown), location, length - each file once, by the order of paths and then of names. FileNotFoundError for a path that is not there.
 
-    Names are listed on the driver; contents are read by tasks (read_files).
+    The driver looks at the paths that are named; what is below them is listed by tasks, which must reach the same folders.
     """
-    rows: list[tuple] = []
-    for raw in paths or ["."]:
+    named, roots = [], []
+    for k, raw in enumerate(paths or ["."]):
         if os.path.isfile(raw):
-            rows.append((raw, "", True))
+            named.append((k, raw, "", True, os.path.getsize(raw), os.path.realpath(raw)))
         elif os.path.isdir(raw):
-            found = [] if options.no_ignore else _walk(raw, True, options.hidden)
-            rows += [(p, os.path.relpath(p, raw).replace(os.sep, "/"), False) for p in found or _walk(raw, False, options.hidden)]
+            roots.append((k, os.path.abspath(raw), raw))
         else:
             raise FileNotFoundError(raw)
-    listed = [(k, display_path(p), os.path.abspath(p), os.path.realpath(p), inner, explicit, os.path.getsize(p)) for k, (p, inner, explicit) in enumerate(rows)]
-    df = spark.createDataFrame(listed, "ord long, path string, location string, canonical string, inner string, explicit boolean, length long")
+    df = spark.createDataFrame(named, "root int, path string, inner string, explicit boolean, length long, canonical string")
+    if roots:
+        spelled = F.create_map(*(F.lit(x) for k, _, raw in roots for x in (k, raw)))
+        tops = F.create_map(*(F.lit(x) for k, top, _ in roots for x in (k, top)))
+        rows = lambda some, above: spark.createDataFrame([(k, top, _above(raw) if above else []) for k, top, raw in some], f"root int, path string, chain {_CHAIN}")
+        found = _walked(rows(roots, not options.no_ignore), not options.no_ignore, options.hidden, most)
+        if not options.no_ignore:
+            # A root of which all is ignored was meant: it is walked again as it is. (One row per path that was named.)
+            full = {x["root"] for x in found.select("root").distinct().collect()}
+            if empty := [x for x in roots if x[0] not in full]:
+                found = found.unionByName(_walked(rows(empty, False), False, options.hidden, most))
+        inner = F.regexp_replace(F.substr("path", F.length(tops[F.col("root")]) + 1), "^/+", "")
+        mine = F.when(spelled[F.col("root")].endswith("/"), spelled[F.col("root")]).otherwise(F.concat(spelled[F.col("root")], F.lit("/")))
+        df = df.unionByName(found.select("root", F.concat(mine, inner).alias("path"), inner.alias("inner"), F.lit(False).alias("explicit"), "length", "canonical"))
+    df = df.mapInArrow(_shown(os.getcwd()), "root int, path string, inner string, explicit boolean, length long, canonical string, location string")
     keep = wanted(F.col("inner"), F.col("length"), max_bytes=options.max_bytes, hidden=options.hidden)
     if options.globs:
         keep = keep & tx.path_matches(F.col("path"), options.globs)
     keep = keep | F.col("explicit")
     if options.excludes:
         keep = keep & ~tx.path_matches(F.col("path"), options.excludes)
-    first = df.where(keep).groupBy("canonical").agg(F.min_by(F.struct("ord", "path", "location", "length"), "ord").alias("f"))
-    return first.select("f.*")
+    place = F.struct("root", F.split("inner", "/").alias("names"))
+    first = df.where(keep).groupBy("canonical").agg(F.min_by(F.struct(place.alias("place"), "path", "location", "length"), place).alias("f"))
+    # Numbers in that order; they have gaps where partitions meet.
+    ordered = first.select("f.*").orderBy("place").select("path", "location", "length", F.monotonically_increasing_id().alias("ord"))
+    folder = f"{shared_dir(spark)}/listed-{uuid.uuid4().hex}"
+    ordered.write.parquet(folder)
+    return spark.read.schema(ordered.schema).parquet(folder).select("ord", "path", "location", "length")
 
 
 def read_files(listed: DataFrame, unreadable=None) -> DataFrame:

@@ -435,6 +435,66 @@ def test_discover_and_cli(spark, tmp_path, monkeypatch, capsys):
     assert shown() == ["bin.txt", "cr.py", "keep.log"]
 
 
+def plain_walk(root):
+    """Files of a tree by recursion, under ignore files that hold plain names and *.ending only."""
+    out = []
+
+    def visit(folder, dead):
+        own = folder / ".gitignore"
+        dead = dead | (set(own.read_text().split()) if own.exists() else set())
+        for x in folder.iterdir():
+            if x.name.startswith(".") or x.name in dead or f"*{x.suffix}" in dead or x.name in files.SKIP_DIRS:
+                continue
+            visit(x, dead) if x.is_dir() else out.append(str(x.relative_to(root)))
+
+    visit(root, set())
+    return sorted(out, key=lambda p: p.split("/"))
+
+
+def test_listing_in_rounds(spark, tmp_path):
+    """Directories are handed on with the ignore files that hold in them; the order is that of names, whatever task lists what."""
+    rng = random.Random(21)
+    folders = [tmp_path / "tree"]
+    for k in range(60):
+        folders.append(rng.choice(folders) / rng.choice([f"d{k}", f"e{k}", "build", "skip"]))
+    for k, folder in enumerate(folders):
+        folder.mkdir(parents=True, exist_ok=True)
+        for n in range(rng.randrange(8)):
+            (folder / f"f{n}{rng.choice(['.py', '.log', '.txt'])}").write_text("x")
+        if rng.random() < 0.2:
+            (folder / ".gitignore").write_text(rng.choice(["skip\n", "*.log\n", "f1.py\n*.txt\n"]))
+    (tmp_path / "tree" / ".git").mkdir()
+    want = plain_walk(tmp_path / "tree")
+    (tmp_path / "tree" / "link.py").symlink_to(tmp_path / "tree" / want[0])
+    want = [p for p in want if (tmp_path / "tree" / p).stat().st_size]
+    for most in (1, 25, 10**6):
+        rows = files.discover(spark, [str(tmp_path / "tree")], most=most).orderBy("ord").collect()
+        got = [r["location"].removeprefix(f"{tmp_path}/tree/") for r in rows]
+        assert got == sorted(want, key=lambda p: p.split("/")) or got == sorted({"link.py", *want[1:]}, key=lambda p: p.split("/"))
+    assert files.discover(spark, [str(tmp_path / "tree"), str(tmp_path / "tree")]).count() == len(want)
+
+
+def test_an_ignored_root_is_walked_all_the_same(spark, tmp_path):
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".gitignore").write_text("out/\n*.tmp\n")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "a.tmp").write_text("x")
+    assert [r["location"] for r in files.discover(spark, [str(tmp_path / "out")]).collect()] == [f"{tmp_path}/out/a.tmp"]
+
+
+def test_known_answers_and_audits(spark):
+    regions = "array<struct<start:int,end:int,p:double,label:string,label_line:int>>"
+    kept = "array<struct<line:int,p:double,text:string,section:double,region:int>>"
+    shown = spark.createDataFrame([
+        (0, "x/a.py", False, 1, [(60, 200, 0.9, "l", 60)], [(10, 0.6, "t", 1.0, None), (60, 0.7, "t", 1.0, 60)]), (0, "x/b.py", True, 2, [(1, 5, 0.36, "l", 1), (9, 12, 0.2, "l", 9)], []), (1, "y/b.py", False, 1, [], [(3, 0.4, "t", 1.0, None)]),
+    ], f"query_idx int, path string, weak boolean, place int, regions {regions}, lines {kept}")
+    cases = spark.createDataFrame([(1, 0, "pin", "/a.py", 10, 10), (2, 0, "pin", "/a.py", 198, 260), (2, 0, "pin", "/a.py", 1, 2), (3, 0, "broad", "/b.py", 1, 5), (4, 1, "pin", "/c.py", 1, 9)], "case int, query_idx int, kind string, suffix string, lo int, hi int")
+    known = evaluate.known_answers(shown, cases)
+    assert sorted(map(tuple, known.collect())) == [(1, 0, "pin", 1, 0.0, 0.6), (2, 0, "pin", 1, 0.9, 0.0), (3, 0, "broad", 2, 0.0, 0.0), (4, 1, "pin", 0, 0.0, 0.0)]
+    assert tuple(evaluate.tally(known).first()) == (4, 2, 1, 3, 1)
+    assert sorted(map(tuple, evaluate.audits(shown).collect())) == [(0, 1, 1, 1, 2, 1, 1), (1, 1, 0, 0, 1, 1, 0)]
+
+
 def test_rules(spark, tmp_path):
     assert [c.label for c in rulecheck.parse_rules("# T\n\n- [A-1] no needles\n- [B] x\n")] == ["A-1", "B"]
     for bad in ("prose", "- [A] x\n- [A] y", "- [a b] x", "", "- [A] "):
