@@ -16,7 +16,7 @@ longest label that the path before it can go on with. That is linear in the byte
 Decoding emits the arcs' labels.
 
 Cases: null and empty texts give no tokens and decode to ''. The strings of special tokens inside texts are
-those tokens. Equal rows give equal rows; columns other than the id and the text are not read. A vocabulary file that
+those tokens. Equal rows give equal rows, an empty table none; columns other than the id and the text are not read. A vocabulary file that
 asks for anything else than this (a normalizer, another pre-tokenizer, byte fallback, dropout, tokens that take white
 space along, merges of labels not made yet) is refused with a ValueError.
 """

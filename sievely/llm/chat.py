@@ -7,7 +7,7 @@ backslashes stands for the mark after k backslashes. render() first writes conte
 text with parse(), escapes the turns that do not come back, and repeats until the turns are identical.
 
 Cases: null text or role is ''; turns are ordered by turn (null first), then role, then text; repeated rows
-are turns of their own; rows with null conv_id form one conversation. Columns other than conv_id, turn, role
+are turns of their own; rows with null conv_id form one conversation; an empty table gives no rows. Columns other than conv_id, turn, role
 and text are not read.
 """
 

@@ -13,7 +13,8 @@ the threshold: a set is put in the partition of its size, its rarest spots (as m
 are the join keys, and a pair is dropped as soon as its size bound is under the threshold.
 
 Cases: null and empty texts have the empty fingerprint; two empty ones have likeness 1, an empty and a full one 0.
-Texts with no words beyond anchors have only the start's spot. Equal texts have equal fingerprints.
+Texts with no words beyond anchors have only the start's spot. Equal texts have equal fingerprints, repeated rows are rows of
+their own, and an empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

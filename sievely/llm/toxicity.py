@@ -12,7 +12,8 @@ TRAIN_ROWS of each label with TRAIN_BYTES of text are taken, whole texts only; a
 
 Cases: null and empty texts, and texts without words, have the score of the bias alone; a document without a label
 is scored as well; contradictory labels of one document are all used; with no labels of both kinds every score is the
-share of label 1. Columns other than doc_id and text (and doc_id, toxic of the labels) are not read.
+share of label 1. An empty table of documents gives no scores, and one without labelled rows such a constant model. Equal rows
+have equal scores. Columns other than doc_id and text (and doc_id, toxic of the labels) are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ CALIBRATE = 1
 #: its own if so many calibration rows of each label are in it, else that of all languages.
 CALIBRATE_FROM, LANGUAGE_FROM = 100, 10
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 6
-EPOCHS, BATCH, RATE = 6, 32, 0.08
+EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.08, 1e-4
 PREFIXES = (3, 4, 5, 6)
 
 #: Common words that tell a text's language.
@@ -147,6 +148,36 @@ def _gather(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
+def gradients(model: Model, features: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+    """Of the weighted mean log loss of texts: gradients of filters, offsets and weights, of the bias, and of the embeddings of some features."""
+    dense = [*model.filters, *model.offsets, model.weights]
+    pooled, where = model.pooled(features, at)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30)))
+    g = ((p - y) * weight / len(y)).astype(np.float32)
+    grads = [np.zeros_like(f) for f in dense]
+    grads[-1][:] = pooled.T @ g + DECAY * model.weights
+    text, unit = np.nonzero(where >= 0)
+    up = g[text] * model.weights[unit]
+    rows, values = [np.zeros(0, np.int32)], [np.zeros((0, DIM), np.float32)]
+    ends = at[text + 1]
+    for k, width in enumerate(WIDTHS):
+        mine = unit // FILTERS == k
+        f, d, first, last = unit[mine] % FILTERS, up[mine], where[text[mine], unit[mine]], ends[mine]
+        np.add.at(grads[len(WIDTHS) + k], f, d)
+        for j in range(width):
+            ok = first + j < last
+            ids = features[first[ok] + j]
+            x = model.embedding[ids].mean(axis=1)
+            np.add.at(grads[k][j].T, f[ok], x * d[ok][:, None])
+            back = model.filters[k][j][:, f[ok]].T * d[ok][:, None] / ids.shape[1]
+            rows.append(ids.ravel())
+            values.append(np.repeat(back, ids.shape[1], axis=0))
+    ids, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+    change = np.zeros((len(ids), DIM), np.float32)
+    np.add.at(change, inverse, np.concatenate(values))
+    return grads, float(g.sum()), ids, change
+
+
 def train(words: Words, labels: np.ndarray, calibration: np.ndarray, seed: int = 5) -> Model:
     """calibration: the rows that set thresholds instead of being trained on."""
     rng = np.random.default_rng(seed)
@@ -175,36 +206,14 @@ def train(words: Words, labels: np.ndarray, calibration: np.ndarray, seed: int =
         for start in range(0, len(order), BATCH):
             chosen = order[start : start + BATCH]
             features, at = _gather(words, chosen)
-            pooled, where = model.pooled(features, at)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30)))
-            g = ((p - y[chosen]) * np.where(y[chosen] > 0, 0.5 / rate1, 0.5 / (1 - rate1)) / len(chosen)).astype(np.float32)
-            grads = [np.zeros_like(f) for f in dense]
-            grads[-1][:] = pooled.T @ g + 1e-4 * model.weights
-            text, unit = np.nonzero(where >= 0)
-            up = g[text] * model.weights[unit]
-            rows_, values_ = [], []
-            ends = at[text + 1]
-            for k, width in enumerate(WIDTHS):
-                mine = unit // FILTERS == k
-                f, d, first, last = unit[mine] % FILTERS, up[mine], where[text[mine], unit[mine]], ends[mine]
-                np.add.at(grads[len(WIDTHS) + k], f, d)
-                for j in range(width):
-                    ok = first + j < last
-                    ids = features[first[ok] + j]
-                    x = model.embedding[ids].mean(axis=1)
-                    np.add.at(grads[k][j].T, f[ok], x * d[ok][:, None])
-                    back = model.filters[k][j][:, f[ok]].T * d[ok][:, None] / ids.shape[1]
-                    rows_.append(ids.ravel())
-                    values_.append(np.repeat(back, ids.shape[1], axis=0))
+            weight = np.where(y[chosen] > 0, 0.5 / rate1, 0.5 / (1 - rate1))
+            grads, g, ids, change = gradients(model, features, at, y[chosen], weight)
             for value, gradient, total in zip(dense, grads, power, strict=True):
                 total += gradient * gradient
                 value -= RATE * gradient / np.sqrt(total)
-            b_power += float(g.sum()) ** 2
-            model.bias -= RATE * float(g.sum()) / b_power**0.5
-            if rows_:
-                ids, inverse = np.unique(np.concatenate(rows_), return_inverse=True)
-                change = np.zeros((len(ids), DIM), np.float32)
-                np.add.at(change, inverse, np.concatenate(values_))
+            b_power += g**2
+            model.bias -= RATE * g / b_power**0.5
+            if len(ids):
                 e_power[ids] += (change * change).mean(axis=1)
                 model.embedding[ids] -= RATE * change / np.sqrt(e_power[ids])[:, None]
     model.learning = False
