@@ -1,6 +1,9 @@
 """From raw documents to token ids: drop toxic texts and near copies, mask personal data, mix sources, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Cases, in every stage: null and empty texts are texts like others (a score, no near copies, no marks, size 0, no ids); an
+empty table gives an empty one; rows that repeat are rows of their own; columns of other names stay as they are.
 """
 
 from __future__ import annotations
@@ -15,27 +18,27 @@ from sievely.llm._common import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on their labels, does not reject."""
+    """Documents that the classifier, trained on their labels, does not reject. Without labels of both kinds it rejects all or none."""
     return toxicity.accepted(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, a similarity of 0.8 or more."""
+    """One document of each group of near copies: five words, a similarity of 0.8 or more. Texts without words are copies of nothing."""
     return minhash.dedup(docs, words=5, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts with marks in place of personal data."""
+    """The texts with marks in place of personal data; null stays null."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix draws a document."""
+    """A row for each time that the mix draws a document; those without words are never drawn."""
     return mixing.draw(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each row."""
+    """doc_id, n_tokens and ids of each row, in any order."""
     return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
