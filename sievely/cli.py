@@ -8,11 +8,13 @@ import os
 import re
 import sys
 import time
+from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
 from .functions.lines import lines_of
 from .operators import filters, fold, questions, render, rulecheck, scoring, segment, select
+from .progress import Progress
 from .sources import backends, files
 from .sources.credentials import Chain
 from .sources.ledger import Ledger
@@ -25,6 +27,29 @@ def words_of(query: str) -> list[str]:
     return [w for w in re.findall(r"[0-9A-Za-z_]{3,}", query) if w.lower() not in _COMMON] or [query]
 
 
+def probability(text: str) -> float:
+    value = float(text)
+    if not 0 <= value <= 1:
+        raise argparse.ArgumentTypeError(f"{text} is not between 0 and 1")
+    return value
+
+
+def count(least: int):
+    def read(text: str) -> int:
+        value = int(text)
+        if value < least:
+            raise argparse.ArgumentTypeError(f"{text} is less than {least}")
+        return value
+
+    return read
+
+
+#: Options that the environment may set (SIEVELY_ and the name in capitals); what is said on the command line goes before it.
+FROM_ENVIRONMENT = ("threshold", "file_threshold", "top", "max_lines", "max_regions", "max_bytes", "chunk_lines", "chunk_tokens", "backend", "url", "model", "color", "triage_threshold", "max_files", "jobs", "ledger")
+#: Options that say how to search, which checks of rules have no use for.
+SEARCH_ONLY = ("query", "paths", "more", "glob", "exclude", "context", "files", "filter", "broad", "json", "no_heading", "hidden", "no_ignore", "triage", "stats", "ledger")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sievely")
     p.add_argument("query", nargs="?")
@@ -32,12 +57,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-e", "--query", dest="more", action="append", default=[], help="a further query")
     p.add_argument("-g", "--glob", action="append", default=[])
     p.add_argument("-x", "--exclude", action="append", default=[])
-    p.add_argument("-t", "--threshold", type=float, default=0.5)
-    p.add_argument("-T", "--file-threshold", type=float, default=0.6)
-    p.add_argument("-n", "--top", type=int, default=15)
-    p.add_argument("-m", "--max-lines", type=int, default=10)
-    p.add_argument("--max-regions", type=int, default=5)
-    p.add_argument("-C", "--context", type=int, default=0)
+    p.add_argument("-t", "--threshold", type=probability, default=0.5)
+    p.add_argument("-T", "--file-threshold", type=probability, default=0.6)
+    p.add_argument("-n", "--top", type=count(0), default=15)
+    p.add_argument("-m", "--max-lines", type=count(0), default=10)
+    p.add_argument("--max-regions", type=count(0), default=5)
+    p.add_argument("-C", "--context", type=count(0), default=0)
     p.add_argument("-l", "--files", action="store_true")
     p.add_argument("-f", "--filter", action="append", default=[])
     p.add_argument("--broad", action="store_true")
@@ -45,28 +70,49 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-heading", action="store_true")
     p.add_argument("--hidden", action="store_true")
     p.add_argument("--no-ignore", action="store_true")
-    p.add_argument("--max-bytes", type=int, default=files.MAX_BYTES)
-    p.add_argument("--chunk-lines", type=int, default=150)
-    p.add_argument("--chunk-tokens", type=int, default=14_000)
+    p.add_argument("--max-bytes", type=count(1), default=files.MAX_BYTES)
+    p.add_argument("--chunk-lines", type=count(1), default=150)
+    p.add_argument("--chunk-tokens", type=count(1), default=14_000)
     p.add_argument("--backend", choices=["lexical", "http", "chat"], default="lexical")
-    p.add_argument("--url", default=os.environ.get("DECISION_URL"))
-    p.add_argument("--model", default=os.environ.get("DECISION_MODEL", "default"))
+    p.add_argument("--url")
+    p.add_argument("--model", default="default")
     p.add_argument("--key-from", action="append", default=[], metavar="KIND:WHAT", help="where the key is, in order: env:NAME, toml:PATH#key, json:PATH#key, command:PROGRAM")
     p.add_argument("--reroute", action="append", nargs=3, default=[], metavar=("HOST", "MODEL_PREFIX", "URL"), help="models of a host that are asked at another address, as typed questions")
     p.add_argument("--color", choices=["auto", "always", "never"], default="auto")
     p.add_argument("--triage", action="store_true", help="judge paths first, open the likely ones only")
-    p.add_argument("--triage-threshold", type=float, default=0.2)
-    p.add_argument("--max-files", type=int, default=1500)
-    p.add_argument("-j", "--jobs", type=int, default=32)
+    p.add_argument("--triage-threshold", type=probability, default=0.2)
+    p.add_argument("--max-files", type=count(1), default=1500)
+    p.add_argument("-j", "--jobs", type=count(1), default=32)
     p.add_argument("--ledger", help="a folder of answers that are not asked for again; without it they are kept for this run")
     p.add_argument("--stats", action="store_true", help="files, requests, tokens, cost and seconds on stderr")
     p.add_argument("--rules")
     p.add_argument("--source", action="append", default=[])
-    p.add_argument("--budget", type=int, default=256)
+    p.add_argument("--budget", type=count(1), default=256)
     p.add_argument("--plan", action="store_true")
     return p
 
 
+def arguments(argv: list[str] | None, environment: Mapping[str, str]) -> argparse.Namespace:
+    """The command line, with the environment for what it leaves out. Blank variables are as good as none; wrong values end the program (status 2), wherever they come from."""
+    p = parser()
+    said = {x: environment[f"SIEVELY_{x.upper()}"].strip() for x in FROM_ENVIRONMENT if environment.get(f"SIEVELY_{x.upper()}", "").strip()}
+    allowed = {x.dest: x.choices for x in p._actions if x.choices}
+    if wrong := [x for x, value in said.items() if value not in (allowed.get(x) or [value])]:
+        p.error(f"SIEVELY_{wrong[0].upper()} is none of {', '.join(allowed[wrong[0]])}")
+    p.set_defaults(**said)  # as text, which each option's type reads
+    a = p.parse_args(argv)
+    a.key_from = a.key_from or ["env:DECISION_API_KEY"]
+    if a.rules:
+        plain = parser().parse_args([])
+        if used := [x for x in SEARCH_ONLY if x not in said and getattr(a, x) != getattr(plain, x)]:
+            p.error(f"--rules goes without {', '.join(used)}")
+        if not 1 <= len(a.source) <= rulecheck.MAX_SOURCES:
+            p.error(f"--rules needs 1 to {rulecheck.MAX_SOURCES} --source")
+    elif a.source or a.plan:
+        p.error("--source and --plan go with --rules")
+    return a
+
+
 def _backend(a: argparse.Namespace, words: list[str], retries: int = 8):
     if a.backend == "lexical":
         return lambda: backends.LexicalBackend(words)
@@ -133,7 +179,8 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
         lines, blocks = scoring.line_hits(scored), scoring.block_hits(scored)
     else:
         asking = questions.Asking(queries, rules.terms(), a.files, a.broad)
-        asked = questions.ask_chunks(chunks, _backend(a, []), asking, answers, a.jobs, model)
+        with Progress(spark):
+            asked = questions.ask_chunks(chunks, _backend(a, []), asking, answers, a.jobs, model)
         failed = asked.where("error_kind is not null")
         if n := failed.count():
             print(f"{n} request(s) failed; the first: {failed.first()['error']}", file=sys.stderr)
@@ -155,7 +202,8 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
             shown = shown or bool(text)
             print((f"== {q}\n" if len(queries) > 1 and not a.json else "") + (text or ("(no matches)\n" if len(queries) > 1 and not a.json else "")) + ("\n" if len(queries) > 1 and not a.json else ""), end="")
         return int(not shown)
-    by_query = render.collect(select.select(folded, lines, blocks, lim))
+    with Progress(spark):
+        by_query = render.collect(select.select(folded, lines, blocks, lim))
     source = None
     if a.context:  # of the files shown, which the limits bound
         paths = sorted({f["path"] for found in by_query.values() for f in found})
@@ -176,7 +224,6 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
-    a.key_from = a.key_from or ["env:DECISION_API_KEY"]
+    a = arguments(argv, os.environ)
     spark = SparkSession.builder.appName("sievely").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     return check_rules(spark, a) if a.rules else search(spark, a)

@@ -1,6 +1,7 @@
 """The search engine on small inputs: hand-worked cases, invariants, and the golden three-line file."""
 
 import http.server
+import io
 import json
 import random
 import re
@@ -15,6 +16,7 @@ from sievely import cli
 from sievely.functions import lines
 from sievely.functions import text as tx
 from sievely.operators import evaluate, filters, fold, questions, render, rulecheck, scoring, segment, select
+from sievely.progress import Progress
 from sievely.sources import backends, credentials, files, ledger
 from sievely.streaming import search as streaming
 
@@ -551,7 +553,7 @@ def test_rules_budgets(spark, tmp_path, monkeypatch):
     assert len(rulecheck.prepare(spark, "- [A] x", source, 1000).requests) == 1
     monkeypatch.setattr(rulecheck, "MAX_REQUEST_BYTES", 100)
     assert {g["reason"] for g in rulecheck.prepare(spark, "- [A] x", source, 1000).gaps} == {"the request would be too large; nothing was cut"}
-    assert cli.main(["--rules", str(tmp_path / "r.md")]) == 2
+    assert cli.main(["--rules", str(tmp_path / "r.md"), "--source", source[0]]) == 2
 
 
 def test_rules_read_original_lines(spark):
@@ -566,6 +568,37 @@ def test_findings_are_no_failure(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["status"] == "findings"
 
 
+def test_progress_on_terminals_only(spark):
+    class Terminal(io.StringIO):
+        def __init__(self, is_terminal):
+            super().__init__()
+            self.isatty = lambda: is_terminal
+
+    def slow(batches):
+        for batch in batches:
+            time.sleep(0.3)
+            yield batch
+
+    for is_terminal in (True, False):
+        out = Terminal(is_terminal)
+        with Progress(spark, out, 0.05):
+            spark.range(0, 6, 1, 6).mapInArrow(slow, "id long").collect()
+        said = out.getvalue()
+        assert ("/6 tasks" in said and said.endswith("\r")) if is_terminal else said == ""
+
+
+def test_arguments_and_environment(capsys):
+    of = lambda *argv, **env: cli.arguments(list(argv), {f"SIEVELY_{k}": v for k, v in env.items()})
+    a = of("q", "p", "-n", "3", THRESHOLD="0.7", TOP="9", URL=" ", BACKEND="http")
+    assert (a.threshold, a.top, a.url, a.backend, a.paths, a.key_from) == (0.7, 3, None, "http", ["p"], ["env:DECISION_API_KEY"])
+    assert of("--rules", "r", "--source", "s", TOP="4", LEDGER="x").source == ["s"]
+    for argv, env in ((["q", "-t", "1.5"], {}), (["q"], {"THRESHOLD": "2"}), (["q"], {"TOP": "x"}), (["q"], {"BACKEND": "none"}), (["q", "-j", "0"], {}), (["--rules", "r"], {}), (["--rules", "r", "--source", "s", "--json"], {}), (["q", "--rules", "r", "--source", "s"], {}), (["q", "--plan"], {})):
+        with pytest.raises(SystemExit) as e:
+            of(*argv, **env)
+        assert e.value.code == 2
+    capsys.readouterr()
+
+
 def test_color_policy():
     want = lambda flag="auto", tty=True, **env: render.wants_color(flag, env, tty)
     assert want() and not want(tty=False) and want("always", False, NO_COLOR="1") and not want("never")
