@@ -129,13 +129,11 @@ def chunk_requests(chunks: DataFrame, asking: Asking, model: str = "") -> DataFr
     return rows.withColumn("request", F.sha2(F.concat(F.lit(said), F.to_json(F.struct("path", "ctx_start", "start", "end", "lines", "asked"))), 256))
 
 
-#: A row of the ledger: what a request was answered, or why not, and what it took.
-ANSWERS = f"request string, answers array<{ANSWER}>, extra int, error_kind string, error string, requests long, retries long, input_tokens long, output_tokens long, reported_cost double, tier string"
 _ANSWER_TYPE = pa.struct([("kind", pa.string()), ("i", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("p", pa.float64()), ("confidence", pa.float64())])
-_TYPES = {
-    "request": pa.string(), "answers": pa.list_(_ANSWER_TYPE), "extra": pa.int32(), "error_kind": pa.string(), "error": pa.string(), "requests": pa.int64(), "retries": pa.int64(),
-    "input_tokens": pa.int64(), "output_tokens": pa.int64(), "reported_cost": pa.float64(), "tier": pa.string(),
-}
+#: What a request was answered, or why not: columns with their types in Spark and Arrow.
+ANSWERED = {"request": ("string", pa.string()), "answers": (f"array<{ANSWER}>", pa.list_(_ANSWER_TYPE)), "extra": ("int", pa.int32()), "error_kind": ("string", pa.string()), "error": ("string", pa.string())}
+#: What it took.
+USAGE = {"requests": ("long", pa.int64()), "retries": ("long", pa.int64()), "input_tokens": ("long", pa.int64()), "output_tokens": ("long", pa.int64()), "reported_cost": ("double", pa.float64()), "tier": ("string", pa.string())}
 
 
 def _spent(backend: DecisionBackend) -> tuple:
@@ -154,48 +152,53 @@ def _typed(asked: list[dict], questions: dict[str, dict], got: dict[str, dict])
     return out, len(set(got) - set(questions))
 
 
-def ask(requests: DataFrame, make: Callable[[], DecisionBackend], as_sent: Callable[[dict], tuple[dict, dict]], jobs: int = 32, lenient: bool = False) -> DataFrame:
-    """ANSWERS of requests (request, asked, and what as_sent() reads). Errors are rows, but for auth errors, which end the job, unless `lenient`.
+def in_lanes(requests: DataFrame, make: Callable[[], DecisionBackend], columns: dict[str, tuple], answer: Callable[[DecisionBackend, dict], tuple], jobs: int = 32) -> DataFrame:
+    """answer(backend, row) of each row as `columns`, and USAGE.
 
     At most `jobs` requests run at a time in the whole cluster: there are no more tasks than lanes, and the lanes are divided
     among them. Within a task the service's own limiter may admit fewer.
     """
-    lanes = max(1, min(jobs, requests.sparkSession.sparkContext.defaultParallelism))
+    lanes, types = max(1, min(jobs, requests.sparkSession.sparkContext.defaultParallelism)), columns | USAGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = jobs // lanes + (TaskContext.get().partitionId() < jobs % lanes)
         backend = make()
         if hasattr(backend, "jobs"):
             backend.jobs = max(1, share)
-
-        def one(row: dict) -> tuple:
-            try:
-                state, questions = as_sent(row)
-                answers, extra = _typed(row["asked"], questions, backend.ask(state, questions))
-                return row["request"], answers, extra, None, None
-            except DecisionError as e:
-                if e.kind == "auth" and not lenient:
-                    raise
-                return row["request"], [], 0, e.kind, e.message
-            except Exception as e:
-                if not lenient:
-                    raise
-                return row["request"], [], 0, "api", repr(e)
-
         with ThreadPoolExecutor(max(1, share)) as pool:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 before = _spent(backend)
-                out = list(pool.map(one, batch.to_pylist()))
+                out = list(pool.map(lambda row: answer(backend, row), batch.to_pylist()))
                 after = _spent(backend)
                 # What a batch took stands in its first row.
                 cost = None if after[4] is None else after[4] - (before[4] or 0.0)
                 took = [(*(b - a for a, b in zip(before[:4], after[:4], strict=True)), cost, after[5])] + [(0, 0, 0, 0, None, None)] * (len(out) - 1)
                 rows = zip(*((*x, *y) for x, y in zip(out, took, strict=True)), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _TYPES.values(), strict=True)], list(_TYPES))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(rows, types.values(), strict=True)], list(types))
 
-    return requests.repartition(lanes).mapInArrow(run, ANSWERS)
+    return requests.repartition(lanes).mapInArrow(run, ", ".join(f"{c} {t}" for c, (t, _) in types.items()))
+
+
+def ask(requests: DataFrame, make: Callable[[], DecisionBackend], as_sent: Callable[[dict], tuple[dict, dict]], jobs: int = 32, lenient: bool = False) -> DataFrame:
+    """ANSWERED of requests (request, asked, and what as_sent() reads). Errors are rows, but for auth errors, which end the job, unless `lenient`."""
+
+    def one(backend: DecisionBackend, row: dict) -> tuple:
+        try:
+            state, questions = as_sent(row)
+            answers, extra = _typed(row["asked"], questions, backend.ask(state, questions))
+            return row["request"], answers, extra, None, None
+        except DecisionError as e:
+            if e.kind == "auth" and not lenient:
+                raise
+            return row["request"], [], 0, e.kind, e.message
+        except Exception as e:
+            if not lenient:
+                raise
+            return row["request"], [], 0, "api", repr(e)
+
+    return in_lanes(requests, make, ANSWERED, one, jobs)
 
 
 def ask_chunks(chunks: DataFrame, make: Callable[[], DecisionBackend], asking: Asking, ledger: Ledger, jobs: int = 32, model: str = "") -> DataFrame:

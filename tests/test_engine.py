@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sievely import cli
 from sievely.functions import lines
 from sievely.functions import text as tx
-from sievely.operators import evaluate, filters, fold, questions, render, rulecheck, scoring, segment, select
+from sievely.operators import decide, evaluate, filters, fold, questions, render, rulecheck, scoring, segment, select
 from sievely.progress import Progress
 from sievely.sources import backends, credentials, files, ledger
 from sievely.streaming import search as streaming
@@ -406,6 +406,41 @@ def test_triage_asks_in_batches(spark, service, monkeypatch):
     assert {x["path"] for x in words.where("p > 0.5").collect()} == {"p3"}
 
 
+def test_typed_decisions(spark, tmp_path):
+    """Typed columns of what a service says about rows; wrong answers are errors of their row, and nothing is asked twice."""
+    asked = {"spam": decide.YesNo("Spam?", yes="an advertisement"), "what": decide.Choice.labels("What?", "mail").option("chat", "short talk"), "tone": decide.Score("Polite?", "rude", "plain", "kind")}
+    assert [q.wire() for q in asked.values()] == [
+        {"type": "noul", "instructions": "Spam?", "criteria": {"true": "an advertisement"}}, {"type": "choice", "instructions": "What?", "criteria": {"mail": None, "chat": "short talk"}},
+        {"type": "score", "instructions": "Polite?", "criteria": ["rude", "plain", "kind"]},
+    ]
+    counted = str(tmp_path / "asked")
+
+    def make():
+        class Service:
+            def ask(self, state, questions):
+                with open(counted, "a") as f:
+                    f.write("x")
+                good = {"spam": {"noul": 0.25}, "what": {"choice": "chat", "confidence": 0.5, "probabilities": {"chat": 0.75, "mail": 0.25}}, "tone": {"score": 1.5, "confidence": 1, "probabilities": {"1": 0.5, "2": 0.5}}}
+                wrong = {"label": {"what": good["what"] | {"choice": "post"}}, "level": {"tone": good["tone"] | {"score": 2.5}}, "share": {"spam": {"noul": 7}}, "none": {"spam": None}}
+                if state["body"] is None:
+                    raise backends.DecisionError("invalid_request", "no text")
+                return good | wrong.get(state["body"], {})
+
+        return Service()
+
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(["fine", "label", "level", "share", "none", None, "fine"])], "id int, body string")
+    book = ledger.Ledger(spark, str(tmp_path / "book"))
+    got = {r["id"]: r.asDict(recursive=True) for r in decide.decide(rows, ["body"], asked, make, book).collect()}
+    fine = {"spam": 0.25, "what": {"choice": "chat", "confidence": 0.5, "probabilities": {"mail": 0.25, "chat": 0.75}}, "tone": {"score": 1.5, "confidence": 1.0, "probabilities": [0.0, 0.5, 0.5]}}
+    assert all({c: got[k][c] for c in asked} == fine and got[k]["error_kind"] is None for k in (0, 6))
+    assert [got[k]["error_kind"] for k in range(1, 6)] == ["api"] * 4 + ["invalid_request"] and all(got[k]["what"] is None for k in range(1, 6))
+    assert len((tmp_path / "asked").read_text()) == 6  # equal rows are one request
+    assert decide.decide(rows.where("id = 0"), ["body"], asked, make, book).first()["spam"] == 0.25 and len((tmp_path / "asked").read_text()) == 6
+    for wrong in (lambda: decide.Score("x", "one"), lambda: decide.Choice.labels("x"), lambda: decide.Choice.labels("x", "a", "a"), lambda: decide.decide(rows, ["body"], {"ID": asked["spam"]}, make, book)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_answers_are_held_against_questions(spark):
     schema = "request string, kind string, i int, a int, b int"
     asked = spark.createDataFrame([("x", "section", 0, None, None), ("x", "block", 0, 1, 2), ("y", "line", 1, 3, 3), ("y", "line", 1, 3, 3)], schema)
