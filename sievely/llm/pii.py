@@ -72,178 +72,138 @@ _QUAD = r"^[0-9]+(?:\.[0-9]+){3}$"
 _MARKS = ""
 
 
+# The expressions below are SQL text: they are deeply nested, and text is parsed at once where Columns take a call for each part.
+# Names that end with _ are those of lambda variables.
+
+
 def token_pattern(bounds: Bounds) -> str:
     return rf"(?<!\S)[^\s0-9]*+[0-9]\S{{{bounds.least_token - 1},}}+"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _raw(pattern: str) -> str:
+    """A pattern as a literal in which nothing is escaped."""
+    return f"r'{pattern}'"
+
 
+def _let(value: str, name: str, body: str) -> str:
+    """body, with value computed once under a name however often body reads it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _scan(items: Column, advance: Callable, combine: Callable, emit: Callable, kind: str) -> Column:
+
+def _scan(items: str, advance: Callable, combine: Callable, emit: Callable, kind: str) -> str:
     """emit(what advance() made of all items before it, item) of each item, from 0 on: array<kind>.
 
     In blocks, each from where the blocks before it end: an array that grows by one element at a time is copied each time.
     """
-    none = F.array().cast(f"array<{kind}>")
-
-    def whole(x: Column) -> Column:
-        count = F.greatest(F.ceil(F.size(x) / _STRIDE).cast("int"), F.lit(1))
-        return _let(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(x, i * _STRIDE + 1, _STRIDE)), of_blocks)
+    blocks = f"transform(sequence(0, greatest(cast(ceil(size(items_) / {_STRIDE}D) as int), 1) - 1), i_ -> slice(items_, i_ * {_STRIDE} + 1, {_STRIDE}))"
+    totals = f"transform(blocks_, b_ -> aggregate(b_, 0, (at_, x_) -> {advance('at_', 'x_')}))"
+    begins = f"aggregate({totals}, array(0), (acc_, t_) -> concat(acc_, array({combine('element_at(acc_, -1)', 't_')})))"
+    step = f"named_struct('at', {advance('acc_.at', 'x_')}, 'out', concat(acc_.out, array({emit('acc_.at', 'x_')})))"
+    of_block = f"aggregate(b_, named_struct('at', o_, 'out', cast(array() as array<{kind}>)), (acc_, x_) -> {step}, acc_ -> acc_.out)"
+    return _let(items, "items_", _let(blocks, "blocks_", f"flatten(zip_with(blocks_, slice({begins}, 1, size(blocks_)), (b_, o_) -> {of_block}))"))
 
-    def of_blocks(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), advance))
-        begins = F.aggregate(totals, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
-        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), of_block))
 
-    def of_block(block: Column, begin: Column) -> Column:
-        step = lambda acc, x: F.struct(advance(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out"))
-        return F.aggregate(block, F.struct(begin.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
-    return _let(items, whole)
-
-
-def _pieces(text: Column) -> Column:
+def _pieces(text: str) -> str:
     """The text in pieces of _PIECE characters: a place far behind is reached without counting from the text's start."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return f"regexp_extract_all({text}, '(?s).{{1,{_PIECE}}}', 0)"
 
 
-def _cut(pieces: Column, start: Column, end: Column) -> Column:
+def _cut(pieces: str, start: str, end: str) -> str:
     """The text's characters start to end, counted from 0."""
-    first = F.floor(start / _PIECE).cast("int")
-    held = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / _PIECE).cast("int") - first + 1), "")
-    return F.when(end > start, F.substring(held, start - first * _PIECE + 1, end - start)).otherwise("")
+    first, last = f"cast(({start}) div {_PIECE} as int)", f"cast(({end} - 1) div {_PIECE} as int)"
+    held = f"array_join(slice({pieces}, {first} + 1, {last} - {first} + 1), '')"
+    return f"if({end} > {start}, substring({held}, ({start}) - {first} * {_PIECE} + 1, ({end}) - ({start})), '')"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> in code points: what stands between matches gives their places."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # The last gap has no value behind it.
-    pairs = F.transform(F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda x: x["value"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["value"]).alias("n"), x["value"].alias("value")))
-    place = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["value"].alias("value"))
-    return _scan(pairs, lambda at, x: at + x["gap"] + x["n"], lambda a, b: a + b, place, "struct<start:int,end:int,value:string>")
+_SPAN = "struct<start:int,end:int,value:string>"
 
 
-def luhn(digits: Column) -> Column:
-    back = F.reverse(digits)
+def _matches(text: str, pattern: str) -> str:
+    """array<struct<start, end, value>> in code points: what stands between matches gives their places."""
+    p = _raw(pattern)
+    both = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g_, v_) -> named_struct('gap', length(g_), 'n', length(v_), 'value', v_))"
+    place = lambda at, x: f"named_struct('start', {at} + {x}.gap, 'end', {at} + {x}.gap + {x}.n, 'value', {x}.value)"
+    # The last gap has no value behind it.
+    return _scan(f"filter({both}, p_ -> p_.value is not null)", lambda at, x: f"{at} + {x}.gap + {x}.n", lambda a, b: f"{a} + {b}", place, _SPAN)
 
-    def step(acc: Column, k: Column) -> Column:
-        d = F.substring(back, k, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return acc + F.when(k % 2 == 1, d).otherwise(twice)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
+def _digits(text: str) -> str:
+    return f"regexp_replace({text}, '[^0-9]', '')"
 
 
-def _only(text: Column, when: Column, found: Column, keep=None) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = F.when(when, found).otherwise(none)
-    return F.filter(found, keep) if keep else found
+def luhn(digits: str) -> str:
+    step = "a_ + if(k_ % 2 = 1, cast(substring(r_, k_, 1) as int), if(substring(r_, k_, 1) > '4', 2 * cast(substring(r_, k_, 1) as int) - 9, 2 * cast(substring(r_, k_, 1) as int)))"
+    return _let(f"reverse({digits})", "r_", f"aggregate(sequence(1, length(r_)), 0, (a_, k_) -> {step}) % 10 = 0")
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def base_spans(text: str) -> dict[str, str]:
     """Per kind array<struct<start, end, value>>, leftmost and non-overlapping."""
-    digits = lambda x: F.regexp_replace(x["value"], "[^0-9]", "")
-    mail = F.regexp_replace(F.translate(text, _STOP, _OTHER), r"\.(?![A-Za-z0-9-])", _STOP)
-    card = F.regexp_replace(text, r"(?<![0-9])[ -]|[ -](?![0-9])", _STOP)
+    mail = rf"regexp_replace(translate({text}, '{_STOP}', '{_OTHER}'), r'\.(?![A-Za-z0-9-])', '{_STOP}')"
+    card = f"regexp_replace({text}, r'(?<![0-9])[ -]|[ -](?![0-9])', '{_STOP}')"
     part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-    return {
-        "email": _only(text, F.contains(text, F.lit("@")), _matches(mail, EMAIL)),
-        "ip": _only(text, text.rlike(r"[0-9]\.[0-9]"), _matches(text, IP), lambda x: x["value"].rlike(rf"^{part}(?:\.{part}){{3}}$")),
-        "card": _only(text, text.rlike(r"[0-9](?:[ -]?[0-9]){11}"), _matches(card, CARD), lambda x: F.length(digits(x)).between(12, 19) & F.when(F.length(digits(x)) <= 19, luhn(digits(x))).otherwise(False)),
-        "phone": _only(text, F.contains(text, F.lit("+")), _matches(text, PHONE), lambda x: F.length(digits(x)).between(9, 15)),
-    }
+    found = {"email": _let(mail, "t_", _matches("t_", EMAIL)), "ip": _matches(text, IP), "card": _let(card, "t_", _matches("t_", CARD)), "phone": _matches(text, PHONE)}
+    some = {"email": f"contains({text}, '@')", "ip": rf"{text} rlike r'[0-9]\.[0-9]'", "card": f"{text} rlike '[0-9](?:[ -]?[0-9]){{11}}'", "phone": f"contains({text}, '+')"}
+    d = f"length({_digits('z_.value')})"
+    keep = {"email": "true", "ip": rf"z_.value rlike r'^{part}(?:\.{part}){{3}}$'", "card": f"{d} between 12 and 19 and if({d} <= 19, {luhn(_digits('z_.value'))}, false)", "phone": f"{d} between 9 and 15"}
+    return {k: f"filter(if({some[k]}, {found[k]}, cast(array() as array<{_SPAN}>)), z_ -> {keep[k]})" for k in KINDS}
 
 
-def _in_order(spans: Column) -> Column:
+def _in_order(spans: str) -> str:
     """Spans by start, with `before`: where those before them end at most."""
-    seen = lambda at, b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), at.alias("before"))
-    return _scan(spans, lambda at, b: F.greatest(at, b["end"]), F.greatest, seen, "struct<start:int,kind:int,end:int,before:int>")
+    seen = lambda at, b: f"named_struct('start', {b}.start, 'kind', {b}.kind, 'end', {b}.end, 'before', {at})"
+    return _scan(spans, lambda at, b: f"greatest({at}, {b}.end)", lambda a, b: f"greatest({a}, {b})", seen, "struct<start:int,kind:int,end:int,before:int>")
 
 
-def _replaced(text: Column, pieces: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
-    """text with by(span) in place of each span; spans: those of _in_order()."""
-    parts = lambda x: F.transform(x, lambda b: F.concat(_cut(pieces, b["before"], F.greatest(b["start"], b["before"])), by(b)))
-    last = lambda x: F.array_max(F.transform(x, lambda b: b["end"]))
-    return _let(spans, lambda x: F.concat(F.array_join(parts(x), ""), _let(last(x), lambda at: _cut(pieces, at, F.greatest(at, F.length(text))))))
+def _replaced(text: str, pieces: str, spans: str, by: str) -> str:
+    """text with `by`, an expression of b_, in place of each span; spans: those of _in_order()."""
+    parts = f"array_join(transform({spans}, b_ -> concat({_cut(pieces, 'b_.before', 'greatest(b_.start, b_.before)')}, {by})), '')"
+    last = f"array_max(transform({spans}, b_ -> b_.end))"
+    return f"concat({parts}, {_let(last, 'last_', _cut(pieces, 'last_', f'greatest(last_, length({text}))'))})"
 
 
-def _masked(text: Column, pieces: Column, base: Column) -> Column:
+def _masked(text: str, pieces: str, base: str) -> str:
     """struct<text, first>: text with the marks of their kinds in place of base spans, as long; the spans that start in no earlier one."""
-    mark = lambda b: F.get(F.array(*(F.lit(m) for m in _MARKS)), b["kind"])
-    marks = lambda b: F.repeat(mark(b), F.greatest(F.lit(0), b["end"] - F.greatest(b["before"], b["start"])))
-    first = lambda x: F.transform(F.filter(x, lambda b: b["start"] >= b["before"]), lambda b: F.struct(b["start"], b["kind"], b["end"]))
-    whole = _let(_in_order(base), lambda x: F.struct(_replaced(text, pieces, x, marks).alias("text"), first(x).alias("first")))
-    return F.when(F.size(base) > 0, whole).otherwise(F.struct(text.alias("text"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("first")))
+    marks = f"repeat(array({', '.join(repr(m) for m in _MARKS)})[b_.kind], greatest(0, b_.end - greatest(b_.before, b_.start)))"
+    first = "transform(filter(spans_, b_ -> b_.start >= b_.before), b_ -> named_struct('start', b_.start, 'kind', b_.kind, 'end', b_.end))"
+    whole = _let(_in_order(base), "spans_", f"named_struct('text', {_replaced(text, pieces, 'spans_', marks)}, 'first', {first})")
+    return f"if(size({base}) > 0, {whole}, named_struct('text', {text}, 'first', cast(array() as array<struct<start:int,kind:int,end:int>>)))"
 
 
-def _digits(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^0-9]", ""))
+def _parts(run: str, bounds: Bounds) -> str:
+    """The parts of a run of number tokens with a fitting count of digits: start, end, and whether it begins (ends) the run and is the longest that does."""
+    pieces = f"zip_with(split({run}.value, {_raw(_ATOM)}, -1), transform(atoms_, x_ -> x_.value), (g_, v_) -> concat(g_, coalesce(v_, '')))"
+    # Each token has a digit, so more than most_digits of them never fit.
+    behind = f"""transform(slice(atoms_, i_ + 1, {bounds.most_digits}), (y_, j_) -> named_struct('a', x_.start, 'b', y_.end,
+        'value', concat(x_.value, array_join(slice(pieces_, i_ + 2, j_), '')), 'begins', i_ = 0, 'ends', i_ + j_ + 1 = size(atoms_)))"""
+    fits = f"length({_digits('p_.value')}) between {bounds.least_digits} and {bounds.most_digits} or p_.value rlike {_raw(_QUAD)}"
+    all_ = f"flatten(transform(atoms_, (x_, i_) -> filter({behind}, p_ -> {fits})))"
+    marked = f"""transform(parts_, p_ -> named_struct('start', {run}.start + p_.a, 'end', {run}.start + p_.b, 'value', p_.value, 'begins', p_.begins, 'ends', p_.ends,
+        'left_counts', p_.begins and p_.b = last_, 'right_counts', p_.ends and p_.a = first_))"""
+    last, first = "array_max(transform(filter(parts_, p_ -> p_.begins), p_ -> p_.b))", "array_min(transform(filter(parts_, p_ -> p_.ends), p_ -> p_.a))"
+    return _let(_matches(f"{run}.value", _ATOM), "atoms_", _let(pieces, "pieces_", _let(all_, "parts_", _let(last, "last_", _let(first, "first_", marked)))))
+
+
+def _instances(bounds: Bounds) -> str:
+    """Base spans, and what may be more: place, value, the text around it as it is and masked, the base kind that covers it, whether it is a base span or a mere token.
+
+    Reads the columns text, pieces, masked, m_pieces, tokens, runs and mails.
+    """
 
+    def one(kind: str, seed: bool, token: bool, part: bool = False) -> str:
+        start = f"greatest(x_.start - {bounds.around}, 0)"
+        sides = {"before": ("begins", start, "x_.start"), "behind": ("ends", "x_.end", f"x_.end + {bounds.around}")}
+        around = [(f"{mark}{name}", f"if(x_.{side}, {_cut(pieces, a, b)}, '')" if part else _cut(pieces, a, b)) for mark, pieces in (("", "pieces"), ("m_", "m_pieces")) for name, (side, a, b) in sides.items()]
+        flags = [(n, f"x_.{n}" if part else "true") for n in ("begins", "ends", "left_counts", "right_counts")]
+        fields = [("start", "x_.start"), ("end", "x_.end"), ("value", "x_.value"), *around, ("kind", kind), ("seed", str(seed).lower()), ("token", str(token).lower()), *flags]
+        return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in fields) + ")"
 
-def _parts(run: Column, bounds: Bounds) -> Column:
-    """The parts of a run of number tokens with a fitting count of digits: start, end, and whether it begins (ends) the run and is the longest that does."""
-    pieces = lambda atoms: F.zip_with(F.split(run["value"], _ATOM, -1), F.transform(atoms, lambda x: x["value"]), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit(""))))
-
-    def of(both: Column) -> Column:
-        atoms, pieces = both["atoms"], both["pieces"]
-
-        def behind(x: Column, i: Column) -> Column:
-            # Each token has a digit, so more than most_digits of them never fit.
-            return F.transform(F.slice(atoms, i + 1, bounds.most_digits), lambda y, j: F.struct(
-                x["start"].alias("a"), y["end"].alias("b"), F.concat(x["value"], F.array_join(F.slice(pieces, i + 2, j), "")).alias("value"),
-                (i == 0).alias("begins"), (i + j + 1 == F.size(atoms)).alias("ends")))
-
-        fits = lambda p: _digits(p["value"]).between(bounds.least_digits, bounds.most_digits) | p["value"].rlike(_QUAD)
-        return F.flatten(F.transform(atoms, lambda x, i: F.filter(behind(x, i), fits)))
-
-    def marked(parts: Column) -> Column:
-        last = F.array_max(F.transform(F.filter(parts, lambda p: p["begins"]), lambda p: p["b"]))
-        first = F.array_min(F.transform(F.filter(parts, lambda p: p["ends"]), lambda p: p["a"]))
-        return _let(F.struct(last.alias("last"), first.alias("first")), lambda edge: F.transform(parts, lambda p: F.struct(
-            (run["start"] + p["a"]).alias("start"), (run["start"] + p["b"]).alias("end"), p["value"].alias("value"), p["begins"].alias("begins"), p["ends"].alias("ends"),
-            (p["begins"] & (p["b"] == edge["last"])).alias("left_counts"), (p["ends"] & (p["a"] == edge["first"])).alias("right_counts"))))
-
-    both = _let(_matches(run["value"], _ATOM), lambda atoms: F.struct(atoms.alias("atoms"), pieces(atoms).alias("pieces")))
-    return _let(both, lambda x: _let(of(x), marked))
-
-
-def _instances(text: Column, pieces: Column, masked: Column, m_pieces: Column, first: Column, bounds: Bounds) -> Column:
-    """Base spans, and what may be more: place, value, the text around it as it is and masked, the base kind that covers it, whether it is a base span or a mere token."""
-
-    def one(x: Column, kind: Column, seed: bool, token: bool, part: bool = False) -> Column:
-        start, end = x["start"], x["end"]
-        before = lambda t: _cut(t, F.greatest(start - bounds.around, F.lit(0)), start)
-        behind = lambda t: _cut(t, end, end + bounds.around)
-        at_side = lambda side, c: F.when(x[side], c).otherwise("") if part else c
-        return F.struct(
-            start.alias("start"), end.alias("end"), x["value"].alias("value"),
-            at_side("begins", before(pieces)).alias("before"), at_side("ends", behind(pieces)).alias("behind"),
-            at_side("begins", before(m_pieces)).alias("m_before"), at_side("ends", behind(m_pieces)).alias("m_behind"),
-            kind.alias("kind"), F.lit(seed).alias("seed"), F.lit(token).alias("token"),
-            *((x[n] if part else F.lit(True)).alias(n) for n in ("begins", "ends", "left_counts", "right_counts")),
-        )
-
-    def covers(x: Column) -> Column:
-        """The kind of the first base span that overlaps x: that of the first mark in its place, since earlier spans mark first."""
-        mark = F.regexp_extract(_cut(m_pieces, x["start"], x["end"]), f"[{_MARKS}]", 0)
-        return F.when(mark != "", F.instr(F.lit(_MARKS), mark) - 1)
-
-    no_kind = F.lit(None).cast("int")
-    valued = lambda b: F.struct(b["start"], b["end"], b["kind"], _cut(pieces, b["start"], b["end"]).alias("value"))
-    seeds = F.transform(F.transform(first, valued), lambda b: one(b, b["kind"], True, False))
-    none = F.filter(seeds, lambda x: F.lit(False))
-    tokens = F.transform(_matches(text, token_pattern(bounds)), lambda x: one(x, covers(x), False, True))
-    parts = F.flatten(F.transform(_matches(masked, _RUN), lambda x: _parts(x, bounds)))
-    numbers = F.transform(parts, lambda p: one(p, no_kind, False, False, part=True))
-    mails = F.transform(_matches(masked, _MAIL), lambda x: one(x, no_kind, False, False))
-    fewest = min(bounds.least_digits, 4) - 1  # a dotted quad has four digits
-    return F.concat(
-        seeds, F.when(text.rlike("[0-9]"), tokens).otherwise(none),
-        F.when(masked.rlike(rf"[0-9](?:[^0-9\p{{L}}\n]*+[0-9]){{{fewest}}}"), numbers).otherwise(none),
-        F.when(masked.rlike(r"@|[\[({<] ?(?i:at) ?[\])}>]"), mails).otherwise(none),
-    )
+    # The kind of the first base span that overlaps a token: that of the first mark in its place, since earlier spans mark first.
+    mark = f"regexp_extract({_cut('m_pieces', 'x_.start', 'x_.end')}, '[{_MARKS}]', 0)"
+    covers, no_kind = _let(mark, "mark_", f"if(mark_ != '', instr('{_MARKS}', mark_) - 1, null)"), "cast(null as int)"
+    seeds = f"transform(transform(masked.first, b_ -> named_struct('start', b_.start, 'end', b_.end, 'kind', b_.kind, 'value', {_cut('pieces', 'b_.start', 'b_.end')})), x_ -> {one('x_.kind', True, False)})"
+    parts = f"flatten(transform(runs, run_ -> {_parts('run_', bounds)}))"
+    return f"""concat({seeds}, transform(tokens, x_ -> {one(covers, False, True)}),
+        transform({parts}, x_ -> {one(no_kind, False, False, part=True)}), transform(mails, x_ -> {one(no_kind, False, False)}))"""
 
 
 def _edges(each: DataFrame, bounds: Bounds) -> DataFrame:
@@ -257,7 +217,7 @@ def _edges(each: DataFrame, bounds: Bounds) -> DataFrame:
         "left": left, "right": right,
         "raw_left": word("before", rf"(\S{{1,{bounds.cue_chars}}})\s{{1,{bounds.gap_chars}}}$"), "raw_right": word("behind", rf"^\s{{1,{bounds.gap_chars}}}(\S{{1,{bounds.cue_chars}}})"),
         "shape": F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), "[A-Za-z]+", "a"),
-        "number": ~F.col("token") & F.coalesce(F.col("kind").isin(2, 3), F.col("value").rlike(r"^[0-9+]|^\([0-9+]") & ~F.col("value").rlike(r"[\p{L}@]") & _digits(F.col("value")).between(bounds.least_digits, bounds.most_digits)),
+        "number": ~F.col("token") & F.coalesce(F.col("kind").isin(2, 3), F.col("value").rlike(r"^[0-9+]|^\([0-9+]") & ~F.col("value").rlike(r"[\p{L}@]") & F.length(F.regexp_replace("value", "[^0-9]", "")).between(bounds.least_digits, bounds.most_digits)),
         "dotted": ~F.col("token") & F.coalesce(F.col("kind") == 1, F.col("value").rlike(_QUAD)),
         "mail": ~F.col("token") & F.coalesce(F.col("kind") == 0, F.col("value").rlike(r"[\p{L}@]")),
     })
@@ -272,10 +232,6 @@ def _edges(each: DataFrame, bounds: Bounds) -> DataFrame:
     return each.select("row", "start", "end", "value", "kind", "seed", "token", links.alias("links"))
 
 
-def _of_kind(found: Column, kind: int) -> Column:
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-
-
 def count_of(spans: Column | str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
@@ -284,15 +240,20 @@ def _read(docs: DataFrame, keep: tuple[str, ...] = (), bounds: Bounds = Bounds()
     """row, doc_id, base array<struct<start, end, kind>> by start and kind, and the text's instances; written once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), *keep)
-    found = base_spans(F.col("text"))
-    all_ = F.array_sort(F.concat(*(_of_kind(c, k) for k, c in enumerate(found.values()))))
-    rows = rows.withColumn("base", all_)
-    some = F.col("text").rlike(r"[0-9@]|[\[({<] ?(?i:at) ?[\])}>]")
-    rows = rows.withColumn("pieces", F.when(some, _pieces(F.col("text"))))
-    rows = rows.withColumn("masked", _masked(F.col("text"), F.col("pieces"), F.col("base")))
-    rows = rows.withColumn("m_pieces", F.when(some, _pieces(F.col("masked.text"))))
-    found = _instances(F.col("text"), F.col("pieces"), F.col("masked.text"), F.col("m_pieces"), F.col("masked.first"), bounds)
-    rows = rows.withColumn("instances", F.when(F.col("pieces").isNotNull(), found))
+    kinds = (f"transform({c}, z_ -> named_struct('start', z_.start, 'kind', {k}, 'end', z_.end))" for k, c in enumerate(base_spans("text").values()))
+    rows = rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(kinds)}))"))
+    some = r"text rlike r'[0-9@]|[\[({<] ?(?i:at) ?[\])}>]'"
+    rows = rows.withColumn("pieces", F.expr(f"if({some}, {_pieces('text')}, null)"))
+    rows = rows.withColumn("masked", F.expr(_masked("text", "pieces", "base")))
+    fewest, none = min(bounds.least_digits, 4) - 1, f"cast(array() as array<{_SPAN}>)"  # a dotted quad has four digits
+    number, mail = rf"masked.text rlike r'[0-9](?:[^0-9\p{{L}}\n]*+[0-9]){{{fewest}}}'", r"masked.text rlike r'@|[\[({<] ?(?i:at) ?[\])}>]'"
+    rows = rows.withColumns({
+        "m_pieces": F.expr(f"if(pieces is null, null, {_pieces('masked.text')})"),
+        "tokens": F.expr(f"if(text rlike '[0-9]', {_matches('text', token_pattern(bounds))}, {none})"),
+        "runs": F.expr(f"if({number}, {_matches('masked.text', _RUN)}, {none})"),
+        "mails": F.expr(f"if({mail}, {_matches('masked.text', _MAIL)}, {none})"),
+    })
+    rows = rows.withColumn("instances", F.expr(f"if(pieces is null, null, {_instances(bounds)})"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     return written(rows.select("row", "doc_id", "base", "instances", *keep), "pii")
 
@@ -361,12 +322,14 @@ def redact(docs: DataFrame) -> DataFrame:
     held = docs.select("doc_id", "text", F.struct(*names).alias("_held"))
     (spans,) = fresh(names, "spans")
     found = find(held, keep=("_held",)).select("_held.*", F.col("spans").alias(spans))
-    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("text").cast("string")
     # Spans that overlap count as one, by the first.
     (pieces,) = fresh(found.columns, "pieces")
-    found = found.withColumn(pieces, F.when(F.size(F.col(spans)) > 0, _pieces(text)))
-    new = _replaced(text, F.col(pieces), _in_order(F.col(spans)), lambda b: F.when(b["start"] >= b["before"], F.get(marks, b["kind"])).otherwise(""))
+    quoted = lambda name: f"`{name}`"
+    found = found.withColumn("text", text)
+    found = found.withColumn(pieces, F.expr(f"if(size({quoted(spans)}) > 0, {_pieces('text')}, null)"))
+    by = f"if(b_.start >= b_.before, array({', '.join(repr(f'[{k.upper()}]') for k in KINDS)})[b_.kind], '')"
+    new = F.expr(_let(_in_order(quoted(spans)), "spans_", _replaced("text", quoted(pieces), "spans_", by)))
     out = found.withColumn("text", F.when(F.size(F.col(spans)) > 0, new).otherwise(text))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.size(F.col(spans)) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
