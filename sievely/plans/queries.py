@@ -115,7 +115,9 @@ def question_counts(spark, d):
 
 def triage_paths(spark, d):
     pages = _urls(spark, d).select(F.col("url").alias("path"), F.col("page_id").alias("ord"))
-    scores = pages.groupBy("path").agg(F.min("ord").alias("o")).where("o % 3 <> 2").select("path", F.when(F.contains("path", F.lit("/en/")), F.lit(0.9)).otherwise(F.lit(0.1)).alias("p"))
+    # Two thirds of the paths are asked about, in batches, through the ledger; the others have no answer.
+    some = pages.groupBy("path").agg(F.min("ord").alias("ord")).where("ord % 3 <> 2")
+    scores = questions.triage_scores(some, lambda: backends.LexicalBackend(["/en/"]), ["pages in English"], Ledger(spark))
     return fold.triage(pages, scores, 0.2, 100)
 
 
@@ -189,7 +191,9 @@ def json_rows(spark, d):
 
 
 def usage_cost(spark, d):
-    u = fold.usage(_scored(spark, d))
+    """What asking about every chunk took, as the answer rows say."""
+    chunks, asking = segment.chunk_files(corpus.files(spark, d)), questions.Asking([WORD], files_only=True)
+    u = fold.usage_of(questions.ask_chunks(chunks, lambda: backends.LexicalBackend([WORD]), asking, Ledger(spark)))
     return u.select("requests", "input_tokens", "output_tokens", F.round("cost", 9).alias("cost"))
 
 
@@ -207,7 +211,7 @@ def _findings(spark, d):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     found = docs.selectExpr("doc_id % 50 as case", "case when n_chars % 3 = 0 then 'A' else 'B' end as criterion", "doc_id % 40 as start", "doc_id % 40 + n_chars % 15 as end", "doc_id as ord")
     told = labels.selectExpr("doc_id % 50 as case", "case when quality = 1 then 'A' else 'B' end as criterion", "doc_id * 7 % 50 as line", "doc_id as ord")
-    cases = spark.range(50).selectExpr("id as case", "case when id % 9 = 8 then 'incomplete' else 'findings' end as status")
+    cases = docs.selectExpr("doc_id % 50 as case").distinct().selectExpr("case", "case when case % 9 = 8 then 'incomplete' else 'findings' end as status")
     return found, told, cases
 
 
@@ -340,8 +344,9 @@ ORACLES: dict[str, str] = {
     "rule_checks": f"""with recursive {sql.blocks()}, c(criterion, word) as (values ('A', '{WORD}'), ('B', 'License'))
         select criterion, path, "start", "end", 0.9::double as score from blocks b cross join c where exists (select 1 from lines l where l.path = b.path and l.n between b."start" and b."end" and contains(l.raw, c.word))""",
     "match_findings": f"with {sql.FINDINGS} select \"case\", criterion, \"start\", \"end\", ord, hit from hits",
-    "finding_measures": f"""with {sql.FINDINGS}, n as (select count(*) filter (hit) as tp, count(*) filter (not hit) as fp from hits where "case" % 9 <> 8), m as (select count(*) as labels from told where "case" % 9 <> 8)
-        select tp, fp, labels - tp as fn, 5::bigint as incomplete, 50::bigint as cases, case when tp + fp > 0 then round(tp / (tp + fp)::double, 6) end as "precision", case when labels > 0 then round(tp / labels::double, 6) end as recall, false as valid from n, m""",
+    "finding_measures": f"""with {sql.FINDINGS}, n as (select count(*) filter (hit) as tp, count(*) filter (not hit) as fp from hits where "case" % 9 <> 8), m as (select count(*) as labels from told where "case" % 9 <> 8),
+        all_cases as (select count(*) as cases, count(*) filter (c % 9 = 8) as incomplete from (select distinct doc_id % 50 as c from documents))
+        select tp, fp, labels - tp as fn, incomplete, cases, case when tp + fp > 0 then round(tp / (tp + fp)::double, 6) end as "precision", case when labels > 0 then round(tp / labels::double, 6) end as recall, incomplete = 0 as valid from n, m, all_cases""",
     "eval_precision_recall": f"""with f as (select doc_id from documents semi join labels using (doc_id) where contains(text, '{WORD}') or contains(text, 'moron')), t as (select doc_id from labels where toxic = 1),
         n as (select (select count(*) from f semi join t using (doc_id)) as tp, (select count(*) from f anti join t using (doc_id)) as fp, (select count(*) from t anti join f using (doc_id)) as fn)
         select tp, fp, fn, case when tp + fp > 0 then round(tp / (tp + fp)::double, 6) end as "precision", case when tp + fn > 0 then round(tp / (tp + fn)::double, 6) end as recall from n""",
