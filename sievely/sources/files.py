@@ -272,3 +272,22 @@ def read_store(spark: SparkSession, folder: str, pattern: str = "*", max_bytes:
     df = df.where(F.col("length").between(1, max_bytes))
     binary = F.instr(F.decode(F.substring("content", 1, 8192), "ISO-8859-1"), "\0") > 0
     return df.where(~binary).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+#: What a core reads without another one's help: a table of fewer files that holds less for each core is dealt out.
+ROW_GROUP_BYTES = 128 << 20
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A table as it was read, in as many partitions as there are cores if it is small and in few files.
+
+    A row group is one task, so a small file is read by one core, which then does all the work of the stages that need no
+    shuffle. Dealing its rows out costs at most ROW_GROUP_BYTES a core; larger tables, and those of many files, stay as they are.
+    """
+    spark = table.sparkSession
+    cores, paths = spark.sparkContext.defaultParallelism, table.inputFiles()
+    if not paths or len(paths) >= cores:
+        return table
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    size = sum(path(p).getFileSystem(conf).getFileStatus(path(p)).getLen() for p in paths)
+    return table.repartition(cores) if size <= cores * ROW_GROUP_BYTES else table
