@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import dealt
 from . import ann, bpe, chat, fim, minhash, mixing, pii, repair, spotsigs, suffix, toxicity, vectors, warc
 
 
@@ -14,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for operators that take row by row: those of a small file are dealt out among the cores."""
+    return dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _hex(column) -> F.Column:
     return F.sha2(F.encode(column, "utf-8"), 256)
 
@@ -40,7 +46,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_and_decode(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+    coded = bpe.encode_and_decode(_documents(spark, sf_dir), "byte_bpe_50k.json")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _hex(ids).alias("ids_sha256"), _hex("decoded").alias("decoded_sha256"))
 
@@ -55,13 +61,13 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     scored = toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(_table(spark, sf_dir, "documents"))
+    found = pii.find(_documents(spark, sf_dir))
     counts = [pii.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, _hex(pii.spans_text("base")).alias("base_sha256"), pii.spans_text("spans").alias("spans"))
 
@@ -83,7 +89,7 @@ def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fim.restored(fim.transform(_table(spark, sf_dir, "documents")))
+    made = fim.restored(fim.transform(_documents(spark, sf_dir)))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _hex("output").alias("output_sha256"), _hex("restored").alias("restored_sha256"))
 
 
