@@ -11,12 +11,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts may be long, so far fewer than Spark's own 10,000.
 BATCH_ROWS = 512
 #: Bytes of text that one pass of array code works on; a longer text is a pass of its own. Array code takes some fifty
 #: bytes for each, in every Python worker of an executor.
 SLICE_BYTES = 600_000
+#: Bitmaps of a filter (4 kB, 32,768 bits each) at most, and keys for each: 32 bits for a key, up to two million keys.
+MOST_BITMAPS, BITMAP_KEYS = 2048, 1024
+#: Bytes in which a filter is looked up: a join copies what it looks at, for each row.
+PIECE = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,6 +86,28 @@ def repeats_ids(docs: DataFrame) -> bool:
     return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def split_by(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be in the one column of keys, and the others, whose key is surely not in it (null keys are among these).
+
+    The filter is a hash of each key as a bit; it is broadcast and has at most MOST_BITMAPS bitmaps. So only the first rows need a
+    join. At 32 bits for a key some 3 % of the rows of other keys are among them, beyond two million keys more.
+    """
+    bits = 32768 * max(1, min(MOST_BITMAPS, -(-keys.count() // BITMAP_KEYS)))
+    piece, held = fresh(rows.columns, "piece", "held")
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)) + 1
+    pieces = 4096 // PIECE
+    spots = keys.select(spot(keys.columns[0]).alias("spot")).select(F.bitmap_bucket_number("spot").alias("bucket"), F.bitmap_bit_position("spot").alias("bit"))
+    # Dealt out before they are summed up, else each task would send bitmaps of its own.
+    bitmaps = spots.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    cut = bitmaps.select("bucket", "bitmap", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("k"))
+    found = written(cut.select((F.col("bucket") * pieces + F.col("k")).alias(piece), F.substring("bitmap", F.col("k") * PIECE + 1, F.lit(PIECE)).alias(held)), "filter")
+    at = F.bitmap_bit_position(spot(key))
+    of = F.bitmap_bucket_number(spot(key)) * pieces + F.floor(at / (8 * PIECE)).cast("long")
+    byte = F.conv(F.hex(F.substring(held, F.floor(at / 8).cast("int") % PIECE + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (of == F.col(piece)) & F.col(key).isNotNull() & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(found), hit, "left_semi"), rows.join(F.broadcast(found), hit, "left_anti")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the memory of Arrow batches of whole texts. Plans are lazy, so the session keeps the setting; it is only ever lowered."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
